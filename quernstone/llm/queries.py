@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import byte_bpe, mixing, order_minhash, quality_rules, sharding, simhash
+from quernstone.llm import byte_bpe, line_dedup, mixing, order_minhash, quality_rules, sharding, simhash, suffix_dedup
 from quernstone.llm.common import read, text_or_empty, words
 
 
@@ -26,6 +26,12 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.with_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each different line, by the document and place where it stands first."""
+    lines = line_dedup.join_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select(F.col("d").alias("doc_id"), F.col("p").alias("line_no"), "n_chars", "n_copies", "n_links", "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality_rules.METRICS, "base_failed", "kept")
@@ -43,11 +49,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_order_minhash": op3_order_minhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash": op8_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
