@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import byte_bpe, line_dedup, mixing, order_minhash, quality_rules, sharding, simhash, suffix_dedup
+from quernstone.llm import byte_bpe, line_dedup, mixing, ngram_lm, order_minhash, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from quernstone.llm.common import read, text_or_empty, words
 
 
@@ -22,6 +22,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "language", "origin", "epoch", "n_tokens")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources; a source's languages are its paths."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), path)
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.with_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,17 +55,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.perplexity_scores(read(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_order_minhash": op3_order_minhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash": op8_simhash,
+    "op9_ngram_lm": op9_ngram_lm,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
