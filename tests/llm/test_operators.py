@@ -1,0 +1,358 @@
+"""The ten operators: brute force or SQL on small tables, and awkward inputs."""
+
+import hashlib
+import random
+
+import pytest
+from helpers import AWKWARD, SF, awkward, duck, kneser_ney, linked, one_edit, repeats, rows_of, simhash
+from pyspark.sql import functions as F
+
+from quernstone.llm import byte_bpe, line_dedup, mixing, ngram_lm, oracle, order_minhash, quality_classifier, quality_rules, queries, sharding, suffix_dedup
+from quernstone.llm import simhash as S
+
+EMPTY = "doc_id long, text string"
+
+
+def same(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    want = duck().sql(oracle.ORACLES[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    a = sorted(tuple(r[c] for c in order) for r in got.collect())
+    b = sorted(tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall())
+    assert a == b
+    assert a
+
+
+@pytest.mark.parametrize("name", sorted(oracle.ORACLES))
+def test_sql_twins(spark, name):
+    same(spark, name)
+
+
+# Mixing
+
+
+def test_shortages_go_to_siblings_first(spark):
+    """Domain a lacks one language: the other one of a gets its share, not domain b."""
+    leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 1000), ("b", "x", 1000)], "domain string, lang string, tokens long")
+    plan = {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(leaves, ["domain", "lang"], [{"a": 0.5, "b": 0.5}, {}], 0.2, 1).collect()}
+    assert plan == {("a", "x"): 10, ("a", "y"): 191, ("b", "x"): 201}
+
+
+def test_ancestors_get_what_a_whole_subtree_lacks(spark):
+    leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 10), ("b", "x", 980)], "domain string, lang string, tokens long")
+    plan = {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(leaves, ["domain", "lang"], [{}, {}], 0.5, 1).collect()}
+    assert plan == {("a", "x"): 10, ("a", "y"): 10, ("b", "x"): 480}
+
+
+def test_mix_awkward(spark):
+    docs = awkward(spark).withColumn("lang", F.lit(None).cast("string")).withColumn("epoch", F.lit("own"))
+    out = mixing.mix(docs, {"lang": F.col("lang")}, [{}], F.size(F.split(F.coalesce("text", F.lit("")), " ")), share=2.0, max_epochs=2)
+    assert out.count() == 2 * len(AWKWARD) and out.columns[:6] == docs.columns and "_epoch" in out.columns
+    assert mixing.mix(docs.limit(0), {"lang": F.col("lang")}, [{}], F.lit(1)).count() == 0
+
+
+# Quality classifier
+
+
+def test_classifier_on_labels(spark):
+    got = {r.doc_id: r for r in queries.op2_quality_classifier(spark, SF).collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    assert sum(got[r.doc_id].kept == (r.quality == 1) for r in labels) >= 0.97 * len(labels)
+    assert all(0 <= r.quality <= 1 and 0 < r.path_rate < 1 for r in got.values())
+
+
+def test_sparse_sites_follow_their_parents(spark):
+    docs = spark.createDataFrame([(i, "w " * 60, "big" if i else "small") for i in range(200)], "doc_id long, text string, host string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, labels, F.col("host"), F.col("host")).collect()}
+    assert abs(got[0].path_rate - got[1].path_rate) < 0.05 and {round(r.evidence, 6) for r in got.values()} == {0.0}
+
+
+def test_classifier_awkward(spark):
+    labels = spark.createDataFrame([(1, 1), (8, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    docs = awkward(spark)
+    got = quality_classifier.classify(docs, labels, F.lit(None), F.lit(None)).collect()
+    assert len(got) == len(AWKWARD) and all(0 <= r.quality <= 1 for r in got)
+    assert quality_classifier.classify(docs.limit(0), labels, F.col("kept"), F.col("kept")).count() == 0
+
+
+# Order MinHash
+
+
+def test_edits_of_the_next_document(spark):
+    docs = [(9, "a" * 30), (4, "b" * 7), (20, "hello world " * 5), (1, ""), (None, "z" * 9), (3, None)]
+    got = {r.doc_id: r for r in order_minhash.with_edits(spark.createDataFrame(docs, EMPTY)).collect()}
+    order = [20, 9, 4, 3, 1, None]
+    texts = {d: t or "" for d, t in docs}
+    for i, d in enumerate(order):
+        t, after = texts[d], texts[order[(i + 1) % len(order)]]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert bytes.fromhex(got[d].edited_fingerprint) == bytes.fromhex(order_minhash.written(order_minhash.signature(edited.encode())))
+        assert got[d].near_next == float((order_minhash.signature(t.encode()) == order_minhash.signature(after.encode())).mean())
+
+
+def test_order_matters_and_small_edits_do_not():
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    text, moved = " ".join(words), " ".join(words[150:] + words[:150])
+    like = lambda a, b: (order_minhash.signature(a.encode()) == order_minhash.signature(b.encode())).mean()
+    assert like(text, text) == 1
+    assert like(text, text[:900] + "#" + text[901:]) > 0.8
+    assert like(text, moved) < 0.8 < like(text, text[:-20])
+    assert like(text, " ".join(reversed(words))) < 0.3
+
+
+def test_occurrences_are_counted():
+    import numpy as np
+
+    x = order_minhash.mixed(np.array([1, 2, 1, 1, 3, 2] * 50, dtype=np.uint64))
+    seen, want = {}, []
+    for v in x.tolist():
+        want.append(seen.get(v, 0))
+        seen[v] = want[-1] + 1
+    assert order_minhash.occurrences(x).tolist() == want
+
+
+def test_fingerprints_awkward(spark):
+    got = order_minhash.with_edits(awkward(spark)).collect()
+    assert len(got) == len(AWKWARD)
+    twins = {r.fingerprint for r in got if r.doc_id in (1, 5)}
+    assert len(twins) == 1 and {r.fingerprint for r in got if r.doc_id in (2, 3)} == {"0000" * order_minhash.FUNCTIONS}
+    assert order_minhash.with_edits(spark.createDataFrame([], EMPTY)).count() == 0
+    a, b = order_minhash.fingerprints(awkward(spark)).where("doc_id in (1, 6)").select("fingerprint").collect()
+    one = spark.createDataFrame([(a[0], b[0])], "a string, b string")
+    assert 0 <= one.select(order_minhash.likeness(F.col("a"), F.col("b"))).first()[0] < 1
+
+
+# Line dedup
+
+
+def edited(r, s):
+    i, kind = r.randrange(len(s)), r.choice("ids")
+    return s[:i] + {"i": r.choice("abcdé") + s[i], "d": "", "s": r.choice("abcdé")}[kind] + s[i + 1 :]
+
+
+@pytest.mark.parametrize("hot", [64, 2])
+def test_lines_within_one_edit(spark, hot):
+    r = random.Random(5)
+    pool = ["".join(r.choice("abcd é") for _ in range(n)).strip() + "xy" for n in (18, 20, 25, 90)]
+    for _ in range(120):
+        pool.append(edited(r, r.choice(pool)))
+    docs = [(i, "\n".join(r.choice([*pool, "", " "]) for _ in range(r.randrange(1, 7)))) for i in range(60)] + [(None, pool[3]), (7, None)]
+    first, copies = {}, {}
+    for d, t in docs:
+        for p, x in enumerate((t or "").split("\n")):
+            if x.strip():
+                first[x] = min(first.get(x, (1 << 62, 0)), (-1 if d is None else d, p))
+                copies[x] = copies.get(x, 0) + 1
+    want = set()
+    for x in first:
+        near = [y for y in first if y != x and min(len(x), len(y)) >= line_dedup.SHORTEST and one_edit(x, y)]
+        want.add((*first[x], len(x), copies[x], len(near), not any(first[y] < first[x] for y in near)))
+    got = {(-1 if x.d is None else x.d, x.p, x.n_chars, x.n_copies, x.n_links, x.kept) for x in line_dedup.join_lines(spark.createDataFrame(docs, EMPTY), hot=hot).collect()}
+    assert got == want
+
+
+def test_dedup_lines_awkward(spark):
+    docs = awkward(spark)
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == docs.columns
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.doc_id, []).append(r.text)
+    assert by[2] == [None] and by[3] == [""] and by[4] == [" \t\n "]
+    assert by[7] == ["é" * 10 + "\n\nlínea repetida dos veces aquí\n"]
+    assert 5 not in by and len(by[1]) == 1 and by[8] == ["long " * 20000]
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+# Quality rules
+
+
+def test_cascade_order_changes_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a = rows_of(quality_rules.quality_rules(docs).select("doc_id", "kept"))
+    b = rows_of(quality_rules.quality_rules(docs, rules=quality_rules.RULES[::-1]).select("doc_id", "kept"))
+    assert a == b and {k for _, k in a} == {True, False}
+
+
+def test_rules_awkward(spark):
+    docs = awkward(spark)
+    got = quality_rules.quality_rules(docs)
+    assert got.columns[:4] == docs.columns and "_n_words" in got.columns and "_kept" in got.columns
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[8]["_n_words"] == 20000 and by[8].n_repeat_words == 20000 and by[2].base_failed and by[7].n_dup_lines == 1
+    assert quality_rules.keep_good(docs.limit(0)).count() == 0 and quality_rules.keep_good(docs).columns == docs.columns
+
+
+# Sharding
+
+
+def test_lookup_table():
+    table = sharding.lookup_table([f"s{i}" for i in range(16)])
+    sizes = [table.count(i) for i in range(16)]
+    assert max(sizes) - min(sizes) <= 1 and len(table) == sharding.SLOTS
+    less = sharding.lookup_table([f"s{i}" for i in range(15)])
+    assert sum(a != b for a, b in zip(table, less, strict=True) if a != 15) < 0.15 * len(table)
+    with pytest.raises(ValueError):
+        sharding.lookup_table(["a"], 100)
+
+
+def test_sharding_awkward(spark, tmp_path):
+    docs = awkward(spark).withColumn("shard", F.lit("own"))
+    got = sharding.assign_shards(docs)
+    assert got.columns == [*docs.columns, "slot", "_shard"] and got.count() == len(AWKWARD)
+    assert got.where("doc_id = 5").select("slot").distinct().count() == 1 and got.where("doc_id is null").count() == 1
+    assert sharding.assign_shards(docs.limit(0)).count() == 0
+    sharding.write_shards(awkward(spark), str(tmp_path / "out"), shards=3)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(AWKWARD)
+
+
+# Byte-level BPE
+
+
+def test_bpe_equals_the_reference_tokenizer(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = queries.vocabulary()
+    codec = byte_bpe.Codec(path, pattern)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    r = random.Random(3)
+    odd = [chr(i) for i in (*range(256), 0x85, 0x1680, 0x180E, 0x2028, 0x3000, 0x200B, 0xFEFF, 0x1D7D8, 0x4E00, 0x430, 0x1F600, 0x301, 0x660)]
+    texts = ["".join(r.choice(odd if r.random() < 0.5 else "abc th \n\t  ing's1290.!") for _ in range(r.choice([1, 5, 40, 300]))) for _ in range(3000)]
+    texts += ["", "a" * 20000, " " * 20000, "ab" * 9999, "<|endoftext|>"]
+    for t in texts:
+        ids = codec.encode(t)
+        assert ids == own.encode_ordinary(t) and codec.decode(ids) == t.encode()
+
+
+def test_bpe_awkward(spark):
+    path, pattern = queries.vocabulary()
+    got = byte_bpe.round_trip(awkward(spark), path, pattern).collect()
+    assert len(got) == len(AWKWARD)
+    texts = {d: (t or "").encode() for d, t in AWKWARD}
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id]).hexdigest() for r in got)
+    ids = byte_bpe.encode(awkward(spark), path, pattern)
+    assert {r.doc_id: bytes(r.data) for r in byte_bpe.decode(ids, path, pattern).collect()} == texts
+    assert byte_bpe.round_trip(spark.createDataFrame([], EMPTY), path, pattern).count() == 0
+
+
+# SimHash
+
+
+def test_simhash_components(spark):
+    r = random.Random(4)
+    base = " ".join(r.choice(["of", "the", "cat", "dog", "tree", "stone", "river", "hill"]) for _ in range(300))
+    docs = [(i, base if i % 3 else " ".join(w if r.random() > 0.004 else "new" for w in base.split())) for i in range(40)]
+    docs += [(100 + i, " ".join(r.choice("abcdefghij") for _ in range(40))) for i in range(20)] + [(200, None), (201, ""), (202, "one two")]
+    items = {i: simhash((t or "").encode(), 3) for i, t in docs}
+    best = linked(items, lambda a, b: (a ^ b).bit_count() <= 2)
+    for hot in (24, 1):
+        got = {(x.doc_id, x.fingerprint, x.component_id) for x in S.near_duplicates(spark.createDataFrame(docs, EMPTY), hot=hot).collect()}
+        assert got == {(i, f"{items[i]:016x}", best[i]) for i in items}
+
+
+@pytest.mark.parametrize("distance,blocks", [(2, 5), (4, 7)])
+def test_links_connect_what_is_near(spark, distance, blocks):
+    r = random.Random(distance)
+    fps = {0}
+    while len(fps) < 150:
+        f = r.choice(sorted(fps)) if r.random() < 0.8 else r.getrandbits(63)
+        for _ in range(r.randrange(1, 5)):
+            f ^= 1 << r.randrange(63)
+        fps.add(f)
+    items = dict(enumerate(sorted(fps)))
+    nodes = spark.createDataFrame([(f, i) for i, f in items.items()], "fp long, id long")
+    best = linked(items, lambda a, b: (a ^ b).bit_count() <= distance)
+    for hot in (24, 1):
+        found = {x.id: x.component for x in S.components(S.links(nodes, distance, blocks, hot)).collect()}
+        assert {i: found.get(i, i) for i in items} == best
+
+
+def test_simhash_awkward(spark):
+    got = S.near_duplicates(awkward(spark)).collect()
+    assert len(got) == len(AWKWARD)
+    by = {r.doc_id: r for r in got}
+    assert by[None].component_id is None and by[5].component_id == 1 and {by[i].component_id for i in (2, 3, 4)} == {2}
+    kept = S.keep_one(awkward(spark))
+    assert kept.columns == awkward(spark).columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "6", "7", "8", "None"]
+    assert S.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+# N-gram model
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_kneser_ney(spark, order):
+    r = random.Random(1)
+    docs = [(i, " ".join(r.choice(["the", "of", "A", "a", "cat", "dog", f"x{r.randrange(30)}"]) for _ in range(r.randrange(30)))) for i in range(150)]
+    docs += [(None, "the cat"), (3, "the cat"), (4, None), (5, "")]
+    key = lambda x: (str(x[0]), x[2], round(x[6], 6))
+    got = sorted((tuple(x) for x in ngram_lm.perplexity_scores(spark.createDataFrame(docs, EMPTY), order=order).collect()), key=key)
+    want = sorted(kneser_ney(docs, order, ngram_lm.discounts), key=key)
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    rows = [r for r in queries.op9_ngram_lm(spark, SF).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_scores_awkward(spark):
+    got = ngram_lm.perplexity_scores(awkward(spark)).collect()
+    assert len(got) == len(AWKWARD) and all(r.score <= 0 for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1}
+    assert ngram_lm.perplexity_scores(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+# Suffix-array dedup
+
+
+def test_repeats_of_fifty_bytes(spark):
+    r = random.Random(2)
+    base = ["".join(r.choice("abcdefgh é") for _ in range(400)) for _ in range(6)]
+    docs = []
+    for _ in range(80):
+        t = ""
+        for _ in range(r.randrange(6)):
+            b, s = r.choice(base), r.randrange(350)
+            t += b[s : s + r.choice([20, 49, 50, 51, 60, 100])] + r.choice(["", "x", "yy"])
+        docs.append((r.randrange(100), t))
+    docs += [(None, base[0]), (500, "a" * 300), (501, "a" * 70 + "b" * 60), (502, None), (503, ""), (504, base[1]), (3, base[1]), (504, base[1])]
+    hot = "".join(r.choice("xyz") for _ in range(25))
+    for i in range(40):
+        docs.append((600 + i, "".join(r.choice("ab") for _ in range(12)) + hot + "".join(r.choice("ab") for _ in range(14)) + hot + "ab" * 20))
+    assert rows_of(suffix_dedup.repeat_digests(spark.createDataFrame(docs, EMPTY))) == sorted(repeats(docs), key=lambda x: tuple(map(str, x)))
+
+
+def test_loser_tree_merges_by_known_prefixes():
+    r = random.Random(6)
+    runs, every = [], []
+    for g in range(5):
+        texts = sorted("".join(r.choice("ab") for _ in range(r.randrange(1, 30))).encode() for _ in range(r.randrange(1, 40)))
+        every += texts
+        shared, rests, body = suffix_dedup.front_coded(texts)
+        import numpy as np
+
+        n = len(texts)
+        head = np.stack([shared, rests, np.zeros(n, np.uint8)]).tobytes() + body
+        numbers = np.r_[np.ones(n), np.zeros(3 * n)].astype(np.int64)
+        runs.append(suffix_dedup.Run(g, n, suffix_dedup.pack(np.frombuffer(head, np.uint8)), suffix_dedup.pack(numbers.view(np.uint8).reshape(-1, 8).T)))
+    got, before = [], b""
+    for run, shared in suffix_dedup.merged(runs):
+        assert not got or shared == suffix_dedup.common(before, run.now, 0)
+        got.append(run.now)
+        before = run.now
+    assert got == sorted(every)
+
+
+def test_repeats_awkward(spark):
+    got = suffix_dedup.remove_repeats(awkward(spark)).collect()
+    want = {(d, n, k, s) for d, n, k, s, _ in repeats(AWKWARD)}
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got} == want and len(got) == len(AWKWARD)
+    assert suffix_dedup.remove_repeats(spark.createDataFrame([], EMPTY)).count() == 0
