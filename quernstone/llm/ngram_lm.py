@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import partitions
 from quernstone.llm.order_minhash import mixed, odd_factors
-from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, table_of, unpack, unpack_sorted
+from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, shard_count, table_of, unpack, unpack_sorted
 
 ORDER = 2
 HELD_OUT, FOLDS = 2, 7
@@ -242,7 +241,7 @@ def perplexity_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if order < 1:
         raise ValueError("the order must be 1 or more")
     texts, n = grouped_documents(docs, id_col, text_col)
-    shards = partitions(docs.sparkSession)
+    shards = shard_count(docs)
 
     def asked(level: int, answers: DataFrame | None) -> DataFrame:
         if answers is None:

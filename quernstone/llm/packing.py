@@ -33,6 +33,11 @@ def rows_of(table: pa.Table) -> list[tuple[int | None, bytes]]:
     return rows
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Half as many as the cluster's shuffle partitions: every group sends every shard one row, so they multiply."""
+    return max(1, partitions(docs.sparkSession) // 2)
+
+
 def pack(array: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(array).tobytes(), 1)
 
