@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import partitions
 from quernstone.llm.order_minhash import kmer_hashes
-from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, table_of, unpack, unpack_sorted
+from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, shard_count, table_of, unpack, unpack_sorted
 
 LENGTH, K = 50, 20
 SLAB = 1 << 16
@@ -354,8 +354,8 @@ def cut(table: pa.Table, spans: pa.Table, length: int, finish) -> list[tuple]:
 def removal(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, finish, schema: pa.Schema, ddl: str) -> DataFrame:
     if not 0 < k < length <= 200:
         raise ValueError("k must be less than length, and length at most 200")
-    shards = 2 * partitions(docs.sparkSession)
-    texts, _ = grouped_documents(docs, id_col, text_col, 2 * shards)
+    shards = shard_count(docs)
+    texts, _ = grouped_documents(docs, id_col, text_col, 4 * partitions(docs.sparkSession))
     asked = texts.groupBy("grp").applyInArrow(lambda t: ask(t, shards, length, k), MESSAGE_DDL)
     answered = asked.groupBy("shard").applyInArrow(answer, MESSAGE_DDL)
     runs = texts.groupBy("grp").cogroup(answered.groupBy("grp")).applyInArrow(lambda t, m: send(t, m, shards, length, k), RUN_DDL)
