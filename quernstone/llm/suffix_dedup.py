@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import partitions
-from quernstone.llm.order_minhash import kmer_hashes
+from quernstone.llm.order_minhash import kmer_hashes, mixed
 from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, shard_count, table_of, unpack, unpack_sorted
 
 LENGTH, K = 50, 20
@@ -75,7 +75,7 @@ def anchors(buffer: bytes, ends: np.ndarray, length: int, k: int) -> tuple[np.nd
         at = np.flatnonzero((most == h) & (h != np.uint64(2**64 - 1)))
         at = at[(at + low >= start) & (at + low < start + SLAB)]
         places.append(at + low)
-        hashes.append(h[at])
+        hashes.append(mixed(h[at]))  # the least hashes of windows are low; mixed anew they fill all ranges alike
     return (np.concatenate(places), np.concatenate(hashes)) if places else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
