@@ -78,9 +78,11 @@ def leaf_budgets(leaves: DataFrame, path: list[str], level_weights: list[dict[st
 BROADCAST_LEAVES = 50_000
 
 
-def cut_offs(slim: DataFrame, plan: DataFrame, levels: list[str], seed: int) -> DataFrame:
-    """plan with cut: the largest hash of the prefix of the leaf's partial epoch (null: nothing of it is taken)."""
-    ranked = slim.join(plan.select(*levels, "whole", "more"), levels).where("more > 0")
+def cut_offs(slim: DataFrame, plan: DataFrame, levels: list[str], seed: int, few: bool) -> DataFrame:
+    """plan with cut: the largest hash of the prefix of the leaf's partial epoch (null: nothing of it is taken). few: plan may be broadcast."""
+    wanted = plan.select(*levels, "whole", "more")
+    wanted = F.broadcast(wanted) if few else wanted
+    ranked = slim.join(wanted, levels).where("more > 0")
     ranked = ranked.select(*levels, "more", "tokens", epoch_hash(F.col("whole"), F.col("id"), seed).alias("h")).withColumn("b", F.substring("h", 1, DIGITS))
     leaf = W.partitionBy(*levels).orderBy("b")
     sums = ranked.groupBy(*levels, "b").agg(F.sum("tokens").alias("s"), F.first("more").alias("more"), F.max("h").alias("last"))
@@ -113,13 +115,15 @@ def mix(docs: DataFrame, path: dict[str, Column], level_weights: list[dict[str,
     plan = leaf_budgets(leaves, levels, level_weights, share, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int"))
     plan = plan.withColumn("more", F.col("budget") - F.col("whole") * F.col("tokens"))
-    plan = checkpointed(cut_offs(slim, checkpointed(plan), levels, seed))
+    plan = checkpointed(plan)
+    few = plan.count() <= BROADCAST_LEAVES
+    plan = checkpointed(cut_offs(slim, plan, levels, seed, few))
     own = docs.columns
     epoch, n_tokens, *shown = fresh(docs, "epoch", "n_tokens", *path)
     row, ids, n, *at = fresh(docs, "row_", "id_", "tokens_", *levels)
     packed = docs.select(F.struct(*(quoted(c) for c in own)).alias(row), key.alias(ids), count.alias(n), *(e.alias(x) for e, x in zip(parts, at, strict=True)))
     plan = plan.select(*(F.col(x).alias(f"p_{x}") for x in levels), F.col("whole").alias("p_whole"), F.col("cut").alias("p_cut"))
-    if plan.count() <= BROADCAST_LEAVES:
+    if few:
         plan = F.broadcast(plan)
     joined = packed.join(plan, [quoted(x) == F.col(f"p_{y}") for x, y in zip(at, levels, strict=True)])
     taken = F.col("p_whole") + F.when(epoch_hash(F.col("p_whole"), quoted(ids), seed) <= F.col("p_cut"), 1).otherwise(0)
