@@ -23,6 +23,7 @@ an empty table gives an empty result; only the id and text columns are read, so
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -275,19 +276,23 @@ def agreeing(a: tuple, b: tuple) -> tuple[int, int]:
 
 def marked(members: list[tuple[bytes, bytes, int, list]], length: int, left: int):
     """(occurrence, from, to) around an anchor; members: (right, left reversed, least id, occurrences (id, ...)), all different."""
-    if len(members) == 1 or len(members) <= PAIRS:
+    if len(members) <= PAIRS:
+        by_id = sorted(members, key=lambda m: m[2])
         for a in members:
-            for d in {o[0] for o in a[3]}:
-                best_l = best_r = 0
-                for b in members:
-                    if b[2] < d:
-                        n_l, n_r = agreeing(a, b)
-                        if n_l + n_r >= length:
-                            best_l, best_r = max(best_l, n_l), max(best_r, n_r)
-                if best_r:
-                    for o in a[3]:
-                        if o[0] == d:
-                            yield o, best_l, best_r
+            last, limits, reach = max(o[0] for o in a[3]), [], [(0, 0)]
+            for b in by_id:
+                if b[2] >= last:
+                    break
+                n_l, n_r = (len(a[1]), len(a[0])) if b is a else agreeing(a, b)
+                best_l, best_r = reach[-1]
+                if n_l + n_r >= length and (n_l > best_l or n_r > best_r):
+                    limits.append(b[2])
+                    reach.append((max(best_l, n_l), max(best_r, n_r)))
+            if limits:
+                for o in a[3]:
+                    before = bisect_left(limits, o[0])  # of the ids that have the string, how many are smaller
+                    if before:
+                        yield o, *reach[before]
         return
     least: dict[tuple[bytes, bytes], int] = {}
     for right, before, d, _ in members:
