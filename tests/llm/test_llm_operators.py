@@ -283,6 +283,41 @@ def test_simhash_awkward(spark):
     assert S.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def shingles(t, width=5):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def alike(x, y):
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def test_keep_one_links_what_brute_force_links(spark):
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(5000)}"
+    docs = [(1000 + i, " ".join(word() for _ in range(r.choice([4, 8, 30, 60, 200])))) for i in range(60)]
+    for i in range(250):  # a few changed words, or a sentence more
+        w = r.choice(docs)[1].split()
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(len(w))] = word()
+        docs.append((r.randrange(10**6, 10**7), " ".join(w + [word() for _ in range(r.choice([0, 0, 5]))])))
+    base = [word() for _ in range(120)]
+    docs += [(50 + i, " ".join(base[:j] + [word()] + base[j + 1 :])) for i, j in enumerate(r.choices(range(120), k=60))] + [(5, " ".join(base)), (6, None), (7, "")]
+    items = {i: shingles(t) for i, t in docs}
+    pairs = [(a, b) for a in items for b in items if a < b and alike(items[a], items[b])]
+    assert len(pairs) > 300
+    up = {i: i for i in items}
+    for _ in items:
+        before = dict(up)
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+        if up == before:
+            break
+    want = sorted(i for i in up if up[i] == i)
+    for hot in (24, 2):
+        assert sorted(x.doc_id for x in S.keep_one(spark.createDataFrame(docs, EMPTY), hot=hot).collect()) == want
+
+
 # N-gram model
 
 
