@@ -70,15 +70,15 @@ def pairs(cold: DataFrame) -> DataFrame:
     return a.join(b, "key").where((F.col("probe") == 1) | order).select("da", "pa", "ha", "db", "pb", "hb")
 
 
-def join_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, hot: int = HOT) -> DataFrame:
-    """A row for each different line: d, p (where it stands first), h (its hash), n_chars, n_copies, n_links and kept."""
+def linked_lines(docs: DataFrame, id_col: str, text_col: str, shortest: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The occurrences of lines (d, p, digest), the different lines (digest, d, p, h, n_chars, n_copies) and their links (da, pa, ha, db, pb, hb)."""
     lines = lines_of(docs, id_col, text_col)
     length = F.length("line")
     # Copies meet by their 128-bit digest; what else is needed of a line is taken before the exchange, so no text moves.
     slim = lines.select("d", "p", F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"), F.xxhash64("line").alias("h"), length.alias("n_chars"), keys(F.col("line"), length, FIRST_PIECES, shortest).alias("keys"))
     same_line = [F.first(c).alias(c) for c in ("h", "n_chars", "keys")]
     different = slim.groupBy("digest").agg(F.min(F.struct("d", "p")).alias("at"), F.count("*").alias("n_copies"), *same_line)
-    different = checkpointed(different.select("at.d", "at.p", "h", "n_chars", "n_copies", "keys"))
+    different = checkpointed(different.select("digest", "at.d", "at.p", "h", "n_chars", "n_copies", "keys"))
     listed = checkpointed(met(different.select(*ID, F.inline("keys"))))
     ids = listed.select(*ID).distinct()
     same = [F.col("l.d").eqNullSafe(F.col("i.d")), F.col("l.p") == F.col("i.p"), F.col("l.h") == F.col("i.h")]
@@ -104,11 +104,41 @@ def join_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [F.col(f"d{side}").eqNullSafe(F.col(f"{side}d_")), F.col(f"p{side}") == F.col(f"{side}p_"), F.col(f"h{side}") == F.col(f"{side}h_")]
 
     near = found.distinct().join(text("a"), on("a")).join(text("b"), on("b")).where(F.levenshtein("line_a", "line_b", EDITS) >= 0)
-    links = checkpointed(near.select("da", "pa", "ha", "db", "pb", "hb"))
+    return slim.select("d", "p", "digest"), different.drop("keys"), checkpointed(near.select("da", "pa", "ha", "db", "pb", "hb"))
+
+
+def judged(different: DataFrame, links: DataFrame) -> DataFrame:
+    """different with n_links and kept."""
     earlier = F.struct("db", "pb", "hb") < F.struct("da", "pa", "ha")
     ends = links.select("da", "pa", "ha", earlier.alias("earlier")).union(links.select("db", "pb", "hb", ~earlier)).groupBy("da", "pa", "ha").agg(F.count("*").alias("n_links"), F.max("earlier").alias("earlier"))
-    counted = different.drop("keys").join(ends, [F.col("d").eqNullSafe(F.col("da")), F.col("p") == F.col("pa"), F.col("h") == F.col("ha")], "left")
-    return counted.select(*ID, F.col("n_chars").cast("long"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (~F.coalesce("earlier", F.lit(False))).alias("kept"))
+    counted = different.join(ends, [F.col("d").eqNullSafe(F.col("da")), F.col("p") == F.col("pa"), F.col("h") == F.col("ha")], "left")
+    return counted.select("digest", *ID, F.col("n_chars").cast("long"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (~F.coalesce("earlier", F.lit(False))).alias("kept"))
+
+
+def join_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, hot: int = HOT) -> DataFrame:
+    """A row for each different line: d, p (where it stands first), h (its hash), n_chars, n_copies, n_links and kept."""
+    _, different, links = linked_lines(docs, id_col, text_col, shortest, hot)
+    return judged(different, links).drop("digest")
+
+
+def members_and_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, hot: int = HOT) -> DataFrame:
+    """A row of kind member for each occurrence of a line and one of kind pair for each link of two different lines.
+
+    member: doc_id and line_no of the occurrence; first_doc_id and first_line_no, where the line stands first; n_chars,
+    n_copies and n_links of the line; kept, whether this occurrence stays. pair: where the later of two lines stands first, and
+    as first_ the earlier; the rest is null.
+    """
+    occurrences, different, links = linked_lines(docs, id_col, text_col, shortest, hot)
+    lines = judged(different, links).select("digest", F.col("d").alias("first_doc_id"), F.col("p").alias("first_line_no"), "n_chars", "n_copies", "n_links", F.col("kept").alias("stays"))
+    # A line can have a third of all occurrences; the adaptive plan splits such a partition of them.
+    joined = occurrences.join(lines.hint("merge"), "digest")
+    first = F.col("d").eqNullSafe(F.col("first_doc_id")) & (F.col("p") == F.col("first_line_no"))
+    numbers = ["n_chars", "n_copies", "n_links"]
+    members = joined.select(F.lit("member").alias("kind"), F.col("d").alias("doc_id"), F.col("p").alias("line_no"), "first_doc_id", "first_line_no", *numbers, (F.col("stays") & first).alias("kept"))
+    a, b = (F.struct(*(F.col(c + side).alias(c) for c in ID)) for side in "ab")
+    ends = links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
+    later, earlier = [F.col("x")[c] for c in ("d", "p")], [F.col("y")[c] for c in ("d", "p")]
+    return members.union(ends.select(F.lit("pair"), *later, *earlier, *(F.lit(None).cast("long") for _ in numbers), F.lit(None).cast("boolean")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, hot: int = HOT, length_col: str | None = None) -> DataFrame:

@@ -33,9 +33,8 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each different line, by the document and place where it stands first."""
-    lines = line_dedup.join_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return lines.select(F.col("d").alias("doc_id"), F.col("p").alias("line_no"), "n_chars", "n_copies", "n_links", "kept")
+    """A row for each occurrence of a line with where that line stands first, and one for each pair of linked lines."""
+    return line_dedup.members_and_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,16 @@ def test_lines_within_one_edit(spark, hot):
     assert got == want
 
 
+def test_members_and_pairs_of_lines(spark):
+    a, b, other = "a line of more than twenty letters", "a line of more than twenty lettersX", "another text that stands alone here"
+    docs = [(3, f"{a}\n{other}"), (7, a), (8, f"\n{b}\n{a}"), (None, other)]
+    got = [tuple(x) for x in line_dedup.members_and_pairs(spark.createDataFrame(docs, EMPTY)).collect()]
+    assert sorted(x[1:5] + x[6:] for x in got if x[0] == "member" and x[1] is not None) == [
+        (3, 0, 3, 0, 3, 1, True), (3, 1, None, 0, 2, 0, False), (7, 0, 3, 0, 3, 1, False), (8, 1, 8, 1, 1, 1, False), (8, 2, 3, 0, 3, 1, False)]
+    assert [x[1:5] + x[8:] for x in got if x[0] == "member" and x[1] is None] == [(None, 0, None, 0, True)]
+    assert [x[1:] for x in got if x[0] == "pair"] == [(8, 1, 3, 0, None, None, None, None)]
+
+
 def test_dedup_lines_awkward(spark):
     docs = awkward(spark)
     got = line_dedup.dedup_lines(docs)
