@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.order_minhash import mixed, odd_factors
 from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, shard_count, table_of, unpack, unpack_sorted
 
-ORDER = 2
+ORDER = 3
 HELD_OUT, FOLDS = 2, 7
 START, END = b"\n start", b"\n end"  # no words: they hold white space
 FACTOR = odd_factors(1, 64, 9)[0]

@@ -348,6 +348,13 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_the_query_sees_two_words_of_context(spark, tmp_path):
+    docs = [(i, "a b c d e" if i % 2 else "x b y d z") for i in range(40)] + [(100, "a b c"), (101, "x b c")]
+    spark.createDataFrame(docs, EMPTY).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, round(r.score, 6)) for r in queries.op9_ngram_lm(spark, str(tmp_path)).collect())
+    assert got == sorted((x[0], round(x[6], 6)) for x in kneser_ney(docs, 3, ngram_lm.discounts))
+
+
 def test_scores_awkward(spark):
     got = ngram_lm.perplexity_scores(awkward(spark)).collect()
     assert len(got) == len(AWKWARD) and all(r.score <= 0 for r in got)
