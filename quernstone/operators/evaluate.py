@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernstone.operators.ranking import running_sums
+
 
 def fbeta(p: Column, r: Column, beta: float) -> Column:
     b = beta * beta
@@ -26,15 +27,15 @@ def prf(df: DataFrame, predicted: Column, keys: list[str] | None = None, label:
 
 
 def curve(df: DataFrame, keys: list[str] | None = None, score: str = "score", label: str = "label") -> DataFrame:
-    """(keys, score, tp, fp, pos, neg): counts at each different score as threshold, best first.
+    """(keys, score, p, n, tp, fp, pos, neg): labels at each different score, and counts with it as threshold.
 
-    The windows run over different scores, after aggregation. With keys they run beside each other.
+    The running sums go over different scores, after aggregation, in ranges of (key, score).
     """
     keys = keys or []
     points = df.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    upto = part.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    return points.select(*keys, score, F.sum("p").over(upto).alias("tp"), F.sum("n").over(upto).alias("fp"), F.sum("p").over(part).alias("pos"), F.sum("n").over(part).alias("neg"))
+    summed = running_sums(points, keys, [F.desc(score)], {"tp": "p", "fp": "n"})
+    totals = summed.groupBy(*keys).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    return (summed.join(totals, keys) if keys else summed.crossJoin(F.broadcast(totals))).select(*keys, score, "p", "n", "tp", "fp", "pos", "neg")  # one row
 
 
 def best_threshold(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -50,12 +51,8 @@ def ranking(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, roc_auc, average_precision); null where a class is missing. Ties count half, precision steps by score."""
     keys = keys or []
     c = curve(df, keys)
-    part = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(F.desc("score"))
-    d_tp = F.col("tp") - F.coalesce(F.lag("tp").over(part), F.lit(0))
-    d_fp = F.col("fp") - F.coalesce(F.lag("fp").over(part), F.lit(0))
-    c = c.withColumn("dt", d_tp).withColumn("df", d_fp)
-    area = F.sum(F.col("df") * (F.col("tp") - F.col("dt") / 2.0)) / F.nullif(F.max("pos") * F.max("neg"), F.lit(0))
-    ap = F.sum(F.col("dt") * F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")) / F.nullif(F.max("pos"), F.lit(0))
+    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.nullif(F.max("pos") * F.max("neg"), F.lit(0))
+    ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")) / F.nullif(F.max("pos"), F.lit(0))
     return c.groupBy(*keys).agg(area.alias("roc_auc"), ap.alias("average_precision"))
 
 
@@ -88,9 +85,8 @@ def ari_nmi(df: DataFrame, cluster: str = "cluster", truth: str = "truth") -> Da
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """(u, z): rank test of group 1 over group 0 with mid-ranks; ranks come from counts of equal values."""
-    c = df.groupBy(value).agg(F.count("*").alias("n"), F.sum(group).alias("n1"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    c = running_sums(df.groupBy(value).agg(F.count("*").alias("n"), F.sum(group).alias("n1")), [], [F.col(value)], {"upto": "n"})
+    c = c.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0)
     s = c.agg(F.sum(F.col("n1") * F.col("rank")).alias("r1"), F.sum("n1").alias("n1"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n0 = F.col("n") - F.col("n1")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0

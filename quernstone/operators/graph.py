@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernstone.functions.hashing import order_key, u01
 from quernstone.operators.cells import capped, tokens_of
+from quernstone.sources.storage import Scratch, stored
 
 
 def token_frequency(tokens: DataFrame) -> DataFrame:
@@ -27,42 +29,69 @@ def build_edges(cells: DataFrame, n_rows: int, max_df: float = 0.3, least: int =
     return capped(tokens.join(kept, "tok"), cap, seed).select("id", "col", "tok")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable. edges (a, b).
+def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(id, component): for each id of edges (a, b) the smallest id that it is connected with.
 
-    Labels spread to neighbours and jump along their own labels; each round is checkpointed, so a lost executor costs a
-    round at most.
+    Large star: every node hands its larger neighbours to its smallest one. Small star: its smaller ones. Both keep what is
+    connected and shrink the depth; the stars that are left when nothing changes are the components. Only minima are
+    gathered, never a node's list. Each round is stored in the shared folder, so plans and size estimates don't grow with
+    the rounds and a lost executor costs one round at most.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = both.checkpoint()
-    labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")).checkpoint()
+    scratch = Scratch(edges.sparkSession, "components")
+    alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    stars = scratch.store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    before = None
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("m"))
-        jump = step.select(F.col("id").alias("m"), F.col("m").alias("far"))
-        after = step.join(jump, "m", "left").select("id", F.least("m", F.coalesce("far", "m")).alias("component")).checkpoint()
-        changed = after.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = after
-        if not changed:
-            return labels
+        both = stars.union(stars.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        stars = scratch.store(small.select("u", "m").union(small.where("v > m").select("v", "m")).distinct().toDF("u", "v"))
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        scratch.keep_last()
+        if now == before:
+            linked = stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+            return linked.union(alone.join(linked, "id", "left_anti").distinct())
+        before = now
     raise RuntimeError("the components did not settle")
 
 
-def greedy_split(sizes: list[tuple[int, int]], ratios: tuple[float, ...]) -> list[tuple[int, int]]:
-    """(component, split): components, largest first, each to the split that lacks most of its share."""
-    total, have, out = sum(n for _, n in sizes), [0.0] * len(ratios), []
+def greedy_split(sizes: list[tuple[int, int]], ratios: tuple[float, ...], total: int) -> dict[int, int]:
+    """Component -> split: components, largest first, each to the split that lacks most of its share of the total."""
+    have, out = [0.0] * len(ratios), {}
     for component, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
         lacks = [r * total - h for r, h in zip(ratios, have, strict=True)]
-        split = lacks.index(max(lacks))
-        have[split] += n
-        out.append((component, split))
+        out[component] = lacks.index(max(lacks))
+        have[out[component]] += n
     return out
 
 
+#: Components that are placed one by one, largest first; smaller ones are so many that shares by hash are even.
+PLACED = 10_000
+
+
+def component_split(pairs: DataFrame, components: DataFrame, ratios: tuple[float, ...], seed: int, placed: int = PLACED) -> DataFrame:
+    """pairs (a, b, ...) with split: a number below len(ratios), the same for a whole component. components (id, component).
+
+    The `placed` largest components go, largest first, to the split that lacks most; they are what the driver sees. Each of the
+    others goes by a hash of its id to a split with the chances that are still lacking then.
+    """
+    rows = stored(pairs.join(components.withColumnRenamed("id", "a"), "a"))
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n"))
+    largest = [(r["component"], r["n"]) for r in sizes.orderBy(F.desc("n"), "component").limit(placed).collect()]
+    total = rows.count()
+    own = greedy_split(largest, ratios, total)
+    have = [sum(n for c, n in largest if own[c] == k) for k in range(len(ratios))]
+    lacks = [max(r * total - h, 0.0) for r, h in zip(ratios, have, strict=True)]
+    share = [sum(lacks[: k + 1]) / (sum(lacks) or 1.0) for k in range(len(ratios) - 1)]
+    by_hash = sum((F.when(u01(seed, F.col("component")) >= x, 1).otherwise(0) for x in share), F.lit(0))
+    table = pairs.sparkSession.createDataFrame(list(own.items()) or [(0, 0)], "component long, `placed split` int")
+    return rows.join(F.broadcast(table), "component", "left").withColumn("split", F.coalesce("placed split", by_hash)).drop("component", "placed split")  # `placed` rows at most
+
+
 def neighbour_sample(edges: DataFrame, seeds: DataFrame, hops: int, fan_out: int, seed: int) -> DataFrame:
     """(hop, src, dst): around the seeds (id), at most fan_out neighbours of each node by hash, hop by hop. edges (a, b)."""
-    from quernstone.functions.hashing import order_key
-
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     front, out = seeds.select(F.col("id").alias("a")).distinct(), None
     for hop in range(1, hops + 1):

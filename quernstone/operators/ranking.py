@@ -1,4 +1,8 @@
-"""Ranks, caps and dedups. Global ranks never sort a table in one task: rows fall into ordered buckets first."""
+"""Ranks, caps, dedups and running sums. Global ones never sort a table in one task: rows fall into ordered ranges first.
+
+The ranges are Spark's own range partitions by the whole order, tie-breakers included, so equal keys can be cut. They are
+stored once, so every later use sees the same cuts. What one task sees whole is a row for each range.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.hashing import order_key
+from quernstone.sources.storage import stored
+
+#: Bits of monotonically_increasing_id that number the rows of a partition.
+ROW_BITS = 33
 
 
 def dedup_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -19,32 +27,51 @@ def top_n(df: DataFrame, keys: list[str], n: int, *order: Column, name: str = "r
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def bucket_ranked(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Global row number from 0 by (bucket, order): row numbers inside buckets, plus the sizes of the buckets before.
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """df, stored, with "row in range": the number of the row's range above ROW_BITS, its place in the sorted range below."""
+    return stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row in range", F.monotonically_increasing_id()))
+
+
+def range_number() -> Column:
+    return F.shiftright("row in range", ROW_BITS)
 
-    The table of bucket sizes has a row for each bucket and is the only thing that one task sees whole.
-    """
-    df = df.withColumn("rank bucket", bucket)
-    sizes = df.groupBy("rank bucket").agg(F.count("*").alias("rank size"))
-    before = F.coalesce(F.sum("rank size").over(W.orderBy("rank bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("rank bucket", before.alias("rank before"))
-    rows = df.withColumn("rank in bucket", F.row_number().over(W.partitionBy("rank bucket").orderBy(*order)))
-    return rows.join(sizes, "rank bucket").withColumn(name, (F.col("rank in bucket") - 1 + F.col("rank before")).cast("long")).drop("rank bucket", "rank in bucket", "rank before")
 
+def globally_numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """Global row number from 0 in the given order: the place in its range plus the rows of the ranges before."""
+    rows = ranged(df, *order)
+    sizes = rows.groupBy(range_number().alias("range")).agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("range", before.alias("rows before"))  # a row for each range
+    place = F.col("row in range").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return rows.join(F.broadcast(sizes), range_number() == F.col("range")).withColumn(name, (place + F.col("rows before")).cast("long")).drop("range", "rows before", "row in range")
 
-def numbered(df: DataFrame, key: str, *more: Column, name: str = "row_idx", buckets: int = 256) -> DataFrame:
-    """Global row number from 0 by a numeric key; buckets are cut at approximate quantiles of the key."""
-    cuts = sorted(set(df.stat.approxQuantile(key, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    return bucket_ranked(df, bucket, [F.col(key), *more], name)
+
+def numbered(df: DataFrame, key: str, *more: Column, name: str = "row_idx") -> DataFrame:
+    """Global row number from 0 by a column, then by more."""
+    return globally_numbered(df, F.col(key), *more, name=name)
 
 
 def hash_ranked(df: DataFrame, seed: int, *keys: Column, name: str = "hash_rank") -> DataFrame:
-    """Global row number from 0 in an order that a seed fixes; buckets by the first digits of the hash."""
-    df = df.withColumn("hash_", order_key(seed, *keys))
-    return bucket_ranked(df, F.substring("hash_", 1, 2), [F.col("hash_"), *keys], name).drop("hash_")
+    """Global row number from 0 in an order that a seed fixes."""
+    return globally_numbered(df.withColumn("hash_", order_key(seed, *keys)), F.col("hash_"), *keys, name=name).drop("hash_")
 
 
 def hash_sample(df: DataFrame, n: int, seed: int, *keys: Column) -> DataFrame:
     """n rows, by hash."""
     return df.orderBy(order_key(seed, *keys), *keys).limit(n)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with running sums by key in the given order, the row itself included. sums: name of the sum -> column.
+
+    Sums run inside ranges; what the ranges before hold of the key is added, from a row for each key and range.
+    """
+    rows = ranged(df, *(F.col(k) for k in keys), *order).withColumn("range", range_number())
+    inside = W.partitionBy("range", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    totals = rows.groupBy("range", *keys).agg(*(F.sum(c).alias(f"{n} total") for n, c in sums.items()))
+    earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(F.col("range").alias("range of"), *(F.col(k).alias(f"{k} of") for k in keys), *(F.coalesce(F.sum(f"{n} total").over(earlier), F.lit(0)).alias(f"{n} before") for n in sums))
+    summed = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    on = [F.col("range") == F.col("range of"), *(F.col(k).eqNullSafe(F.col(f"{k} of")) for k in keys)]
+    joined = summed.join(before, on).withColumns({n: F.col(n) + F.col(f"{n} before") for n in sums})
+    return joined.drop("range", "range of", "row in range", *(f"{k} of" for k in keys), *(f"{n} before" for n in sums))

@@ -14,6 +14,7 @@ from quernstone.operators.neighbours import similar
 from quernstone.plans.aggregate_queries import FREQ, TEXT, text_cells, text_tokens
 from quernstone.plans.join_queries import AB, SELF, knn_sql, self_neighbours, sides
 from quernstone.plans.registry import PAIRS, Tables, order_sql, query
+from quernstone.sources.storage import stored
 
 KEPT = FREQ + ", n AS (SELECT count(*) AS n FROM documents), kept AS (SELECT tok FROM freq, n WHERE df <= floor(0.3 * n) AND df >= 2), edges AS (SELECT id, col, tok FROM (SELECT toks.*, row_number() OVER (PARTITION BY id, col ORDER BY " + order_sql(42, "id", "col", "tok") + ", tok) AS k FROM toks SEMI JOIN kept USING (tok)) WHERE k <= 16)"
 
@@ -69,13 +70,9 @@ def connected_components(t: Tables) -> DataFrame:
 
 @query("q_component_split")
 def component_split(t: Tables) -> DataFrame:
-    """Whole components go to train, valid and test, so no row is in two. The sizes are gathered; they are few and small."""
+    """Whole components go to train, valid and test, so no row is in two."""
     p = t.pairs().where("score >= 0.15").select("a", "b", "label")
-    cc = linked(t)
-    rows = p.join(cc.withColumnRenamed("id", "a"), "a")
-    sizes = [(r["component"], r["n"]) for r in rows.groupBy("component").agg(F.count("*").alias("n")).collect()]
-    split = t.spark.createDataFrame(G.greedy_split(sizes, (0.6, 0.2, 0.2)) or [(0, 0)], "component long, split int")
-    return rows.join(split, "component").select("a", "b", "label", "split")
+    return G.component_split(p, linked(t), (0.6, 0.2, 0.2), 42)
 
 
 @query("q_cc_clusters", SELF.replace("WITH", "WITH RECURSIVE", 1) + ", u AS (SELECT q AS a, i AS b FROM nn WHERE sim >= 0.38 UNION SELECT i, q FROM nn WHERE sim >= 0.38), reach AS (SELECT vec_id AS id, vec_id AS r FROM e UNION SELECT reach.id, u.b FROM reach JOIN u ON u.a = reach.r) SELECT id, min(r) AS cluster FROM reach GROUP BY id")
@@ -212,7 +209,7 @@ def ga_history(t: Tables, generations: int = 3, size: int = 6) -> DataFrame:
     a generation's candidates are judged in one job, and known ones never again."""
     import random
 
-    near = self_neighbours(t).select("q", "i", "sim", "rank").checkpoint()
+    near = stored(self_neighbours(t).select("q", "i", "sim", "rank"))
     p = t.pairs().select("a", "b", "label")
     known: dict[tuple[float, int], float] = {}
     rng = random.Random(42)
@@ -240,7 +237,7 @@ def hdbscan(t: Tables, least: int = 3, k: int = 5, sim: float = 0.3) -> DataFram
 
     The cut of the density hierarchy at one level; the components are found in Spark, not on the driver.
     """
-    near = self_neighbours(t, k).where(F.col("sim") >= sim).checkpoint()
+    near = stored(self_neighbours(t, k).where(F.col("sim") >= sim))
     core = near.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("q")
     links = near.join(core, "q").join(core.withColumnRenamed("q", "i"), "i").select(F.col("q").alias("a"), F.col("i").alias("b"))
     ids = t.embeddings.select(F.col("vec_id").alias("id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.functions.hashing import order_key
 from quernstone.operators import cells as C
-from quernstone.operators.ranking import hash_sample, numbered, top_n
+from quernstone.operators.ranking import globally_numbered, hash_sample, numbered, running_sums, top_n
 from quernstone.plans.registry import CANDIDATES, CUST, CUST_ALL, CUST_CELLS, CUST_COLUMNS, PAIRS, PARTS, SUPP, Tables, cells_sql, order_sql, query
 from quernstone.sources import tables as S
 
@@ -248,10 +248,11 @@ def profile_negatives(t: Tables) -> DataFrame:
     """Each row with the next one, by hash, of its null profile."""
     profile = F.concat(*(F.when(F.col(c).isNull(), "0").otherwise("1") for c in ("segment", "balance", "sparse")))
     r = t.cust.select("id", profile.alias("profile"))
-    part = W.partitionBy("profile")
-    k = r.withColumn("k", F.row_number().over(part.orderBy(order_key(9, F.col("id")), "id")) - 1).withColumn("n", F.count("*").over(part))
-    other = k.select("profile", "k", F.col("id").alias("b"))
-    return k.select("profile", F.col("id").alias("a"), ((F.col("k") + 1) % F.col("n")).alias("k")).join(other, ["profile", "k"]).where("a <> b").select("a", "b")
+    k = globally_numbered(r, F.col("profile"), order_key(9, F.col("id")), F.col("id"), name="k")
+    sizes = k.groupBy("profile").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    k = k.join(sizes, "profile")  # at most eight profiles
+    after = F.when(F.col("k") + 1 == F.col("first") + F.col("n"), F.col("first")).otherwise(F.col("k") + 1)
+    return k.select(F.col("id").alias("a"), after.alias("k")).join(k.select("k", F.col("id").alias("b")), "k").where("a <> b").select("a", "b")
 
 
 @query("q_vocab_intersect", "SELECT DISTINCT lower(trim(p_brand)) AS v FROM part WHERE p_partkey % 2 = 0 INTERSECT SELECT lower(trim(p_brand)) FROM part WHERE p_partkey % 2 = 1 INTERSECT SELECT lower(trim(p_brand)) FROM part WHERE p_size > 25")
@@ -314,11 +315,11 @@ def global_index(t: Tables) -> DataFrame:
     return a.unionByName(b.crossJoin(F.broadcast(n)).withColumn("row_idx", F.col("row_idx") + F.col("n")).drop("n"))
 
 
-@query("q_token_index", f"WITH {PARTS}, {cells_sql('parts', ['name', 'brand'])}, t AS (SELECT id, col, unnest(list_filter(string_split_regex(lower(val), '[^\\pL\\pN]+'), lambda x: x <> '')) AS tok, generate_subscripts(list_filter(string_split_regex(lower(val), '[^\\pL\\pN]+'), lambda x: x <> ''), 1) AS p FROM cells), f AS (SELECT tok, min(id * 100000 + CASE col WHEN 'name' THEN 0 ELSE 50000 END + p - 1) AS first_pos FROM t GROUP BY tok) SELECT tok, row_number() OVER (ORDER BY first_pos) - 1 AS tok_idx FROM f")
+@query("q_token_index", f"WITH {PARTS}, {cells_sql('parts', ['name', 'brand'])}, t AS (SELECT id, col, unnest(list_filter(string_split_regex(lower(val), '[^\\pL\\pN]+'), lambda x: x <> '')) AS tok, generate_subscripts(list_filter(string_split_regex(lower(val), '[^\\pL\\pN]+'), lambda x: x <> ''), 1) AS p FROM cells), f AS (SELECT tok, min(struct_pack(i := id, s := (col <> 'name')::INT, p := p)) AS first_pos FROM t GROUP BY tok) SELECT tok, row_number() OVER (ORDER BY first_pos) - 1 AS tok_idx FROM f")
 def token_index(t: Tables) -> DataFrame:
     tokens = C.to_cells(t.parts.select("id", "name", "brand")).select("id", "col", F.posexplode(T.tokenize(F.col("val"))).alias("pos", "tok"))
-    first = F.min(F.col("id") * 100000 + F.when(F.col("col") == "name", 0).otherwise(50000) + F.col("pos"))
-    return numbered(tokens.groupBy("tok").agg(first.alias("first_pos")), "first_pos", name="tok_idx").select("tok", "tok_idx")
+    first = F.min(F.struct("id", (F.col("col") != "name").alias("side"), "pos"))
+    return globally_numbered(tokens.groupBy("tok").agg(first.alias("first")), F.col("first"), name="tok_idx").select("tok", "tok_idx")
 
 
 @query("q_cell_token_cap", f"WITH d AS (SELECT doc_id AS id, 'text' AS col, unnest(list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 400)), '[^\\pL\\pN]+'), lambda x: x <> ''))) AS tok FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id, col ORDER BY {order_sql(42, 'id', 'col', 'tok')}, tok) AS k FROM d) SELECT id, col, tok FROM r WHERE k <= 5")
@@ -335,21 +336,17 @@ def batches(t: Tables) -> DataFrame:
     return r.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("label") != -1).alias("done"), F.count_if(F.col("label") == 1).alias("matches"))
 
 
-def by_batch():
-    """Batches are few; a run's progress is one series."""
-    return W.partitionBy(F.lit(0)).orderBy("batch")
-
-
 @query("q_cumulative_progress", BATCHES + " SELECT batch, (sum(done) OVER w)::BIGINT AS done_so_far, (sum(matches) OVER w)::BIGINT AS matches_so_far FROM b WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)")
 def cumulative_progress(t: Tables) -> DataFrame:
-    w = by_batch().rowsBetween(W.unboundedPreceding, 0)
-    return batches(t).select("batch", F.sum("done").over(w).alias("done_so_far"), F.sum("matches").over(w).alias("matches_so_far"))
+    return running_sums(batches(t), [], [F.col("batch")], {"done_so_far": "done", "matches_so_far": "matches"}).select("batch", "done_so_far", "matches_so_far")
 
 
 @query("q_rolling_rate", BATCHES + " SELECT batch, avg(matches / greatest(done, 1)::DOUBLE) OVER (ORDER BY batch ROWS 9 PRECEDING) AS rate FROM b")
 def rolling_rate(t: Tables) -> DataFrame:
+    """Batches are numbered without gaps, so each rate goes to the ten batches whose window has it; no window over all of them."""
     rate = F.col("matches") / F.greatest("done", F.lit(1)).cast("double")
-    return batches(t).select("batch", F.avg(rate).over(by_batch().rowsBetween(-9, 0)).alias("rate"))
+    spread = batches(t).select(F.explode(F.sequence(F.col("batch"), F.col("batch") + 9)).alias("of"), "batch", rate.alias("rate"))
+    return spread.groupBy(F.col("of").alias("batch")).agg(F.avg("rate").alias("rate"), F.max((F.col("of") == F.col("batch")).cast("int")).alias("there")).where("there = 1").select("batch", "rate")
 
 
 HW = "WITH " + "history AS (SELECT user_id AS user, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, round(value, 4) AS loss FROM events)"

@@ -70,7 +70,7 @@ def test_components_and_split(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), *((100 + i, 101 + i) for i in range(40))], "a long, b long")
     got = {r.id: r.component for r in G.connected_components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, 7: 7, **{100 + i: 100 for i in range(41)}}
-    assert dict(G.greedy_split([(1, 6), (2, 2), (3, 2)], (0.6, 0.2, 0.2))) == {1: 0, 2: 1, 3: 2}
+    assert G.greedy_split([(1, 6), (2, 2), (3, 2)], (0.6, 0.2, 0.2), 10) == {1: 0, 2: 1, 3: 2}
 
 
 def test_neighbours(spark):
