@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.sources.storage import checkpointed  # noqa: F401  used by the operators
+
 #: Separators of words: ASCII white space. Also what Python's bytes.split() splits on.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-#: Where checkpoints go if the session names no folder (tests and single machines).
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as it takes to clash with no column of df (case is ignored)."""
     taken, found = {c.lower() for c in df.columns}, []
@@ -32,14 +30,6 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, stored in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(DEFAULT_CHECKPOINT_DIR)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     """The cluster's own number of shuffle partitions; work is cut in proportion to it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,13 +1,17 @@
 """Scoring by an interpolated modified Kneser-Ney n-gram model that is counted, kept and used in shards.
 
-A word is known by its 64-bit hash, an n-gram by the hash of its context's hash and its last word. Each group of documents
-sends its different n-grams as one sorted hash array, cut into shards by equal ranges of the hash, with its counts. A
-shard adds up what the groups sent and answers each group in the order of the hashes it asked about, so hashes never
-travel back; it also says which one group owns an n-gram. Of the n-grams that it owns, and of which it now knows the
-count in the whole corpus, a group tells the next lower order two things: one more word goes before this suffix (the
-continuation count), and one more word, seen once, twice or more often, follows this context. Order by order, that gives
-all that the model is made of, and nobody ever holds all of it: the answers are each group's slice of the model. A worker
-writes its slice as sorted hash arrays with their values, maps the file into memory and scores its texts from there.
+Texts are read once: chunks of a partition become groups, token numbers with a sorted table of word hashes. A word is known by its 64-bit hash, an n-gram by the hash of its context's hash and its last word, cut to as
+many bits as the input needs for one false match in a million n-grams. Each group sends its different n-grams as one sorted hash array,
+cut into shards by equal ranges of the hash, with its counts. A shard adds up what the groups sent and answers each group in the
+order of the hashes it asked about, so hashes never travel back; it also says which one group owns an n-gram. Of the n-grams
+that it owns, and of which it now knows the count in the whole corpus, a group tells the next lower order two things: one more
+word goes before this suffix (the continuation count), and one more word, seen once, twice or more often, follows this
+context. Order by order, that gives all that the model is made of, and nobody ever holds all of it: the answers are each
+group's slice of the model. A worker writes its slice as sorted hash arrays with their values, maps the file into memory and
+scores its texts from there.
+
+A group has about `GROUP_BYTES` of text whatever the size of the input, and a shard adds up counts that each group has added up before, so
+a word or word pair that a third of all texts have is one entry of each group.
 
 The model: p_m(w | c) = max(a - D(a), 0) / total(c) + (D1 n1(c) + D2 n2(c) + D3 n3(c)) / total(c) * p_{m-1}(w | c'), with
 counts a at the highest order, continuation counts below it (counts for n-grams that start at the start of a text), and
@@ -30,21 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import partitions, quoted
 from quernstone.llm.order_minhash import mixed, odd_factors
-from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, shard_count, table_of, unpack, unpack_sorted
+from quernstone.llm.packing import every_shard, pack, pack_sorted, table_of, unpack, unpack_sorted
+from quernstone.sources.storage import stored
 
 ORDER = 3
+#: Bytes of text of a group, and bits of an n-gram's hash beyond those that number the bytes of the input.
+GROUP_BYTES, SPARE_BITS = 6 << 20, 20
 HELD_OUT, FOLDS = 2, 7
 START, END = b"\n start", b"\n end"  # no words: they hold white space
 FACTOR = odd_factors(1, 64, 9)[0]
 
-MESSAGE = pa.schema([("shard", pa.int32()), ("grp", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-MESSAGE_DDL = "shard int, grp int, hashes binary, counts binary"
-ANSWER = pa.schema([("grp", pa.int32()), ("level", pa.int32()), ("shard", pa.int32()), ("data", pa.binary())])
-ANSWER_DDL = "grp int, level int, shard int, data binary"
-TALLY = pa.schema([("level", pa.int32()), *((c, pa.int64()) for c in ("n1", "n2", "n3", "n4", "n3up", "total", "tokens", "words"))])
-TALLY_DDL = "level int, n1 long, n2 long, n3 long, n4 long, n3up long, total long, tokens long, words long"
-TALLIES = TALLY.names[1:]
+GROUP = pa.schema([("grp", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
+GROUP_DDL = "grp long, docs binary, lengths binary, words binary, tokens binary"
+MESSAGE = pa.schema([("shard", pa.int32()), ("grp", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+MESSAGE_DDL = "shard int, grp long, hashes binary, counts binary"
+ANSWER = pa.schema([("grp", pa.int64()), ("level", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("tally", pa.binary())])
+ANSWER_DDL = "grp long, level int, shard int, data binary, tally binary"
+TALLIES = ("n1", "n2", "n3", "n4", "n3up", "total", "tokens", "words")
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -54,52 +62,96 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def pack_counts(columns: list[np.ndarray]) -> bytes:
-    """Integers as bytes of one weight together, where zeros cost nothing."""
+    """Integers as bytes of one weight together, where zeros cost nothing; before them the number of columns."""
     whole = np.stack([c.astype(np.uint64) for c in columns])
-    return pack(whole.view(np.uint8).reshape(-1, 8).T)
+    return bytes([len(columns)]) + pack(whole.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    raw = np.ascontiguousarray(unpack(data[1:], np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return raw.reshape(data[0], -1).astype(np.int64)
+
+
+def tokenised(batches, group_bytes: int):
+    """A row for each chunk of a partition's texts: document ids, tokens of each, word hashes in order, and tokens as numbers of words."""
+    import xxhash
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    ids, vocabulary, numbers, size, made = [], {END: 0}, [], 0, 0
+
+    def row() -> pa.RecordBatch:
+        nonlocal ids, vocabulary, numbers, size, made
+        words = np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary], dtype=np.uint64)
+        order = np.argsort(words)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        tokens = place[np.concatenate(numbers)]
+        lengths = np.array([len(n) for n in numbers], dtype=np.uint64)
+        docs = np.array([[d is None, d or 0] for d in ids], dtype=np.int64).T
+        out = (part << 32 | made, pack(docs), pack(lengths), pack_sorted(words[order]), pack(tokens.view(np.uint8).reshape(-1, 4).T))
+        ids, vocabulary, numbers, size, made = [], {END: 0}, [], 0, made + 1
+        return table_of(GROUP, [out]).to_batches()[0]
+
+    for b in batches:
+        for d, t in zip(b.column(0), b.column(1), strict=True):
+            data = t.as_buffer().to_pybytes() if t.is_valid else b""
+            found = [vocabulary.setdefault(w, len(vocabulary)) for w in data.lower().split()]
+            found.append(0)
+            ids.append(d.as_py())
+            numbers.append(np.array(found, dtype=np.uint32))
+            size += len(data) + 16
+            if size >= group_bytes:
+                yield row()
+    if ids:
+        yield row()
 
 
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    raw = np.ascontiguousarray(unpack(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return raw.reshape(-1, n).astype(np.int64)
+def different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes in order, a place of each, and for each place which one it is. Any place will do: equal n-grams have equal contexts."""
+    by = np.argsort(hashes)
+    ordered = hashes[by]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    at = np.empty(len(by), np.int32)
+    at[by] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], by[new], at
 
 
 class Grams:
-    """The n-grams of a group's texts: for each order up to `order`, hashes by token, the different ones, and where they stand."""
+    """The n-grams of a group's texts: for each of the levels, the different hashes, where they stand, and by token which one it is."""
 
-    def __init__(self, table: pa.Table, order: int, levels: list[int] | None = None):
+    def __init__(self, table: pa.Table, order: int, bits: list[int], levels: list[int] | None = None):
         import xxhash
 
-        self.rows = rows_of(table)
-        vocabulary: dict[bytes, int] = {END: 0}
-        numbers, lengths = [], []
-        for _, data in self.rows:
-            found = [vocabulary.setdefault(w, len(vocabulary)) for w in data.lower().split()]
-            found.append(0)
-            numbers.append(np.array(found, dtype=np.int32))
-            lengths.append(len(found))
-        word = np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary], dtype=np.uint64)
-        self.tokens = word[np.concatenate(numbers)]
-        self.lengths = np.array(lengths, dtype=np.int64)
+        self.grp, docs, lengths, words, tokens = (table.column(c)[0].as_py() for c in GROUP.names)
+        none, ids = unpack(docs, np.int64).reshape(2, -1)
+        self.docs = [None if n else d for n, d in zip(none.tolist(), ids.tolist(), strict=True)]
+        self.lengths = unpack(lengths, np.uint64).astype(np.int64)
+        word = unpack_sorted(words)
+        number = np.ascontiguousarray(unpack(tokens, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+        self.tokens = word[number]
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.offset = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
-        self.out = np.array([held_out(d) for d, _ in self.rows])
+        self.out = np.array([held_out(d) for d in self.docs])
         self.train = np.repeat(~self.out, self.lengths)
         start = np.uint64(xxhash.xxh64_intdigest(START, 42))
         self.none = [np.uint64(0)]  # by length: the hash of so many starts
+        levels = levels or list(range(1, order + 1))
         with np.errstate(over="ignore"):
             self.gram = [np.zeros(len(self.tokens), np.uint64)]
-            for _ in range(order):
+            for _ in range(max(levels)):
                 self.gram.append(mixed(self.before(len(self.gram) - 1) * FACTOR + self.tokens))
                 self.none.append(mixed(np.array([self.none[-1] * FACTOR + start], dtype=np.uint64))[0])
         self.values, self.at, self.first, self.context = {}, {}, {}, {}
-        for m in levels or range(1, order + 1):
+        for m in levels:
             # The context at the start of a text is n-gram too: it stands behind the last token here.
-            whole = np.r_[self.gram[m], self.none[m]]
-            self.values[m], self.first[m], self.at[m] = np.unique(whole, return_index=True, return_inverse=True)
+            cut = np.uint64((1 << 64) - (1 << (64 - bits[m])))
+            whole = np.r_[self.gram[m], self.none[m]] & cut
+            self.values[m], self.first[m], self.at[m] = different(whole)
             context = np.r_[len(whole) - 1, np.arange(len(whole) - 2)] if len(whole) > 1 else np.empty(0, np.int64)
             context[self.starts] = len(whole) - 1
             self.context[m] = self.at[m][context]  # by token: the number of the m-gram before it
+        self.gram = None
 
     def before(self, m: int) -> np.ndarray:
         """The hash of the m tokens before each token."""
@@ -111,28 +163,28 @@ class Grams:
         return np.bincount(self.at[m][:-1][which], minlength=len(self.values[m]))
 
 
-def answers_of(table: pa.Table, level: int, values: np.ndarray, shards: int) -> np.ndarray:
+def answers_of(table: pa.Table, level: int, shards: int) -> np.ndarray:
     """The columns that the shards have answered at a level, in the order of the group's hashes."""
     levels, numbers, data = (table.column(c).to_pylist() for c in ("level", "shard", "data"))
     by = {s: d for k, s, d in zip(levels, numbers, data, strict=True) if k == level}
-    return np.concatenate([unpack_counts(by[s], at.stop - at.start) for s, at in by_shard(values, shards)], axis=1)
+    return np.concatenate([unpack_counts(by[s]) for s in range(shards)], axis=1)
 
 
-def message(grp: int, values: np.ndarray, columns: list[np.ndarray], shards: int) -> pa.Table:
-    return table_of(MESSAGE, [(s, grp, pack_sorted(values[at]), pack_counts([c[at] for c in columns])) for s, at in by_shard(values, shards)])
+def message(grp: int, values: np.ndarray, columns: list[np.ndarray], shards: int, bits: int) -> pa.Table:
+    """A row for every shard, also where it is empty: whoever asks is told the counts of counts."""
+    return table_of(MESSAGE, [(s, grp, pack_sorted(values[at], 64 - bits), pack_counts([c[at] for c in columns])) for s, at in every_shard(values, shards)])
 
 
-def ask(table: pa.Table, answered: pa.Table | None, level: int, order: int, shards: int) -> pa.Table:
+def ask(table: pa.Table, answered: pa.Table | None, level: int, order: int, shards: int, bits: list[int]) -> pa.Table:
     """What a group tells of its n-grams of a level: counts, then as contexts total, n1, n2, n3, and at level 1 the tokens."""
     if not table.num_rows:
         return table_of(MESSAGE, [])
-    grp = table.column("grp")[0].as_py()
     if level == order:
-        g = Grams(table, order, [order])
+        g = Grams(table, order, bits, [order])
         count = g.counts(order, g.train)
-        return message(grp, g.values[order], [count, *([count] if order == 1 else [])], shards)
-    g = Grams(table, order, [level, level + 1])
-    above = answers_of(answered, level + 1, g.values[level + 1], shards)
+        return message(g.grp, g.values[order], [count, *([count] if order == 1 else [])], shards, bits[order])
+    g = Grams(table, order, bits, [level, level + 1])
+    above = answers_of(answered, level + 1, shards)
     count, owned = above[0], above[1].astype(bool) & (g.first[level + 1] < len(g.tokens))
     place = g.first[level + 1][owned]
     n, a = len(g.values[level]), count[owned]
@@ -142,43 +194,34 @@ def ask(table: pa.Table, answered: pa.Table | None, level: int, order: int, shar
     total = np.bincount(context, weights=a, minlength=n).astype(np.int64)
     seen = [np.bincount(context[w], minlength=n) for w in (a == 1, a == 2, a > 2)]
     raw = [g.counts(1, g.train)] if level == 1 else []
-    return message(grp, g.values[level], [own, total, *seen, *raw], shards)
-
-
-def gathered(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The arrays that were sent; number of each of their hashes among the different ones; sums; own counts as sent."""
-    sent = [unpack_sorted(d) for d in table.column("hashes").to_pylist()]
-    counts = np.concatenate([unpack_counts(c, len(v)) for c, v in zip(table.column("counts").to_pylist(), sent, strict=True)], axis=1)
-    values, of = np.unique(np.concatenate(sent), return_inverse=True)
-    sums = np.stack([np.bincount(of, weights=c, minlength=len(values)).astype(np.int64) for c in counts])
-    return sent, of, sums, counts[0]
+    return message(g.grp, g.values[level], [own, total, *seen, *raw], shards, bits[level])
 
 
-def answer(table: pa.Table, level: int) -> pa.Table:
-    """For each hash that a group sent: the count, whether the group owns it, and the other sums."""
+def answer(table: pa.Table, level: int, bits: int) -> pa.Table:
+    """For each hash that a group sent: the count, whether the group owns it, and the other sums; with each answer the shard's counts of counts."""
     order = np.argsort(table.column("grp").to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    sent, of, sums, own = gathered(table)
-    owner = np.full(sums.shape[1], len(of), np.int64)
-    at = np.flatnonzero(own > 0)
-    np.minimum.at(owner, of[at], at)
-    mine = owner[of] == np.arange(len(of))
-    out, start = [], 0
-    for grp, shard, v in zip(table.column("grp").to_pylist(), table.column("shard").to_pylist(), sent, strict=True):
-        part = slice(start, start + len(v))
-        out.append((grp, level, shard, pack_counts([sums[0][of[part]], mine[part], *(c[of[part]] for c in sums[1:])])))
-        start += len(v)
+    shard, groups = table.column("shard")[0].as_py(), table.column("grp").to_numpy()[order].tolist()
+    hashes, counts = (table.column(c) for c in ("hashes", "counts"))
+    sent = [unpack_sorted(hashes[i].as_py(), 64 - bits) for i in order.tolist()]
+    edges = np.r_[0, np.cumsum([len(v) for v in sent])]
+    values, of = np.unique(np.concatenate(sent), return_inverse=True)
+    n = len(values)
+    del sent, values
+    parts = [unpack_counts(counts[i].as_py()) for i in order.tolist()]
+    sums = [np.bincount(of, weights=np.concatenate([x[k] for x in parts]), minlength=n).astype(np.int64) for k in range(len(parts[0]))]
+    own = np.flatnonzero(np.concatenate([x[0] for x in parts]) > 0)
+    del parts
+    owner = np.full(n, len(of), np.int64)
+    owner[of[own[::-1]]] = own[::-1]  # of those that have it in training, the first
+    count, raw = sums[0], sums[-1]
+    tally = np.array([*((count == k).sum() for k in (1, 2, 3, 4)), (count > 2).sum(), count.sum(), raw.sum(), (raw > 0).sum()], np.int64).tobytes()
+    out = []
+    for grp, a, b in zip(groups, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        mine = of[a:b]
+        out.append((grp, level, shard, pack_counts([sums[0][mine], owner[mine] == np.arange(a, b), *(c[mine] for c in sums[1:])]), tally))
     return table_of(ANSWER, out)
 
 
-def tally(table: pa.Table, level: int) -> pa.Table:
-    """A shard's counts of counts."""
-    _, _, sums, _ = gathered(table)
-    a, raw = sums[0], sums[-1]
-    numbers = [int((a == k).sum()) for k in (1, 2, 3, 4)] + [int((a > 2).sum()), int(a.sum()), int(raw.sum()), int((raw > 0).sum())]
-    return table_of(TALLY, [(level, *numbers)])
-
-
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     """Of counts 0, 1, 2 and 3 or more; where the counts of counts give none, half, one and one and a half."""
     if min(n1, n2, n3, n4) <= 0:
@@ -203,13 +246,13 @@ class Mapped:
         return self.data[self.n * (i + 1) : self.n * (i + 2)]
 
 
-def score(table: pa.Table, answered: pa.Table, order: int, shards: int) -> pa.Table:
+def score(table: pa.Table, answered: pa.Table, order: int, shards: int, bits: list[int]) -> pa.Table:
     if not table.num_rows:
         return table_of(SCORES, [])
-    g = Grams(table, order)
-    levels, numbers = answered.column("level").to_pylist(), answered.column("numbers").to_pylist()
-    stats = {-k: dict(zip(TALLIES, n, strict=True)) for k, n in zip(levels, numbers, strict=True) if k < 0}
-    model = {m: Mapped(g.values[m], answers_of(answered, m, g.values[m], shards)) for m in range(1, order + 1)}
+    g = Grams(table, order, bits)
+    of, tallies = answered.column("level").to_numpy(), np.array([np.frombuffer(t, np.int64) for t in answered.column("tally").to_pylist()])
+    stats = {m: dict(zip(TALLIES, tallies[of == m].sum(axis=0).tolist(), strict=True)) for m in range(1, order + 1)}
+    model = {m: Mapped(g.values[m], answers_of(answered, m, shards)) for m in range(1, order + 1)}
     low = stats[1]
     unseen = 1.0 / (low["words"] + 1)
     for m in range(1, order + 1):
@@ -229,37 +272,35 @@ def score(table: pa.Table, answered: pa.Table, order: int, shards: int) -> pa.Ta
     base = np.log10((count + 1) / (low["tokens"] + low["words"] + 1))
     add = lambda x: np.add.reduceat(x, g.starts)
     known, base, total = add((count > 0).astype(np.int64)), add(base), add(np.log10(p))
-    rows = zip([d for d, _ in g.rows], g.out.tolist(), g.lengths.tolist(), known.tolist(), base.tolist(), total.tolist(), strict=True)
+    rows = zip(g.docs, g.out.tolist(), g.lengths.tolist(), known.tolist(), base.tolist(), total.tolist(), strict=True)
     return table_of(SCORES, [(d, o, n, k, low["tokens"], b, t) for d, o, n, k, b, t in rows])
 
 
-def perplexity_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def perplexity_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, group_bytes: int = GROUP_BYTES, repeatable: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are sums of log10.
 
-    The perplexity of a text is 10 ** (-score / n_tokens).
+    The perplexity of a text is 10 ** (-score / n_tokens). repeatable: a partition of docs that is computed again has the same rows in
+    the same order, as in a scan of files; otherwise docs are stored first, so that groups stay what they were if executors are lost.
     """
     if order < 1:
         raise ValueError("the order must be 1 or more")
-    texts, n = grouped_documents(docs, id_col, text_col)
-    shards = shard_count(docs)
+    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    texts = texts if repeatable else stored(texts)
+    size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1))).first()[0] or 1
+    bits = [64, 64] + [min(64, size.bit_length() + SPARE_BITS)] * (order - 1)
+    shards = partitions(docs.sparkSession)
+    groups = texts.mapInArrow(lambda batches: tokenised(batches, group_bytes), GROUP_DDL)
 
     def asked(level: int, answers: DataFrame | None) -> DataFrame:
         if answers is None:
-            return texts.groupBy("grp").applyInArrow(lambda t: ask(t, None, level, order, shards), MESSAGE_DDL)
-        return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda t, a: ask(t, a, level, order, shards), MESSAGE_DDL)
+            return groups.groupBy("grp").applyInArrow(lambda t: ask(t, None, level, order, shards, bits), MESSAGE_DDL)
+        return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda t, a: ask(t, a, level, order, shards, bits), MESSAGE_DDL)
 
-    def of_level(f, level: int):
-        return lambda t: f(t, level)
+    def answering(level: int):
+        return lambda t: answer(t, level, bits[level])
 
-    answers, every, tallies = None, None, None
+    answers, every = None, None
     for level in range(order, 0, -1):
-        messages = asked(level, answers)
-        answers = messages.groupBy("shard").applyInArrow(of_level(answer, level), ANSWER_DDL)
-        counted = messages.groupBy("shard").applyInArrow(of_level(tally, level), TALLY_DDL)
+        answers = asked(level, answers).groupBy("shard").applyInArrow(answering(level), ANSWER_DDL)
         every = answers if every is None else every.union(answers)
-        tallies = counted if tallies is None else tallies.union(counted)
-    sums = tallies.groupBy("level").agg(F.array(*(F.sum(c) for c in TALLIES)).alias("numbers"))
-    # one row of eight numbers for each order, to each group
-    sums = sums.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("grp"), (-F.col("level")).alias("level"), F.lit(0).alias("shard"), F.lit(None).cast("binary").alias("data"), "numbers")
-    model = every.withColumn("numbers", F.lit(None).cast("array<bigint>")).unionByName(sums)
-    return texts.groupBy("grp").cogroup(model.groupBy("grp")).applyInArrow(lambda t, a: score(t, a, order, shards), SCORES_DDL)
+    return groups.groupBy("grp").cogroup(every.groupBy("grp")).applyInArrow(lambda t, a: score(t, a, order, shards, bits), SCORES_DDL)

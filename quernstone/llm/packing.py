@@ -46,15 +46,15 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), dtype=dtype)
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """A sorted uint64 array as differences, with bytes of one weight together: the high ones are mostly zero."""
-    steps = np.diff(values, prepend=np.uint64(0))
+def pack_sorted(values: np.ndarray, spare: int = 0) -> bytes:
+    """A sorted uint64 array, whose lowest `spare` bits are zero, as differences, with bytes of one weight together: the high ones are mostly zero."""
+    steps = np.diff(values >> np.uint64(spare), prepend=np.uint64(0))
     return pack(steps.view(np.uint8).reshape(-1, 8).T)
 
 
-def unpack_sorted(data: bytes) -> np.ndarray:
+def unpack_sorted(data: bytes, spare: int = 0) -> np.ndarray:
     raw = unpack(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(spare)
 
 
 def shard_edges(values: np.ndarray, shards: int) -> np.ndarray:
@@ -67,8 +67,13 @@ def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def by_shard(values: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+def every_shard(values: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Every shard with its part of a sorted array, empty ones too."""
     edges = shard_edges(values, shards)
     for s in range(shards):
-        if edges[s + 1] > edges[s]:
-            yield s, slice(int(edges[s]), int(edges[s + 1]))
+        yield s, slice(int(edges[s]), int(edges[s + 1]))
+
+
+def by_shard(values: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """The shards that have a part of a sorted array, with it."""
+    return ((s, at) for s, at in every_shard(values, shards) if at.stop > at.start)
