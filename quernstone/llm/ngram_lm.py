@@ -1,7 +1,7 @@
 """Scoring by an interpolated modified Kneser-Ney n-gram model that is counted, kept and used in shards.
 
 Texts are read once: chunks of a partition become groups, token numbers with a sorted table of word hashes. A word is known by its 64-bit hash, an n-gram by the hash of its context's hash and its last word, cut to as
-many bits as the input needs for one false match in a million n-grams. Each group sends its different n-grams as one sorted hash array,
+many bits as the input needs for less than one false match in 65,536 n-grams. Each group sends its different n-grams as one sorted hash array,
 cut into shards by equal ranges of the hash, with its counts. A shard adds up what the groups sent and answers each group in the
 order of the hashes it asked about, so hashes never travel back; it also says which one group owns an n-gram. Of the n-grams
 that it owns, and of which it now knows the count in the whole corpus, a group tells the next lower order two things: one more
@@ -40,8 +40,8 @@ from quernstone.llm.packing import every_shard, pack, pack_sorted, table_of, unp
 from quernstone.sources.storage import stored
 
 ORDER = 3
-#: Bytes of text of a group, and bits of an n-gram's hash beyond those that number the bytes of the input.
-GROUP_BYTES, SPARE_BITS = 6 << 20, 20
+#: Bytes of text of a group, and bits of an n-gram's hash beyond those that number the n-grams of the input (four bytes each at least).
+GROUP_BYTES, SPARE_BITS = 7 << 20, 16
 HELD_OUT, FOLDS = 2, 7
 START, END = b"\n start", b"\n end"  # no words: they hold white space
 FACTOR = odd_factors(1, 64, 9)[0]
@@ -72,7 +72,7 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return raw.reshape(data[0], -1).astype(np.int64)
 
 
-def tokenised(batches, group_bytes: int):
+def tokenised(batches, group_bytes: int, bits: int):
     """A row for each chunk of a partition's texts: document ids, tokens of each, word hashes in order, and tokens as numbers of words."""
     import xxhash
     from pyspark import TaskContext
@@ -82,14 +82,14 @@ def tokenised(batches, group_bytes: int):
 
     def row() -> pa.RecordBatch:
         nonlocal ids, vocabulary, numbers, size, made
-        words = np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary], dtype=np.uint64)
+        words = np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary], dtype=np.uint64) & np.uint64((1 << 64) - (1 << (64 - bits)))
         order = np.argsort(words)
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         tokens = place[np.concatenate(numbers)]
         lengths = np.array([len(n) for n in numbers], dtype=np.uint64)
         docs = np.array([[d is None, d or 0] for d in ids], dtype=np.int64).T
-        out = (part << 32 | made, pack(docs), pack(lengths), pack_sorted(words[order]), pack(tokens.view(np.uint8).reshape(-1, 4).T))
+        out = (part << 32 | made, pack(docs), pack(lengths), pack_sorted(words[order], 64 - bits), pack(tokens.view(np.uint8).reshape(-1, 4).T))
         ids, vocabulary, numbers, size, made = [], {END: 0}, [], 0, made + 1
         return table_of(GROUP, [out]).to_batches()[0]
 
@@ -127,7 +127,7 @@ class Grams:
         none, ids = unpack(docs, np.int64).reshape(2, -1)
         self.docs = [None if n else d for n, d in zip(none.tolist(), ids.tolist(), strict=True)]
         self.lengths = unpack(lengths, np.uint64).astype(np.int64)
-        word = unpack_sorted(words)
+        word = unpack_sorted(words, 64 - bits[1])
         number = np.ascontiguousarray(unpack(tokens, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         self.tokens = word[number]
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
@@ -176,7 +176,7 @@ def message(grp: int, values: np.ndarray, columns: list[np.ndarray], shards: int
 
 
 def ask(table: pa.Table, answered: pa.Table | None, level: int, order: int, shards: int, bits: list[int]) -> pa.Table:
-    """What a group tells of its n-grams of a level: counts, then as contexts total, n1, n2, n3, and at level 1 the tokens."""
+    """What a group tells of its n-grams of a level: counts, then as contexts n1, n2, n3 and what the total has beyond, and at level 1 the tokens."""
     if not table.num_rows:
         return table_of(MESSAGE, [])
     if level == order:
@@ -191,14 +191,14 @@ def ask(table: pa.Table, answered: pa.Table | None, level: int, order: int, shar
     inside = g.offset[place] >= level - 1
     own = np.bincount(g.at[level][place[inside]], minlength=n) + g.counts(level, g.train & (g.offset < level - 1))
     context = g.context[level][place]
-    total = np.bincount(context, weights=a, minlength=n).astype(np.int64)
     seen = [np.bincount(context[w], minlength=n) for w in (a == 1, a == 2, a > 2)]
+    beyond = np.bincount(context, weights=np.maximum(a - 3, 0), minlength=n).astype(np.int64)
     raw = [g.counts(1, g.train)] if level == 1 else []
-    return message(g.grp, g.values[level], [own, total, *seen, *raw], shards, bits[level])
+    return message(g.grp, g.values[level], [own, *seen, beyond, *raw], shards, bits[level])
 
 
-def answer(table: pa.Table, level: int, bits: int) -> pa.Table:
-    """For each hash that a group sent: the count, whether the group owns it, and the other sums; with each answer the shard's counts of counts."""
+def answer(table: pa.Table, level: int, bits: int, owners: bool) -> pa.Table:
+    """For each hash that a group sent: the count and whether the group owns it, or the count and the other sums; with each answer the shard's counts of counts."""
     order = np.argsort(table.column("grp").to_numpy(), kind="stable")
     shard, groups = table.column("shard")[0].as_py(), table.column("grp").to_numpy()[order].tolist()
     hashes, counts = (table.column(c) for c in ("hashes", "counts"))
@@ -218,7 +218,7 @@ def answer(table: pa.Table, level: int, bits: int) -> pa.Table:
     out = []
     for grp, a, b in zip(groups, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         mine = of[a:b]
-        out.append((grp, level, shard, pack_counts([sums[0][mine], owner[mine] == np.arange(a, b), *(c[mine] for c in sums[1:])]), tally))
+        out.append((grp, level, shard, pack_counts([sums[0][mine], owner[mine] == np.arange(a, b)] if owners else [c[mine] for c in sums]), tally))
     return table_of(ANSWER, out)
 
 
@@ -265,7 +265,8 @@ def score(table: pa.Table, answered: pa.Table, order: int, shards: int, bits: li
             p = gain / total + (cut[1] * s["n1"] + cut[2] * s["n2"] + cut[3] * s["n3up"]) / total * unseen if total else np.full(len(at), unseen)
             continue
         below, context = model[m - 1], g.context[m - 1]
-        total, n1, n2, n3 = (below.column(i)[context] for i in range(2, 6))
+        n1, n2, n3, beyond = (below.column(i)[context] for i in range(1, 5))
+        total = n1 + 2 * n2 + 3 * n3 + beyond
         safe = np.maximum(total, 1)
         p = np.where(total > 0, gain / safe + (cut[1] * n1 + cut[2] * n2 + cut[3] * n3) / safe * p, p)
     count = model[1].column(model[1].k - 1)[g.at[1][:-1]]
@@ -287,20 +288,22 @@ def perplexity_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     texts = texts if repeatable else stored(texts)
     size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1))).first()[0] or 1
-    bits = [64, 64] + [min(64, size.bit_length() + SPARE_BITS)] * (order - 1)
+    # Words are few: their hashes have twice the bits that number them, and some.
+    bits = [64, min(64, 2 * (size // 64).bit_length() + 8 + SPARE_BITS // 2)] + [min(64, (size // 4).bit_length() + SPARE_BITS)] * (order - 1)
     shards = partitions(docs.sparkSession)
-    groups = texts.mapInArrow(lambda batches: tokenised(batches, group_bytes), GROUP_DDL)
+    groups = texts.mapInArrow(lambda batches: tokenised(batches, group_bytes, bits[1]), GROUP_DDL)
 
-    def asked(level: int, answers: DataFrame | None) -> DataFrame:
-        if answers is None:
+    def asked(level: int, owned: DataFrame | None) -> DataFrame:
+        if owned is None:
             return groups.groupBy("grp").applyInArrow(lambda t: ask(t, None, level, order, shards, bits), MESSAGE_DDL)
-        return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda t, a: ask(t, a, level, order, shards, bits), MESSAGE_DDL)
+        return groups.groupBy("grp").cogroup(owned.groupBy("grp")).applyInArrow(lambda t, a: ask(t, a, level, order, shards, bits), MESSAGE_DDL)
 
-    def answering(level: int):
-        return lambda t: answer(t, level, bits[level])
+    def answering(level: int, owners: bool):
+        return lambda t: answer(t, level, bits[level], owners)
 
-    answers, every = None, None
+    owned, every = None, None
     for level in range(order, 0, -1):
-        answers = asked(level, answers).groupBy("shard").applyInArrow(answering(level), ANSWER_DDL)
-        every = answers if every is None else every.union(answers)
+        messages = asked(level, owned).groupBy("shard")
+        owned, sums = (messages.applyInArrow(answering(level, owners), ANSWER_DDL) for owners in (True, False))
+        every = sums if every is None else every.union(sums)
     return groups.groupBy("grp").cogroup(every.groupBy("grp")).applyInArrow(lambda t, a: score(t, a, order, shards, bits), SCORES_DDL)

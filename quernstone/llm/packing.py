@@ -39,7 +39,7 @@ def shard_count(docs: DataFrame) -> int:
 
 
 def pack(array: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(array).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(array).tobytes(), 3)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
