@@ -1,7 +1,7 @@
 """Quality classifier: a document's own evidence and its site's record, combined by hierarchical empirical Bayes.
 
 Evidence: logistic regression on shape features of the whole text (words, symbols, capitals, repeats ...), fitted on at
-most about SAMPLE labelled rows. Site record: the mean probability of the other documents of the path, shrunk towards that
+most `sample` labelled rows, the first by a hash of their id. Site record: the mean probability of the other documents of the path, shrunk towards that
 of the host, which is shrunk towards the corpus: (sum + kappa * prior) / (n + kappa). kappa, how many documents a prior is
 worth, comes from the data by the method of moments: the more sites differ beyond sampling, the smaller it is, and a site
 with few documents follows its parent. All of it is grouped aggregation of sums. The posterior log-odds are the
@@ -19,10 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import checkpointed, quoted
-from quernstone.llm.quality_rules import PARTS, metric, with_parts
+from quernstone.llm.common import checkpointed, quoted, text_or_empty
+from quernstone.llm.quality_rules import metric, with_part
 
-#: Expected bound on the labelled rows that the classifier is fitted on.
+#: Bound on the labelled rows that the classifier is fitted on.
 SAMPLE = 20_000
 RIDGE, ROUNDS = 0.01, 40
 FEATURES = ("log_words", "word_length", "symbols", "capitals", "digits", "duplicate_lines", "exclamations", "different_words")
@@ -33,9 +33,9 @@ BROADCAST_SITES = 50_000
 
 def features(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
     """(doc_id, host, path, features array<double>) of each row."""
-    names = dict(zip(PARTS, PARTS, strict=True))
-    base = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), quoted(text_col).alias("text"))
-    parts = with_parts(base, "text", names)
+    names = {k: k for k in ("text", "words", "lines")}
+    base = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), text_or_empty(text_col).alias("text"))
+    parts = with_part(base, names, ["words", "lines"])
     text, n = F.col("text"), F.greatest(metric(names, "n_words"), F.lit(1))
     chars, lines = F.greatest(F.length(text), F.lit(1)), F.greatest(metric(names, "n_lines"), F.lit(1))
     values = [
@@ -88,9 +88,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     """(doc_id, evidence, host_rate, path_rate, quality, kept) of each row: log-odds, the site's shrunk rates without the row, posterior, verdict."""
     made = checkpointed(features(docs, id_col, text_col, host, path))
     good = labels.select(quoted(label_id).cast("long").alias("doc_id"), quoted(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    share = min(1.0, sample / max(good.count(), 1))
-    chosen = good.where(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 2**32 < share)
-    taught = made.join(chosen, "doc_id").select("features", "y").orderBy("doc_id", "y", "features").collect()  # about `sample` rows of eight numbers
+    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"), F.col("y"), F.col("features")]
+    taught = made.join(good, "doc_id").orderBy(*order).limit(sample).select("features", "y").collect()  # `sample` rows of eight numbers at most
     weights, rate = fitted([(r["features"], r["y"]) for r in taught])
     evidence = sum((F.lit(w) * F.get("features", F.lit(i)) for i, w in enumerate(weights[1:])), F.lit(weights[0]))
     scored = made.select("doc_id", "host", "path", F.least(F.greatest(evidence, F.lit(-12.0)), F.lit(12.0)).alias("evidence"))

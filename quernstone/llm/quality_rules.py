@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-A rule is an expression that is true for a text to reject. On a sample each rule's cost (seconds, run alone) and
-selectivity (share rejected) are measured; the rules are then tried in descending order of rejection per cost, inside
-one CASE, so that a text which a cheap, sharp rule rejects never reaches the dear ones. The order changes the running
-time and the name of the first rule that fired, never whether a text is kept.
+A rule is an expression that is true for a text to reject. Rules share parts: the array of words, that of lines, the hashes of three-word
+windows. On a sample, each rule's selectivity (share rejected) and its own cost are measured, over parts that are there already and
+less what an empty job takes, and the cost of making each part. The next rule is always the one that rejects most per second, its
+missing parts included. keep_good tries the rules in that order: each part is made once, in a generator that predicates are not
+pushed through, after the rules that come before it, so a text that a cheap, sharp rule rejects never reaches the dear ones. The
+order changes the running time and the name of the first rule that fired, never whether a text is kept.
 
 Defined results: a null text counts as empty and an empty text is rejected by the base rules; a null doc_id is kept as
 null; repeated rows are judged one by one; an empty table gives an empty result; other columns pass through whatever
@@ -19,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import checkpointed, fresh, quoted, text_or_empty, words
+from quernstone.llm.common import BLANKS, checkpointed, fresh, quoted, text_or_empty, words
 
 #: Rows of the sample on which cost and selectivity are measured (expected number; a uniform sample).
 SAMPLE_ROWS = 2000
@@ -31,18 +33,38 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 @dataclass(frozen=True)
 class Rule:
-    """name; fires(m): expression over m(metric), m('text'), m('words') and m('lines')."""
+    """name; fires(m): expression over metrics m(name)."""
 
     name: str
     fires: object
 
 
-def repeated_words(trigrams: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in their text, each word once. trigrams: all windows in order.
+#: Parts and what they are made of.
+PARTS = {"words": ("text",), "lines": ("text",), "windows": ("words",)}
 
-    Texts without a repeat, most of them, end at a hash set; the others sort (window, position) and mark equal neighbours.
+
+def part(c: dict[str, Column], name: str) -> Column:
+    """The expression that makes a part. c: the columns of the text and of the parts it needs."""
+    if name == "words":
+        return words(c["text"])
+    if name == "lines":
+        return F.filter(F.split(c["text"], "\n"), lambda x: x.rlike(NON_BLANK))
+    w = c["words"]
+    return F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
+
+
+def with_part(docs: DataFrame, names: dict[str, str], made: list[str]) -> DataFrame:
+    """docs with parts under the given names, each computed once: nothing is pushed through a generator of one row."""
+    c = {k: quoted(v) for k, v in names.items()}
+    return docs.select("*", F.inline(F.array(F.struct(*(part(c, k).alias(names[k]) for k in made))))) if made else docs
+
+
+def repeated_words(w: Column, windows: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more in their text, each word once.
+
+    Texts whose windows have different hashes, most of them, end there; the others sort (window, position) and mark equal neighbours.
     """
-    at = F.sort_array(F.transform(trigrams, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    texts = F.transform(windows, lambda _, i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i")))
 
     def marked(s: Column) -> Column:
         def twice(x: Column, i: Column) -> Column:
@@ -52,17 +74,14 @@ def repeated_words(trigrams: Column) -> Column:
         covered = F.transform(F.filter(s, twice), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
         return F.size(F.array_distinct(F.flatten(covered)))
 
-    return F.when(F.size(F.array_distinct(trigrams)) == F.size(trigrams), F.lit(0)).otherwise(F.get(F.transform(F.array(at), marked), F.lit(0)))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(F.get(F.transform(F.array(F.sort_array(texts)), marked), F.lit(0)))
 
 
-def with_parts(docs: DataFrame, text_col: str, names: dict[str, str]) -> DataFrame:
-    """docs and the arrays that the metrics are computed from: text, words, lines and trigrams, under the given names."""
-    n = {k: quoted(v) for k, v in names.items()}
-    docs = docs.withColumn(names["text"], text_or_empty(text_col))
-    docs = docs.withColumns({names["words"]: words(n["text"]), names["lines"]: F.filter(F.split(n["text"], "\n"), lambda x: x.rlike(NON_BLANK))})
-    three = F.arrays_zip(n["words"].alias("a"), F.slice(n["words"], 2, F.greatest(F.size(n["words"]) - 1, F.lit(0))).alias("b"), F.slice(n["words"], 3, F.greatest(F.size(n["words"]) - 2, F.lit(0))).alias("c"))
-    three = F.slice(three, 1, F.greatest(F.size(n["words"]) - 2, F.lit(0)))
-    return docs.withColumn(names["trigrams"], F.transform(three, lambda x: F.concat_ws(" ", x["a"], x["b"], x["c"])))
+#: A word without a letter, as a whole word of a text.
+PLAIN_WORD = BLANKS[1:-2].join((r"(?<![^", r"])[^", r"\p{L}]++(?![^", "])"))
+
+#: What each metric is computed from, and how.
+NEEDS = {"n_words": ("words",), "word_chars": ("words",), "n_symbols": (), "n_dup_lines": ("lines",), "n_repeat_words": ("words", "windows"), "n_lines": ("lines",), "n_plain": (), "n_upper": (), "n_bullets": ("lines",), "n_ellipses": ("lines",)}
 
 
 def metric(names: dict[str, str], name: str) -> Column:
@@ -72,9 +91,9 @@ def metric(names: dict[str, str], name: str) -> Column:
         "word_chars": lambda: F.length(F.array_join(n["words"], "")),
         "n_symbols": lambda: F.regexp_count(n["text"], F.lit(r"[#*$%&|<>]")),
         "n_dup_lines": lambda: F.size(n["lines"]) - F.size(F.array_distinct(n["lines"])),
-        "n_repeat_words": lambda: repeated_words(n["trigrams"]),
+        "n_repeat_words": lambda: repeated_words(n["words"], n["windows"]),
         "n_lines": lambda: F.size(n["lines"]),
-        "n_plain": lambda: F.size(F.filter(n["words"], lambda w: ~w.rlike(r"\p{L}"))),
+        "n_plain": lambda: F.regexp_count(n["text"], F.lit(PLAIN_WORD)),
         "n_upper": lambda: F.regexp_count(n["text"], F.lit(r"\p{Lu}")),
         "n_bullets": lambda: F.size(F.filter(n["lines"], lambda x: x.rlike(r"^\s*[-*•]"))),
         "n_ellipses": lambda: F.size(F.filter(n["lines"], lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
@@ -93,48 +112,77 @@ RULES = (
 )
 
 
+#: The base rules, as rules of the cascade.
+BASE_RULES = (
+    Rule("base_short", lambda m: m("n_words") < MIN_WORDS),
+    Rule("base_repeats", lambda m: m("n_repeat_words") * 100 > m("n_words") * MAX_REPEATED_PERCENT),
+)
+
+
 def base_failed(m) -> Column:
-    return (m("n_words") < MIN_WORDS) | (m("n_repeat_words") * 100 > m("n_words") * MAX_REPEATED_PERCENT)
+    return reduce(lambda a, b: a | b, (r.fires(m) for r in BASE_RULES))
+
+
+def needed(rule: Rule) -> list[str]:
+    """The parts that a rule's metrics are computed from, in the order in which they can be made."""
+    used: set[str] = set()
+    rule.fires(lambda k: used.update(NEEDS[k]) or F.lit(0))
+    return [p for p in PARTS if p in used]
 
 
-PARTS = ("text", "words", "lines", "trigrams")
+def missing(rule: Rule, there: list[str]) -> list[str]:
+    return [p for p in needed(rule) if p not in there]
 
 
 def ordered(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by descending rejection per cost on a uniform sample of about sample_rows rows."""
+    """The rules by rejection per cost on a uniform sample of about sample_rows rows, each part's cost counted for the first that needs it."""
     if len(rules) < 2:
         return tuple(rules)
-    texts = docs.select(text_or_empty(text_col).alias("text"))
     total = docs.count()
     if not total:
         return tuple(rules)
-    sample = checkpointed(texts.sample(min(1.0, sample_rows / total), seed=7).coalesce(4))
-    names = dict(zip(PARTS, ("text_", "words_", "lines_", "trigrams_"), strict=True))
-    parts = with_parts(sample, "text", names)
-    ranks = []
-    for rule in rules:
-        fired = parts.agg(F.avg(rule.fires(lambda k: metric(names, k)).cast("double")).alias("share"))
-        share, seconds = 0.0, float("inf")
+    names = {"text": "text", **{p: f"{p}_" for p in PARTS}}
+    sample = docs.select(text_or_empty(text_col).alias("text")).sample(min(1.0, sample_rows / total), seed=7).coalesce(4)
+    for p in PARTS:
+        sample = with_part(sample, names, [p])
+    sample = checkpointed(sample)
+    c = {k: quoted(v) for k, v in names.items()}
+
+    def timed(value: Column) -> tuple[float, float]:
+        """The mean of a number over the sample, and seconds."""
+        job, mean, seconds = sample.agg(F.avg(value.cast("double"))), 0.0, float("inf")
         for _ in range(2):  # the first run also compiles
             began = time.perf_counter()
-            share = fired.first()["share"] or 0.0
+            mean = job.first()[0] or 0.0
             seconds = min(seconds, time.perf_counter() - began)
-        ranks.append((-share / seconds, rule.name, rule))
-    return tuple(r for _, _, r in sorted(ranks, key=lambda x: x[:2]))
+        return mean, seconds
+
+    idle = timed(F.length("text"))[1]
+    cost = lambda seconds: max(seconds - idle, 0.001)
+    making = {p: cost(timed(F.size(part(c, p)))[1]) for p in PARTS}
+    judged = {r.name: timed(r.fires(lambda k: metric(names, k))) for r in rules}
+    out, there, rest = [], [], list(rules)
+    while rest:
+        price = {r.name: cost(judged[r.name][1]) + sum(making[p] for p in missing(r, there)) for r in rest}
+        best = min(rest, key=lambda r: (-judged[r.name][0] / price[r.name], price[r.name], r.name))
+        rest.remove(best)
+        out.append(best)
+        there += missing(best, there)
+    return tuple(out)
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with the base metrics (long), base_failed, rejected_by (the first rule of the cascade that fired, or null) and kept.
 
-    The metrics' columns are returned as the base verdict needs them anyway; a caller that selects kept alone gets a plan
-    that computes what the cascade asks for and nothing more.
+    All metrics are returned, so all parts are made for every row; a caller that wants the kept rows alone takes keep_good.
     """
     by = ordered(docs, text_col, rules, sample_rows)
     own = docs.columns
     out = dict(zip((*METRICS, "base_failed", "rejected_by", "kept"), fresh(docs, *METRICS, "base_failed", "rejected_by", "kept"), strict=True))
     taken = docs.select(*(quoted(c) for c in own), *(F.lit(None).alias(v) for v in out.values()))
-    names = dict(zip(PARTS, fresh(taken, *PARTS), strict=True))
-    parts = with_parts(docs, text_col, names)
+    names = dict(zip(("text", *PARTS), fresh(taken, "text", *PARTS), strict=True))
+    parts = docs.withColumn(names["text"], text_or_empty(text_col))
+    parts = with_part(with_part(parts, names, ["words", "lines"]), names, ["windows"])
     parts = parts.withColumns({out[k]: metric(names, k) for k in METRICS})
 
     def m(k: str) -> Column:
@@ -146,7 +194,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     return parts.select(*(quoted(c) for c in own), *(quoted(out[k]) for k in METRICS), quoted(out["base_failed"]), quoted(out["rejected_by"]), quoted(out["rejected_by"]).isNull().alias(out["kept"]))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    added = fresh(docs, *METRICS, "base_failed", "rejected_by", "kept")
-    return quality_rules(docs, text_col).where(quoted(added[-1])).select(*(quoted(c) for c in docs.columns))
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that the base rules and the others keep, with the columns of docs: one filter after the other, parts as they are needed."""
+    names = dict(zip(("text", *PARTS), fresh(docs, "text", *PARTS), strict=True))
+    left, there = docs.withColumn(names["text"], text_or_empty(text_col)), []
+    for rule in ordered(docs, text_col, (*BASE_RULES, *rules), sample_rows):
+        for p in missing(rule, there):
+            left = with_part(left, names, [p])
+            there.append(p)
+        left = left.where(~F.coalesce(rule.fires(lambda k: metric(names, k)), F.lit(False)))
+    return left.select(*(quoted(c) for c in docs.columns))
