@@ -1,7 +1,7 @@
 """Scoring by an interpolated modified Kneser-Ney n-gram model that is counted, kept and used in shards.
 
 Texts are read once: chunks of a partition become groups, token numbers with a sorted table of word hashes. A word is known by its 64-bit hash, an n-gram by the hash of its context's hash and its last word, cut to as
-many bits as the input needs for less than one false match in 65,536 n-grams. Each group sends its different n-grams as one sorted hash array,
+many bits as the input needs for less than one false match in 16,384 n-grams. Each group sends its different n-grams as one sorted hash array,
 cut into shards by equal ranges of the hash, with its counts. A shard adds up what the groups sent and answers each group in the
 order of the hashes it asked about, so hashes never travel back; it also says which one group owns an n-gram. Of the n-grams
 that it owns, and of which it now knows the count in the whole corpus, a group tells the next lower order two things: one more
@@ -41,13 +41,13 @@ from quernstone.sources.storage import stored
 
 ORDER = 3
 #: Bytes of text of a group, and bits of an n-gram's hash beyond those that number the n-grams of the input (four bytes each at least).
-GROUP_BYTES, SPARE_BITS = 7 << 20, 16
+GROUP_BYTES, SPARE_BITS = 10 << 20, 14
 HELD_OUT, FOLDS = 2, 7
 START, END = b"\n start", b"\n end"  # no words: they hold white space
 FACTOR = odd_factors(1, 64, 9)[0]
 
-GROUP = pa.schema([("grp", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
-GROUP_DDL = "grp long, docs binary, lengths binary, words binary, tokens binary"
+GROUP = pa.schema([("grp", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("place", pa.binary()), ("tokens", pa.binary())])
+GROUP_DDL = "grp long, docs binary, lengths binary, words binary, place binary, tokens binary"
 MESSAGE = pa.schema([("shard", pa.int32()), ("grp", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 MESSAGE_DDL = "shard int, grp long, hashes binary, counts binary"
 ANSWER = pa.schema([("grp", pa.int64()), ("level", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("tally", pa.binary())])
@@ -72,6 +72,15 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return raw.reshape(data[0], -1).astype(np.int64)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """uint32 values, bytes of one weight together."""
+    return pack(values.view(np.uint8).reshape(-1, 4).T)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def tokenised(batches, group_bytes: int, bits: int):
     """A row for each chunk of a partition's texts: document ids, tokens of each, word hashes in order, and tokens as numbers of words."""
     import xxhash
@@ -84,12 +93,16 @@ def tokenised(batches, group_bytes: int, bits: int):
         nonlocal ids, vocabulary, numbers, size, made
         words = np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary], dtype=np.uint64) & np.uint64((1 << 64) - (1 << (64 - bits)))
         order = np.argsort(words)
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        tokens = place[np.concatenate(numbers)]
+        tokens = np.concatenate(numbers)
+        # Common words get small numbers, which pack better; place is where a number's hash is in the sorted table.
+        common = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+        number, place = np.empty(len(words), np.uint32), np.empty(len(words), np.uint32)
+        number[common] = np.arange(len(words), dtype=np.uint32)
+        place[number[order]] = np.arange(len(words), dtype=np.uint32)
+        tokens = number[tokens]
         lengths = np.array([len(n) for n in numbers], dtype=np.uint64)
         docs = np.array([[d is None, d or 0] for d in ids], dtype=np.int64).T
-        out = (part << 32 | made, pack(docs), pack(lengths), pack_sorted(words[order], 64 - bits), pack(tokens.view(np.uint8).reshape(-1, 4).T))
+        out = (part << 32 | made, pack(docs), pack(lengths), pack_sorted(words[order], 64 - bits), planes(place), planes(tokens))
         ids, vocabulary, numbers, size, made = [], {END: 0}, [], 0, made + 1
         return table_of(GROUP, [out]).to_batches()[0]
 
@@ -114,49 +127,53 @@ def different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.r_[True, ordered[1:] != ordered[:-1]]
     at = np.empty(len(by), np.int32)
     at[by] = np.cumsum(new, dtype=np.int32) - 1
-    return ordered[new], by[new], at
+    return ordered[new], by[new].astype(np.int32), at
 
 
 class Grams:
     """The n-grams of a group's texts: for each of the levels, the different hashes, where they stand, and by token which one it is."""
 
-    def __init__(self, table: pa.Table, order: int, bits: list[int], levels: list[int] | None = None):
+    def __init__(self, table: pa.Table, bits: list[int], *levels: int):
         import xxhash
 
-        self.grp, docs, lengths, words, tokens = (table.column(c)[0].as_py() for c in GROUP.names)
+        self.grp, docs, lengths, words, place, tokens = (table.column(c)[0].as_py() for c in GROUP.names)
         none, ids = unpack(docs, np.int64).reshape(2, -1)
         self.docs = [None if n else d for n, d in zip(none.tolist(), ids.tolist(), strict=True)]
         self.lengths = unpack(lengths, np.uint64).astype(np.int64)
         word = unpack_sorted(words, 64 - bits[1])
-        number = np.ascontiguousarray(unpack(tokens, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-        self.tokens = word[number]
+        self.tokens = word[from_planes(place)][from_planes(tokens)]
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        self.offset = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
+        self.offset = (np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)).astype(np.int32)
         self.out = np.array([held_out(d) for d in self.docs])
         self.train = np.repeat(~self.out, self.lengths)
-        start = np.uint64(xxhash.xxh64_intdigest(START, 42))
-        self.none = [np.uint64(0)]  # by length: the hash of so many starts
-        levels = levels or list(range(1, order + 1))
-        with np.errstate(over="ignore"):
-            self.gram = [np.zeros(len(self.tokens), np.uint64)]
-            for _ in range(max(levels)):
-                self.gram.append(mixed(self.before(len(self.gram) - 1) * FACTOR + self.tokens))
-                self.none.append(mixed(np.array([self.none[-1] * FACTOR + start], dtype=np.uint64))[0])
+        self.start, self.bits = np.uint64(xxhash.xxh64_intdigest(START, 42)), bits
+        self.reached, self.gram, self.none = 0, np.zeros(len(self.tokens), np.uint64), np.uint64(0)  # of the order reached so far: hashes by token, and that of as many starts
         self.values, self.at, self.first, self.context = {}, {}, {}, {}
         for m in levels:
-            # The context at the start of a text is n-gram too: it stands behind the last token here.
-            cut = np.uint64((1 << 64) - (1 << (64 - bits[m])))
-            whole = np.r_[self.gram[m], self.none[m]] & cut
-            self.values[m], self.first[m], self.at[m] = different(whole)
-            context = np.r_[len(whole) - 1, np.arange(len(whole) - 2)] if len(whole) > 1 else np.empty(0, np.int64)
-            context[self.starts] = len(whole) - 1
-            self.context[m] = self.at[m][context]  # by token: the number of the m-gram before it
-        self.gram = None
-
-    def before(self, m: int) -> np.ndarray:
-        """The hash of the m tokens before each token."""
-        shifted = np.r_[self.none[m], self.gram[m][:-1]] if len(self.tokens) else self.gram[m]
-        shifted[self.starts] = self.none[m]
+            self.reach(m)
+
+    def reach(self, m: int) -> None:
+        """Makes the arrays of a level; levels come in ascending order."""
+        with np.errstate(over="ignore"):
+            while self.reached < m:
+                self.gram = mixed(self.before() * FACTOR + self.tokens)
+                self.none = mixed(np.array([self.none * FACTOR + self.start], dtype=np.uint64))[0]
+                self.reached += 1
+        # The context at the start of a text is n-gram too: it stands behind the last token here.
+        whole = np.r_[self.gram, self.none] & np.uint64((1 << 64) - (1 << (64 - self.bits[m])))
+        self.values[m], self.first[m], self.at[m] = different(whole)
+        context = np.r_[len(whole) - 1, np.arange(len(whole) - 2)] if len(whole) > 1 else np.empty(0, np.int64)
+        context[self.starts] = len(whole) - 1
+        self.context[m] = self.at[m][context]  # by token: the number of the m-gram before it
+
+    def drop(self, m: int) -> None:
+        for arrays in (self.values, self.at, self.first, self.context):
+            arrays.pop(m, None)
+
+    def before(self) -> np.ndarray:
+        """The hash of the tokens before each token, as many as have been reached."""
+        shifted = np.r_[self.none, self.gram[:-1]] if len(self.tokens) else self.gram
+        shifted[self.starts] = self.none
         return shifted
 
     def counts(self, m: int, which: np.ndarray) -> np.ndarray:
@@ -180,10 +197,10 @@ def ask(table: pa.Table, answered: pa.Table | None, level: int, order: int, shar
     if not table.num_rows:
         return table_of(MESSAGE, [])
     if level == order:
-        g = Grams(table, order, bits, [order])
+        g = Grams(table, bits, order)
         count = g.counts(order, g.train)
         return message(g.grp, g.values[order], [count, *([count] if order == 1 else [])], shards, bits[order])
-    g = Grams(table, order, bits, [level, level + 1])
+    g = Grams(table, bits, level, level + 1)
     above = answers_of(answered, level + 1, shards)
     count, owned = above[0], above[1].astype(bool) & (g.first[level + 1] < len(g.tokens))
     place = g.first[level + 1][owned]
@@ -232,44 +249,52 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
 
 
 class Mapped:
-    """A slice of the model: sorted hashes and columns of values in a file that is mapped and has no name any more."""
+    """A slice of the model: sorted hashes and columns of values, each in the narrowest type, in a file that is mapped and has no name any more."""
 
     def __init__(self, hashes: np.ndarray, columns: np.ndarray):
-        self.n, self.k = len(hashes), len(columns)
+        parts, self.places, end = [hashes, *(c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns)], [], 0
         with tempfile.NamedTemporaryFile(prefix="ngrams-", delete=False) as f:
-            f.write(np.ascontiguousarray(hashes).tobytes())
-            f.write(np.ascontiguousarray(columns, dtype=np.int64).tobytes())
-        self.data = np.memmap(f.name, dtype=np.int64, mode="r")
+            for x in parts:
+                self.places.append((end, x.dtype, len(x)))
+                f.write(np.ascontiguousarray(x).tobytes())
+                end += x.nbytes
+        self.data = np.memmap(f.name, dtype=np.uint8, mode="r") if end else np.empty(0, np.uint8)
         os.unlink(f.name)
 
     def column(self, i: int) -> np.ndarray:
-        return self.data[self.n * (i + 1) : self.n * (i + 2)]
+        """The i-th column of values; -1 is the last."""
+        at, kind, n = self.places[i + 1 if i >= 0 else i]
+        return self.data[at : at + n * kind.itemsize].view(kind)
 
 
 def score(table: pa.Table, answered: pa.Table, order: int, shards: int, bits: list[int]) -> pa.Table:
     if not table.num_rows:
         return table_of(SCORES, [])
-    g = Grams(table, order, bits)
+    g = Grams(table, bits)
     of, tallies = answered.column("level").to_numpy(), np.array([np.frombuffer(t, np.int64) for t in answered.column("tally").to_pylist()])
     stats = {m: dict(zip(TALLIES, tallies[of == m].sum(axis=0).tolist(), strict=True)) for m in range(1, order + 1)}
-    model = {m: Mapped(g.values[m], answers_of(answered, m, shards)) for m in range(1, order + 1)}
     low = stats[1]
     unseen = 1.0 / (low["words"] + 1)
+    below = None
     for m in range(1, order + 1):
+        g.reach(m)
+        model = Mapped(g.values[m], answers_of(answered, m, shards))
         s, at = stats[m], g.at[m][:-1]
         cut = discounts(*(s[k] for k in ("n1", "n2", "n3", "n4")))
-        a = model[m].column(0)[at]
+        a = model.column(0)[at].astype(np.int64)
         gain = np.maximum(a - cut[np.minimum(a, 3)], 0)
         if m == 1:
             total = s["total"]
             p = gain / total + (cut[1] * s["n1"] + cut[2] * s["n2"] + cut[3] * s["n3up"]) / total * unseen if total else np.full(len(at), unseen)
-            continue
-        below, context = model[m - 1], g.context[m - 1]
-        n1, n2, n3, beyond = (below.column(i)[context] for i in range(1, 5))
-        total = n1 + 2 * n2 + 3 * n3 + beyond
-        safe = np.maximum(total, 1)
-        p = np.where(total > 0, gain / safe + (cut[1] * n1 + cut[2] * n2 + cut[3] * n3) / safe * p, p)
-    count = model[1].column(model[1].k - 1)[g.at[1][:-1]]
+            count = model.column(-1)[at].astype(np.int64)
+        else:
+            context = g.context[m - 1]
+            n1, n2, n3, beyond = (below.column(i)[context].astype(np.int64) for i in range(1, 5))
+            total = n1 + 2 * n2 + 3 * n3 + beyond
+            safe = np.maximum(total, 1)
+            p = np.where(total > 0, gain / safe + (cut[1] * n1 + cut[2] * n2 + cut[3] * n3) / safe * p, p)
+        g.drop(m - 1)
+        below = model
     base = np.log10((count + 1) / (low["tokens"] + low["words"] + 1))
     add = lambda x: np.add.reduceat(x, g.starts)
     known, base, total = add((count > 0).astype(np.int64)), add(base), add(np.log10(p))
