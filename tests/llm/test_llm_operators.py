@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from helpers import AWKWARD, SF, awkward, duck, kneser_ney, linked, one_edit, repeats, rows_of, simhash
+from helpers import AWKWARD, SF, awkward, duck, edit_distance, kneser_ney, linked, repeats, rows_of, simhash
 from pyspark.sql import functions as F
 
 from quernstone.llm import byte_bpe, line_dedup, mixing, ngram_lm, oracle, order_minhash, quality_classifier, quality_rules, queries, sharding, suffix_dedup
@@ -135,10 +135,10 @@ def edited(r, s):
     return s[:i] + {"i": r.choice("abcdé") + s[i], "d": "", "s": r.choice("abcdé")}[kind] + s[i + 1 :]
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_lines_within_one_edit(spark, hot):
+@pytest.mark.parametrize(("hot", "edits", "per_edit"), [(64, 1, 10), (2, 1, 10), (64, 1, 1), (64, 2, 10), (64, 0, 1)])
+def test_lines_within_edits(spark, hot, edits, per_edit):
     r = random.Random(5)
-    pool = ["".join(r.choice("abcd é") for _ in range(n)).strip() + "xy" for n in (18, 20, 25, 90)]
+    pool = ["".join(r.choice("abcd é") for _ in range(n)).strip() + "xy" for n in (1, 7, 9, 11, 18, 20, 25, 90)]
     for _ in range(120):
         pool.append(edited(r, r.choice(pool)))
     docs = [(i, "\n".join(r.choice([*pool, "", " "]) for _ in range(r.randrange(1, 7)))) for i in range(60)] + [(None, pool[3]), (7, None)]
@@ -150,9 +150,19 @@ def test_lines_within_one_edit(spark, hot):
                 copies[x] = copies.get(x, 0) + 1
     want = set()
     for x in first:
-        near = [y for y in first if y != x and min(len(x), len(y)) >= line_dedup.SHORTEST and one_edit(x, y)]
+        near = [y for y in first if y != x and edit_distance(x, y) <= min(edits, min(len(x), len(y)) // per_edit)]
         want.add((*first[x], len(x), copies[x], len(near), not any(first[y] < first[x] for y in near)))
-    got = {(-1 if x.d is None else x.d, x.p, x.n_chars, x.n_copies, x.n_links, x.kept) for x in line_dedup.join_lines(spark.createDataFrame(docs, EMPTY), hot=hot).collect()}
+    got = {(-1 if x.d is None else x.d, x.p, x.n_chars, x.n_copies, x.n_links, x.kept) for x in line_dedup.join_lines(spark.createDataFrame(docs, EMPTY), edits=edits, per_edit=per_edit, hot=hot).collect()}
+    assert got == want
+
+
+def test_a_hot_segment_at_two_edits(spark):
+    """All lines share their first half, so its key is hot; the links are those of their ends."""
+    r = random.Random(8)
+    lines = sorted({"the same start " + "".join(r.choice("abc") for _ in range(9)) for _ in range(220)})
+    want = {x: sum(edit_distance(x[15:], y[15:]) <= 2 for y in lines) - 1 for x in lines}
+    docs = spark.createDataFrame(list(enumerate(lines)), EMPTY)
+    got = {lines[x.d]: x.n_links for x in line_dedup.join_lines(docs, edits=2, hot=8).collect()}
     assert got == want
 
 
