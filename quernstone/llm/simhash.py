@@ -15,8 +15,8 @@ The pipeline's stage links texts by the Jaccard similarity of their sets of five
 blocks covers. Candidates come from MinHash bands: a pair at the similarity of 0.8 shares none of the 32 bands of 4 with
 probability (1 - 0.8 ** 4) ** 32 = 5e-8. Every candidate's sets are compared, so each link is at the similarity or above it. Equal
 sets are one node. In a band key of more than `hot` nodes all meet the node that shares most keys first; nodes of a key
-that are not connected then are listed again in 512 bands of 16, which a pair at 0.8 misses with (1 - 0.8 ** 16) ** 512 = 5e-7 and
-one at 0.6 meets in with 0.13; what shares one of these meets in full, so nothing is left out for the size of its group.
+that are not connected then are listed again in 128 bands of 12, which a pair at 0.8 misses with (1 - 0.8 ** 12) ** 128 = 1e-4 and
+one at 0.6 meets in with 0.24; what shares one of these meets in full, so nothing is left out for the size of its group.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows each get a row; a
 null doc_id takes part in no link but gets its fingerprint and a null component; an empty table gives an empty result;
@@ -38,7 +38,7 @@ from quernstone.llm.order_minhash import PAIR, mixed, odd_factors
 
 DISTANCE, BLOCKS, HOT = 2, 5, 24
 #: Of the pipeline's stage: shingles of five words, Jaccard similarity in percent, MinHash bands and functions of a band.
-STAGE_WIDTH, STAGE_PERCENT, BANDS, FINE_BANDS = 5, 80, (32, 4), (512, 16)
+STAGE_WIDTH, STAGE_PERCENT, BANDS, FINE_BANDS = 5, 80, (32, 4), (128, 12)
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
