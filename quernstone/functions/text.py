@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,14 +124,27 @@ def looks_structured(c: Column) -> Column:
     return F.when(s.startswith("{") | s.startswith("["), "json").when(s.startswith("http://") | s.startswith("https://"), "url").when(s.startswith("<"), "html").otherwise("text")
 
 
-def parse_flex(c: Column) -> Column:
-    """JSON, or a Python literal turned into it; null if neither parses."""
-    python = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false"), "'", '"')
+def literal_as_json(text: str | None) -> str | None:
+    """A Python literal as JSON: tuples and sets as arrays; null for anything else than a dict, list, tuple or set."""
+    import ast
+    import json
 
-    def ok(x: Column) -> Column:
-        return F.when(x.rlike(r"(?s)^\s*\{.*\}\s*$") & F.json_object_keys(x).isNotNull() | x.rlike(r"(?s)^\s*\[.*\]\s*$") & F.json_array_length(x).isNotNull(), x)
+    try:
+        value = ast.literal_eval(text.strip()) if text else None
+        return json.dumps(sorted(value, key=repr) if isinstance(value, set) else value, ensure_ascii=False) if isinstance(value, (dict, list, tuple, set)) else None
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return None
 
-    return F.coalesce(ok(c), ok(python))
+
+def parse_flex(c: Column) -> Column:
+    """JSON as it is, a Python literal as JSON, null if it is neither. Only what is not JSON and looks like a literal goes to Python, in Arrow batches."""
+    @F.pandas_udf("string")
+    def literals(texts: pd.Series) -> pd.Series:
+        return texts.map(literal_as_json)
+
+    is_json = c.rlike(r"(?s)^\s*\{.*\}\s*$") & F.json_object_keys(c).isNotNull() | c.rlike(r"(?s)^\s*\[.*\]\s*$") & F.json_array_length(c).isNotNull()
+    whole = F.when(is_json, c)
+    return F.coalesce(whole, literals(F.when(whole.isNull() & c.rlike(r"^\s*[\[({]"), c)))
 
 
 def detect_lang(c: Column) -> Column:

@@ -82,3 +82,34 @@ def capped(tokens: DataFrame, most: int, seed: int) -> DataFrame:
 
 def normalised(c):
     return F.lower(strip(c))
+
+
+#: Names of columns that hold ids, and the bounds of the kinds.
+ID_NAME = r"(?i)(^|[._])(id|url|link|image|hash|guid|uuid|src|sell_id|timestamp|unixtime|date|артикул|ссылка)([._]|$)"
+UNIQUE_SHARE, TEXT_LENGTH, LENGTH_SAMPLE, MOST_CATEGORIES = 0.95, 80, 1000, 1000
+
+
+def classify_columns(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """(col, fill, n_unique, avg_len, kind) of each column but the id.
+
+    kind: datetime, binary (boolean, or two values), list_dict (nested), constant, numeric, id_like (by name, or nearly all values
+    different), text (long), categorical, high_card. The mean length is that of the first values by id, as the definition has it.
+    """
+    kinds = {}
+    for name, t in df.dtypes:
+        if name != id_col:
+            kinds[name] = "datetime" if t in ("date", "timestamp", "timestamp_ntz") else "binary" if t == "boolean" else "list_dict" if t.startswith(("array", "map", "struct")) else "string" if t == "string" else "number"
+    shown = df.select(F.col(id_col).alias("id"), *(F.to_json(c).alias(c) if k == "list_dict" else F.col(c).cast("string").alias(c) for c, k in kinds.items()))
+    cells = shown.unpivot("id", list(kinds), "col", "val")
+    stats = column_stats(cells)
+    from quernstone.operators.ranking import top_n
+
+    head = top_n(cells.where("val is not null"), ["col"], LENGTH_SAMPLE, F.col("id"), name="k").groupBy("col").agg(F.avg(F.length("val")).alias("avg_len"))
+    types = F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("col"))
+    s = stats.join(head, "col", "left").withColumn("type", types)
+    n, share = F.col("n_unique"), F.col("n_unique") / F.greatest(F.col("n_filled"), F.lit(1))
+    kind = (
+        F.when(F.col("type").isin("datetime", "binary", "list_dict"), F.col("type")).when(n <= 1, "constant").when((F.col("type") == "number") & (n == 2), "binary").when(F.col("type") == "number", "numeric")
+        .when(F.col("col").rlike(ID_NAME) | (share > UNIQUE_SHARE), "id_like").when(F.col("avg_len") > TEXT_LENGTH, "text").when(n == 2, "binary").when(n <= MOST_CATEGORIES, "categorical").otherwise("high_card")
+    )
+    return s.select("col", (F.col("n_filled") / F.col("n_rows")).alias("fill"), "n_unique", "avg_len", kind.alias("kind"))

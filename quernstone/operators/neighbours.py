@@ -18,42 +18,133 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, name: str, n: int) -> DataFrame:
-    """(name_ids, name_vecs): the vectors dealt to n blocks by a hash of their id, in order of id."""
-    dealt = df.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block_"))
+def blocks(df: DataFrame, id_col: str, vec_col: str, name: str, n: int, label_col: str | None = None) -> DataFrame:
+    """(name_ids, name_vecs, name_labels): the vectors dealt to n blocks by a hash of their id, in order of id."""
+    label = F.col(label_col).cast("long") if label_col else F.lit(0).cast("long")
+    dealt = df.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), label.alias("label")).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block_"))
     packed = dealt.groupBy("block_").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return packed.select(F.col("x.id").alias(f"{name}_ids"), F.flatten("x.v").alias(f"{name}_vecs"))
+    return packed.select(F.col("x.id").alias(f"{name}_ids"), F.flatten("x.v").alias(f"{name}_vecs"), F.col("x.label").alias(f"{name}_labels"))
 
 
-def similar(query: DataFrame, index: DataFrame, k: int | None = None, threshold: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding", other: bool = False, block: int = BLOCK) -> DataFrame:
-    """(q, i, sim): dot products; the best k of each query (ties by id), those at or above the threshold, or both.
-
-    other: a vector is no neighbour of itself.
-    """
+def block_products(query: DataFrame, index: DataFrame, reduce, ddl: str, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = None, block: int = BLOCK) -> DataFrame:
+    """reduce(q_ids, i_ids, products, q_labels, i_labels) -> DataFrame, for each pair of blocks."""
     n_q, n_i = (max(1, -(-d.count() // block)) for d in (query, index))
-    met = blocks(query, id_col, vec_col, "q", n_q).crossJoin(blocks(index, id_col, vec_col, "i", n_i))
+    met = blocks(query, id_col, vec_col, "q", n_q, label_col).crossJoin(blocks(index, id_col, vec_col, "i", n_i, label_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for q_ids, q_vecs, i_ids, i_vecs in zip(b.q_ids, b.q_vecs, b.i_ids, b.i_vecs, strict=True):
+            for q_ids, q_vecs, q_labels, i_ids, i_vecs, i_labels in b[["q_ids", "q_vecs", "q_labels", "i_ids", "i_vecs", "i_labels"]].itertuples(index=False):
                 q, i = np.asarray(q_ids), np.asarray(i_ids)
-                sims = np.asarray(q_vecs).reshape(len(q), -1) @ np.asarray(i_vecs).reshape(len(i), -1).T
-                if other:
-                    sims[q[:, None] == i[None, :]] = -np.inf
-                keep = np.isfinite(sims) if threshold is None else sims >= threshold
-                if k is not None and k < len(i):
-                    least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-                    keep &= sims >= least
-                r, c = np.nonzero(keep)
-                yield pd.DataFrame({"q": q[r], "i": i[c], "sim": sims[r, c]})
-
-    found = met.mapInPandas(run, "q long, i long, sim double")
-    if k is None:
-        return found
+                yield reduce(q, i, np.asarray(q_vecs).reshape(len(q), -1) @ np.asarray(i_vecs).reshape(len(i), -1).T, np.asarray(q_labels), np.asarray(i_labels))
+
+    return met.mapInPandas(run, ddl)
+
+
+def chosen(q: np.ndarray, i: np.ndarray, sims: np.ndarray, k: int | None, threshold: float | None, other: bool) -> pd.DataFrame:
+    """What leaves a product: the best k of each query with ties, what reaches the threshold, or both."""
+    if other:
+        sims[q[:, None] == i[None, :]] = -np.inf
+    keep = np.isfinite(sims) if threshold is None else sims >= threshold
+    if k is not None and k < len(i):
+        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        keep &= sims >= least
+    r, c = np.nonzero(keep)
+    return pd.DataFrame({"q": q[r], "i": i[c], "sim": sims[r, c]})
+
+
+def similar(query: DataFrame, index: DataFrame, k: int | None = None, threshold: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding", other: bool = False, block: int = BLOCK) -> DataFrame:
+    """(q, i, sim): dot products; the best k of each query (ties by id), those at or above the threshold, or both.
+
+    other: a vector is no neighbour of itself. Exact, so the work is the product of both sides; CellIndex is for large ones.
+    """
+    found = block_products(query, index, lambda q, i, sims, *_: chosen(q, i, sims, k, threshold, other), "q long, i long, sim double", id_col, vec_col, block=block)
+    return found if k is None else best_k(found, k)
+
+
+def best_k(found: DataFrame, k: int) -> DataFrame:
+    """found with rank, the best k of each query."""
     best = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "i"))
     return found.withColumn("rank", best).where(F.col("rank") <= k)
 
 
+def log_sum_exp(query: DataFrame, index: DataFrame, temperature: float, block: int = BLOCK) -> DataFrame:
+    """(q, total): log of the sum of exp(product / temperature) over all other vectors. A block gives a maximum and a sum for each query."""
+
+    def reduce(q: np.ndarray, i: np.ndarray, sims: np.ndarray, *_) -> pd.DataFrame:
+        z = np.where(q[:, None] == i[None, :], -np.inf, sims / temperature)
+        top = z.max(axis=1)
+        safe = np.where(np.isfinite(top), top, 0.0)
+        return pd.DataFrame({"q": q, "top": safe, "part": np.exp(z - safe[:, None]).sum(axis=1)})
+
+    parts = block_products(query, index, reduce, "q long, top double, part double", block=block)
+    most = parts.groupBy("q").agg(F.max("top").alias("most"))
+    return parts.join(most, "q").groupBy("q").agg((F.max("most") + F.log(F.sum(F.col("part") * F.exp(F.col("top") - F.col("most"))))).alias("total"))
+
+
+def best_of_other_label(query: DataFrame, index: DataFrame, label_col: str = "label", block: int = BLOCK) -> DataFrame:
+    """(q, i, sim): the most similar vector of another label, the least id of equal ones. A block gives one row for each query."""
+
+    def reduce(q: np.ndarray, i: np.ndarray, sims: np.ndarray, ql: np.ndarray, il: np.ndarray) -> pd.DataFrame:
+        sims = np.where(ql[:, None] == il[None, :], -np.inf, sims)
+        at = sims.argmax(axis=1)  # ids of a block are in order, so the first of equal ones
+        best = sims[np.arange(len(q)), at]
+        return pd.DataFrame({"q": q, "i": i[at], "sim": best})[np.isfinite(best)]
+
+    found = block_products(query, index, reduce, "q long, i long, sim double", label_col=label_col, block=block)
+    return found.groupBy("q").agg(F.max_by(F.struct("i", "sim"), F.struct(F.col("sim"), -F.col("i"))).alias("b")).select("q", "b.i", "b.sim")
+
+
+class CellIndex:
+    """Approximate neighbours for large tables: every vector lies in the cell of its nearest centroid, a query looks into `probes` cells.
+
+    Centroids are fitted on a sample of at most `sample` vectors; every row is assigned. Cells are cut into blocks of a bounded
+    number of vectors, so a crowded cell is many tasks. tests/test_operators.py measures the recall against the exact path.
+    """
+
+    def __init__(self, index: DataFrame, cells: int, probes: int, sample: int = 100_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 42):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        self.id_col, self.vec_col, self.probes = id_col, vec_col, probes
+        some = index.orderBy(F.xxhash64(id_col)).limit(sample).select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+        self.centroids = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(some).clusterCenters())  # `cells` rows at most
+        self.index = self.assigned(index, 1)
+
+    def assigned(self, df: DataFrame, n: int) -> DataFrame:
+        """(id, v, cell): each vector with its n nearest cells."""
+        centroids = self.centroids
+        norms = (centroids**2).sum(axis=1)
+        n = min(n, len(centroids))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    near = np.argsort(norms[None, :] - 2 * np.vstack(b["v"].to_list()) @ centroids.T, axis=1, kind="stable")[:, :n]
+                    yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), n), "v": [v for v in b["v"] for _ in range(n)], "cell": near.ravel()})
+
+        rows = df.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.vec_col).cast("array<double>").alias("v"))
+        return rows.mapInPandas(run, "id long, v array<double>, cell int")
+
+    def search(self, query: DataFrame, k: int, other: bool = False, block: int = BLOCK) -> DataFrame:
+        """(q, i, sim, rank): the best k of each query among the vectors of its cells."""
+
+        def packed(rows: DataFrame, name: str) -> DataFrame:
+            sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+            dealt = rows.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # a row for each cell
+            x = dealt.groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("x"))
+            return x.select("cell", F.col("x.id").alias(f"{name}_ids"), F.flatten("x.v").alias(f"{name}_vecs"))
+
+        met = packed(self.assigned(query, self.probes), "q").join(packed(self.index, "i"), "cell")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for q_ids, q_vecs, i_ids, i_vecs in zip(b.q_ids, b.q_vecs, b.i_ids, b.i_vecs, strict=True):
+                    q, i = np.asarray(q_ids), np.asarray(i_ids)
+                    yield chosen(q, i, np.asarray(q_vecs).reshape(len(q), -1) @ np.asarray(i_vecs).reshape(len(i), -1).T, k, None, other)
+
+        return best_k(met.mapInPandas(run, "q long, i long, sim double"), k)
+
+
 def pair_scores(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """pairs with score: the dot product of their vectors."""
     from quernstone.functions.vectors import dot

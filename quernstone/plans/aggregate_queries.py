@@ -16,14 +16,14 @@ from quernstone.plans.join_queries import AB, knn_sql, sides
 from quernstone.plans.registry import CANDIDATES, CUST_ALL, CUST_CELLS, PAIRS, PARTS, Tables, cells_sql, query
 from quernstone.plans.tables_queries import BATCHES, SYN_SQL, batches, synonyms
 
-WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\pL\\pN]+'), lambda x: x <> ''))"
-TEXT = f"cells AS (SELECT doc_id AS id, 'text' AS col, substr(text, 1, 300) AS val FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents), toks AS (SELECT id, col, unnest({WORDS.format('val')}) AS tok FROM cells)"
+WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\pL\\pN]+'), lambda x: x <> '')[1:2048])"
+TEXT = f"cells AS (SELECT doc_id AS id, 'text' AS col, text AS val FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents), toks AS (SELECT id, col, unnest({WORDS.format('val')}) AS tok FROM cells)"
 FREQ = TEXT + ", freq AS (SELECT tok, count(DISTINCT id) AS df, count(*) AS n_edges FROM toks GROUP BY tok)"
 
 
 def text_cells(t: Tables) -> DataFrame:
-    """The graph's cells: the head of each text, and its source."""
-    return C.to_cells(t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("text"), "source"))
+    """The graph's cells: each text, of which the graph takes the first 2048 tokens, and its source."""
+    return C.to_cells(t.documents.select(F.col("doc_id").alias("id"), "text", "source"))
 
 
 def text_tokens(t: Tables) -> DataFrame:
@@ -167,11 +167,11 @@ CATEGORIES = ["Ани", "these", "There", "onti"]
 ENDINGS = "ыие"
 
 
-@query("q_category_consistency", f"WITH k AS (SELECT c, rtrim(lower(c), '{ENDINGS}') AS stem FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in CATEGORIES)}) v(c)), d AS (SELECT doc_id, lower(substr(text, 1, 400)) AS s FROM documents) SELECT c AS category, stem, avg(contains(s, stem)::INT) AS rate FROM d, k GROUP BY 1, 2")
+@query("q_category_consistency", f"WITH k AS (SELECT c, rtrim(lower(c), '{ENDINGS}') AS stem FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in CATEGORIES)}) v(c)), d AS (SELECT doc_id, lower(text) AS s FROM documents) SELECT c AS category, stem, avg(contains(s, stem)::INT) AS rate FROM d, k GROUP BY 1, 2")
 def category_consistency(t: Tables) -> DataFrame:
     """Share of texts that have a category's stem; the stems are a literal array, so documents are read once and not joined."""
     stems = F.array(*(F.struct(F.lit(c).alias("category"), F.rtrim(F.lower(F.lit(c)), F.lit(ENDINGS)).alias("stem")) for c in CATEGORIES))
-    d = t.documents.select(F.lower(F.substring("text", 1, 400)).alias("s"), F.explode(stems).alias("k"))
+    d = t.documents.select(F.lower("text").alias("s"), F.explode(stems).alias("k"))
     return d.groupBy("k.category", "k.stem").agg(F.avg(F.contains("s", F.col("k.stem")).cast("int")).alias("rate"))
 
 
@@ -231,31 +231,24 @@ def key_cardinality(t: Tables) -> DataFrame:
     return of("p_name", "p_brand", "name").union(of("p_brand", "p_name", "brand"))
 
 
-KINDS = {"name": "string", "segment": "string", "nation": "numeric", "balance": "numeric", "constant": "string", "sparse": "string"}
-
-
-def kind_of(s: DataFrame) -> DataFrame:
-    """Kind of a column from its type and counts."""
-    unique = F.col("n_unique") / F.greatest(F.col("n_filled"), F.lit(1))
-    kind = (
-        F.when(F.col("n_unique") <= 1, "constant").when(F.col("n_unique") == 2, "binary").when((F.col("dtype") == "string") & (unique > 0.95), F.when(F.col("avg_len") > 40, "text").otherwise("id_like"))
-        .when(F.col("dtype") == "numeric", "numeric").when(F.col("avg_len") > 40, "text").when(F.col("n_unique") <= 50, "categorical").otherwise("high_card")
-    )
-    return s.withColumn("kind", kind)
-
-
-CLASSIFY = f"""WITH {CUST_ALL}, s AS (SELECT col, count(*) AS n_rows, count(val) AS n_filled, count(DISTINCT val) AS n_unique, avg(length(val)) AS avg_len FROM cells GROUP BY col),
-d AS (SELECT s.*, CASE WHEN col IN ('nation', 'balance') THEN 'numeric' ELSE 'string' END AS dtype FROM s)
-SELECT col, round(n_filled / n_rows::DOUBLE, 9) AS fill, n_unique, CASE WHEN n_unique <= 1 THEN 'constant' WHEN n_unique = 2 THEN 'binary' WHEN dtype = 'string' AND n_unique / greatest(n_filled, 1)::DOUBLE > 0.95 THEN CASE WHEN avg_len > 40 THEN 'text' ELSE 'id_like' END
-WHEN dtype = 'numeric' THEN 'numeric' WHEN avg_len > 40 THEN 'text' WHEN n_unique <= 50 THEN 'categorical' ELSE 'high_card' END AS kind FROM d"""
+#: Columns of one table of mixed types, and the Spark type that each has.
+MIXED = "mixed AS (SELECT o_orderkey AS id, o_orderkey AS order_id, o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS placed, o_orderpriority AS priority, o_totalprice > 100000 AS large, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS even, 'x' AS constant, 'order no. ' || o_orderkey AS label, repeat(o_orderpriority, 12) || o_orderkey % 50 AS note, 'C' || o_custkey AS code FROM orders)"
+MIXED_TYPES = {"order_id": "number", "customer": "number", "status": "string", "price": "number", "placed": "timestamp", "priority": "string", "large": "boolean", "even": "string", "constant": "string", "label": "string", "note": "string", "code": "string"}
+MIXED_CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT id, '{c}' AS col, '{k}' AS dtype, {c}::VARCHAR AS val FROM mixed" for c, k in MIXED_TYPES.items()) + ")"
+CLASSIFY = f"""WITH {MIXED}, {MIXED_CELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY col, val IS NULL ORDER BY id) AS k FROM cells), s AS (SELECT col, any_value(dtype) AS dtype, count(*) AS n_rows, count(val) AS n_filled, count(DISTINCT val) AS n_unique, avg(CASE WHEN k <= 1000 THEN length(val) END) AS avg_len FROM r GROUP BY col)
+SELECT col, round(n_filled / n_rows::DOUBLE, 9) AS fill, n_unique, CASE WHEN dtype = 'timestamp' THEN 'datetime' WHEN dtype = 'boolean' THEN 'binary' WHEN n_unique <= 1 THEN 'constant' WHEN dtype = 'number' THEN CASE WHEN n_unique = 2 THEN 'binary' ELSE 'numeric' END
+WHEN regexp_matches(col, '(^|[._])(id|url|link|image|hash|guid|uuid|src|sell_id|timestamp|unixtime|date|артикул|ссылка)([._]|$)', 'i') OR n_unique / n_filled::DOUBLE > 0.95 THEN 'id_like' WHEN avg_len > 80 THEN 'text' WHEN n_unique = 2 THEN 'binary' WHEN n_unique <= 1000 THEN 'categorical' ELSE 'high_card' END AS kind FROM s"""
 
 
 @query("q_classify_columns", CLASSIFY)
 def classify_columns(t: Tables) -> DataFrame:
-    cells = C.to_cells(t.cust, keep_blank=True)
-    s = cells.groupBy("col").agg(F.count("*").alias("n_rows"), F.count("val").alias("n_filled"), F.count_distinct("val").alias("n_unique"), F.avg(F.length("val")).alias("avg_len"))
-    dtype = F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.col("col"))
-    return kind_of(s.withColumn("dtype", dtype)).select("col", F.round(F.col("n_filled") / F.col("n_rows"), 9).alias("fill"), "n_unique", "kind")
+    k = F.col("o_orderkey")
+    mixed = t.orders.select(
+        k.alias("id"), k.alias("order_id"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("placed"), F.col("o_orderpriority").alias("priority"),
+        (F.col("o_totalprice") > 100000).alias("large"), F.when(k % 2 == 0, "yes").otherwise("no").alias("even"), F.lit("x").alias("constant"), F.concat(F.lit("order no. "), k).alias("label"),
+        F.concat(F.repeat("o_orderpriority", F.lit(12)), k % 50).alias("note"), F.concat(F.lit("C"), "o_custkey").alias("code"),
+    )
+    return C.classify_columns(mixed, "id").select("col", F.round("fill", 9).alias("fill"), "n_unique", "kind")
 
 
 @query("q_profile", f"WITH {CUST_ALL} SELECT col, count(DISTINCT val) AS n_unique, count(*) - count(val) AS n_null, round((count(*) - count(val)) * 100.0 / count(*), 6)::DOUBLE AS null_pct FROM cells GROUP BY col")
@@ -285,29 +278,31 @@ def top_values(t: Tables) -> DataFrame:
     return top_n(c, ["col"], 10, F.desc("n"), F.col("val")).select("col", "val", "n", "rank")
 
 
-NAMES = ["tech.ram", "tech.cpu", "tech.os", "price", "tech.weight", "shop.id", "name"]
-NAMES_SQL = f"c(col) AS (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in NAMES)})"
+NAMES_SQL = "c AS (SELECT 'event.' || event_type AS col FROM events UNION SELECT p_type FROM part UNION SELECT 'shop.' || r_name FROM region)"
 
 
 @query("q_namespace_prefix", f"WITH {NAMES_SQL}, p AS (SELECT string_split(col, '.')[1] || '.' AS p FROM c WHERE contains(col, '.')), m AS (SELECT p FROM p GROUP BY p HAVING count(*) / (SELECT count(*) FROM c)::DOUBLE >= 0.3 ORDER BY count(*) DESC, p LIMIT 1) SELECT col, CASE WHEN starts_with(col, (SELECT p FROM m)) THEN substr(col, length((SELECT p FROM m)) + 1) ELSE col END AS bare FROM c")
 def namespace_prefix(t: Tables) -> DataFrame:
-    """The commonest prefix before a dot, if it is common enough, goes."""
-    c = t.rows("col string", *((n,) for n in NAMES))
+    """The commonest prefix before a dot, if it is common enough, goes. Names of columns come from the values of three tables."""
+    c = t.events.select(F.concat(F.lit("event."), "event_type").alias("col")).union(t.part.select("p_type")).union(t.region.select(F.concat(F.lit("shop."), "r_name"))).distinct()
     p = c.where(F.contains("col", F.lit("."))).groupBy(F.concat(F.split_part("col", F.lit("."), F.lit(1)), F.lit(".")).alias("p")).agg(F.count("*").alias("n"))
     total = c.agg(F.count("*").alias("t"))
     best = p.crossJoin(total).where(F.col("n") / F.col("t") >= 0.3).orderBy(F.desc("n"), "p").limit(1).select("p")
     return c.join(F.broadcast(best), F.lit(True), "left").select("col", T.strip_prefix(F.col("col"), F.coalesce("p", F.lit("\0"))).alias("bare"))
 
 
-@query("q_synonym_coverage", f"WITH {SYN_SQL} SELECT count(*) AS n_columns, sum((len(syns) > 0)::INT)::BIGINT AS covered, avg(len(syns)) AS mean_synonyms, sum(list_contains(syns, col)::INT)::BIGINT AS self_synonyms FROM syn")
+@query("q_synonym_coverage", "WITH syn AS (SELECT p_type AS col, coalesce(list(DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 50 = 1 THEN p_type END) FILTER (p_partkey % 3 = 0 OR p_partkey % 50 = 1), []) AS syns FROM part GROUP BY 1) SELECT count(*) AS n_columns, sum((len(syns) > 0)::INT)::BIGINT AS covered, avg(len(syns)) AS mean_synonyms, sum(list_contains(syns, col)::INT)::BIGINT AS self_synonyms FROM syn")
 def synonym_coverage(t: Tables) -> DataFrame:
+    """A dictionary of types with the brands of some of their parts as synonyms."""
+    k = F.col("p_partkey")
+    syn = t.part.groupBy(F.col("p_type").alias("col")).agg(F.collect_set(F.when(k % 3 == 0, F.col("p_brand")).when(k % 50 == 1, F.col("p_type"))).alias("syns"))
     n = F.size("syns")
-    return synonyms(t).agg(F.count("*").alias("n_columns"), F.count_if(n > 0).alias("covered"), F.avg(n).alias("mean_synonyms"), F.count_if(F.array_contains("syns", F.col("col"))).alias("self_synonyms"))
+    return syn.agg(F.count("*").alias("n_columns"), F.count_if(n > 0).alias("covered"), F.avg(n).alias("mean_synonyms"), F.count_if(F.array_contains("syns", F.col("col"))).alias("self_synonyms"))
 
 
-@query("q_schema_jaccard", f"WITH {CUST_CELLS}, v AS (SELECT id % 20 AS view, list(DISTINCT col) AS cols FROM cells WHERE id <= 200 GROUP BY 1), p AS (SELECT len(list_intersect(x.cols, y.cols)) / len(list_distinct(list_concat(x.cols, y.cols)))::DOUBLE AS j FROM v x JOIN v y ON x.view < y.view) SELECT min(j) AS least, avg(j) AS mean, max(j) AS most, count(*) AS n FROM p")
+@query("q_schema_jaccard", f"WITH {CUST_CELLS}, v AS (SELECT id % 20 AS view, list(DISTINCT col) AS cols FROM cells GROUP BY 1), p AS (SELECT len(list_intersect(x.cols, y.cols)) / len(list_distinct(list_concat(x.cols, y.cols)))::DOUBLE AS j FROM v x JOIN v y ON x.view < y.view) SELECT min(j) AS least, avg(j) AS mean, max(j) AS most, count(*) AS n FROM p")
 def schema_jaccard(t: Tables) -> DataFrame:
-    v = C.to_cells(t.cust.where("id <= 200")).groupBy((F.col("id") % 20).alias("view")).agg(F.collect_set("col").alias("cols"))
+    v = C.to_cells(t.cust).groupBy((F.col("id") % 20).alias("view")).agg(F.collect_set("col").alias("cols"))
     x, y = v.toDF("x", "cx"), v.toDF("y", "cy")
     j = F.size(F.array_intersect("cx", "cy")) / F.size(F.array_union("cx", "cy"))
     return x.join(y, F.col("x") < F.col("y")).select(j.alias("j")).agg(F.min("j").alias("least"), F.avg("j").alias("mean"), F.max("j").alias("most"), F.count("*").alias("n"))
@@ -331,9 +326,9 @@ def shared_token_stats(t: Tables) -> DataFrame:
     return f.agg(F.count_if(F.col("df") >= 2).alias("shared"), F.sum(F.when(F.col("df") >= 2, F.col("n_edges")).otherwise(0)).alias("shared_edges"), F.max("df").alias("most"), F.avg("df").alias("mean"))
 
 
-@query("q_token_categories", f"WITH d AS (SELECT unnest(string_split_regex(substr(text, 1, 500), '[ \\n]+')) AS tok FROM documents), x AS (SELECT CASE WHEN length(tok) > 9 THEN '##' || tok ELSE tok END AS tok FROM d WHERE tok <> '') SELECT CASE WHEN starts_with(tok, '##') THEN 'suffix' WHEN regexp_full_match(tok, '[0-9]+') THEN 'digit' WHEN regexp_full_match(tok, '[^\\pL\\pN]+') THEN 'punctuation' ELSE 'word' END AS category, count(*) AS n FROM x GROUP BY 1")
+@query("q_token_categories", f"WITH d AS (SELECT unnest(string_split_regex(text, '[ \\n]+')) AS tok FROM documents), x AS (SELECT CASE WHEN length(tok) > 9 THEN '##' || tok ELSE tok END AS tok FROM d WHERE tok <> '') SELECT CASE WHEN starts_with(tok, '##') THEN 'suffix' WHEN regexp_full_match(tok, '[0-9]+') THEN 'digit' WHEN regexp_full_match(tok, '[^\\pL\\pN]+') THEN 'punctuation' ELSE 'word' END AS category, count(*) AS n FROM x GROUP BY 1")
 def token_categories(t: Tables) -> DataFrame:
-    d = t.documents.select(F.explode(F.split(F.substring("text", 1, 500), r"[ \n]+")).alias("tok")).where("tok <> ''")
+    d = t.documents.select(F.explode(F.split("text", r"[ \n]+")).alias("tok")).where("tok <> ''")
     tok = F.when(F.length("tok") > 9, F.concat(F.lit("##"), "tok")).otherwise(F.col("tok"))
     return d.groupBy(T.token_category(tok).alias("category")).agg(F.count("*").alias("n"))
 

@@ -10,7 +10,7 @@ from quernstone.functions.hashing import order_key
 from quernstone.operators import evaluate as E
 from quernstone.operators import graph as G
 from quernstone.operators import losses as L
-from quernstone.operators.neighbours import similar
+from quernstone.operators.neighbours import best_of_other_label, log_sum_exp, pair_scores, similar
 from quernstone.plans.aggregate_queries import FREQ, TEXT, text_cells, text_tokens
 from quernstone.plans.join_queries import AB, SELF, knn_sql, self_neighbours, sides
 from quernstone.plans.registry import PAIRS, Tables, order_sql, query
@@ -303,11 +303,12 @@ def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
-@query("q_schema_triplets", "WITH c(col) AS (VALUES ('a'), ('b'), ('c'), ('d')), g(x, y) AS (VALUES ('a', 'b'), ('c', 'd')), s AS (SELECT x, y FROM g UNION SELECT y, x FROM g) SELECT x AS anchor, y AS positive, col AS negative FROM g, c WHERE col <> x AND col <> y AND (x, col) NOT IN (SELECT (x, y) FROM s)")
+@query("q_schema_triplets", "WITH c AS (SELECT n_name AS col, n_regionkey AS r, n_nationkey AS k FROM nation), g AS (SELECT x.col AS x, y.col AS y FROM c x JOIN c y ON x.r = y.r AND x.k < y.k), s AS (SELECT x, y FROM g UNION SELECT y, x FROM g) SELECT x AS anchor, y AS positive, col AS negative FROM g, c WHERE col <> x AND col <> y AND (x, col) NOT IN (SELECT (x, y) FROM s)")
 def schema_triplets(t: Tables) -> DataFrame:
-    """For each pair of columns that belong together, all columns that are no partner of the first. Columns are few."""
-    c = t.rows("negative string", ("a",), ("b",), ("c",), ("d",))
-    g = t.rows("anchor string, positive string", ("a", "b"), ("c", "d"))
+    """For each pair of columns that belong together, all columns that are no partner of the first. Columns are few; nations of a region stand for them."""
+    c = t.nation.select(F.col("n_name").alias("negative"))
+    x, y = t.nation.select("n_regionkey", F.col("n_nationkey").alias("x"), F.col("n_name").alias("anchor")), t.nation.select("n_regionkey", F.col("n_nationkey").alias("y"), F.col("n_name").alias("positive"))
+    g = x.join(y, "n_regionkey").where("x < y").select("anchor", "positive")
     closure = g.union(g.select("positive", "anchor")).distinct().toDF("anchor", "negative")
     return g.join(c, (F.col("negative") != F.col("anchor")) & (F.col("negative") != F.col("positive"))).join(closure, ["anchor", "negative"], "left_anti").select("anchor", "positive", "negative")
 
@@ -346,26 +347,21 @@ def semi_hard(t: Tables) -> DataFrame:
     return L.semi_hard(squared, 0.1).select("a", "p", "n")
 
 
-@query("q_nt_xent", f"WITH {PAIRS}, p AS (SELECT a, b FROM pairs WHERE label = 1 AND a < 60), s AS (SELECT p.a, p.b, x.vec_id, list_dot_product(x.v, y.v) / 0.1 AS z FROM p JOIN e x ON x.vec_id <> p.a JOIN e y ON y.vec_id = p.a), l AS (SELECT a, b, ln(sum(exp(z))) - max(CASE WHEN vec_id = b THEN z END) AS l FROM s GROUP BY a, b) SELECT round(avg(l), 6) AS loss, count(*) AS n FROM l")
+@query("q_nt_xent", f"WITH {PAIRS}, p AS (SELECT a, b FROM pairs WHERE label = 1 UNION ALL SELECT b, a FROM pairs WHERE label = 1), z AS (SELECT y.vec_id AS a, ln(sum(exp(list_dot_product(x.v, y.v) / 0.1))) AS total FROM e y JOIN e x ON x.vec_id <> y.vec_id GROUP BY 1), l AS (SELECT total - list_dot_product(x.v, y.v) / 0.1 AS l FROM p JOIN z ON z.a = p.a JOIN e x ON x.vec_id = p.a JOIN e y ON y.vec_id = p.b) SELECT round(avg(l), 6) AS loss, count(*) AS n FROM l")
 def nt_xent(t: Tables) -> DataFrame:
-    """-log softmax of the positive among all other rows, for each anchor; the anchors are a batch, the rows come in blocks."""
-    v = t.embeddings
-    p = t.pairs().where("label = 1 and a < 60").select("a", "b")
-    anchors = v.join(p.select(F.col("a").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    z = similar(anchors, v, threshold=-2.0, other=True).select(F.col("q").alias("a"), F.col("i"), (F.col("sim") / 0.1).alias("z"))
-    total = z.groupBy("a").agg(F.log(F.sum(F.exp("z"))).alias("total"))
-    own = p.join(z.withColumnRenamed("i", "b"), ["a", "b"]).join(total, "a")
-    return own.agg(F.round(F.avg(F.col("total") - F.col("z")), 6).alias("loss"), F.count("*").alias("n"))
+    """-log softmax of the positive among all other rows, both ways round. Blocks give sums, so no pair leaves them."""
+    p = t.pairs().where("label = 1").select("a", "b")
+    both = p.union(p.select("b", "a"))
+    anchors = t.embeddings.join(both.select(F.col("a").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    total = log_sum_exp(anchors, t.embeddings, 0.1).withColumnRenamed("q", "a")
+    own = pair_scores(both, t.embeddings).join(total, "a")
+    return own.agg(F.round(F.avg(F.col("total") - F.col("score") / 0.1), 6).alias("loss"), F.count("*").alias("n"))
 
 
-@query("q_hardest_negative", f"WITH {VEC}, s AS (SELECT x.id AS anchor, y.id AS negative, list_dot_product(x.v, y.v) AS sim FROM e x JOIN e y ON x.label <> y.label WHERE x.id < 100) SELECT anchor, arg_max(negative, (sim, -negative)) AS negative FROM s GROUP BY anchor")
+@query("q_hardest_negative", f"WITH {VEC}, s AS (SELECT x.id AS anchor, y.id AS negative, list_dot_product(x.v, y.v) AS sim FROM e x JOIN e y ON x.label <> y.label) SELECT anchor, arg_max(negative, (sim, -negative)) AS negative FROM s GROUP BY anchor")
 def hardest_negative(t: Tables) -> DataFrame:
     """The nearest row of another label. Vectors have length one, so nearest is most similar."""
-    v = t.embeddings
-    z = similar(v.where("vec_id < 100"), v, threshold=-2.0, other=True)
-    label = lambda k, n: v.select(F.col("vec_id").alias(k), F.col("label").alias(n))
-    s = z.join(label("q", "lq"), "q").join(label("i", "li"), "i").where("lq <> li")
-    return s.groupBy(F.col("q").alias("anchor")).agg(F.max_by("i", F.struct(F.col("sim"), -F.col("i"))).alias("negative"))
+    return best_of_other_label(t.embeddings, t.embeddings).select(F.col("q").alias("anchor"), F.col("i").alias("negative"))
 
 
 @query("q_lr_schedule", "SELECT i AS step, round(CASE WHEN i < 10 THEN 0.001::DOUBLE * i / 10 ELSE 0.001::DOUBLE * 0.5 * (1 + cos(pi() * least((i - 10) / 90.0::DOUBLE, 1))) END, 12) AS lr FROM range(100) r(i)")

@@ -297,10 +297,13 @@ def pair_scores_query(t: Tables) -> DataFrame:
     return pair_scores(t.pairs().select("a", "b"), t.embeddings).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query("q_cosine_matrix", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 40) SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM e x JOIN e y ON x.vec_id <= y.vec_id")
+CENTROIDS = "e AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, vec_id % 2 AS side, i, avg(x) AS x FROM e GROUP BY 1, 2, 3), c AS (SELECT label, side, list(x ORDER BY i) AS v FROM m GROUP BY 1, 2)"
+
+
+@query("q_cosine_matrix", f"WITH {CENTROIDS} SELECT x.label AS a, y.label AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM c x JOIN c y ON x.side = 0 AND y.side = 1")
 def cosine_matrix(t: Tables) -> DataFrame:
+    """Every column of one table with every column of the other. A column's embedding is the mean of its label's vectors, so columns are few whatever the rows."""
     v = F.col("embedding").cast("array<double>")
-    c = t.embeddings.where("vec_id < 40").select(F.col("vec_id").alias("a"), v.alias("va"))
-    d = c.toDF("b", "vb")
-    return c.join(d, F.col("a") <= F.col("b")).select("a", "b", F.round(dot(F.col("va"), F.col("vb")) / (norm(F.col("va")) * norm(F.col("vb"))), 6).alias("cosine"))
-
+    means = t.embeddings.groupBy("label", (F.col("vec_id") % 2).alias("side")).agg(F.array(*(F.avg(F.get(v, F.lit(i))) for i in range(64))).alias("v"))
+    a, b = means.where("side = 0").select(F.col("label").alias("a"), F.col("v").alias("va")), means.where("side = 1").select(F.col("label").alias("b"), F.col("v").alias("vb"))
+    return a.crossJoin(b).select("a", "b", F.round(dot(F.col("va"), F.col("vb")) / (norm(F.col("va")) * norm(F.col("vb"))), 6).alias("cosine"))  # one row of a for each column

@@ -168,9 +168,9 @@ def sim_buckets(t: Tables) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(f"n{i}").alias("n")) for i, (lo, hi) in enumerate(EDGES)))).alias("r")).select("r.*")
 
 
-@query("q_valid_identifier", r"WITH d AS (SELECT doc_id, string_split(substr(text, 1, 60), '.')[1] AS s FROM documents) SELECT doc_id, regexp_full_match(s, '[\p{L}\p{N}_]{1,80}') AS valid FROM d")
+@query("q_valid_identifier", r"WITH d AS (SELECT doc_id, string_split(text, '.')[1] AS s FROM documents) SELECT doc_id, regexp_full_match(s, '[\p{L}\p{N}_]{1,80}') AS valid FROM d")
 def valid_identifier(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.valid_identifier(F.get(F.split(F.substring("text", 1, 60), r"\."), F.lit(0))).alias("valid"))
+    return t.documents.select("doc_id", T.valid_identifier(F.get(F.split("text", r"\."), F.lit(0))).alias("valid"))
 
 
 @query("q_trusted_tiers", f"WITH {CANDIDATES} SELECT CASE WHEN spec % 10 = 0 THEN 'gold' WHEN confidence = 'high' AND NOT (label = 0 AND sim > 0.2) THEN 'trusted' ELSE 'other' END AS tier, count(*) AS n, sum(label)::BIGINT AS n_pos FROM cand WHERE label <> -1 GROUP BY 1")
@@ -285,9 +285,9 @@ def pair_rows(t: Tables) -> DataFrame:
     return p.selectExpr("a id").union(p.selectExpr("b id")).distinct()
 
 
-@query("q_ordered_unique", f"WITH {PAIRS}, r AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM pairs WHERE a < 40), x AS (SELECT a AS id, 2 * k AS p FROM r UNION ALL SELECT b, 2 * k + 1 FROM r) SELECT id, min(p) AS first_pos, row_number() OVER (ORDER BY min(p)) - 1 AS idx FROM x GROUP BY id")
+@query("q_ordered_unique", f"WITH {PAIRS}, r AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM pairs), x AS (SELECT a AS id, 2 * k AS p FROM r UNION ALL SELECT b, 2 * k + 1 FROM r) SELECT id, min(p) AS first_pos, row_number() OVER (ORDER BY min(p)) - 1 AS idx FROM x GROUP BY id")
 def ordered_unique(t: Tables) -> DataFrame:
-    r = numbered(t.pairs().where("a < 40"), "a", F.col("b"), name="k")
+    r = numbered(t.pairs().select("a", "b"), "a", F.col("b"), name="k")
     x = r.select(F.posexplode(F.array("a", "b")).alias("side", "id"), "k").groupBy("id").agg(F.min(2 * F.col("k") + F.col("side")).alias("first_pos"))
     return numbered(x, "first_pos", name="idx")
 
@@ -322,9 +322,9 @@ def token_index(t: Tables) -> DataFrame:
     return globally_numbered(tokens.groupBy("tok").agg(first.alias("first")), F.col("first"), name="tok_idx").select("tok", "tok_idx")
 
 
-@query("q_cell_token_cap", f"WITH d AS (SELECT doc_id AS id, 'text' AS col, unnest(list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 400)), '[^\\pL\\pN]+'), lambda x: x <> ''))) AS tok FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id, col ORDER BY {order_sql(42, 'id', 'col', 'tok')}, tok) AS k FROM d) SELECT id, col, tok FROM r WHERE k <= 5")
+@query("q_cell_token_cap", f"WITH d AS (SELECT doc_id AS id, 'text' AS col, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '')[1:2048])) AS tok FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id, col ORDER BY {order_sql(42, 'id', 'col', 'tok')}, tok) AS k FROM d) SELECT id, col, tok FROM r WHERE k <= 5")
 def cell_token_cap(t: Tables) -> DataFrame:
-    cells = t.documents.select(F.col("doc_id").alias("id"), F.lit("text").alias("col"), F.substring("text", 1, 400).alias("val"))
+    cells = t.documents.select(F.col("doc_id").alias("id"), F.lit("text").alias("col"), F.col("text").alias("val"))
     return C.capped(C.tokens_of(cells), 5, 42).select("id", "col", "tok")
 
 

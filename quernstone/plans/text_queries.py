@@ -32,11 +32,11 @@ def compose_text(t: Tables) -> DataFrame:
     return t.parts.select("id", T.compose_text(F.col("name"), "Артикул", F.col("type"), full).alias("text"))
 
 
-@query("q_tokenize", f"SELECT doc_id, len({WORDS.format('text')}) AS n, array_to_string(list_distinct({WORDS.format('substr(text, 1, 200)')}).list_sort(), ' ') AS head FROM documents WHERE len({WORDS.format('text')}) <= 2048")
+@query("q_tokenize", f"SELECT doc_id, len({WORDS.format('text')}[1:2048]) AS n, md5(array_to_string(list_distinct({WORDS.format('text')}[1:2048]).list_sort(), ' ')) AS tokens FROM documents")
 def tokenize(t: Tables) -> DataFrame:
-    n = F.size(T.tokenize(F.col("text"), 2049))
-    head = F.array_join(F.array_sort(F.array_distinct(T.tokenize(F.substring("text", 1, 200)))), " ")
-    return t.documents.select("doc_id", n.cast("long").alias("n"), head.alias("head")).where("n <= 2048")
+    """Number of a text's tokens, 2048 at most, and a digest of the different ones."""
+    tok = T.tokenize(F.col("text"))
+    return t.documents.select("doc_id", F.size(tok).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(F.array_distinct(tok)), " ").cast("binary")).alias("tokens"))
 
 
 @query("q_flip_bool", "WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'true' WHEN 3 THEN 'false' ELSE lang END AS v FROM documents) SELECT doc_id, CASE v WHEN 'True' THEN 'False' WHEN 'False' THEN 'True' WHEN 'true' THEN 'false' WHEN 'false' THEN 'true' ELSE v END AS v FROM d")
@@ -76,9 +76,9 @@ def drop_sql(text: str, p: float, seed: int, *keys: str) -> str:
     return f"CASE WHEN len({words}) <= 1 THEN {text} ELSE coalesce(nullif(array_to_string(list_filter({words}, lambda x, i: {u01_sql(seed, *keys, 'i - 1')} >= {p}), ' '), ''), {words}[1]) END"
 
 
-@query("q_drop_tokens", f"WITH d AS (SELECT doc_id, substr(text, 1, 120) AS s FROM documents) SELECT doc_id, {drop_sql('s', 0.3, 42, 'doc_id')} AS text FROM d")
+@query("q_drop_tokens", f"SELECT doc_id, {drop_sql('text', 0.3, 42, 'doc_id')} AS text FROM documents")
 def drop_tokens(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.drop_tokens(F.substring("text", 1, 120), 0.3, 42, F.col("doc_id")).alias("text"))
+    return t.documents.select("doc_id", T.drop_tokens(F.col("text"), 0.3, 42, F.col("doc_id")).alias("text"))
 
 
 def corrupt_sql(v: str, seed: int, *keys: str) -> str:
@@ -89,11 +89,11 @@ def corrupt_sql(v: str, seed: int, *keys: str) -> str:
     )
 
 
-@query("q_corrupt_value", f"WITH d AS (SELECT o_orderkey, {VALUES} AS v FROM orders WHERE o_orderkey % 6 <> 2) SELECT o_orderkey, {corrupt_sql('v', 42, 'o_orderkey')} AS v FROM d")
+@query("q_corrupt_value", f"WITH d AS (SELECT o_orderkey, {VALUES} AS v FROM orders) SELECT o_orderkey, {corrupt_sql('v', 42, 'o_orderkey')} AS v FROM d")
 def corrupt_value(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
-    v = F.when(k % 6 == 0, F.year("o_orderdate").cast("string")).when(k % 6 == 1, (k % 90).cast("string")).when(k % 6 == 3, F.col("o_orderpriority")).when(k % 6 == 4, ".5").otherwise((k * 1234).cast("string"))
-    return t.orders.where("o_orderkey % 6 <> 2").select("o_orderkey", T.corrupt_value(v, 42, k).alias("v"))
+    v = F.when(k % 6 == 0, F.year("o_orderdate").cast("string")).when(k % 6 == 1, (k % 90).cast("string")).when(k % 6 == 2, F.concat(F.lit(" "), (k * 7).cast("string"), F.lit(".25 "))).when(k % 6 == 3, F.col("o_orderpriority")).when(k % 6 == 4, ".5").otherwise((k * 1234).cast("string"))
+    return t.orders.select("o_orderkey", T.corrupt_value(v, 42, k).alias("v"))
 
 
 CORRUPTED = f"CASE WHEN {u01_sql(11, chr(39) + 'row' + chr(39), 'id')} < 0.5 AND {u01_sql(11, chr(39) + 'cell' + chr(39), 'id', 'col')} < 0.4 THEN {corrupt_sql('val', 11, 'id', 'col')} ELSE val END"
@@ -136,16 +136,17 @@ def supplier_view(t: Tables) -> DataFrame:
     return cells.select("id", "col", F.when(u < 0.3, F.lower(v)).when(u < 0.6, F.upper(v)).when(u < 0.8, T.strip(v)).otherwise(v).alias("val"))
 
 
-FLEX = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{''a'': None, ''b'': True}' WHEN 2 THEN '[1, ''x'', False]' ELSE 'not json' END"
+FLEX = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '{''a'': None, ''b'': \"it''s\", ''k'': ' || json_extract_string(props, '$.k') || '}' WHEN 2 THEN '[1, ''x'', False]' WHEN 3 THEN '(1, ' || event_id || ')' ELSE event_type END"
 
 
-@query("q_parse_flex", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'object' WHEN 2 THEN 'array' ELSE 'none' END AS kind, CASE event_id % 4 WHEN 1 THEN 'true' END AS b FROM events")
+@query("q_parse_flex", f"WITH d AS (SELECT event_id, props, {FLEX} AS raw FROM events) SELECT event_id, CASE WHEN starts_with(raw, '{{') THEN 'object' WHEN starts_with(raw, '[') OR starts_with(raw, '(') THEN 'array' ELSE 'none' END AS kind, CASE WHEN starts_with(raw, '{{') THEN json_extract_string(props, '$.k') END AS k, CASE WHEN contains(raw, 'it') AND starts_with(raw, '{{') THEN 'it''s' END AS b FROM d")
 def parse_flex(t: Tables) -> DataFrame:
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.col("props")).when(k == 1, "{'a': None, 'b': True}").when(k == 2, "[1, 'x', False]").otherwise("not json")
+    k = F.col("event_id") % 5
+    literal = F.concat(F.lit("{'a': None, 'b': \"it's\", 'k': "), F.get_json_object("props", "$.k"), F.lit("}"))
+    raw = F.when(k == 0, F.col("props")).when(k == 1, literal).when(k == 2, "[1, 'x', False]").when(k == 3, F.concat(F.lit("(1, "), F.col("event_id").cast("string"), F.lit(")"))).otherwise(F.col("event_type"))
     e = t.events.select("event_id", T.parse_flex(raw).alias("j"))
-    kind = F.when(F.col("j").isNull(), "none").when(F.json_array_length("j").isNotNull() & F.col("j").startswith("["), "array").otherwise("object")
-    return e.select("event_id", kind.alias("kind"), F.get_json_object("j", "$.b").alias("b"))
+    kind = F.when(F.col("j").isNull(), "none").when(F.col("j").startswith("["), "array").otherwise("object")
+    return e.select("event_id", kind.alias("kind"), F.get_json_object("j", "$.k").alias("k"), F.get_json_object("j", "$.b").alias("b"))
 
 
 @query("q_flatten_json", "SELECT event_id, 'props.' || unnest(json_keys(props)) AS col, json_extract_string(props, '$.' || unnest(json_keys(props))) AS val FROM events")
@@ -193,13 +194,15 @@ def blocking_key(t: Tables) -> DataFrame:
     return t.parts.groupBy(T.blocking_key(F.col("brand"), F.col("type")).alias("k")).agg(F.count("*").alias("n"))
 
 
-REPLIES = [(1, "<think>hm\nwell</think>\ntitle\nbad name\nlabel_1\n"), (2, "Название\nname2"), (3, "<think>x</think>"), (4, ""), (5, "a\r\nb\nc\nd\ne")]
-SQ = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'"
-REPLIES_SQL = f"r(id, reply) AS (VALUES {', '.join(f'({i}, {SQ(s)})' for i, s in REPLIES)})"
+THOUGHTS = "CASE p_partkey % 5 WHEN 0 THEN '<think>x</think>' ELSE '<think>' || p_type || chr(10) || 'well</think>' || chr(10) || p_type || chr(10) || p_name || chr(13) || chr(10) || replace(p_brand, '#', '_') || chr(10) || 'Название' || p_partkey || chr(10) || 'x' END"
+REPLIES_SQL = f"r AS (SELECT p_partkey AS id, {THOUGHTS} AS reply FROM part)"
 
 
 def replies(t: Tables) -> DataFrame:
-    return t.rows("id int, reply string", *REPLIES)
+    """Replies of a model, made from parts: thoughts, names that are valid, names that aren't."""
+    k = F.col("p_partkey")
+    named = F.concat(F.lit("<think>"), "p_type", F.lit("\nwell</think>\n"), "p_type", F.lit("\n"), "p_name", F.lit("\r\n"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("\nНазвание"), k.cast("string"), F.lit("\nx"))
+    return t.part.select(k.alias("id"), F.when(k % 5 == 0, "<think>x</think>").otherwise(named).alias("reply"))
 
 
 @query("q_strip_think", f"WITH {REPLIES_SQL} SELECT id, regexp_replace(reply, '<think>.*?</think>', '', 'gs') AS text FROM r")
@@ -212,21 +215,21 @@ def parse_synonyms(t: Tables) -> DataFrame:
     return replies(t).select("id", F.array_join(T.parse_synonyms(F.col("reply"), F.lit("original"), 3), ",").alias("names"))
 
 
-JSONS = [(1, '{"a": 1}'), (2, 'Sure:\n```json\n{"a": 2}\n```'), (3, 'text {"a": 3} more'), (4, "nothing"), (5, "{broken")]
-JSON_A = {1: "'1'", 2: "'2'", 3: "'3'", 4: "NULL", 5: "NULL"}
-
-
-@query("q_extract_json", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a})" for i, a in JSON_A.items()) + ") v(id, a)")
+@query("q_extract_json", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN json_extract_string(props, '$.k') END AS k FROM events")
 def extract_json(t: Tables) -> DataFrame:
-    return t.rows("id int, reply string", *JSONS).select("id", F.get_json_object(T.extract_json(F.col("reply")), "$.a").alias("a"))
-
+    """Objects alone, in a fence and inside text; replies without one, and with a broken one."""
+    k = F.col("event_id") % 5
+    reply = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).when(k == 2, F.concat(F.lit("text "), "props", F.lit(" more"))).when(k == 3, "nothing").otherwise("{broken")
+    return t.events.select("event_id", F.get_json_object(T.extract_json(reply), "$.k").alias("k"))
 
-ARRAYS = [(1, 'Here: [{"pair": 1, "match": true, "confidence": "high"}, {"pair": 2, "match": false, "confidence": "medium"}] ok'), (2, "no array"), (3, '[{"pair": 7, "match": true}]')]
 
-
-@query("q_parse_llm_array", "SELECT * FROM (VALUES (1, 1, 1, 'high'), (1, 2, 0, 'medium'), (3, 7, 1, NULL)) v(batch, pair, label, confidence)")
+@query("q_parse_llm_array", "SELECT o_orderkey AS batch, o_custkey::INT AS pair, (o_orderstatus = 'F')::INT AS label, 'high' AS confidence FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, (o_custkey + 1)::INT, 0, NULL FROM orders WHERE o_orderkey % 3 = 1")
 def parse_llm_array(t: Tables) -> DataFrame:
-    r = t.rows("batch int, reply string", *ARRAYS)
+    """One pair or two in a reply, or none; a pair can lack its confidence."""
+    k = F.col("o_orderkey") % 3
+    first = F.concat(F.lit('Here: [{"pair": '), F.col("o_custkey").cast("string"), F.lit(', "match": '), (F.col("o_orderstatus") == "F").cast("string"), F.lit(', "confidence": "high"}'))
+    second = F.concat(F.lit(', {"pair": '), (F.col("o_custkey") + 1).cast("string"), F.lit(', "match": false}'))
+    r = t.orders.select(F.col("o_orderkey").alias("batch"), F.when(k == 0, "no array").when(k == 1, F.concat(first, second, F.lit("] ok"))).otherwise(F.concat(first, F.lit("]"))).alias("reply"))
     x = r.select("batch", F.inline(T.parse_array(F.col("reply"), "array<struct<pair:int,match:boolean,confidence:string>>")))
     return x.select("batch", "pair", F.col("match").cast("int").alias("label"), "confidence")
 
@@ -246,9 +249,11 @@ def detect_lang(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.detect_lang(s).alias("script"))
 
 
-@query("q_notation", "SELECT * FROM (VALUES ('a b', 'words'), ('snake_case', 'snake'), ('camelCase', 'camel'), ('lower', 'lower'), ('UPPER', 'other')) v(name, notation)")
+@query("q_notation", "WITH d AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN lower(p_type) WHEN 3 THEN p_type ELSE lower(p_type) || 'Name' END AS name FROM part) SELECT p_partkey, name, CASE WHEN regexp_matches(name, '\\s') THEN 'words' WHEN contains(name, '_') THEN 'snake' WHEN regexp_matches(name, '[a-z][A-Z]') THEN 'camel' WHEN name = lower(name) THEN 'lower' ELSE 'other' END AS notation FROM d")
 def notation(t: Tables) -> DataFrame:
-    return t.rows("name string", ("a b",), ("snake_case",), ("camelCase",), ("lower",), ("UPPER",)).select("name", T.notation(F.col("name")).alias("notation"))
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.replace("p_name", F.lit(" "), F.lit("_"))).when(k == 2, F.lower("p_type")).when(k == 3, F.col("p_type")).otherwise(F.concat(F.lower("p_type"), F.lit("Name")))
+    return t.part.select("p_partkey", name.alias("name")).withColumn("notation", T.notation(F.col("name")))
 
 
 V = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -267,9 +272,9 @@ def l2(t: Tables) -> DataFrame:
     return d.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(norm(F.col("v")), 6).alias("norm"))
 
 
-@query("q_norm_stats", f"WITH {V}, n AS (SELECT sqrt(list_sum(list_transform(v[1:32], lambda y: y * y))) AS n FROM e) SELECT round(avg(n), 9) AS mean, round(stddev_pop(n), 9) AS std FROM n")
+@query("q_norm_stats", f"WITH {V}, n AS (SELECT sqrt(list_sum(list_transform(v, lambda y: y * y * (1 + vec_id % 7)))) AS n FROM e) SELECT round(avg(n), 9) AS mean, round(stddev_pop(n), 9) AS std FROM n")
 def norm_stats(t: Tables) -> DataFrame:
-    n = t.embeddings.select(norm(F.slice(F.col("embedding").cast("array<double>"), 1, 32)).alias("n"))
+    n = t.embeddings.select((norm(F.col("embedding").cast("array<double>")) * F.sqrt(1 + F.col("vec_id") % 7)).alias("n"))
     return n.agg(F.round(F.avg("n"), 9).alias("mean"), F.round(F.stddev_pop("n"), 9).alias("std"))
 
 
@@ -280,18 +285,17 @@ def fbeta_query(t: Tables) -> DataFrame:
     return d.select("k", fbeta(F.col("p"), F.col("r"), 0.5).alias("f"))
 
 
-@query("q_synonym_cleanup", f"WITH {SYN_SQL}, r(col, syns) AS (VALUES ('brand', ['brand', 'maker', 'make', 'label']), ('name', ['x'])) SELECT col, array_to_string(list_filter(syns, lambda s: s <> col)[1:2], ',') AS syns FROM r WHERE col NOT IN (SELECT col FROM syn)")
+@query("q_synonym_cleanup", "WITH known AS (SELECT DISTINCT p_type AS col FROM part WHERE p_size = 50 AND p_partkey % 4 = 0), r AS (SELECT p_type AS col, list_sort(list(DISTINCT CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE p_brand END)) AS syns FROM part GROUP BY 1 UNION ALL SELECT p_brand, list_sort(list(DISTINCT p_brand)) FROM part GROUP BY 1) SELECT col, array_to_string(list_filter(syns, lambda s: s <> col)[1:2], ',') AS syns FROM r WHERE col NOT IN (SELECT col FROM known)")
 def synonym_cleanup(t: Tables) -> DataFrame:
-    """New columns only; a column is no synonym of its own; two at most."""
-    r = t.rows("col string, syns array<string>", ("brand", ["brand", "maker", "make", "label"]), ("name", ["x"]))
-    new = r.join(synonyms(t).select("col"), "col", "left_anti")
+    """New columns only; a column is no synonym of its own; two at most. Types with their parts' brands stand for columns."""
+    known = t.part.where("p_size = 50 and p_partkey % 4 = 0").select(F.col("p_type").alias("col")).distinct()
+    name = F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
+    r = t.part.groupBy(F.col("p_type").alias("col")).agg(F.array_sort(F.collect_set(name)).alias("syns")).union(t.part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_brand"))))
+    new = r.join(known, "col", "left_anti")
     return new.select("col", F.array_join(F.slice(F.filter("syns", lambda s: s != F.col("col")), 1, 2), ",").alias("syns"))
 
 
-TRACES = [(1, [("web_search", "a"), ("answer", "b"), ("web_search", "c")]), (2, [("answer", "d")]), (3, [])]
-
-
-@query("q_trace_stats", "SELECT * FROM (VALUES (1, 3, 2), (2, 1, 0), (3, 0, 0)) v(pair, n_steps, n_searches)")
+@query("q_trace_stats", "SELECT conv_id AS pair, count(*) AS n_steps, sum((role = 'assistant')::INT)::BIGINT AS n_answers, max(turn) AS last_step FROM conversations GROUP BY 1")
 def trace_stats(t: Tables) -> DataFrame:
-    r = t.rows("pair int, steps array<struct<tool:string,text:string>>", *TRACES)
-    return r.select("pair", F.size("steps").alias("n_steps"), F.size(F.filter("steps", lambda s: s["tool"] == "web_search")).alias("n_searches"))
+    """Steps of a trace, from its rows; counts alone are gathered, never the steps."""
+    return t.conversations.groupBy(F.col("conv_id").alias("pair")).agg(F.count("*").alias("n_steps"), F.count_if(F.col("role") == "assistant").alias("n_answers"), F.max("turn").alias("last_step"))

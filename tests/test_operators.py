@@ -1,14 +1,19 @@
 """Operators on literal inputs, invariants of hashed choices, awkward values."""
 
+import json
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import providers
 from quernstone.functions import text as T
+from quernstone.operators import cells as C
 from quernstone.operators import evaluate as E
 from quernstone.operators import graph as G
 from quernstone.operators import models
+from quernstone.operators import neighbours as N
 from quernstone.operators.neighbours import similar
 from quernstone.operators.ranking import hash_ranked, numbered
 from quernstone.sources import registry
@@ -130,3 +135,38 @@ def test_labels_resume(spark, tmp_path):
     for k in range(2):
         label_stream(spark, src, pairs.schema, out, str(tmp_path / f"c{k}"), lambda d: d.withColumn("label", F.lit(1))).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_python_literals_as_json(spark):
+    cases = {"{'a': \"it's\", 'b': None}": {"a": "it's", "b": None}, "(1, 'True')": [1, "True"], "[1, {'x': False}]": [1, {"x": False}], '{"a": "None"}': {"a": "None"}, "word": None, "{broken": None, "__import__('os')": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", T.parse_flex(F.col("s")).alias("j")).collect()
+    assert {r.s: r.j and json.loads(r.j) for r in rows} == cases
+
+
+def test_a_long_path_is_one_component_soon(spark):
+    path = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(9000, 9001), (9100, 9100)], "a long, b long"))
+    began = time.time()
+    got = G.connected_components(path)
+    assert got.groupBy("component").count().orderBy("component").collect() == [(0, 3001), (9000, 2), (9100, 1)]
+    assert time.time() - began < 60
+
+
+def test_small_components_go_by_hash(spark):
+    pairs = spark.createDataFrame([(10 * c, 10 * c + k, 1) for c in range(200) for k in (1, 2)], "a long, b long, label int")
+    split = G.component_split(pairs, G.connected_components(pairs), (0.6, 0.2, 0.2), 42, placed=5)
+    assert split.groupBy("a").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    assert sum(sizes.values()) == 400 and sizes.keys() == {0, 1, 2} and 180 < sizes[0] < 300
+
+
+def test_cells_find_the_neighbours(spark):
+    """Recall against the exact path."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = {(r.q, r.i) for r in N.similar(v, v, k=5, other=True).collect()}
+    got = {(r.q, r.i) for r in N.CellIndex(v, cells=8, probes=6).search(v, 5, other=True).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_classified_columns(spark):
+    df = spark.createDataFrame([(i, f"u{i}", ["a", "b", "c"][i % 3], "word " * 30 + str(i % 4), i * 0.5, [i], i % 2 == 0, None) for i in range(40)], "id int, code string, kind string, long string, price double, tags array<int>, flag boolean, empty string")
+    assert {r.col: r.kind for r in C.classify_columns(df).collect()} == {"code": "id_like", "kind": "categorical", "long": "text", "price": "numeric", "tags": "list_dict", "flag": "binary", "empty": "constant"}
