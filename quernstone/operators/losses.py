@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.vectors import distance
 
 
 def mean_message(edges: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
-    """(dst, message): the mean of the sources' vectors; the mean commutes with a linear layer, so the layer comes after."""
-    v = edges.join(nodes.select(F.col("id").alias("src"), "v"), "src").select("dst", F.posexplode("v").alias("i", "x"))
-    means = v.groupBy("dst", "i").agg(F.avg("x").alias("x"))
-    return means.groupBy("dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("message")).where(F.size("message") == dims)
+    """(dst, message): the mean of the sources' vectors; the mean commutes with a linear layer, so the layer comes after.
+
+    An average for each dimension, so partial sums are exchanged and not a row for each edge and dimension.
+    """
+    v = edges.join(nodes.select(F.col("id").alias("src"), "v"), "src")
+    return v.groupBy("dst").agg(F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(dims))).alias("message"))
 
 
 def edge_softmax(edges: DataFrame, score: Column, dst: str = "dst") -> DataFrame:
-    """edges with weight: softmax of the score over the edges of a target, shifted by its largest score."""
-    part = W.partitionBy(dst)
+    """edges with weight: softmax of the score over the edges of a target, shifted by its largest score.
+
+    Maxima and sums come from grouped aggregation and are joined, so the edges of a hub need not meet in one task.
+    """
     e = edges.withColumn("score_", score)
-    e = e.withColumn("exp_", F.exp(F.col("score_") - F.max("score_").over(part)))
-    return e.withColumn("weight", F.col("exp_") / F.sum("exp_").over(part)).drop("score_", "exp_")
+    most = e.groupBy(dst).agg(F.max("score_").alias("most_"))
+    e = e.join(most, dst).withColumn("exp_", F.exp(F.col("score_") - F.col("most_")))
+    sums = e.groupBy(dst).agg(F.sum("exp_").alias("sum_"))
+    return e.join(sums, dst).withColumn("weight", F.col("exp_") / F.col("sum_")).drop("score_", "most_", "exp_", "sum_")
 
 
 def triplet_distances(triplets: DataFrame, vectors: DataFrame, eps: float = 1e-6) -> DataFrame:

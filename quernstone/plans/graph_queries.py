@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.hashing import order_key
+from quernstone.operators import density as D
 from quernstone.operators import evaluate as E
 from quernstone.operators import graph as G
 from quernstone.operators import losses as L
@@ -203,45 +204,22 @@ def cc_grid(t: Tables) -> DataFrame:
     return every.join(got, ["tau", "top"], "left").select("tau", "top", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
 
 
-@query("q_ga_history")
-def ga_history(t: Tables, generations: int = 3, size: int = 6) -> DataFrame:
-    """Genetic search for (tau, top): tournament, crossover, mutation by hash, the best survives. Neighbours are found once;
-    a generation's candidates are judged in one job, and known ones never again."""
-    import random
+def near(t: Tables, k: int = 5) -> DataFrame:
+    return stored(D.ranked(self_neighbours(t, k).select("q", "i", "sim")))
 
-    near = stored(self_neighbours(t).select("q", "i", "sim", "rank"))
-    p = t.pairs().select("a", "b", "label")
-    known: dict[tuple[float, int], float] = {}
-    rng = random.Random(42)
-    people = [(round(rng.uniform(0.2, 0.4), 3), rng.randint(1, 5)) for _ in range(size)]
-    out = []
-    for g in range(generations):
-        new = sorted(set(people) - set(known))
-        if new:
-            grid = F.array(*(F.struct(F.lit(x).alias("tau"), F.lit(k).alias("top")) for x, k in new))
-            e = near.select(F.least("q", "i").alias("a"), F.greatest("q", "i").alias("b"), "sim", "rank", F.explode(grid).alias("g")).where((F.col("sim") >= F.col("g.tau")) & (F.col("rank") <= F.col("g.top")))
-            hit = p.join(e.select("a", "b", "g.tau", "g.top").distinct(), ["a", "b"]).groupBy("tau", "top").agg(F.sum("label").alias("tp"), F.count("*").alias("n"))
-            pos = p.agg(F.sum("label")).first()[0] or 0
-            got = {(r["tau"], r["top"]): 2.0 * r["tp"] / (r["n"] + pos) for r in hit.collect()}  # a row for each candidate
-            known |= {c: got.get(c, 0.0) for c in new}
-        best = max(people, key=lambda c: (known[c], c))
-        out.append((g, best[0], best[1], known[best], sum(known[c] for c in people) / len(people)))
-        parents = [max(rng.sample(people, 3), key=lambda c: (known[c], c)) for _ in range(size)]
-        people = [best, *((round(min(0.5, max(0.1, a[0] + rng.gauss(0, 0.02))), 3), b[1]) for a, b in zip(parents[1:], parents[:-1], strict=True))]
-    return t.spark.createDataFrame(out, "generation int, tau double, top int, best double, mean double")
+
+@query("q_ga_history")
+def ga_history(t: Tables) -> DataFrame:
+    """Genetic search for the parameters of density clusters; a row for each generation."""
+    found = D.genetic_search(near(t), t.pairs().select("a", "b", "label"), t.embeddings.count())
+    rows = [(g, *p[:3], bool(p[3]), bool(p[4]), best, mean) for g, p, best, mean in found]
+    return t.spark.createDataFrame(rows, "generation int, smallest int, samples int, epsilon double, leaf boolean, whole boolean, best double, mean double")
 
 
 @query("q_hdbscan")
-def hdbscan(t: Tables, least: int = 3, k: int = 5, sim: float = 0.3) -> DataFrame:
-    """Density clusters: core points have k neighbours at a similarity, cores that are near each other make a cluster, others are noise (-1).
-
-    The cut of the density hierarchy at one level; the components are found in Spark, not on the driver.
-    """
-    near = stored(self_neighbours(t, k).where(F.col("sim") >= sim))
-    core = near.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("q")
-    links = near.join(core, "q").join(core.withColumnRenamed("q", "i"), "i").select(F.col("q").alias("a"), F.col("i").alias("b"))
-    ids = t.embeddings.select(F.col("vec_id").alias("id"))
-    return ids.join(G.connected_components(links), "id", "left").select("id", F.coalesce("component", F.lit(-1)).alias("cluster"))
+def hdbscan(t: Tables) -> DataFrame:
+    """Clusters of the density hierarchy on each row's 15 nearest, by the least id; -1 for noise."""
+    return D.hdbscan(near(t, 15), t.embeddings.select(F.col("vec_id").alias("id")), D.Params(smallest=5, samples=5))
 
 
 @query("q_threshold_transfer", f"WITH {PAIRS}, v AS (SELECT * FROM pairs WHERE a % 3 = 1), g AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM v GROUP BY score), c AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pos FROM g WINDOW w AS (ORDER BY score DESC)), b AS (SELECT score AS threshold FROM c ORDER BY 2.0::DOUBLE * tp / (tp + fp + pos) DESC, score LIMIT 1), h AS (SELECT 'd' || b % 2 AS dataset, label, (score >= threshold)::INT AS h FROM pairs p, b WHERE p.a % 3 = 2), s AS (SELECT dataset, {PRF} FROM h GROUP BY dataset) SELECT dataset, {PRF_OF} FROM s".replace("'d' || b % 2", "'d' || p.b % 2"))
