@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from quernstone.llm.common import quoted
 
 #: Pieces in a worker's memo; when it is full it starts anew.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 400_000
 #: Pieces longer than this are encoded each time.
 MEMO_LENGTH = 64
 #: Pairs in the memo of adjacent-token compatibility.
-MEMO_PAIRS = 2_000_000
+MEMO_PAIRS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -177,6 +177,10 @@ class Codec:
         self.encoder, compiled, self.memo = encoder_of(path, pattern)
         self.pieces = compiled.findall
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.encoder.pairs.clear()
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces(text))))
 
@@ -193,6 +197,7 @@ def mapped(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str,
             made = [rows(codec, t.as_py() or "") for t in b.column(1)]
             columns = [b.column(0), *(pa.array([m[i] for m in made], schema.field(i + 1).type) for i in range(len(schema) - 1))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        codec.forget()  # a worker lives on for other tasks
 
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
 
