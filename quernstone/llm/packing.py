@@ -10,20 +10,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import partitions, quoted
+from quernstone.llm.common import quoted
 
 GROUP = "grp int, doc_id long, data binary"
 
 
-def grouped_documents(docs: DataFrame, id_col: str, text_col: str, n: int | None = None) -> tuple[DataFrame, int]:
-    """(grp, doc_id, data): whole texts as UTF-8, dealt to groups by a hash of the id; and the number of groups.
+def grouped_documents(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(grp, doc_id, data): whole texts as UTF-8, dealt to n groups by a hash of the id.
 
     Every use of the frame in one plan has the same exchange below it, which Spark then runs once.
     """
-    n = n or 2 * partitions(docs.sparkSession)
     ids = quoted(id_col).cast("long")
     data = F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.pmod(F.xxhash64(ids, F.lit("group")), F.lit(n)).cast("int").alias("grp"), ids.alias("doc_id"), data.alias("data")), n
+    return docs.select(F.pmod(F.xxhash64(ids, F.lit("group")), F.lit(n)).cast("int").alias("grp"), ids.alias("doc_id"), data.alias("data"))
 
 
 def rows_of(table: pa.Table) -> list[tuple[int | None, bytes]]:
@@ -33,11 +32,6 @@ def rows_of(table: pa.Table) -> list[tuple[int | None, bytes]]:
     return rows
 
 
-def shard_count(docs: DataFrame) -> int:
-    """Half as many as the cluster's shuffle partitions: every group sends every shard one row, so they multiply."""
-    return max(1, partitions(docs.sparkSession) // 2)
-
-
 def pack(array: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(array).tobytes(), 3)
 

@@ -13,7 +13,11 @@ sample. In the merged order the suffixes of an anchor stand together; with the b
 far two of them agree to both sides is exact, and where that makes `length` bytes or more, the bytes are marked.
 
 Suffixes of one run that are equal to both sides travel once. Anchors with many different surroundings are not compared in
-pairs but by the windows around them, in time linear in their number.
+pairs but by the windows around them, in time linear in their number. An anchor that more than `hot` groups have would bring all
+that stands around it to one task: its windows are suffixes of their own instead, each with the hash of the whole window in front,
+so they fall into all ranges, and a group sends each different one once.
+
+Groups have about `GROUP_BYTES` of text whatever the size of the input.
 
 Defined results: a null or empty text has nothing to remove; texts shorter than the length are kept whole; a null doc_id
 counts as larger than any other; rows that repeat a doc_id don't shorten each other, whether their texts are equal or not;
@@ -27,17 +31,20 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import partitions
+from quernstone.llm.common import partitions, text_or_empty
 from quernstone.llm.order_minhash import kmer_hashes, mixed
-from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, shard_count, table_of, unpack, unpack_sorted
+from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorted, rows_of, table_of, unpack, unpack_sorted
 
 LENGTH, K = 50, 20
 SLAB = 1 << 16
 #: Different surroundings of an anchor up to which they are compared in pairs.
 PAIRS = 12
+#: Groups that may have an anchor before its windows are dealt out, and bytes of text of a group.
+HOT, GROUP_BYTES = 64, 4 << 20
 LAST = (1 << 63) - 1
 
 MESSAGE = pa.schema([("shard", pa.int32()), ("grp", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
@@ -92,7 +99,8 @@ class Group:
         self.places, self.hashes = anchors(self.buffer, self.ends, length, k)
         self.text = np.searchsorted(self.ends, self.places, "right")
         ids = [LAST if self.rows[i][0] is None else self.rows[i][0] for i in self.long]
-        self.ids = np.array(ids, dtype=np.int64)[self.text] if len(self.places) else np.empty(0, np.int64)
+        self.ids_by_text = np.array(ids, dtype=np.int64)
+        self.ids = self.ids_by_text[self.text]
         self.values, self.of = np.unique(self.hashes, return_inverse=True)
 
 
@@ -107,8 +115,8 @@ def ask(table: pa.Table, shards: int, length: int, k: int) -> pa.Table:
     return table_of(MESSAGE, [(s, grp, pack_sorted(g.values[at]), pack(np.packbits(twice[at]))) for s, at in by_shard(g.values, shards)])
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """A bit for each hash that a group has sent: stands in two documents or not."""
+def answer(table: pa.Table, hot: int) -> pa.Table:
+    """Two bits for each hash that a group has sent: stands in two documents or not, and in more than `hot` groups or not."""
     sent = [unpack_sorted(d) for d in table.column("data").to_pylist()]
     if not sent:
         return table_of(MESSAGE, [])
@@ -116,13 +124,24 @@ def answer(table: pa.Table) -> pa.Table:
     values, of, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
     shared = counts > 1
     shared[of[np.concatenate(twice).astype(bool)]] = True
-    bits, at, out = shared[of], 0, []
+    bits, crowded, at, out = shared[of], (counts > hot)[of], 0, []
     for shard, grp, v in zip(table.column("shard").to_pylist(), table.column("grp").to_pylist(), sent, strict=True):
-        out.append((shard, grp, pack(np.packbits(bits[at : at + len(v)])), b""))
+        out.append((shard, grp, pack(np.packbits(bits[at : at + len(v)])), pack(np.packbits(crowded[at : at + len(v)]))))
         at += len(v)
     return table_of(MESSAGE, out)
 
 
+def windows_around(g: Group, anchors_: np.ndarray, starts: np.ndarray, length: int, left: int) -> np.ndarray:
+    """Where a window of whole length starts that has one of the anchors, each place once."""
+    places, text = g.places[anchors_], g.text[anchors_]
+    low, high = np.maximum(starts[text], places - left), np.minimum(places, g.ends[text] - length)
+    depth = np.zeros(len(g.buffer) + 2, np.int32)
+    fits = low <= high
+    np.add.at(depth, low[fits], 1)
+    np.add.at(depth, high[fits] + 1, -1)
+    return np.flatnonzero(np.cumsum(depth) > 0)
+
+
 def front_coded(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Common bytes with the one before, lengths of the rests, and the rests."""
     shared, rests, before = [], [], b""
@@ -154,24 +173,32 @@ def send(table: pa.Table, marks: pa.Table, shards: int, length: int, k: int) ->
     if not table.num_rows:
         return table_of(RUN, [])
     g = Group(table, length, k)
-    shared = np.zeros(len(g.values), bool)
-    masks = dict(zip(marks.column("shard").to_pylist(), marks.column("data").to_pylist(), strict=True))
+    shared, crowded = np.zeros(len(g.values), bool), np.zeros(len(g.values), bool)
+    masks = {r["shard"]: (r["data"], r["more"]) for r in marks.select(["shard", "data", "more"]).to_pylist()}
     for s, at in by_shard(g.values, shards):
-        shared[at] = np.unpackbits(unpack(masks[s], np.uint8))[: at.stop - at.start].astype(bool)
-    chosen = np.flatnonzero(shared[g.of])
+        for mask, data in zip((shared, crowded), masks[s], strict=True):
+            mask[at] = np.unpackbits(unpack(data, np.uint8))[: at.stop - at.start].astype(bool)
     left, ends, buffer, seen = length - k, g.ends, g.buffer, {}
     starts = np.r_[0, ends]
+    chosen = np.flatnonzero((shared & ~crowded)[g.of])
+    places, text = g.places[chosen], g.text[chosen]
     heads = g.hashes[chosen].astype(">u8").tobytes()
-    for n, (place, text) in enumerate(zip(g.places[chosen].tolist(), g.text[chosen].tolist(), strict=True)):
-        start, end = starts[text], ends[text]
+    for n, (place, t) in enumerate(zip(places.tolist(), text.tolist(), strict=True)):
+        start, end = starts[t], ends[t]
         key = (heads[8 * n : 8 * n + 8] + buffer[place : min(place + length, end)], buffer[max(start, place - left) : place][::-1])
         seen.setdefault(key, []).append(n)
+    windows = windows_around(g, np.flatnonzero(crowded[g.of]), starts, length, left)
+    for n, place in enumerate(windows.tolist(), len(places)):
+        window = buffer[place : place + length]
+        seen.setdefault((xxhash.xxh64_digest(window, 42) + window, b""), []).append(n)
+    places = np.r_[places, windows]
+    text = np.searchsorted(ends, places, "right")
     keys = sorted(seen)
     grp, out = table.column("grp")[0].as_py(), []
     if not keys:
         return table_of(RUN, [])
     first = np.frombuffer(b"".join(key[0][:8] for key in keys), dtype=">u8").astype(np.uint64)
-    docs, text, local = g.ids[chosen], g.text[chosen], g.places[chosen] - starts[g.text[chosen]]
+    docs, local = g.ids_by_text[text], places - starts[text]
     for s, at in by_shard(first, shards):
         mine = keys[at]
         shared_n, rest_n, rests = front_coded([key[0] for key in mine])
@@ -356,24 +383,25 @@ def cut(table: pa.Table, spans: pa.Table, length: int, finish) -> list[tuple]:
     return out
 
 
-def removal(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, finish, schema: pa.Schema, ddl: str) -> DataFrame:
+def removal(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, hot: int, finish, schema: pa.Schema, ddl: str) -> DataFrame:
     if not 0 < k < length <= 200:
         raise ValueError("k must be less than length, and length at most 200")
-    shards = shard_count(docs)
-    texts, _ = grouped_documents(docs, id_col, text_col, 4 * partitions(docs.sparkSession))
+    shards = 2 * partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
+    texts = grouped_documents(docs, id_col, text_col, max(partitions(docs.sparkSession), -(-size // GROUP_BYTES)))
     asked = texts.groupBy("grp").applyInArrow(lambda t: ask(t, shards, length, k), MESSAGE_DDL)
-    answered = asked.groupBy("shard").applyInArrow(answer, MESSAGE_DDL)
+    answered = asked.groupBy("shard").applyInArrow(lambda t: answer(t, hot), MESSAGE_DDL)
     runs = texts.groupBy("grp").cogroup(answered.groupBy("grp")).applyInArrow(lambda t, m: send(t, m, shards, length, k), RUN_DDL)
     spans = runs.groupBy("shard").applyInArrow(lambda t: compare(t, length, k), "grp int, data binary")
     return texts.groupBy("grp").cogroup(spans.groupBy("grp")).applyInArrow(lambda t, s: table_of(schema, cut(t, s, length, finish)), ddl)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of each row; kept: the bytes that stay."""
-    return removal(docs, id_col, text_col, length, k, lambda *row: row, RESULT, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return removal(docs, id_col, text_col, length, k, hot, lambda *row: row, RESULT, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
-def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
+def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """As remove_repeats, with kept_sha256 in place of the bytes."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    return removal(docs, id_col, text_col, length, k, lambda d, kept, *n: (d, *n, hashlib.sha256(kept).hexdigest()), schema, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removal(docs, id_col, text_col, length, k, hot, lambda d, kept, *n: (d, *n, hashlib.sha256(kept).hexdigest()), schema, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -375,7 +375,8 @@ def test_scores_awkward(spark):
 # Suffix-array dedup
 
 
-def test_repeats_of_fifty_bytes(spark):
+@pytest.mark.parametrize("hot", [64, 2, 1])
+def test_repeats_of_fifty_bytes(spark, hot):
     r = random.Random(2)
     base = ["".join(r.choice("abcdefgh é") for _ in range(400)) for _ in range(6)]
     docs = []
@@ -386,10 +387,10 @@ def test_repeats_of_fifty_bytes(spark):
             t += b[s : s + r.choice([20, 49, 50, 51, 60, 100])] + r.choice(["", "x", "yy"])
         docs.append((r.randrange(100), t))
     docs += [(None, base[0]), (500, "a" * 300), (501, "a" * 70 + "b" * 60), (502, None), (503, ""), (504, base[1]), (3, base[1]), (504, base[1])]
-    hot = "".join(r.choice("xyz") for _ in range(25))
+    core = "".join(r.choice("xyz") for _ in range(25))
     for i in range(40):
-        docs.append((600 + i, "".join(r.choice("ab") for _ in range(12)) + hot + "".join(r.choice("ab") for _ in range(14)) + hot + "ab" * 20))
-    assert rows_of(suffix_dedup.repeat_digests(spark.createDataFrame(docs, EMPTY))) == sorted(repeats(docs), key=lambda x: tuple(map(str, x)))
+        docs.append((600 + i, "".join(r.choice("ab") for _ in range(12)) + core + "".join(r.choice("ab") for _ in range(14)) + core + "ab" * 20))
+    assert rows_of(suffix_dedup.repeat_digests(spark.createDataFrame(docs, EMPTY), hot=hot)) == sorted(repeats(docs), key=lambda x: tuple(map(str, x)))
 
 
 def test_loser_tree_merges_by_known_prefixes():
