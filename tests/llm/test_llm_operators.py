@@ -69,6 +69,66 @@ def test_sparse_sites_follow_their_parents(spark):
     assert abs(got[0].path_rate - got[1].path_rate) < 0.05 and {round(r.evidence, 6) for r in got.values()} == {0.0}
 
 
+def test_classifier_against_a_plain_version(spark):
+    """Features, Newton steps, shrinkage and posterior, written out in plain Python and numpy."""
+    import math
+
+    import numpy as np
+
+    r = random.Random(4)
+    docs = [(i, "\n".join(" ".join(r.choice(["Aa", "bb", "c1!", "#", "dddd"]) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 4))), r.choice(["x", "y", "z"]), r.choice("pq")) for i in range(90)] + [(90, None, None, None), (91, "", "x", "rare")]
+    labels = [(i, int("!" in (docs[i][1] or "") or i % 7 == 0)) for i in range(0, 60)]
+
+    def shape(text):
+        text = text or ""
+        words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+        n, chars = max(len(words), 1), max(len(text), 1)
+        return [math.log1p(len(words)), sum(map(len, words)) / n / 10, sum(c in "#*$%&|<>" for c in text) / n, sum(c.isupper() for c in text) / chars, sum(c.isdigit() for c in text) / chars, (len(lines) - len(set(lines))) / max(len(lines), 1), text.count("!") / n, len(set(words)) / n]
+
+    x = np.array([shape(t) for _, t, _, _ in docs])
+    taught, y = x[[i for i, _ in labels]], np.array([q for _, q in labels], float)
+    mean, spread = taught.mean(0), taught.std(0) + 1e-9
+    z, b = np.c_[np.ones(len(y)), (taught - mean) / spread], np.zeros(9)
+    for _ in range(quality_classifier.ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        w = p * (1 - p) + 1e-6
+        b = b + np.linalg.solve((z * w[:, None]).T @ z + quality_classifier.RIDGE * np.eye(9), z.T @ (y - p) - quality_classifier.RIDGE * b)
+    evidence = np.clip(np.c_[np.ones(len(x)), (x - mean) / spread] @ b, -12, 12)
+    p = 1 / (1 + np.exp(-evidence))
+    host = [h or "" for _, _, h, _ in docs]
+    path = [(h or "", q or "") for _, _, h, q in docs]
+    prior = p.mean()
+
+    def moments(groups, priors):
+        n, s = np.array([len(g) for g in groups]), np.array([p[g].sum() for g in groups])
+        rate = min(max(p.mean(), 1e-4), 1 - 1e-4)
+        within = rate * (1 - rate)
+        between = max(((n * (s / n - priors) ** 2).sum() - len(n) * within) / n.sum(), 1e-6)
+        return min(max(within / between - 1, 1.0), 10_000.0)
+
+    at = lambda names: {k: [i for i, v in enumerate(names) if v == k] for k in set(names)}
+    hosts, paths = at(host), at(path)
+    k_host = moments(list(hosts.values()), prior)
+    shrunk = {h: (p[g].sum() + k_host * prior) / (len(g) + k_host) for h, g in hosts.items()}
+    k_path = moments(list(paths.values()), np.array([shrunk[q[0]] for q in paths]))
+    odds = lambda v: math.log(min(max(v, 1e-4), 1 - 1e-4) / (1 - min(max(v, 1e-4), 1 - 1e-4)))
+    table = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    got = {g.doc_id: g for g in quality_classifier.classify(table, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.col("path")).collect()}
+    for i in range(len(docs)):
+        g, q = hosts[host[i]], paths[path[i]]
+        host_rate = (p[g].sum() - p[i] + k_host * prior) / (len(g) - 1 + k_host)
+        path_rate = (p[q].sum() - p[i] + k_path * host_rate) / (len(q) - 1 + k_path)
+        quality = 1 / (1 + math.exp(-(evidence[i] - odds(y.mean()) + odds(path_rate))))
+        assert (got[i].evidence, got[i].host_rate, got[i].path_rate, got[i].quality) == pytest.approx((evidence[i], host_rate, path_rate, quality), rel=1e-6)
+        assert got[i].kept == (got[i].quality >= 0.5)
+
+
+def test_the_sample_of_labels_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"word {i}") for i in range(50)] + [(2, "other text!")], EMPTY)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_classifier.classify(docs, labels, F.lit("h"), F.lit("p"), sample=5).count() == 51
+
+
 def test_classifier_awkward(spark):
     labels = spark.createDataFrame([(1, 1), (8, 0), (3, None), (None, 1)], "doc_id long, quality int")
     docs = awkward(spark)
@@ -94,6 +154,42 @@ def test_edits_of_the_next_document(spark):
         assert got[d].near_next == float((order_minhash.signature(t.encode()) == order_minhash.signature(after.encode())).mean())
 
 
+def plain_signature(data, k, picks, functions):
+    """Order MinHash as its definition has it, one k-mer after the other, on Python's integers."""
+    whole, half = (1 << 64) - 1, (1 << 32) - 1
+    step, mix_a, mix_b, occurrence, pair = (int(x) for x in order_minhash.odd_factors(5, 64, 1))
+
+    def mix(x):
+        x = (x ^ x >> 29) * mix_a & whole
+        x = (x ^ x >> 32) * mix_b & whole
+        return x ^ x >> 31
+
+    if not data:
+        return [0] * functions
+    padded = data if len(data) >= k else data + bytes(k - len(data))
+    kmers = [mix(sum((c + 1) * pow(step, k - 1 - i, 1 << 64) for i, c in enumerate(padded[at : at + k])) & whole) for at in range(len(padded) - k + 1)]
+    seen, items = {}, []
+    for x in kmers:
+        items.append(mix(x + seen.get(x, 0) * occurrence & whole) >> 32)
+        seen[x] = seen.get(x, 0) + 1
+    out = []
+    for factor in order_minhash.odd_factors(functions, 32, 2):
+        picked = sorted(sorted(range(len(items)), key=lambda i: (items[i] * int(factor) & half, i))[:picks])
+        h = 0
+        for n, i in enumerate(picked):
+            h = mix(h * pair + kmers[i] + n + 1 & whole)
+        out.append(h >> 48)
+    return out
+
+
+@pytest.mark.parametrize(("k", "picks", "functions"), [(12, 2, 32), (3, 4, 5), (7, 1, 8)])
+def test_signatures_against_the_definition(k, picks, functions):
+    r = random.Random(k)
+    texts = [b"", b"a", b"short", b"ab" * 40, "é".encode() * 9, *(bytes(r.choice(b"abcd ") for _ in range(r.randrange(1, 400))) for _ in range(25)), bytes(r.choice(b"xyz") for _ in range(9000))]
+    for t in texts:
+        assert order_minhash.signature(t, k, picks, functions).tolist() == plain_signature(t, k, picks, functions)
+
+
 def test_order_matters_and_small_edits_do_not():
     r = random.Random(1)
     words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
