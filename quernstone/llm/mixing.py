@@ -29,8 +29,8 @@ SEED = 42
 MAX_EPOCHS = 2
 #: The budget as a share of all tokens.
 SHARE = 0.6
-#: Buckets of a leaf: the first hexadecimal digits of the hash.
-DIGITS = 3
+#: Rows of a leaf that are added up one by one in the end.
+BUCKET_ROWS = 100_000
 
 #: The production tree: weights of domains and of languages in each domain; sources weigh the same.
 DOMAINS = {"web": 0.4, "books": 0.3, "code": 0.2, "talk": 0.1}
@@ -78,22 +78,37 @@ def leaf_budgets(leaves: DataFrame, path: list[str], level_weights: list[dict[st
 BROADCAST_LEAVES = 50_000
 
 
-def cut_offs(slim: DataFrame, plan: DataFrame, levels: list[str], seed: int, few: bool) -> DataFrame:
-    """plan with cut: the largest hash of the prefix of the leaf's partial epoch (null: nothing of it is taken). few: plan may be broadcast."""
-    wanted = plan.select(*levels, "whole", "more")
-    wanted = F.broadcast(wanted) if few else wanted
-    ranked = slim.join(wanted, levels).where("more > 0")
-    ranked = ranked.select(*levels, "more", "tokens", epoch_hash(F.col("whole"), F.col("id"), seed).alias("h")).withColumn("b", F.substring("h", 1, DIGITS))
-    leaf = W.partitionBy(*levels).orderBy("b")
-    sums = ranked.groupBy(*levels, "b").agg(F.sum("tokens").alias("s"), F.first("more").alias("more"), F.max("h").alias("last"))
-    sums = sums.withColumn("start", F.coalesce(F.sum("s").over(leaf.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    #: buckets that fit whole, and the one in which the budget runs out
-    fits = sums.where(F.col("start") + F.col("s") <= F.col("more")).groupBy(*levels).agg(F.max("last").alias("cut"))
-    edge = sums.where((F.col("start") <= F.col("more")) & (F.col("start") + F.col("s") > F.col("more"))).select(*levels, "b", "start")
-    rows = ranked.join(edge, [*levels, "b"]).groupBy(*levels, "b", "start", "more", "h").agg(F.sum("tokens").alias("tokens"))
-    upto = F.col("start") + F.sum("tokens").over(W.partitionBy(*levels, "b").orderBy("h"))
-    inside = rows.withColumn("upto", upto).where("upto <= more").groupBy(*levels).agg(F.max("h").alias("cut"))
-    cut = fits.unionByName(inside).groupBy(*levels).agg(F.max("cut").alias("cut"))
+def cut_offs(slim: DataFrame, plan: DataFrame, levels: list[str], seed: int, few: bool, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """plan with cut: the largest hash of the prefix of the leaf's partial epoch (null: nothing of it is taken). few: plan may be broadcast.
+
+    The hash where the budget runs out is narrowed down by two hexadecimal digits at a time: 256 sums for each leaf, of which one bucket
+    goes on, until a bucket of the largest leaf has about bucket_rows rows; these are added up one by one.
+    """
+    rounds, most = 1, slim.count()
+    while most > bucket_rows * 256**rounds:
+        rounds += 1
+    state = plan.select(*levels, "whole", "more", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("string").alias("cut")).where("more > 0")
+    leaf = W.partitionBy(*levels)
+
+    def reached(state: DataFrame) -> DataFrame:
+        """Rows of the bucket that each leaf's state names, with h."""
+        rows = slim.join(F.broadcast(state) if few else state, levels).withColumn("h", epoch_hash(F.col("whole"), F.col("id"), seed))
+        return rows.where(F.col("h").startswith(F.col("prefix")))
+
+    kept = ["whole", "more", "prefix", "start", "cut"]
+    for k in range(1, rounds + 1):
+        sums = reached(state).groupBy(*levels, F.substring("h", 1, 2 * k).alias("b")).agg(F.sum("tokens").alias("s"), F.max("h").alias("last"), *(F.first(c).alias(c) for c in kept))
+        upto = F.col("start") + F.sum("s").over(leaf.orderBy("b").rowsBetween(W.unboundedPreceding, 0))
+        sums = sums.withColumn("upto", upto)
+        full = F.max(F.when(F.col("upto") <= F.col("more"), F.col("last"))).over(leaf)
+        # the bucket in which the budget runs out is the first that it doesn't fill
+        edge = sums.withColumn("full", full).where((F.col("upto") > F.col("more")) & (F.col("upto") - F.col("s") <= F.col("more")))
+        state = edge.groupBy(*levels).agg(*(F.min_by(c, "b").alias(c) for c in ("whole", "more")), F.min("b").alias("prefix"), F.min_by(F.col("upto") - F.col("s"), "b").alias("start"), F.min_by(F.coalesce("full", "cut"), "b").alias("cut"))
+        state = checkpointed(state)
+    rows = reached(state).groupBy(*levels, "start", "more", "h").agg(F.sum("tokens").alias("tokens"))
+    upto = F.col("start") + F.sum("tokens").over(leaf.orderBy("h"))
+    inside = rows.withColumn("upto", upto).where("upto <= more").groupBy(*levels).agg(F.max("h").alias("inside"))
+    cut = state.select(*levels, "cut").join(inside, levels, "left").select(*levels, F.coalesce("inside", "cut").alias("cut"))
     return plan.join(cut, levels, "left")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm.mixing import DIGITS, DOMAINS, LANGUAGES, MAX_EPOCHS, SEED, SHARE  # noqa: F401
+from quernstone.llm.mixing import DOMAINS, LANGUAGES, MAX_EPOCHS, SEED, SHARE  # noqa: F401
 from quernstone.llm.sharding import SHARDS, SLOTS
 
 BLANKS = r"[\x20\x09-\x0D]+"
