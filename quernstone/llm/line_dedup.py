@@ -42,8 +42,8 @@ ID = ["d", "p", "h"]
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, p, line): lines with a word, by the id of their document and their place in it."""
-    parts = docs.select(quoted(id_col).cast("long").alias("d"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("p", "line"))
+    """(d, t, p, line): lines with a word, by the id of their document, the hash of its text and their place in it."""
+    parts = docs.select(quoted(id_col).cast("long").alias("d"), F.xxhash64(text_or_empty(text_col)).alias("t"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("p", "line"))
     return parts.where(F.col("line").rlike(WORD))
 
 
@@ -179,10 +179,10 @@ def linked_lines(docs: DataFrame, id_col: str, text_col: str, edits: int, per_ed
     lines = lines_of(docs, id_col, text_col)
     # Copies meet by their 128-bit digest; what else is needed of a line is taken before the exchange, so no text moves.
     slim = lines.withColumn("n_chars", F.length("line"))
-    slim = slim.select("d", "p", F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"), F.xxhash64("line").alias("h"), "n_chars", all_keys(F.col("line"), F.col("n_chars"), edits, per_edit).alias("keys"))
+    slim = slim.select("d", "t", "p", F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"), F.xxhash64("line").alias("h"), "n_chars", all_keys(F.col("line"), F.col("n_chars"), edits, per_edit).alias("keys"))
     same_line = [F.first(c).alias(c) for c in ("h", "n_chars", "keys")]
-    different = slim.groupBy("digest").agg(F.min(F.struct("d", "p")).alias("at"), F.count("*").alias("n_copies"), *same_line)
-    different = checkpointed(different.select("digest", "at.d", "at.p", "h", "n_chars", "n_copies", "keys"))
+    different = slim.groupBy("digest").agg(F.min(F.struct("d", "p", "t")).alias("at"), F.count("*").alias("n_copies"), *same_line)
+    different = checkpointed(different.select("digest", "at.d", "at.p", "at.t", "h", "n_chars", "n_copies", "keys"))
     listed = checkpointed(met(different.select(*ID, F.inline("keys"))))
     ids = checkpointed(listed.select(*ID).distinct())
     same = [F.col("l.d").eqNullSafe(F.col("i.d")), F.col("l.p") == F.col("i.p"), F.col("l.h") == F.col("i.h")]
@@ -225,13 +225,13 @@ def judged(different: DataFrame, links: DataFrame) -> DataFrame:
     earlier = F.struct("db", "pb", "hb") < F.struct("da", "pa", "ha")
     ends = links.select("da", "pa", "ha", earlier.alias("earlier")).union(links.select("db", "pb", "hb", ~earlier)).groupBy("da", "pa", "ha").agg(F.count("*").alias("n_links"), F.max("earlier").alias("earlier"))
     counted = different.join(ends, [F.col("d").eqNullSafe(F.col("da")), F.col("p") == F.col("pa"), F.col("h") == F.col("ha")], "left")
-    return counted.select("digest", *ID, F.col("n_chars").cast("long"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (~F.coalesce("earlier", F.lit(False))).alias("kept"))
+    return counted.select("digest", *ID, "t", F.col("n_chars").cast("long"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (~F.coalesce("earlier", F.lit(False))).alias("kept"))
 
 
 def join_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per_edit: int = PER_EDIT, hot: int = HOT) -> DataFrame:
     """A row for each different line: d, p (where it stands first), h (its hash), n_chars, n_copies, n_links and kept."""
     _, different, links = linked_lines(docs, id_col, text_col, edits, per_edit, hot)
-    return judged(different, links).drop("digest")
+    return judged(different, links).drop("digest", "t")
 
 
 def members_and_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per_edit: int = PER_EDIT, hot: int = HOT) -> DataFrame:
@@ -260,10 +260,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length_col: a column that gets the code points of what is left.
     """
     own = docs.columns
-    kept = join_lines(docs, id_col, text_col, edits, per_edit, hot).where("kept").groupBy("d").agg(F.sort_array(F.collect_list(F.struct("p", "h"))).alias("k"))
-    row, d, lines, keep = fresh(docs, "row_", "d_", "lines_", "keep_")
-    packed = docs.select(F.struct(*(quoted(c) for c in own)).alias(row), quoted(id_col).cast("long").alias(d), F.split(text_or_empty(text_col), "\n").alias(lines))
-    joined = packed.join(kept.select(F.col("d").alias("kept d"), F.col("k").alias(keep)), quoted(d).eqNullSafe(F.col("`kept d`")), "left")
+    _, different, links = linked_lines(docs, id_col, text_col, edits, per_edit, hot)
+    # By id and text: rows without an id, or with one that others have too, don't gather each other's lines.
+    kept = judged(different, links).where("kept").groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("p", "h"))).alias("k"))
+    row, d, t, lines, keep = fresh(docs, "row_", "d_", "t_", "lines_", "keep_")
+    packed = docs.select(F.struct(*(quoted(c) for c in own)).alias(row), quoted(id_col).cast("long").alias(d), F.xxhash64(text_or_empty(text_col)).alias(t), F.split(text_or_empty(text_col), "\n").alias(lines))
+    joined = packed.join(kept.select(F.col("d").alias("kept d"), F.col("t").alias("kept t"), F.col("k").alias(keep)), [quoted(d).eqNullSafe(F.col("`kept d`")), quoted(t) == F.col("`kept t`")], "left")
     at = quoted(lines)
     mine = F.filter(F.coalesce(quoted(keep), F.array().cast("array<struct<p:int,h:bigint>>")), lambda k: F.xxhash64(F.get(at, k["p"])) == k["h"])
     blank = F.filter(F.transform(at, lambda x, i: F.when(~x.rlike(WORD), i)), lambda i: i.isNotNull())
