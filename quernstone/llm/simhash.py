@@ -9,7 +9,7 @@ bit (distance 4: two bits) instead. Two fingerprints within the distance have su
 a star around each neighbour's smallest member connects what the join would have connected, in rows that grow with the
 group and not with its square.
 
-Components: alternating star contraction, each round checkpointed, until nothing changes.
+Components: alternating star contraction, each round stored in the shared folder, until nothing changes.
 
 The pipeline's stage links texts by the Jaccard similarity of their sets of five-word shingles, which no radius with usable
 blocks covers. Candidates come from MinHash bands: a pair at the similarity of 0.8 shares none of the 32 bands of 4 with
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import checkpointed, quoted
 from quernstone.llm.order_minhash import PAIR, mixed, odd_factors
+from quernstone.operators.graph import connected_components
 
 DISTANCE, BLOCKS, HOT = 2, 5, 24
 #: Of the pipeline's stage: shingles of five words, Jaccard similarity in percent, MinHash bands and functions of a band.
@@ -110,35 +111,12 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot:
     return met.union(star).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, component): for each id of edges (a, b) the smallest id that it is connected with.
-
-    Large star: every node hands its larger neighbours to its smallest. Small star: its smaller ones. Both keep the
-    connections and shrink the depth; the stars that are left when nothing changes are the components. The size of a
-    node's list is bounded by grouping: only minima are gathered, never the lists themselves.
-    """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = checkpointed(small.select("u", "m").union(small.where("v > m").select("v", "m")).distinct().toDF("u", "v"))
-        now = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(20,0)")), F.sum(F.col("v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        before = now
-    raise RuntimeError("the components did not settle")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = DISTANCE, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: the smallest doc_id that links lead to, its own included."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, width))
     nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
     nodes = checkpointed(nodes)
-    found = components(links(nodes, distance, blocks, hot))
+    found = connected_components(links(nodes, distance, blocks, hot))
     names = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     # A fingerprint can have a third of all rows; the adaptive plan splits such a partition of marked.
     joined = marked.join(names.hint("merge"), "fp", "left")
@@ -233,7 +211,7 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, h
     leaders = crowd.join(weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp", "n")).alias("first")).select("key", "first.fp", "first.n")
     found = checkpointed(found.union(verified(sized(side(crowd, "a"), side(leaders, "b"), F.col("a") != F.col("b")))).distinct())
     # Members of one component need no further links; the others of a key all meet.
-    known = components(found).withColumnRenamed("id", "fp")
+    known = connected_components(found).withColumnRenamed("id", "fp")
     known = checkpointed(crowd.join(known, "fp", "left").withColumn("c", F.coalesce("component", "fp")))
     open_ = known.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
     rest = checkpointed(known.join(open_, "key", "left_semi").select("fp", "n", "c").distinct())
@@ -251,7 +229,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     marked = sketches(known, id_col, text_col, width)
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     texts = known.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    found = components(jaccard_links(texts, nodes, width, percent, hot)).withColumnRenamed("id", "fp")
+    found = connected_components(jaccard_links(texts, nodes, width, percent, hot)).withColumnRenamed("id", "fp")
     kept = nodes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("id").alias(KEPT)).select(KEPT).distinct()
     return docs.join(kept, quoted(id_col).cast("long") == F.col(KEPT), "left_semi").unionByName(docs.where(quoted(id_col).isNull()))
 

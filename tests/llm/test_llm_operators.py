@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import byte_bpe, line_dedup, mixing, ngram_lm, oracle, order_minhash, quality_classifier, quality_rules, queries, sharding, suffix_dedup
 from quernstone.llm import simhash as S
+from quernstone.operators.graph import connected_components
 
 EMPTY = "doc_id long, text string"
 
@@ -385,7 +386,7 @@ def test_links_connect_what_is_near(spark, distance, blocks):
     nodes = spark.createDataFrame([(f, i) for i, f in items.items()], "fp long, id long")
     best = linked(items, lambda a, b: (a ^ b).bit_count() <= distance)
     for hot in (24, 1):
-        found = {x.id: x.component for x in S.components(S.links(nodes, distance, blocks, hot)).collect()}
+        found = {x.id: x.component for x in connected_components(S.links(nodes, distance, blocks, hot)).collect()}
         assert {i: found.get(i, i) for i in items} == best
 
 
