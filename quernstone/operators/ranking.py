@@ -75,3 +75,14 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict
     on = [F.col("range") == F.col("range of"), *(F.col(k).eqNullSafe(F.col(f"{k} of")) for k in keys)]
     joined = summed.join(before, on).withColumns({n: F.col(n) + F.col(f"{n} before") for n in sums})
     return joined.drop("range", "range of", "row in range", *(f"{k} of" for k in keys), *(f"{n} before" for n in sums))
+
+
+def quantiles(df: DataFrame, value: str, probabilities: list[float]) -> list[float | None]:
+    """Exact quantiles of a column, interpolated between neighbours; nulls are left out. Values are ranked in ranges, and two rows of each quantile come to the driver."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    ranked = globally_numbered(rows, F.col("v"), name="r")
+    n = rows.count()
+    at = [p * (n - 1) for p in probabilities]
+    wanted = sorted({int(x) + d for x in at for d in (0, 1) if int(x) + d < n})
+    found = {r["r"]: r["v"] for r in ranked.where(F.col("r").isin(wanted or [-1])).collect()}
+    return [found[int(x)] + (x - int(x)) * (found.get(int(x) + 1, found[int(x)]) - found[int(x)]) if n else None for x in at]

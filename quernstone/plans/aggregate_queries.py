@@ -11,10 +11,11 @@ from quernstone.operators import cells as C
 from quernstone.operators import graph as G
 from quernstone.operators.evaluate import mann_whitney
 from quernstone.operators.neighbours import similar
-from quernstone.operators.ranking import top_n
+from quernstone.operators.ranking import quantiles, top_n
 from quernstone.plans.join_queries import AB, knn_sql, sides
 from quernstone.plans.registry import CANDIDATES, CUST_ALL, CUST_CELLS, PAIRS, PARTS, Tables, cells_sql, query
-from quernstone.plans.tables_queries import BATCHES, SYN_SQL, batches, synonyms
+from quernstone.plans.tables_queries import BATCHES, batches
+from quernstone.sources.storage import stored
 
 WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\pL\\pN]+'), lambda x: x <> '')[1:2048])"
 TEXT = f"cells AS (SELECT doc_id AS id, 'text' AS col, text AS val FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents), toks AS (SELECT id, col, unnest({WORDS.format('val')}) AS tok FROM cells)"
@@ -112,9 +113,9 @@ def metric_summary(t: Tables) -> DataFrame:
 @query("q_describe", "SELECT count(l_quantity) AS n, round(avg(l_quantity), 9) AS mean, round(stddev_samp(l_quantity), 9) AS std, min(l_quantity) AS least, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS q2, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS most FROM lineitem")
 def describe(t: Tables) -> DataFrame:
     c = "l_quantity"
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    s = t.lineitem.agg(F.count(c).alias("n"), F.round(F.avg(c), 9).alias("mean"), F.round(F.stddev_samp(c), 9).alias("std"), F.min(c).alias("least"), q, F.max(c).alias("most"))
-    return s.select("n", "mean", "std", "least", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)), "most")
+    q = quantiles(t.lineitem, c, [0.25, 0.5, 0.75])
+    s = t.lineitem.agg(F.count(c).alias("n"), F.round(F.avg(c), 9).alias("mean"), F.round(F.stddev_samp(c), 9).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"))
+    return s.select("n", "mean", "std", "least", *(F.lit(x).cast("double").alias(f"q{i + 1}") for i, x in enumerate(q)), "most")
 
 
 @query("q_sim_cut_rate", f"WITH {PAIRS}, m AS (SELECT min(score) AS lo, max(score) AS hi FROM pairs), b AS (SELECT label, greatest(1, ceil(round((score - lo) / (hi - lo) * 10, 9)))::INT AS bin FROM pairs, m) SELECT bin, count(*) AS n, avg(label) AS rate FROM b GROUP BY bin HAVING count(*) >= 5")
@@ -179,9 +180,10 @@ def category_consistency(t: Tables) -> DataFrame:
 def confidence_gap(t: Tables) -> DataFrame:
     a, b = sides(t)
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("sim")))
-    g = similar(a, b, k=2).groupBy("q").agg(at(1).alias("top"), (at(1) - at(2)).alias("gap"))
+    g = stored(similar(a, b, k=2).groupBy("q").agg(at(1).alias("top"), (at(1) - at(2)).alias("gap")))
+    median = F.lit(quantiles(g, "gap", [0.5])[0]).cast("double")
     share = lambda x: F.avg((F.col("gap") > x).cast("int"))
-    return g.agg(F.round(F.avg("gap"), 6).alias("mean"), F.round(F.median("gap"), 6).alias("median"), F.round(F.stddev_pop("gap"), 6).alias("std"), share(0.02).alias("over_a"), share(0.05).alias("over_b"), F.round(F.avg("top"), 6).alias("top"))
+    return g.agg(F.round(F.avg("gap"), 6).alias("mean"), F.round(median, 6).alias("median"), F.round(F.stddev_pop("gap"), 6).alias("std"), share(0.02).alias("over_a"), share(0.05).alias("over_b"), F.round(F.avg("top"), 6).alias("top"))
 
 
 PART_CELLS = f"{PARTS}, {cells_sql('parts', ['brand', 'type', 'size'], True)}, k AS (SELECT cells.*, parts.name AS key FROM cells JOIN parts USING (id))"
