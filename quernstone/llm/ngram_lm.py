@@ -10,6 +10,9 @@ context. Order by order, that gives all that the model is made of, and nobody ev
 group's slice of the model. A worker writes its slice as sorted hash arrays with their values, maps the file into memory and
 scores its texts from there.
 
+store_model keeps the shards themselves, in a folder that executors share, and model_scores scores any documents by them: each
+group's n-grams go to their shards, whose sorted arrays a worker maps into memory to find them.
+
 A group has about `GROUP_BYTES` of text whatever the size of the input, and a shard adds up counts that each group has added up before, so
 a word or word pair that a third of all texts have is one entry of each group.
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +56,10 @@ MESSAGE = pa.schema([("shard", pa.int32()), ("grp", pa.int64()), ("hashes", pa.b
 MESSAGE_DDL = "shard int, grp long, hashes binary, counts binary"
 ANSWER = pa.schema([("grp", pa.int64()), ("level", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("tally", pa.binary())])
 ANSWER_DDL = "grp long, level int, shard int, data binary, tally binary"
+MODEL = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("tally", pa.binary())])
+MODEL_DDL = "level int, shard int, hashes binary, counts binary, tally binary"
+QUESTION = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("grp", pa.int64()), ("hashes", pa.binary())])
+QUESTION_DDL = "level int, shard int, grp long, hashes binary"
 TALLIES = ("n1", "n2", "n3", "n4", "n3up", "total", "tokens", "words")
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -214,28 +222,70 @@ def ask(table: pa.Table, answered: pa.Table | None, level: int, order: int, shar
     return message(g.grp, g.values[level], [own, *seen, beyond, *raw], shards, bits[level])
 
 
+class Summed:
+    """A shard's messages, in order of their groups, and what they add up to: values, sums, and for each hash sent its place in values."""
+
+    def __init__(self, table: pa.Table, bits: int):
+        order = np.argsort(table.column("grp").to_numpy(), kind="stable").tolist()
+        self.shard, self.groups = table.column("shard")[0].as_py(), table.column("grp").to_numpy()[order].tolist()
+        hashes, counts = (table.column(c) for c in ("hashes", "counts"))
+        sent = [unpack_sorted(hashes[i].as_py(), 64 - bits) for i in order]
+        self.edges = np.r_[0, np.cumsum([len(v) for v in sent])]
+        self.values, self.of = np.unique(np.concatenate(sent), return_inverse=True)
+        del sent
+        parts = [unpack_counts(counts[i].as_py()) for i in order]
+        self.sums = [np.bincount(self.of, weights=np.concatenate([x[k] for x in parts]), minlength=len(self.values)).astype(np.int64) for k in range(len(parts[0]))]
+        self.own = np.flatnonzero(np.concatenate([x[0] for x in parts]) > 0)  # places of those that a group has in training
+        count, raw = self.sums[0], self.sums[-1]
+        self.tally = np.array([*((count == k).sum() for k in (1, 2, 3, 4)), (count > 2).sum(), count.sum(), raw.sum(), (raw > 0).sum()], np.int64).tobytes()
+
+
 def answer(table: pa.Table, level: int, bits: int, owners: bool) -> pa.Table:
     """For each hash that a group sent: the count and whether the group owns it, or the count and the other sums; with each answer the shard's counts of counts."""
-    order = np.argsort(table.column("grp").to_numpy(), kind="stable")
-    shard, groups = table.column("shard")[0].as_py(), table.column("grp").to_numpy()[order].tolist()
-    hashes, counts = (table.column(c) for c in ("hashes", "counts"))
-    sent = [unpack_sorted(hashes[i].as_py(), 64 - bits) for i in order.tolist()]
-    edges = np.r_[0, np.cumsum([len(v) for v in sent])]
-    values, of = np.unique(np.concatenate(sent), return_inverse=True)
-    n = len(values)
-    del sent, values
-    parts = [unpack_counts(counts[i].as_py()) for i in order.tolist()]
-    sums = [np.bincount(of, weights=np.concatenate([x[k] for x in parts]), minlength=n).astype(np.int64) for k in range(len(parts[0]))]
-    own = np.flatnonzero(np.concatenate([x[0] for x in parts]) > 0)
-    del parts
-    owner = np.full(n, len(of), np.int64)
-    owner[of[own[::-1]]] = own[::-1]  # of those that have it in training, the first
-    count, raw = sums[0], sums[-1]
-    tally = np.array([*((count == k).sum() for k in (1, 2, 3, 4)), (count > 2).sum(), count.sum(), raw.sum(), (raw > 0).sum()], np.int64).tobytes()
+    s = Summed(table, bits)
+    owner = np.full(len(s.values), len(s.of), np.int64)
+    owner[s.of[s.own[::-1]]] = s.own[::-1]  # of those that have it in training, the first
     out = []
-    for grp, a, b in zip(groups, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        mine = of[a:b]
-        out.append((grp, level, shard, pack_counts([sums[0][mine], owner[mine] == np.arange(a, b)] if owners else [c[mine] for c in sums]), tally))
+    for grp, a, b in zip(s.groups, s.edges[:-1].tolist(), s.edges[1:].tolist(), strict=True):
+        mine = s.of[a:b]
+        out.append((grp, level, s.shard, pack_counts([s.sums[0][mine], owner[mine] == np.arange(a, b)] if owners else [c[mine] for c in s.sums]), s.tally))
+    return table_of(ANSWER, out)
+
+
+def model_shard(table: pa.Table, level: int, bits: int) -> pa.Table:
+    """A shard of the model: its sorted hashes that training has, with their sums."""
+    s = Summed(table, bits)
+    there = np.flatnonzero(np.any(np.stack(s.sums) > 0, axis=0))
+    return table_of(MODEL, [(level, s.shard, pack_sorted(s.values[there], 64 - bits), pack_counts([c[there] for c in s.sums]), s.tally)])
+
+
+def ask_model(table: pa.Table, order: int, shards: int, bits: list[int]) -> pa.Table:
+    """The different n-grams of a group, of all orders, by shard."""
+    g, out = Grams(table, bits), []
+    for m in range(1, order + 1):
+        g.reach(m)
+        out += [(m, s, g.grp, pack_sorted(g.values[m][at], 64 - bits[m])) for s, at in every_shard(g.values[m], shards)]
+        g.drop(m)
+    return table_of(QUESTION, out)
+
+
+def look_up(questions: pa.Table, model: pa.Table, order: int, bits: list[int]) -> pa.Table:
+    """What a stored shard has for the hashes that groups ask about. Its arrays are mapped from a file, and found by binary search."""
+    if not questions.num_rows:
+        return table_of(ANSWER, [])
+    level, shard = questions.column("level")[0].as_py(), questions.column("shard")[0].as_py()
+    width = (1 if level == order else 5) + (level == 1)
+    if model.num_rows:
+        hashes, columns, tally = unpack_sorted(model.column("hashes")[0].as_py(), 64 - bits[level]), unpack_counts(model.column("counts")[0].as_py()), model.column("tally")[0].as_py()
+    else:
+        hashes, columns, tally = np.empty(0, np.uint64), np.empty((width, 0), np.int64), np.zeros(len(TALLIES), np.int64).tobytes()
+    mapped = Mapped(hashes, columns)
+    known, out = mapped.column(-len(columns) - 1), []
+    for grp, asked in zip(questions.column("grp").to_pylist(), questions.column("hashes").to_pylist(), strict=True):
+        values = unpack_sorted(asked, 64 - bits[level])
+        at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+        hit = known[at] == values if len(known) else np.zeros(len(values), bool)
+        out.append((grp, level, shard, pack_counts([np.where(hit, mapped.column(i)[at] if len(known) else 0, 0) for i in range(len(columns))]), tally))
     return table_of(ANSWER, out)
 
 
@@ -302,33 +352,75 @@ def score(table: pa.Table, answered: pa.Table, order: int, shards: int, bits: li
     return table_of(SCORES, [(d, o, n, k, low["tokens"], b, t) for d, o, n, k, b, t in rows])
 
 
+class Training:
+    """Documents in groups, and for each order the messages about its n-grams that shards add up."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, order: int, group_bytes: int, repeatable: bool, like: dict | None = None):
+        if order < 1:
+            raise ValueError("the order must be 1 or more")
+        texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+        texts = texts if repeatable else stored(texts)
+        if like:
+            bits, self.shards = like["bits"], like["shards"]
+        else:
+            size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1))).first()[0] or 1
+            # Words are few: their hashes have twice the bits that number them, and some.
+            bits = [64, min(64, 2 * (size // 64).bit_length() + 8 + SPARE_BITS // 2)] + [min(64, (size // 4).bit_length() + SPARE_BITS)] * (order - 1)
+            self.shards = partitions(docs.sparkSession)
+        self.order, self.bits = order, bits
+        self.groups = texts.mapInArrow(lambda batches: tokenised(batches, group_bytes, bits[1]), GROUP_DDL)
+
+    def messages(self):
+        """(level, messages by shard), from the highest order; each level asks the one above which group owns an n-gram."""
+        owned = None
+        for level in range(self.order, 0, -1):
+            if owned is None:
+                first = self.asking(level)
+                sent = self.groups.groupBy("grp").applyInArrow(lambda t: first(t, None), MESSAGE_DDL)
+            else:
+                sent = self.groups.groupBy("grp").cogroup(owned.groupBy("grp")).applyInArrow(self.asking(level), MESSAGE_DDL)
+            by_shard = sent.groupBy("shard")
+            yield level, by_shard
+            owned = by_shard.applyInArrow(self.of_level(answer, level, True), ANSWER_DDL)
+
+    def asking(self, level: int):
+        order, shards, bits = self.order, self.shards, self.bits
+        return lambda t, a: ask(t, a, level, order, shards, bits)
+
+    def of_level(self, f, level: int, *more):
+        bits = self.bits[level]
+        return lambda t: f(t, level, bits, *more)
+
+    def scored(self, answers: DataFrame) -> DataFrame:
+        order, shards, bits = self.order, self.shards, self.bits
+        return self.groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda t, a: score(t, a, order, shards, bits), SCORES_DDL)
+
+
 def perplexity_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, group_bytes: int = GROUP_BYTES, repeatable: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are sums of log10.
 
     The perplexity of a text is 10 ** (-score / n_tokens). repeatable: a partition of docs that is computed again has the same rows in
     the same order, as in a scan of files; otherwise docs are stored first, so that groups stay what they were if executors are lost.
     """
-    if order < 1:
-        raise ValueError("the order must be 1 or more")
-    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    texts = texts if repeatable else stored(texts)
-    size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1))).first()[0] or 1
-    # Words are few: their hashes have twice the bits that number them, and some.
-    bits = [64, min(64, 2 * (size // 64).bit_length() + 8 + SPARE_BITS // 2)] + [min(64, (size // 4).bit_length() + SPARE_BITS)] * (order - 1)
-    shards = partitions(docs.sparkSession)
-    groups = texts.mapInArrow(lambda batches: tokenised(batches, group_bytes, bits[1]), GROUP_DDL)
-
-    def asked(level: int, owned: DataFrame | None) -> DataFrame:
-        if owned is None:
-            return groups.groupBy("grp").applyInArrow(lambda t: ask(t, None, level, order, shards, bits), MESSAGE_DDL)
-        return groups.groupBy("grp").cogroup(owned.groupBy("grp")).applyInArrow(lambda t, a: ask(t, a, level, order, shards, bits), MESSAGE_DDL)
-
-    def answering(level: int, owners: bool):
-        return lambda t: answer(t, level, bits[level], owners)
-
-    owned, every = None, None
-    for level in range(order, 0, -1):
-        messages = asked(level, owned).groupBy("shard")
-        owned, sums = (messages.applyInArrow(answering(level, owners), ANSWER_DDL) for owners in (True, False))
-        every = sums if every is None else every.union(sums)
-    return groups.groupBy("grp").cogroup(every.groupBy("grp")).applyInArrow(lambda t, a: score(t, a, order, shards, bits), SCORES_DDL)
+    t = Training(docs, id_col, text_col, order, group_bytes, repeatable)
+    answers = [sent.applyInArrow(t.of_level(answer, level, False), ANSWER_DDL) for level, sent in t.messages()]
+    return t.scored(reduce(DataFrame.union, answers))
+
+
+def store_model(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, group_bytes: int = GROUP_BYTES, repeatable: bool = False) -> None:
+    """The model of the documents that are not held out, in a folder that executors share: sorted hash arrays with their counts, a row for each order and shard."""
+    t = Training(docs, id_col, text_col, order, group_bytes, repeatable)
+    shards = [sent.applyInArrow(t.of_level(model_shard, level), MODEL_DDL) for level, sent in t.messages()]
+    reduce(DataFrame.union, shards).write.mode("overwrite").parquet(f"{path}/shards")
+    about = [(order, t.shards, t.bits)]
+    docs.sparkSession.createDataFrame(about, "model_order int, shards int, bits array<int>").write.mode("overwrite").json(f"{path}/about")
+
+
+def model_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, repeatable: bool = False) -> DataFrame:
+    """As perplexity_scores, by a stored model: any documents, each of whose n-grams is looked up in its shard."""
+    about = docs.sparkSession.read.schema("model_order int, shards int, bits array<int>").json(f"{path}/about").first()
+    order, shards, bits = about["model_order"], about["shards"], list(about["bits"])
+    t = Training(docs, id_col, text_col, order, group_bytes, repeatable, {"bits": bits, "shards": shards})
+    asked = t.groups.groupBy("grp").applyInArrow(lambda g: ask_model(g, order, shards, bits), QUESTION_DDL)
+    model = docs.sparkSession.read.schema(MODEL_DDL).parquet(f"{path}/shards")
+    return t.scored(asked.groupBy("level", "shard").cogroup(model.groupBy("level", "shard")).applyInArrow(lambda q, m: look_up(q, m, order, bits), ANSWER_DDL))

@@ -450,6 +450,17 @@ def test_kneser_ney(spark, order):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_a_stored_model_scores_alike(spark, tmp_path, order):
+    docs = spark.createDataFrame([(i, " ".join("abcdefg"[i * k % 7] for k in range(i % 11))) for i in range(60)] + [(None, None)], EMPTY)
+    ngram_lm.store_model(docs, str(tmp_path), order=order)
+    rounded = lambda df: sorted((str(r.doc_id), *r[1:5], round(r.base_score, 9), round(r.score, 9)) for r in df.collect())
+    assert rounded(ngram_lm.model_scores(docs, str(tmp_path))) == rounded(ngram_lm.perplexity_scores(docs, order=order))
+    other = spark.createDataFrame([(1, "a z unknown a b"), (2, "")], EMPTY)
+    got = {r.doc_id: r for r in ngram_lm.model_scores(other, str(tmp_path)).collect()}
+    assert (got[1].n_tokens, got[1].n_known, got[2].n_tokens) == (6, 4, 1) and got[1].score < got[2].score < 0
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in queries.op9_ngram_lm(spark, SF).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
