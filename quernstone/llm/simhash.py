@@ -14,9 +14,10 @@ Components: alternating star contraction, each round stored in the shared folder
 The pipeline's stage links texts by the Jaccard similarity of their sets of five-word shingles, which no radius with usable
 blocks covers. Candidates come from MinHash bands: a pair at the similarity of 0.8 shares none of the 32 bands of 4 with
 probability (1 - 0.8 ** 4) ** 32 = 5e-8. Every candidate's sets are compared, so each link is at the similarity or above it. Equal
-sets are one node. In a band key of more than `hot` nodes all meet the node that shares most keys first; nodes of a key
-that are not connected then are listed again in 128 bands of 12, which a pair at 0.8 misses with (1 - 0.8 ** 12) ** 128 = 1e-4 and
-one at 0.6 meets in with 0.24; what shares one of these meets in full, so nothing is left out for the size of its group.
+sets are one node. In a band key of more than `hot` nodes all meet the node that shares most keys first. Nodes of such a key that are not
+connected then are joined by prefix filter, which is exact: of two sets of sizes n and m at the similarity or above, the n - ceil(0.8 n) + 1
+first shingles of the one and as many by m of the other have one in common, in whatever order all sets are put. The order is by how many of
+these sets have a shingle, rarest first, so what a large group has in common is no key. Nothing is left out for the size of its group.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows each get a row; a
 null doc_id takes part in no link but gets its fingerprint and a null component; an empty table gives an empty result;
@@ -39,7 +40,7 @@ from quernstone.operators.graph import connected_components
 
 DISTANCE, BLOCKS, HOT = 2, 5, 24
 #: Of the pipeline's stage: shingles of five words, Jaccard similarity in percent, MinHash bands and functions of a band.
-STAGE_WIDTH, STAGE_PERCENT, BANDS, FINE_BANDS = 5, 80, (32, 4), (128, 12)
+STAGE_WIDTH, STAGE_PERCENT, BANDS = 5, 80, (32, 4)
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
@@ -168,16 +169,15 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp long, shingles array<long>")
 
 
-def fine_keys(sets: DataFrame) -> DataFrame:
-    """(fp, key) for each fine band of sets (fp, shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for fp, x in zip(b.column(0), b.column(1), strict=True):
-                keys = band_keys(x.values.to_numpy().view(np.uint64), *FINE_BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array([fp.as_py()] * len(keys), pa.int64()), pa.array(keys)], ["fp", "key"])
-
-    return sets.select("fp", "shingles").mapInArrow(run, "fp long, key long")
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(fp, key): the shingles in the prefix of each of sets (fp, shingles) that stand in another one too, rarest first by their number of sets."""
+    tokens = sets.select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    common = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = tokens.join(common, "key").groupBy("fp").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
+    # Shingles that no other set has come first in the order, and take up places of the prefix.
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    taken = F.greatest(length - (F.col("n") - F.size("k")), F.lit(0)).cast("int")
+    return shared.select("fp", F.explode(F.slice("k", F.lit(1), taken)).alias("x")).select("fp", F.col("x.key").alias("key"))
 
 
 def jaccard_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot: int) -> DataFrame:
@@ -217,7 +217,7 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, h
     rest = checkpointed(known.join(open_, "key", "left_semi").select("fp", "n", "c").distinct())
     if rest.isEmpty():
         return found
-    fine = fine_keys(sets.join(rest, "fp", "left_semi")).join(rest, "fp")
+    fine = prefix_keys(sets.join(rest, "fp", "left_semi"), percent).join(rest, "fp")
     shared = fine.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
     fine = checkpointed(fine.join(shared, "key", "left_semi"))
     return found.union(verified(sized(side(fine, "a", "c"), side(fine, "b", "c"), F.col("ca") < F.col("cb")))).distinct()
