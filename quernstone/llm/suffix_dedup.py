@@ -44,7 +44,7 @@ SLAB = 1 << 16
 #: Different surroundings of an anchor up to which they are compared in pairs.
 PAIRS = 12
 #: Groups that may have an anchor before its windows are dealt out, and bytes of text of a group.
-HOT, GROUP_BYTES = 64, 4 << 20
+HOT, GROUP_BYTES = 1024, 4 << 20
 LAST = (1 << 63) - 1
 
 MESSAGE = pa.schema([("shard", pa.int32()), ("grp", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
