@@ -14,7 +14,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.checkpoint.dir", "/tmp/checkpoints").config("spark.driver.host", "127.0.0.1").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.checkpoint.dir", "/tmp/checkpoints").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.driver.host", "127.0.0.1").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
