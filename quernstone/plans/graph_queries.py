@@ -210,8 +210,8 @@ def near(t: Tables, k: int = 5) -> DataFrame:
 
 @query("q_ga_history")
 def ga_history(t: Tables) -> DataFrame:
-    """Genetic search for the parameters of density clusters; a row for each generation."""
-    found = D.genetic_search(near(t), t.pairs().select("a", "b", "label"), t.embeddings.count())
+    """Genetic search for the parameters of density clusters; a row for each generation. The query takes ten generations, the operator 25 unless told."""
+    found = D.genetic_search(near(t), t.pairs().select("a", "b", "label"), t.embeddings.count(), generations=10)
     rows = [(g, *p[:3], bool(p[3]), bool(p[4]), best, mean) for g, p, best, mean in found]
     return t.spark.createDataFrame(rows, "generation int, smallest int, samples int, epsilon double, leaf boolean, whole boolean, best double, mean double")
 

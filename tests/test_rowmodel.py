@@ -135,6 +135,11 @@ def test_density_clusters(spark):
 def test_genetic_search(spark):
     _, df, near = blobs(spark)
     pairs = spark.createDataFrame([(i, (i + d) % 40, int(i // 20 == (i + d) % 40 // 20)) for i in range(40) for d in (1, 20)], "a long, b long, label int")
-    found = D.genetic_search(near, pairs, 41, size=6, generations=3)
-    assert [x[0] for x in found] == [0, 1, 2] and found[-1][2] >= found[0][2] > 0
-    assert found == D.genetic_search(near, pairs, 41, size=6, generations=3)
+    found = D.genetic_search(near, pairs, 41, size=5, generations=2)
+    assert [x[0] for x in found] == [0, 1] and found[-1][2] >= found[0][2] > 0
+    g, best, fitness, _ = found[-1]
+    labels = {r.id: r.cluster for r in D.hdbscan(near, df.selectExpr("vec_id id"), D.Params(*best[:3], bool(best[3]), bool(best[4]))).collect()}
+    same = [r.label for r in pairs.collect() if labels[r.a] == labels[r.b] >= 0]
+    precision, recall = sum(same) / len(same), sum(same) / pairs.where("label = 1").count()
+    largest = max(list(labels.values()).count(c) for c in set(labels.values()) - {-1})
+    assert fitness == pytest.approx(2 * precision * recall / (precision + recall) * (0.5 if largest > 0.5 * 41 else 1))
