@@ -17,7 +17,8 @@ probability (1 - 0.8 ** 4) ** 32 = 5e-8. Every candidate's sets are compared, so
 sets are one node. In a band key of more than `hot` nodes all meet the node that shares most keys first. Nodes of such a key that are not
 connected then are joined by prefix filter, which is exact: of two sets of sizes n and m at the similarity or above, the n - ceil(0.8 n) + 1
 first shingles of the one and as many by m of the other have one in common, in whatever order all sets are put. The order is by how many of
-these sets have a shingle, rarest first, so what a large group has in common is no key. Nothing is left out for the size of its group.
+these sets have a shingle, rarest first, so what a large group has in common is hardly a key, and a pair meets only in places after which both
+sets have enough shingles left for the similarity. Nothing is left out for the size of its group.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows each get a row; a
 null doc_id takes part in no link but gets its fingerprint and a null component; an empty table gives an empty result;
@@ -170,14 +171,14 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(fp, key): the shingles in the prefix of each of sets (fp, shingles) that stand in another one too, rarest first by their number of sets."""
+    """(fp, key, at): the shingles in the prefix of each of sets (fp, shingles) that stand in another one too, and their places, rarest first by their number of sets."""
     tokens = sets.select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     common = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(common, "key").groupBy("fp").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
     # Shingles that no other set has come first in the order, and take up places of the prefix.
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    taken = F.greatest(length - (F.col("n") - F.size("k")), F.lit(0)).cast("int")
-    return shared.select("fp", F.explode(F.slice("k", F.lit(1), taken)).alias("x")).select("fp", F.col("x.key").alias("key"))
+    alone = F.col("n") - F.size("k")
+    taken = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone, F.lit(0)).cast("int")
+    return shared.select("fp", alone.alias("alone"), F.posexplode(F.slice("k", F.lit(1), taken)).alias("i", "x")).select("fp", F.col("x.key").alias("key"), (F.col("alone") + F.col("i")).alias("at"))
 
 
 def jaccard_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot: int) -> DataFrame:
@@ -220,7 +221,8 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, h
     fine = prefix_keys(sets.join(rest, "fp", "left_semi"), percent).join(rest, "fp")
     shared = fine.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
     fine = checkpointed(fine.join(shared, "key", "left_semi"))
-    return found.union(verified(sized(side(fine, "a", "c"), side(fine, "b", "c"), F.col("ca") < F.col("cb")))).distinct()
+    enough = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    return found.union(verified(sized(side(fine, "a", "c", "at"), side(fine, "b", "c", "at"), (F.col("ca") < F.col("cb")) & enough))).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = STAGE_WIDTH, percent: int = STAGE_PERCENT, hot: int = HOT) -> DataFrame:
