@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +136,8 @@ def windows_around(g: Group, anchors_: np.ndarray, starts: np.ndarray, length: i
     """Where a window of whole length starts that has one of the anchors, each place once."""
     places, text = g.places[anchors_], g.text[anchors_]
     low, high = np.maximum(starts[text], places - left), np.minimum(places, g.ends[text] - length)
+    if not len(anchors_):
+        return np.empty(0, np.int64)
     depth = np.zeros(len(g.buffer) + 2, np.int32)
     fits = low <= high
     np.add.at(depth, low[fits], 1)
@@ -183,10 +186,13 @@ def send(table: pa.Table, marks: pa.Table, shards: int, length: int, k: int) ->
     chosen = np.flatnonzero((shared & ~crowded)[g.of])
     places, text = g.places[chosen], g.text[chosen]
     heads = g.hashes[chosen].astype(">u8").tobytes()
-    for n, (place, t) in enumerate(zip(places.tolist(), text.tolist(), strict=True)):
-        start, end = starts[t], ends[t]
-        key = (heads[8 * n : 8 * n + 8] + buffer[place : min(place + length, end)], buffer[max(start, place - left) : place][::-1])
-        seen.setdefault(key, []).append(n)
+    low, high = np.maximum(starts[text], places - left), np.minimum(places + length, ends[text])
+    for n, (place, a, b) in enumerate(zip(places.tolist(), low.tolist(), high.tolist(), strict=True)):
+        key = (heads[8 * n : 8 * n + 8] + buffer[place:b], buffer[a:place][::-1])
+        if key in seen:
+            seen[key].append(n)
+        else:
+            seen[key] = [n]
     windows = windows_around(g, np.flatnonzero(crowded[g.of]), starts, length, left)
     for n, place in enumerate(windows.tolist(), len(places)):
         window = buffer[place : place + length]
@@ -298,15 +304,19 @@ def merged(runs: list[Run]):
 
 
 def agreeing(a: tuple, b: tuple) -> tuple[int, int]:
-    return common(a[1], b[1], 0), common(a[0], b[0], 0)
+    return len(a[1]) if a[1] == b[1] else common(a[1], b[1], 0), len(a[0]) if a[0] == b[0] else common(a[0], b[0], 0)
 
 
 def marked(members: list[tuple[bytes, bytes, int, list]], length: int, left: int):
     """(occurrence, from, to) around an anchor; members: (right, left reversed, least id, occurrences (id, ...)), all different."""
     if len(members) <= PAIRS:
-        by_id = sorted(members, key=lambda m: m[2])
+        by_id = sorted(members, key=itemgetter(2)) if len(members) > 1 else members
+        least = by_id[0][2]
         for a in members:
-            last, limits, reach = max(o[0] for o in a[3]), [], [(0, 0)]
+            own = a[3]
+            last, limits, reach = own[0][0] if len(own) == 1 else max(o[0] for o in own), [], [(0, 0)]
+            if last <= least:
+                continue
             for b in by_id:
                 if b[2] >= last:
                     break
@@ -321,18 +331,23 @@ def marked(members: list[tuple[bytes, bytes, int, list]], length: int, left: int
                     if before:
                         yield o, *reach[before]
         return
-    least: dict[tuple[bytes, bytes], int] = {}
+    lowest: dict[bytes, int] = {}  # the least id of each window around the anchor
+    around = []
     for right, before, d, _ in members:
-        for n in range(max(0, length - len(right)), min(left, len(before)) + 1):
-            key = (before[:n], right[: length - n])
-            if least.get(key, LAST + 1) > d:
-                least[key] = d
-    for right, before, _, places in members:
-        windows = [(n, least[before[:n], right[: length - n]]) for n in range(max(0, length - len(right)), min(left, len(before)) + 1)]
+        n, text = len(before), before[::-1] + right
+        first = max(0, length - len(right))
+        windows = [text[i : i + length] for i in range(n - first, n - min(left, n) - 1, -1)]
+        around.append((first, windows))
+        for w in windows:
+            known = lowest.get(w)
+            if known is None or d < known:
+                lowest[w] = d
+    for (first, windows), (_, _, _, places) in zip(around, members, strict=True):
+        ids = [lowest[w] for w in windows]
         for o in places:
-            fits = [n for n, d in windows if d < o[0]]
+            fits = [n for n, d in enumerate(ids, first) if d < o[0]]
             if fits:
-                yield o, max(fits), length - min(fits)
+                yield o, fits[-1], length - fits[0]
 
 
 def compare(table: pa.Table, length: int, k: int) -> pa.Table:
@@ -344,7 +359,7 @@ def compare(table: pa.Table, length: int, k: int) -> pa.Table:
     around: dict[tuple[bytes, bytes], list] = {}
 
     def close() -> None:
-        members = [(right, before, min(o[0] for o in places), places) for (right, before), places in around.items()]
+        members = [(right, before, places[0][0] if len(places) == 1 else min(o[0] for o in places), places) for (right, before), places in around.items()]
         if len(members) > 1 or members and members[0][2] < max(o[0] for o in members[0][3]):
             for (_, grp, text, local), n_l, n_r in marked(members, length, length - k):
                 spans[grp].append((text, local - n_l, local + n_r))
@@ -353,8 +368,12 @@ def compare(table: pa.Table, length: int, k: int) -> pa.Table:
     for run, shared in merged(runs):
         if shared < 8 + k and around:
             close()
-        places = around.setdefault((run.now[8:], run.left()), [])
-        places += [(run.docs[i], run.grp, run.text[i], run.local[i]) for i in run.occurrences()]
+        key = (run.now[8:], run.left())
+        places = around.get(key)
+        if places is None:
+            places = around[key] = []
+        for i in run.occurrences():
+            places.append((run.docs[i], run.grp, run.text[i], run.local[i]))
     close()
     return table_of(SPANS, [(grp, pack(np.array(s, np.int32))) for grp, s in spans.items() if s])
 
