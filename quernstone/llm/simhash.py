@@ -42,6 +42,8 @@ from quernstone.operators.graph import connected_components
 DISTANCE, BLOCKS, HOT = 2, 5, 24
 #: Of the pipeline's stage: shingles of five words, Jaccard similarity in percent, MinHash bands and functions of a band.
 STAGE_WIDTH, STAGE_PERCENT, BANDS = 5, 80, (32, 4)
+#: Bound on the common shingles that are broadcast.
+MOST_COMMON = 10_000
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
@@ -170,15 +172,25 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp long, shingles array<long>")
 
 
-def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(fp, key, at): the shingles in the prefix of each of sets (fp, shingles) that stand in another one too, and their places, rarest first by their number of sets."""
-    tokens = sets.select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    common = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(common, "key").groupBy("fp").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
+def prefix_keys(sets: DataFrame, percent: int, most: int = MOST_COMMON) -> DataFrame:
+    """(fp, key, at): the shingles in the prefix of each of sets (fp, shingles) that stand in another one too, and their places, rarest first by their number of sets.
+
+    Shingles that more sets have than the most-th part of all entries are fewer than `most`, whatever the data; their list, in order, is
+    broadcast and met with each set as a whole, so what a large group has in common makes no rows.
+    """
+    tokens = sets.select("fp", F.explode("shingles").alias("key"))
+    df = checkpointed(tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    bound = max(64, sets.agg(F.sum(F.size("shingles"))).first()[0] // most)
+    common = df.where(F.col("df") > bound).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "key"))), lambda x: x["key"]).alias("common"))
+    rare = tokens.join(df.where(F.col("df") <= bound), "key").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
+    none = F.array().cast("array<bigint>")
+    known = sets.crossJoin(F.broadcast(common)).join(rare, "fp", "left")  # one row of fewer than `most` numbers
+    k = F.concat(F.coalesce(F.transform("k", lambda x: x["key"]), none), F.array_intersect("common", "shingles"))
+    shared = known.select("fp", F.size("shingles").alias("n"), k.alias("k")).where(F.size("k") > 0)
     # Shingles that no other set has come first in the order, and take up places of the prefix.
     alone = F.col("n") - F.size("k")
     taken = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone, F.lit(0)).cast("int")
-    return shared.select("fp", alone.alias("alone"), F.posexplode(F.slice("k", F.lit(1), taken)).alias("i", "x")).select("fp", F.col("x.key").alias("key"), (F.col("alone") + F.col("i")).alias("at"))
+    return shared.select("fp", alone.alias("alone"), F.posexplode(F.slice("k", F.lit(1), taken)).alias("i", "key")).select("fp", "key", (F.col("alone") + F.col("i")).alias("at"))
 
 
 def jaccard_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot: int) -> DataFrame:
