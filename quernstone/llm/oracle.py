@@ -89,4 +89,44 @@ taken AS (SELECT * EXCLUDE (h, upto), unnest(range((whole + CASE WHEN more > 0 A
 SELECT {columns} FROM taken"""
 
 
-ORACLES = {"op1_mixing": mixing(), "op5_quality_rules": quality(), "op6_sharding": sharding()}
+def clustering(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd's rounds in full, one after the other."""
+    square = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT i, vec_id, v, (b).k AS k, (b).d AS d FROM (SELECT i, vec_id, any_value(e.v) AS v, min({{'d': {square}, 'k': k}}) AS b FROM e, c{r} c GROUP BY i, vec_id))")
+        if r < rounds:
+            mean = "(s - ((s % n) + n) % n) // n"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT k, list({mean} ORDER BY j) AS v FROM (SELECT k, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, {dims} + 1) g(j) GROUP BY k, j) GROUP BY k) m ON c.k = m.k)")
+    return f"""
+WITH raw AS (SELECT row_number() OVER () AS i, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+e AS MATERIALIZED (SELECT i, vec_id, list_transform(x, lambda y: floor(256 * y)::BIGINT) AS v FROM raw
+  WHERE len(x) = {dims} AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM e ORDER BY h, v LIMIT {k})),
+{", ".join(parts)}
+SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
+def audit() -> str:
+    """Each document goes through each order."""
+    from itertools import permutations
+
+    orders = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{BLANKS}'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_concat(
+  CASE WHEN len(w) < 200 THEN ['A'] ELSE [] END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN ['B'] ELSE [] END,
+  CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN ['C'] ELSE [] END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN ['D'] ELSE [] END,
+  CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN ['E'] ELSE [] END) AS failed FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, good, toxic, failed, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[:step - 1], '') AS earlier FROM (VALUES {orders}) v(filter_order), range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step::INTEGER AS step, own, list_contains(failed, own) AS fails, list_has_any(failed, earlier) AS gone, len(failed) AS c, good, toxic, n FROM m, o)
+, s AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND c = 1), 0)::BIGINT AS unique_fails,
+       coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM s"""
+
+
+ORACLES = {"op1_mixing": mixing(), "op5_quality_rules": quality(), "op6_sharding": sharding(), "op11_centroid_clustering": clustering(), "op12_filter_audit": audit()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import byte_bpe, line_dedup, mixing, ngram_lm, order_minhash, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from quernstone.llm import byte_bpe, delta_lloyd, filter_audit, line_dedup, mixing, ngram_lm, order_minhash, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from quernstone.llm.common import read, text_or_empty, words
 
 
@@ -62,6 +62,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -73,4 +81,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_filter_audit": op12_filter_audit,
 }
