@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import byte_bpe, delta_lloyd, filter_audit, line_dedup, mixing, ngram_lm, order_minhash, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from quernstone.llm import byte_bpe, delta_lloyd, filter_audit, line_dedup, mixing, ngram_jaccard, ngram_lm, order_minhash, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from quernstone.llm.common import read, text_or_empty, words
 
 
@@ -70,6 +70,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -83,4 +87,5 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_filter_audit": op12_filter_audit,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }

@@ -5,10 +5,10 @@ import random
 from itertools import permutations
 
 import numpy as np
-from helpers import AWKWARD, awkward, rows_of
+from helpers import AWKWARD, SF, awkward, linked, rows_of
 from pyspark.sql import functions as F
 
-from quernstone.llm import delta_lloyd, filter_audit
+from quernstone.llm import delta_lloyd, filter_audit, ngram_jaccard
 
 VECTORS = "vec_id long, embedding array<float>, cluster string, v int"
 
@@ -114,3 +114,85 @@ def test_audit_awkward(spark):
     assert got.count() == 600 and {r.part for r in got.collect()} == {""} and got.agg(F.sum("good_lost")).first()[0] == 0
     per = got.groupBy(F.substring("filter_order", F.col("step"), F.lit(1)).alias("f")).agg(F.sum("removed").alias("n"), F.min("shapley").alias("a"), F.max("shapley").alias("b")).collect()
     assert all(r.n == r.a == r.b for r in per)
+
+
+# Jaccard join
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def alike(x, y):
+    return bool(x) and bool(y) and 100 * len(x & y) >= 80 * len(x | y)
+
+
+def joined(rows):
+    """(doc_id, n_shingles, component_id) of each row by all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    named = [k for k, (i, _) in enumerate(rows) if i is not None]
+    root = linked({k: sets[k] for k in named}, alike)
+    least = {r: min(rows[k][0] for k in named if root[k] == r) for r in set(root.values())}
+    return sorted(((i, len(sets[k]), least[root[k]] if k in root else None) for k, (i, _) in enumerate(rows)), key=lambda r: tuple(map(str, r)))
+
+
+def copies(rng, n, groups, common=()):
+    """Texts in groups of near copies; some hold a common passage."""
+    vocabulary, out = [f"w{k}" for k in range(500)], []
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(8, 120))] for _ in range(groups)]
+    for _ in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        out.append(" ".join(w + (list(common) if rng.random() < 0.3 else [])))
+    return out
+
+
+def test_jaccard_against_all_pairs(spark):
+    for seed, cold, block in ((1, 64, 1024), (2, 3, 4), (3, 2, 1000)):
+        rng = random.Random(seed)
+        texts = copies(rng, 110, 25) + copies(rng, 60, 60, [f"p{k}" for k in range(30)])
+        rows = [(i * 3 % 170, t) for i, t in enumerate(texts)] + AWKWARD + [(7, texts[0]), (7, texts[0])]
+        df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, n int")
+        assert rows_of(ngram_jaccard.similar_components(df, cold=cold, block=block)) == joined(rows)
+
+
+def test_jaccard_of_one_large_group(spark):
+    """Chains of small edits: far ends are not alike, but connected; what differs from all of them is not."""
+    rng = random.Random(5)
+    w = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(120):
+        rows.append((i, " ".join(w)))
+        w[rng.randrange(60)] = f"x{i}"
+    rows += [(1000 + i, " ".join([f"w{k}" for k in range(30)] + [f"y{i}_{k}" for k in range(30)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cold, block in ((64, 1024), (5, 16)):
+        got = rows_of(ngram_jaccard.similar_components(df, cold=cold, block=block))
+        assert got == joined(rows)
+
+
+def test_jaccard_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert rows_of(ngram_jaccard.similar_components(docs)) == joined(rows)
+
+
+def test_jaccard_awkward(spark):
+    assert rows_of(ngram_jaccard.similar_components(awkward(spark))) == joined(AWKWARD)
+    assert ngram_jaccard.similar_components(awkward(spark).limit(0)).count() == 0
+
+
+def test_order_and_bounds():
+    rng = np.random.default_rng(1)
+    s = np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64))
+    last = ngram_jaccard.Last(np.empty(0, np.uint64)).before(s[[3, 1]]).before(s[[7]])
+    full = last.prefix(s, len(s)).tolist()
+    assert full == [x for k, x in enumerate(s.tolist()) if k not in (1, 3, 7)] + s[[7, 3, 1]].tolist() and last.prefix(s, 4).tolist() == full[:4]
+    for n in (1, 4, 5, 9, 10, 100):  # two sets with the similarity have an overlap of 0.8 n at least
+        assert ngram_jaccard.prefix_size(n, 80) == n - int(np.ceil(0.8 * n - 1e-9)) + 1
+    for _ in range(50):
+        x, y = (set(rng.integers(0, 300, 200).tolist()) for _ in range(2))
+        b = [ngram_jaccard.bitmap(np.unique(np.array([v * 0x9E3779B97F4A7C15 % (1 << 64) for v in t], dtype=np.uint64))).view(np.uint64) for t in (x, y)]
+        assert np.bitwise_count(b[0] ^ b[1]).sum() <= len(x ^ y)
