@@ -3,7 +3,7 @@
 A text's set is sorted 64-bit hashes of its different shingles; equal sets are one node from the start. Where two sets of n and m shingles
 are at the similarity t or above, they have a shingle in common among the first n - ceil(t n) + 1 of the one and as many by m of
 the other, in any order that all sets share. Here the order is by hash, with shingles last that many prefixes turned out to
-hold (counted over all texts, in DEMOTIONS passes): so a passage that stands in many documents makes no keys. Whatever is put last, the result is the same.
+hold (counted over all texts): so a passage that stands in many documents makes no keys. Whatever is put last, the result is the same.
 
 Nodes with a shingle of their prefixes in common meet in tiles, with their sizes, the shingle's places and a bitmap of 512 bits: bit b is the
 parity of the number of shingles hashed to b. Where bitmaps differ in x bits, the sets differ in x shingles at least, so
@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import quoted
+from quernstone.llm.line_dedup import bitmap as bitmap_of
+from quernstone.llm.line_dedup import perhaps_in
 from quernstone.llm.order_minhash import mixed, odd_factors
 from quernstone.operators.graph import connected_components
 from quernstone.sources.storage import Scratch
@@ -41,7 +43,7 @@ WIDTH, PERCENT = 5, 80
 #: Bits of a bitmap; nodes of a shingle that shares its tile; nodes of a block; rows of a shared tile.
 BITS, COLD, BLOCK, TILE_ROWS = 512, 64, 1024, 20_000
 #: Passes that count prefixes; bound on the shingles that are put last, which all tasks get as a list.
-DEMOTIONS, MOST = 2, 250_000
+DEMOTIONS, MOST = 1, 250_000
 #: Partners of a node in a tile, by round; None: all.
 ROUNDS = (1, 8, None)
 #: Ids of at most so many nodes are broadcast to find their texts; more are joined by key.
@@ -60,8 +62,9 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
     total = np.full(len(w) - taken + 1, taken, np.uint64)
     with np.errstate(over="ignore"):
         for factor, i in zip(odd_factors(width, 64, 13), range(taken), strict=False):
-            total = mixed(total * factor + w[i : i + len(total)])
-    return np.unique(total)
+            total += factor * w[i : i + len(total)]
+        total = np.sort(mixed(total))
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -83,11 +86,12 @@ class Last:
         """The first k of a sorted set in the order."""
         if not len(self.tokens):
             return s[:k]
-        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-        late = self.tokens[at] == s
-        first = s[~late]
-        if len(first) >= k:
-            return first[:k]
+        for some in (s[: 2 * k + 16], s):  # most sets have few of them
+            at = np.minimum(np.searchsorted(self.tokens, some), len(self.tokens) - 1)
+            late = self.tokens[at] == some
+            first = some[~late]
+            if len(first) >= k:
+                return first[:k]
         return np.concatenate([first, s[late][np.argsort(self.rank[at[late]], kind="stable")]])[:k]
 
 
@@ -296,10 +300,8 @@ def node_components(texts: DataFrame, nodes: DataFrame, width: int, percent: int
     """(node, component) for the nodes that are linked with others. nodes: (node, id, digest, n, prefix, bits)."""
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     counts = scratch.store(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
-    rows = scratch.store(entries.join(counts, "token"))
-    met = scratch.store(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "id", "digest", "bits"))
-    sets = sets_of(texts, met, width, scratch)
-    bits = met.select("node", "bits")
+    rows = scratch.store(perhaps_in(entries, F.col("token"), bitmap_of(counts.select("token"), counts.count())).join(counts, "token"))
+    bits = nodes.select("node", "bits")
     few, many = rows.where(F.col("c") <= cold), rows.where(F.col("c") > cold)
     n_few, crowded = few.count(), not many.isEmpty()
     known = tried = None
@@ -311,7 +313,10 @@ def node_components(texts: DataFrame, nodes: DataFrame, width: int, percent: int
         pairs = pairs.distinct()
         pairs = scratch.store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
-        links = scratch.store(verified(pairs, sets, percent))
+        if known is not None and pairs.isEmpty():
+            continue
+        inside = nodes.select("node", "id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        links = scratch.store(verified(pairs, sets_of(texts, scratch.store(inside), width, scratch), percent))
         if known is None:
             known = scratch.store(connected_components(links).select(F.col("id").alias("node"), "component"))
             continue
