@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,17 +32,47 @@ def build_edges(cells: DataFrame, n_rows: int, max_df: float = 0.3, least: int =
     return capped(tokens.join(kept, "tok"), cap, seed).select("id", "col", "tok")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+#: So many links, counted, are joined in the memory of one task (16 bytes each) in place of rounds over tables.
+FEW_LINKS = 20_000
+
+
+def joined_in_memory(links: DataFrame) -> DataFrame:
+    """(id, component) of a few links (u, v), u > v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                up[max(u, v)] = min(u, v)
+        ids = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "component"])
+
+    return links.coalesce(1).mapInArrow(run, "id long, component long")
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 100, few: int = FEW_LINKS) -> DataFrame:
     """(id, component): for each id of edges (a, b) the smallest id that it is connected with.
 
     Large star: every node hands its larger neighbours to its smallest one. Small star: its smaller ones. Both keep what is
     connected and shrink the depth; the stars that are left when nothing changes are the components. Only minima are
     gathered, never a node's list. Each round is stored in the shared folder, so plans and size estimates don't grow with
-    the rounds and a lost executor costs one round at most.
+    the rounds and a lost executor costs one round at most. A few links need no rounds. Ids are whole numbers, or anything
+    that has an order if few is 0.
     """
     scratch = Scratch(edges.sparkSession, "components")
     alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     stars = scratch.store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    if few and stars.limit(few + 1).count() <= few:
+        linked = joined_in_memory(stars)
+        return scratch.store(linked.union(alone.join(linked, "id", "left_anti").distinct()))
     before = None
     for _ in range(most_rounds):
         both = stars.union(stars.select("v", "u"))

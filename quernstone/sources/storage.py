@@ -39,11 +39,11 @@ class Scratch:
         self.fs.deleteOnExit(self.path)
         self.n = 0
 
-    def store(self, df: DataFrame) -> DataFrame:
-        """df, written and read again."""
+    def store(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df, written and read again; in folders by the values of a column, if one is named."""
         at = f"{self.path}/{self.n}"
         self.n += 1
-        df.write.parquet(at)
+        (df.write.partitionBy(by) if by else df.write).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def keep_last(self) -> None:
