@@ -14,8 +14,8 @@ each pair of blocks is a tile of its own.
 
 The result needs what is connected, not all pairs. So pairs are sought in rounds: first the likeliest partner of each node in its tile, and in
 a crowded shingle the node that holds most crowded shingles; then the likeliest EIGHT; then all that are left. Nodes that are connected already are no pair
-any more, and a shingle whose nodes are all connected makes no tile; in a crowded one the nodes of its largest component don't meet each other. The last
-round has no limit, so no link is lost.
+any more, and a shingle whose nodes are all connected makes no tile, nor one of which no pair was left in the round before; in a crowded one the nodes of
+its largest component don't meet each other. The last round has no limit, so no link is lost.
 
 Defined results: a text without words (null, empty, blank) has an empty set, links with nothing and is its own component; a null id takes
 part in no link and has a null component; rows that repeat an id get a row each, and link like any others; an empty table gives an
@@ -46,6 +46,7 @@ BITS, COLD, BLOCK, TILE_ROWS = 512, 64, 1024, 20_000
 DEMOTIONS, MOST = 1, 250_000
 #: Partners of a node in a tile, by round; None: all.
 ROUNDS = (1, 8, None)
+PAIRS = "a long, b long, token long"
 #: Ids of at most so many nodes are broadcast to find their texts; more are joined by key.
 BROADCAST_IDS = 1_000_000
 
@@ -186,10 +187,13 @@ class Members:
         return i, j, (total - apart) / (total + apart)
 
     def pairs(self, i: np.ndarray, j: np.ndarray, bound: np.ndarray, most: int | None) -> pa.Table:
+        """(a, b, token): the likeliest pairs of nodes, each once, and without nodes the shingles of which pairs were left for later."""
         a, b = np.minimum(self.node[i], self.node[j]), np.maximum(self.node[i], self.node[j])
         keep = likeliest(a, b, bound, most)
         met = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0)
-        return pa.table({"a": met[:, 0], "b": met[:, 1]})
+        later = np.unique(self.token[i[~keep]])
+        both = lambda c: pa.concat_arrays([pa.array(met[:, c]), pa.nulls(len(later), pa.int64())])
+        return pa.table({"a": both(0), "b": both(1), "token": pa.concat_arrays([pa.nulls(len(met), pa.int64()), pa.array(later)])})
 
 
 def shared_tile(percent: int, most: int | None):
@@ -234,7 +238,7 @@ def shared_pairs(rows: DataFrame, n: int, percent: int, most: int | None) -> Dat
     """Pairs of shingles with few nodes. n: rows that there are."""
     open_ = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     tile = F.pmod(F.xxhash64("token"), F.lit(max(1, n // TILE_ROWS)))
-    return rows.join(open_, "token", "left_semi").withColumn("tile", tile).groupBy("tile").applyInArrow(shared_tile(percent, most), "a long, b long")
+    return rows.join(open_, "token", "left_semi").withColumn("tile", tile).groupBy("tile").applyInArrow(shared_tile(percent, most), PAIRS)
 
 
 def block_pairs(rows: DataFrame, percent: int, most: int | None, block: int = BLOCK) -> DataFrame:
@@ -253,14 +257,14 @@ def block_pairs(rows: DataFrame, percent: int, most: int | None, block: int = BL
     tiles = F.concat(before, F.coalesce(after, F.array().cast("array<struct<i int, j int>>")))
     rows = rows.withColumn("t", F.explode(tiles)).withColumn("side", F.when(F.col("own") == F.col("t.i"), 0).otherwise(1))
     rows = rows.select("token", "band", "t.i", "t.j", "node", "n", "at", "component", "bits", "home", "side")
-    return rows.groupBy("token", "band", "i", "j").applyInArrow(block_tile(percent, most), "a long, b long")
+    return rows.groupBy("token", "band", "i", "j").applyInArrow(block_tile(percent, most), PAIRS)
 
 
 def leader_pairs(rows: DataFrame) -> DataFrame:
     """Each node of a crowded shingle with the one among them that stands in most rows of such shingles."""
     weight = rows.groupBy("node").agg(F.sum("c").alias("weight"))
     leaders = rows.join(weight, "node").groupBy("token").agg(F.max(F.struct("weight", "node")).alias("first")).select("token", F.col("first.node").alias("leader"))
-    return rows.join(leaders, "token").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    return rows.join(leaders, "token").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.lit(None).cast("long").alias("token"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -303,32 +307,41 @@ def node_components(texts: DataFrame, nodes: DataFrame, width: int, percent: int
     rows = scratch.store(perhaps_in(entries, F.col("token"), bitmap_of(counts.select("token"), counts.count())).join(counts, "token"))
     bits = nodes.select("node", "bits")
     few, many = rows.where(F.col("c") <= cold), rows.where(F.col("c") > cold)
-    n_few, crowded = few.count(), not many.isEmpty()
+    crowded = not many.isEmpty()
     known = tried = None
     for most in ROUNDS:
         now = lambda x: x.withColumn("component", F.col("node")) if known is None else x.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = shared_pairs(now(few).join(bits, "node"), n_few, percent, most)
+        found = shared_pairs(now(few).join(bits, "node"), few.count(), percent, most)
         if crowded:
-            pairs = pairs.union(leader_pairs(many) if known is None else block_pairs(now(many).join(bits, "node"), percent, most, block))
-        pairs = pairs.distinct()
+            found = found.union(leader_pairs(many) if known is None else block_pairs(now(many).join(bits, "node"), percent, most, block))
+        found = scratch.store(found.distinct())
+        pairs = found.where("a is not null").select("a", "b")
         pairs = scratch.store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
-        if known is not None and pairs.isEmpty():
-            continue
-        inside = nodes.select("node", "id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        links = scratch.store(verified(pairs, sets_of(texts, scratch.store(inside), width, scratch), percent))
+        inside = scratch.store(nodes.select("node", "id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+        links = scratch.store(verified(pairs, sets_of(texts, inside, width, scratch), percent))
+        # Only shingles of which pairs were left have more to give; of the crowded ones, in the first round, all.
+        left = found.where("a is null").select("token")
+        few = scratch.store(few.join(left, "token", "left_semi"))
+        if known is not None and crowded:
+            many = scratch.store(many.join(left, "token", "left_semi"))
         if known is None:
             known = scratch.store(connected_components(links).select(F.col("id").alias("node"), "component"))
-            continue
-        x, y = (known.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-        across = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-        merged = scratch.store(connected_components(across).select(F.col("id").alias("component"), F.col("component").alias("whole")))
-        both = known.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-        alone = merged.join(known, merged["component"] == known["node"], "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
-        known = scratch.store(both.union(alone))
+        elif not links.isEmpty():
+            known = merged(known, links, scratch)
     return known
 
 
+def merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) with more links (a, b); components are named by nodes."""
+    x, y = (known.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    across = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    joined = scratch.store(connected_components(across).select(F.col("id").alias("component"), F.col("component").alias("whole")))
+    both = known.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = joined.join(known.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+    return scratch.store(both.union(alone))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, cold: int = COLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     scratch = Scratch(docs.sparkSession, "jaccard")
