@@ -41,7 +41,7 @@ from quernstone.sources.storage import Scratch
 
 WIDTH, PERCENT = 5, 80
 #: Bits of a bitmap; nodes of a shingle that shares its tile; nodes of a block; rows of a shared tile.
-BITS, COLD, BLOCK, TILE_ROWS = 512, 64, 1024, 20_000
+BITS, COLD, BLOCK, TILE_ROWS = 512, 64, 4096, 20_000
 #: Passes that count prefixes; bound on the shingles that are put last, which all tasks get as a list.
 DEMOTIONS, MOST = 1, 250_000
 #: Partners of a node in a tile, by round; None: all.
@@ -245,8 +245,8 @@ def block_pairs(rows: DataFrame, percent: int, most: int | None, block: int = BL
     """Pairs of shingles with many nodes, by size band and pair of blocks; the largest component of a band doesn't meet itself."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     rows = rows.withColumn("b", band).withColumn("band", F.explode(F.array("b", F.col("b") - 1))).withColumn("home", F.col("b") == F.col("band"))
-    sizes = rows.groupBy("token", "band", "component").agg(F.count("*").alias("k"))
-    sizes = sizes.groupBy("token", "band").agg(F.sum("k").alias("k"), F.max(F.struct("k", "component")).alias("most"))
+    sizes = rows.groupBy("token", "band", "component").agg(F.count("*").alias("k"), F.max("home").alias("home"))
+    sizes = sizes.groupBy("token", "band").agg(F.sum("k").alias("k"), F.max(F.struct("k", "component")).alias("most"), F.max("home").alias("home")).where("home")
     blocks = lambda x: F.ceil(x / block).cast("int")
     sizes = sizes.select("token", "band", F.col("most.component").alias("largest"), blocks(F.col("k") - F.col("most.k")).alias("small"), blocks(F.col("most.k")).alias("large")).where("small > 0")
     at = lambda x: F.pmod(F.xxhash64("node"), x).cast("int")
