@@ -19,6 +19,9 @@ weight 1; clashing names of added columns get underscores in front.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,18 +52,24 @@ def filled(nodes: DataFrame, parents: list[str], name: str, budget: Column) -> D
     weight; the first child whose capacity is not reached fixes the level for all after it. Levels further on are lower, so it is the highest.
     """
     by = W.partitionBy(*parents) if parents else W.partitionBy(F.lit(0))
-    order = by.orderBy(F.col("capacity") / F.col("weight"), name)
+    order = by.orderBy(F.coalesce(F.col("capacity") / F.nullif(F.col("weight"), F.lit(0.0)), F.lit(0.0)), name)  # weight 0: capacity 0
     before = order.rowsBetween(W.unboundedPreceding, -1)
     rest = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    level = F.greatest(budget - F.coalesce(F.sum("capacity").over(before), F.lit(0.0)), F.lit(0.0)) / rest
+    level = F.greatest(budget - F.coalesce(F.sum("capacity").over(before), F.lit(0.0)), F.lit(0.0)) / F.nullif(rest, F.lit(0.0))
     nodes = nodes.withColumn("level", level)
     nodes = nodes.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") < F.col("capacity"), F.col("level"))).over(by))
     return nodes.withColumn("budget", F.least(F.col("capacity"), F.coalesce(F.col("level") * F.col("weight"), F.col("capacity")))).drop("level")
 
 
 def leaf_budgets(leaves: DataFrame, path: list[str], level_weights: list[dict[str, float]], share: float, max_epochs: int) -> DataFrame:
-    """leaves (path..., tokens) with budget, in whole tokens. The tables here have a row for each node of the tree."""
-    nodes = leaves.withColumn("capacity", F.col("tokens").cast("double") * max_epochs)
+    """leaves (path..., tokens) with budget, in whole tokens. The tables here have a row for each node of the tree.
+
+    What has weight 0, or is below such a node, has no capacity: its siblings get its share, and its ancestors count only what is wanted.
+    """
+    if any(not 0 <= w < math.inf for level in level_weights for w in level.values()):
+        raise ValueError("weights must be numbers from 0")
+    wanted = reduce(Column.__and__, (weights(w, F.col(name)) > 0 for w, name in zip(level_weights, path, strict=True)))
+    nodes = leaves.withColumn("capacity", F.when(wanted, F.col("tokens").cast("double") * max_epochs).otherwise(0.0))
     total = F.floor(F.sum("tokens").over(W.partitionBy(F.lit(0))) * F.lit(float(share))).cast("double")
     current = None
     for depth, name in enumerate(path):
