@@ -73,15 +73,20 @@ def log_odds(p: Column) -> Column:
 
 
 def kappa(sites: DataFrame, prior: Column) -> float:
-    """What a prior is worth in documents. sites: (n, s), sums of probabilities, and what prior needs."""
+    """What a prior is worth in documents: the variance of probabilities inside sites over that between sites. sites: (n, s, q), documents and sums of
+    their probabilities and of these squared, and what prior needs.
+
+    Inside: sums of squares about each site's mean, by their degrees of freedom. If every site is a single document the spread of all counts as inside.
+    """
     m = F.col("s") / F.col("n")
-    sums = sites.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("n") * (m - prior) ** 2).alias("v"), F.sum("s").alias("s")).first()
+    inside = F.greatest(F.col("q") - F.col("s") * m, F.lit(0.0))
+    sums = sites.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("n") * (m - prior) ** 2).alias("v"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(inside).alias("i")).first()
     if not sums["n"]:
         return 1.0
-    rate = min(max(sums["s"] / sums["n"], LEAST), 1 - LEAST)
-    within = rate * (1 - rate)
+    free = sums["n"] - sums["g"]
+    within = sums["i"] / free if free else max(sums["q"] / sums["n"] - (sums["s"] / sums["n"]) ** 2, 0.0)
     between = max((sums["v"] - sums["g"] * within) / sums["n"], 1e-6)
-    return min(max(within / between - 1, 1.0), 10_000.0)
+    return min(max(within / between, 1.0), 10_000.0)
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
@@ -94,8 +99,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     evidence = sum((F.lit(w) * F.get("features", F.lit(i)) for i, w in enumerate(weights[1:])), F.lit(weights[0]))
     scored = made.select("doc_id", "host", "path", F.least(F.greatest(evidence, F.lit(-12.0)), F.lit(12.0)).alias("evidence"))
     scored = checkpointed(scored.withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))))
-    paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
-    hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")))
+    hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     prior = (total["s"] / total["n"]) if total["n"] else 0.5
     k_host = kappa(hosts, F.lit(prior))

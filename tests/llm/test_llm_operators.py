@@ -46,6 +46,22 @@ def test_ancestors_get_what_a_whole_subtree_lacks(spark):
     assert plan == {("a", "x"): 10, ("a", "y"): 10, ("b", "x"): 480}
 
 
+def test_weights_of_zero(spark):
+    """A source of weight 0 gets nothing and its siblings its share; what is below such a domain is not counted as able to fill anything."""
+    leaves = spark.createDataFrame([("a", "x", 100), ("a", "y", 1000), ("b", "x", 1000), ("c", "x", 1000), ("d", "y", 1000)], "domain string, lang string, tokens long")
+    plan = lambda *w: {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(leaves, ["domain", "lang"], list(w), 0.1, 1).collect()}
+    assert plan({"c": 0.0}, {"x": 0.0}) == {("a", "x"): 0, ("a", "y"): 205, ("b", "x"): 0, ("c", "x"): 0, ("d", "y"): 205}
+    assert plan({"c": 0.0}, {}) == {("a", "x"): 68, ("a", "y"): 68, ("b", "x"): 136, ("c", "x"): 0, ("d", "y"): 136}
+    assert set(plan(dict.fromkeys("abcd", 0.0), {}).values()) == {0} and set(plan({}, {"x": 0, "y": 0}).values()) == {0}
+    for wrong in (-0.1, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="weights"):
+            plan({"a": wrong}, {})
+    docs = spark.createDataFrame([(i, "w w w", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    out = mixing.mix(docs, {"lang": F.col("lang")}, [{"a": 0.0}], F.lit(3), share=0.3).collect()
+    assert len(out) == 6 and {r.lang for r in out} == {"b"}
+    assert mixing.mix(docs, {"lang": F.col("lang")}, [{"a": 0.0, "b": 0.0}], F.lit(3)).count() == 0
+
+
 def test_mix_awkward(spark):
     docs = awkward(spark).withColumn("lang", F.lit(None).cast("string")).withColumn("epoch", F.lit("own"))
     out = mixing.mix(docs, {"lang": F.col("lang")}, [{}], F.size(F.split(F.coalesce("text", F.lit("")), " ")), share=2.0, max_epochs=2)
@@ -70,6 +86,32 @@ def test_sparse_sites_follow_their_parents(spark):
     assert abs(got[0].path_rate - got[1].path_rate) < 0.05 and {round(r.evidence, 6) for r in got.values()} == {0.0}
 
 
+def test_kappa_sees_what_is_inside_sites(spark):
+    """Documents that agree inside their sites: the site is trusted. Sites that differ by chance alone: the prior is."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+
+    def worth(values):
+        rows = [(len(v), float(np.sum(v)), float(np.sum(np.square(v)))) for v in values]
+        return quality_classifier.kappa(spark.createDataFrame(rows, "n long, s double, q double"), F.lit(float(np.mean(np.concatenate(values)))))
+
+    assert worth([np.full(50, 0.45 + 0.1 * (k % 2)) for k in range(100)]) == 1.0
+    assert worth([rng.uniform(0, 1, 50) for _ in range(100)]) > 100
+    mixed = [0.5 + (0.1 if k % 2 else -0.1) + rng.normal(0, 0.3, 40) for k in range(400)]
+    assert abs(worth(mixed) - 0.09 / 0.01) < 2.5  # 0.3 squared over 0.1 squared
+    assert worth([np.array([x]) for x in rng.uniform(0, 1, 50)]) >= 1 and quality_classifier.kappa(spark.createDataFrame([], "n long, s double, q double"), F.lit(0.5)) == 1.0
+
+
+def test_classifier_on_held_out_labels(spark):
+    """Fitted without a third of the labels, which it then gets right."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = {r.doc_id: r.quality for r in labels.where("pmod(xxhash64(doc_id), 3) = 0").collect()}
+    got = quality_classifier.classify(docs, labels.where("pmod(xxhash64(doc_id), 3) <> 0"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    right = [r.kept == (held[r.doc_id] == 1) for r in got.collect() if r.doc_id in held]
+    assert len(right) == len(held) > 15 and sum(right) >= 0.9 * len(right)
+
+
 def test_classifier_against_a_plain_version(spark):
     """Features, Newton steps, shrinkage and posterior, written out in plain Python and numpy."""
     import math
@@ -101,11 +143,10 @@ def test_classifier_against_a_plain_version(spark):
     prior = p.mean()
 
     def moments(groups, priors):
-        n, s = np.array([len(g) for g in groups]), np.array([p[g].sum() for g in groups])
-        rate = min(max(p.mean(), 1e-4), 1 - 1e-4)
-        within = rate * (1 - rate)
-        between = max(((n * (s / n - priors) ** 2).sum() - len(n) * within) / n.sum(), 1e-6)
-        return min(max(within / between - 1, 1.0), 10_000.0)
+        """Pooled variance inside groups over the variance of their true means, by a one-way analysis of variance."""
+        within = sum(np.var(p[g], ddof=1) * (len(g) - 1) for g in groups if len(g) > 1) / (len(p) - len(groups))
+        spread = np.mean([(p[g].mean() - prior) ** 2 for g, prior in zip(groups, np.broadcast_to(priors, len(groups)), strict=True) for _ in g])
+        return float(np.clip(within / max(spread - within * len(groups) / len(p), 1e-6), 1, 10_000))
 
     at = lambda names: {k: [i for i, v in enumerate(names) if v == k] for k in set(names)}
     hosts, paths = at(host), at(path)

