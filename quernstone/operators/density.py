@@ -1,26 +1,39 @@
-"""Density clusters by hierarchy: mutual reachability on the graph of near neighbours, a spanning forest, the condensed tree.
+"""Density clusters by hierarchy: mutual reachability on the graph of near neighbours, a spanning forest, the condensed tree, all as tables.
 
-The forest is found in Spark by Boruvka rounds: every component takes its shortest edge outwards. The tree of a connected part
-is condensed and cut in one task from its spanning edges, 24 bytes a row; parts are tasks of their own. Rows that no neighbour edge
-joins are in different clusters. A search over parameters computes the forest once for each number of neighbours.
+Boruvka rounds find the forest: every component takes its shortest edge outwards. The same rounds give the merge tree. An edge taken in
+round k is the shortest one of one or two components of that round, so in the tree these hang below it; and it goes into
+the chain of edges that hangs below the first edge taken later that is longer than it. A chain is edges in order of
+length, so sizes of subtrees are running sums along chains, with what hangs below each of their edges, from the first round to the last. Rounds are as many as the
+logarithm of the rows; chains are cut into ranges; no task sees a component.
+
+Of the tree, cut at a least size of clusters, only edges whose subtrees are that large count. Where both sides are, a cluster ends and two begin: the
+edges between two such splits of a chain are one cluster, and a chain goes on with the cluster of the edge above it unless that is a split. Stability is
+a sum over the edges of a cluster. What is left is a tree of clusters, two for each `smallest` rows at most; it is judged in one task while it has
+MOST_CLUSTERS at most, and in rounds over a table beyond. Rows that no neighbour edge joins are in different clusters.
+
+Several parameters are cut from one tree at once: their number is a key of every table.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernstone.operators.graph import connected_components
+from quernstone.operators.graph import FEW_LINKS, connected_components
+from quernstone.operators.ranking import globally_numbered, running_sums
 from quernstone.sources.storage import Scratch, stored
 
+#: Clusters of one choice of parameters that are judged in one task, 40 bytes each.
+MOST_CLUSTERS = 100_000
+#: Length of an edge of no length.
+SHORTEST = 1e-12
+
 
 def reachability(near: DataFrame, samples: int) -> DataFrame:
     """(a, b, w): a < b, mutual reachability of neighbours. near (q, i, d, rank); the core distance is that to the samples-th neighbour."""
@@ -30,27 +43,93 @@ def reachability(near: DataFrame, samples: int) -> DataFrame:
     return e.where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
-def spanning_forest(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(a, b, w): a minimal spanning forest of edges (a, b, w). Each round at least halves the components that still have edges outwards."""
-    scratch, taken = Scratch(edges.sparkSession, "forest"), None
-    open_ = scratch.store(edges.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
+@dataclass(frozen=True)
+class Rounds:
+    """Of each round k: picks (v, a, b, w, x, y), the edge (a, b, w) that component v takes, between components x and y; ups (v, up), its component in round k + 1."""
+
+    picks: list[DataFrame]
+    ups: list[DataFrame]
+
+
+def grown(edges: DataFrame, most_rounds: int = 40) -> Rounds:
+    """The rounds that find a minimal spanning forest of edges (a, b, w). Each at least halves the components that still have edges outwards."""
+    scratch, found = Scratch(edges.sparkSession, "forest"), Rounds([], [])
+    open_ = scratch.store(edges.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
     for _ in range(most_rounds):
-        ends = open_.select(F.col("ca").alias("c"), F.struct("w", "a", "b", "ca", "cb").alias("e")).union(open_.select("cb", F.struct("w", "a", "b", "ca", "cb")))
-        best = scratch.store(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
-        if best.isEmpty():
-            return taken if taken is not None else edges.select("a", "b", "w").limit(0)
-        new = best.select("a", "b", "w")
-        taken = new if taken is None else taken.union(new)
-        names = connected_components(best.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        for c in ("ca", "cb"):
-            open_ = open_.join(names.select(F.col("id").alias(c), F.col("component").alias(f"new {c}")), c, "left").withColumn(c, F.coalesce(f"new {c}", c)).drop(f"new {c}")
-        open_ = scratch.store(open_.where("ca <> cb"))
+        e = F.struct("w", "a", "b", "x", "y")
+        ends = open_.select(F.col("x").alias("v"), e.alias("e")).union(open_.select("y", e))
+        picks = scratch.store(ends.groupBy("v").agg(F.min("e").alias("e")).select("v", "e.*"))
+        if picks.isEmpty():
+            return found
+        ups = scratch.store(connected_components(picks.select(F.col("x").alias("a"), F.col("y").alias("b")), few=FEW_LINKS).select(F.col("id").alias("v"), F.col("component").alias("up")))
+        found.picks.append(picks)
+        found.ups.append(ups)
+        for c in ("x", "y"):
+            open_ = open_.join(ups.select(F.col("v").alias(c), F.col("up").alias(f"new {c}")), c).withColumn(c, F.col(f"new {c}")).drop(f"new {c}")
+        open_ = scratch.store(open_.where("x <> y"))
     raise RuntimeError("the forest did not settle")
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, w): a minimal spanning forest of edges (a, b, w)."""
+    picks = [p.select("a", "b", "w").distinct() for p in grown(edges).picks]
+    return reduce(DataFrame.union, picks) if picks else edges.select("a", "b", "w").limit(0)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """edges (tree, e, w, k, v, above, most, least, below, size): in order of length, each in the chain (k, v) below the edge `above` (null: none); rows in the
+    larger and the smaller part that hangs below it by itself (least is 0 if there is one), rows further down its chain, and all together.
+    rows (tree, id, e): each row's first edge; rows that are in no edge are not there. Several trees can be one, by their number.
+    """
+
+    edges: DataFrame
+    rows: DataFrame
+
+
+def merge_tree(edges: DataFrame) -> Tree:
+    """The tree of single linkage over edges (a, b, w), equal lengths in order of (a, b)."""
+    spark, rounds = edges.sparkSession, grown(edges)
+    scratch = Scratch(spark, "tree")
+    if not rounds.picks:
+        return Tree(spark.createDataFrame([], "tree int, e long, w double, k int, v long, above long, most long, least long, below long, size long"), spark.createDataFrame([], "tree int, id long, e long"))
+    taken = reduce(DataFrame.union, (p.select("a", "b", "w", "x", F.lit(k).alias("round")).distinct() for k, p in enumerate(rounds.picks)))
+    taken = scratch.store(globally_numbered(taken, F.col("w"), F.col("a"), F.col("b"), name="e"))
+    number = taken.select("a", "b", "e")
+    picks = [scratch.store(p.join(number, ["a", "b"]).select("v", "e")) for p in rounds.picks]
+    # Up from round to round, until a component's own edge is longer.
+    waiting, chains = None, []
+    for k, ups in enumerate(rounds.ups):
+        entering = taken.where(F.col("round") == k).select("e", F.col("x").alias("v"))
+        moved = (entering if waiting is None else waiting.union(entering)).join(ups, "v").select("e", F.col("up").alias("v"))
+        own = picks[k + 1].withColumnRenamed("e", "above") if k + 1 < len(picks) else spark.createDataFrame([], "v long, above long")
+        moved = scratch.store(moved.join(own, "v", "left").select("e", "v", "above"))
+        last = F.col("above").isNull() | (F.col("e") < F.col("above"))
+        chains.append(moved.where(last).select("e", F.lit(k + 1).alias("k"), "v", "above"))
+        waiting = moved.where(~last).select("e", "v")
+    chains = scratch.store(reduce(DataFrame.union, chains))
+    # Sizes, first the parts below edges of round 0, which are rows; then each chain's, from edges of earlier rounds.
+    parts = [scratch.store(picks[0].groupBy("e").agg(F.lit(1).cast("long").alias("most"), F.when(F.count("*") == 2, 1).otherwise(0).cast("long").alias("least")))]
+    for k in range(1, len(picks)):
+        sums = chains.where(F.col("k") == k).join(reduce(DataFrame.union, parts), "e").groupBy("v").agg(F.sum(F.col("most") + F.col("least")).alias("size"))
+        below = sums.join(picks[k], "v").groupBy("e").agg(F.max("size").alias("most"), F.when(F.count("*") == 2, F.min("size")).otherwise(0).alias("least"))
+        parts.append(scratch.store(below))
+    every = chains.join(reduce(DataFrame.union, parts), "e").join(taken.select("e", "w"), "e").withColumn("own", F.col("most") + F.col("least"))
+    summed = running_sums(every, ["k", "v"], [F.col("e")], {"size": "own"})
+    edges = summed.select(F.lit(0).alias("tree"), "e", "w", "k", "v", "above", "most", "least", (F.col("size") - F.col("own")).alias("below"), "size")
+    return Tree(scratch.store(edges), picks[0].select(F.lit(0).alias("tree"), F.col("v").alias("id"), "e"))
+
+
+def together(trees: dict[int, Tree]) -> Tree:
+    """Trees as one, their edges and chains numbered apart."""
+    t, n = (lambda k: F.lit(k).alias("tree")), max(trees) + 1
+    edges = [x.edges.select(t(k), (F.col("e") * n + k).alias("e"), "w", (F.col("k") * n + k).alias("k"), "v", (F.col("above") * n + k).alias("above"), "most", "least", "below", "size") for k, x in trees.items()]
+    return Tree(reduce(DataFrame.union, edges), reduce(DataFrame.union, (x.rows.select(t(k), "id", (F.col("e") * n + k).alias("e")) for k, x in trees.items())))
+
+
 @dataclass(frozen=True)
 class Params:
-    """smallest: rows of a cluster; samples: neighbours of a core; epsilon: distance below which clusters are not split; leaf: leaves in place of the most stable."""
+    """smallest: rows of a cluster, 2 at least; samples: neighbours of a core; epsilon: distance below which clusters are not split; leaf: leaves in place of the most stable."""
 
     smallest: int = 15
     samples: int = 5
@@ -59,139 +138,188 @@ class Params:
     whole: bool = False  #: the root can be a cluster
 
 
-def tree_clusters(a: np.ndarray, b: np.ndarray, w: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cluster) of one spanning tree: the least id of the cluster, -1 for noise."""
-    ids, at = np.unique(np.r_[a, b], return_inverse=True)
-    n, order = len(ids), np.lexsort((b, a, w))
-    x, y, w = at[: len(a)][order], at[len(a) :][order], w[order]
-    # Single linkage: node n + k joins two nodes at w[k].
-    up, top = np.arange(n), list(range(n))
-    left, right, size = np.zeros(n - 1, int), np.zeros(n - 1, int), np.r_[np.ones(n, int), np.zeros(n - 1, int)]
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for k in range(n - 1):
-        i, j = root(x[k]), root(y[k])
-        left[k], right[k] = top[i], top[j]
-        size[n + k] = size[top[i]] + size[top[j]]
-        up[j] = i
-        top[i] = n + k
-
-    def leaves(node: int) -> list[int]:
-        out, stack = [], [node]
-        while stack:
-            v = stack.pop()
-            if v < n:
-                out.append(v)
-            else:
-                stack += [left[v - n], right[v - n]]
-        return out
-
-    # Condensed: a cluster goes down while one side only is large enough; the other side's rows fall out at that density.
-    birth, stability, children, members, parent = [0.0], [0.0], [[]], [[]], [-1]
-    stack = [(2 * n - 2, 0)]
-    lam = lambda k: 1.0 / max(w[k], 1e-12)
-    while stack:
-        node, c = stack.pop()
-        while node >= n:
-            k = node - n
-            sides = [left[k], right[k]]
-            large = [s for s in sides if size[s] >= params.smallest]
-            if len(large) == 2:
-                stability[c] += size[node] * (lam(k) - birth[c])
-                for s in large:
-                    birth.append(lam(k))
-                    stability.append(0.0)
-                    children.append([])
-                    members.append([])
-                    parent.append(c)
-                    children[c].append(len(birth) - 1)
-                    stack.append((s, len(birth) - 1))
-                break
-            for s in sides:
-                if not large or s != large[0]:
-                    gone = leaves(s)
-                    members[c] += gone
-                    stability[c] += len(gone) * (lam(k) - birth[c])
-            if not large:
-                break
-            node = large[0]
-        else:
-            members[c].append(node)
-    chosen = [not ch for ch in children]
-    if params.leaf:
-        chosen[0] = chosen[0] and params.whole
-    else:
-        best = list(stability)
-        for c in range(len(birth) - 1, -1, -1):
-            if children[c]:
-                below = sum(best[d] for d in children[c])
-                if stability[c] >= below and (c or params.whole):
-                    chosen[c] = True
-                    drop = list(children[c])
-                    while drop:
-                        d = drop.pop()
-                        chosen[d] = False
-                        drop += children[d]
-                else:
-                    best[c] = below
-        if not params.whole:
-            chosen[0] = False
-    if params.epsilon > 0:
-        picked = set()
-        for c in (c for c, yes in enumerate(chosen) if yes):
-            while parent[c] > (-1 if params.whole else 0) and birth[c] > 1.0 / params.epsilon:
-                c = parent[c]
-            picked.add(c)
-        # of clusters inside each other the outer one
-        inside = lambda c: any(p in picked for p in iter_parents(c, parent))
-        chosen = [c in picked and not inside(c) for c in range(len(birth))]
-    label = np.full(n, -1, np.int64)
-    for c in range(len(birth)):
-        if chosen[c]:
-            own, todo = [], [c]
-            while todo:
-                d = todo.pop()
-                own += members[d]
-                todo += children[d]
-            label[own] = ids[min(own)] if own else -1
-    return ids, label
-
-
-def iter_parents(c: int, parent: list[int]) -> Iterator[int]:
-    while (c := parent[c]) >= 0:
-        yield c
-
-
-def cut(forest: DataFrame, several: list[Params]) -> DataFrame:
-    """(choice, id, cluster) for each of several parameters on the forest of their number of samples; forest (samples, tree, a, b, w)."""
+def named(k: str, v: str, g: Column | str) -> Column:
+    return F.concat_ws(":", F.col(k), F.col(v), g if isinstance(g, Column) else F.col(g))
+
+
+def by_choice(rows: DataFrame, several: dict[int, Params], of: dict[int, int]) -> DataFrame:
+    """rows (tree, ...) once for each choice that is about their tree, with choice and smallest."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("choice"), F.lit(p.smallest).alias("smallest"), F.lit(of.get(c, 0)).alias("tree of")) for c, p in several.items())))
+    return rows.withColumn("c", each).where(F.col("c.tree of") == F.col("tree")).select("c.choice", "c.smallest", *(c for c in rows.columns if c != "tree"))
+
+
+def condensed(tree: Tree, several: dict[int, Params], of: dict[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """For each choice with its least size of clusters: (choice, smallest, e, k, v, size, cluster) of the edges with so large a subtree, and (choice, id, parent, birth, stability) of clusters."""
+    large = by_choice(tree.edges, several, of).where("size >= smallest")
+    sides = [F.col(c) for c in ("most", "least", "below")]
+    split = (sum((x >= F.col("smallest")).cast("int") for x in sides) == 2).cast("int")
+    falling = sum(F.when(x < F.col("smallest"), x).otherwise(0) for x in sides)
+    large = large.withColumn("split", split).withColumn("mass", F.when(F.col("split") == 1, F.col("size")).otherwise(falling))
+    large = running_sums(large, ["choice", "k", "v"], [F.desc("e")], {"upto": "split"}).withColumn("g", F.col("upto") - F.col("split")).drop("upto")
+    large = scratch.store(large.withColumn("lam", 1 / F.greatest("w", F.lit(SHORTEST))))
+    # Which cluster a chain begins with: its own below a split or at the top, else that of the edge above.
+    tops = large.groupBy("choice", "k", "v", "above").agg(F.count("*").alias("n"))
+    over = large.select("choice", F.col("e").alias("above"), F.col("k").alias("uk"), F.col("v").alias("uv"), F.col("g").alias("ug"), F.col("split").alias("us"), F.col("lam").alias("ulam"))
+    tops = tops.join(over, ["choice", "above"], "left")
+    own = F.col("us").isNull() | (F.col("us") == 1)
+    head = F.when(own, named("k", "v", F.lit(0))).when(F.col("ug") > 0, named("uk", "uv", "ug"))
+    tops = scratch.store(tops.select("choice", "k", "v", "uk", "uv", "us", "ug", "ulam", head.alias("head")))
+    known, open_ = tops.where("head is not null").select("choice", "k", "v", "head"), tops.where("head is null").select("choice", "k", "v", "uk", "uv")
+    while not open_.isEmpty():  # a chain's upper one is of a later round
+        up = known.select("choice", F.col("k").alias("uk"), F.col("v").alias("uv"), "head")
+        step = scratch.store(open_.join(up, ["choice", "uk", "uv"], "left"))
+        known = known.union(step.where("head is not null").select("choice", "k", "v", "head"))
+        open_ = step.where("head is null").drop("head")
+    large = large.join(known, ["choice", "k", "v"]).withColumn("cluster", F.when(F.col("g") > 0, named("k", "v", "g")).otherwise(F.col("head")))
+    large = scratch.store(large)
+    below = large.where((F.col("split") == 1) & (F.col("below") >= F.col("smallest"))).select("choice", named("k", "v", F.col("g") + 1).alias("id"), F.col("cluster").alias("parent"), F.col("lam").alias("birth"))
+    hung = tops.where("us = 1").select("choice", named("k", "v", F.lit(0)).alias("id"), F.col("uk").alias("k"), F.col("uv").alias("v"), "ug", "ulam")
+    hung = hung.join(known, ["choice", "k", "v"]).select("choice", "id", F.when(F.col("ug") > 0, named("k", "v", "ug")).otherwise(F.col("head")).alias("parent"), F.col("ulam").alias("birth"))
+    roots = tops.where("us is null").select("choice", named("k", "v", F.lit(0)).alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("birth"))
+    clusters = below.union(hung).union(roots)
+    sums = large.join(clusters.select("choice", F.col("id").alias("cluster"), "birth"), ["choice", "cluster"]).groupBy("choice", F.col("cluster").alias("id")).agg(F.sum(F.col("mass") * (F.col("lam") - F.col("birth"))).alias("stability"))
+    clusters = scratch.store(clusters.join(sums, ["choice", "id"], "left").select("choice", "id", "parent", "birth", F.coalesce("stability", F.lit(0.0)).alias("stability")))
+    return large.select("choice", "smallest", "e", "k", "v", "size", "cluster"), clusters
+
+
+def judged(part: pd.DataFrame, p: Params) -> list[str | None]:
+    """For each cluster the chosen one that it is in, or None: the most stable ones (or the leaves), none inside another."""
+    at = {x: i for i, x in enumerate(part["id"])}
+    parent = [at[x] if isinstance(x, str) else -1 for x in part["parent"]]
+    birth, stability = part["birth"].tolist(), part["stability"].tolist()
+    below: list[list[int]] = [[] for _ in at]
+    for i, u in enumerate(parent):
+        if u >= 0:
+            below[u].append(i)
+    down = [i for i, u in enumerate(parent) if u < 0]
+    for i in down:  # grows: parents before children
+        down += below[i]
+    best, pick = stability[:], [not b for b in below]
+    for i in reversed(down):
+        if below[i] and not p.leaf:
+            inner = sum(best[j] for j in below[i])
+            pick[i] = stability[i] >= inner and (p.whole or parent[i] >= 0)
+            best[i] = max(stability[i], inner) if pick[i] else inner
+    chosen: list[int] = [-1] * len(down)
+    for i in down:
+        u = parent[i]
+        if u >= 0 and chosen[u] >= 0:
+            chosen[i] = chosen[u]
+        elif pick[i] and (p.whole or u >= 0):
+            chosen[i] = i
+    if p.epsilon > 0:
+        tops = set()
+        for i in {c for c in chosen if c >= 0}:
+            while parent[i] >= 0 and (p.whole or parent[parent[i]] >= 0) and birth[i] > 1 / p.epsilon:
+                i = parent[i]
+            tops.add(i)
+        chosen = [-1] * len(down)
+        for i in down:
+            u = parent[i]
+            chosen[i] = chosen[u] if u >= 0 and chosen[u] >= 0 else i if i in tops else -1
+    ids = part["id"].tolist()
+    return [ids[c] if c >= 0 else None for c in chosen]
+
+
+def judged_in_rounds(clusters: DataFrame, p: Params) -> DataFrame:
+    """(id, chosen) as by judged(), for any number of clusters: up the tree by rounds, a level of it each, and down again."""
+    scratch = Scratch(clusters.sparkSession, "clusters")
+    counts = clusters.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"))
+    state = scratch.store(clusters.join(counts, "id", "left").select("id", "parent", "birth", "stability", F.coalesce("n", F.lit(0)).alias("n")))
+    done, waiting = state.where("n = 0").select("id", "parent", F.col("stability").alias("best"), F.lit(True).alias("pick")), state.where("n > 0")
+    done = scratch.store(done)
+    while not waiting.isEmpty():
+        sums = done.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("seen"), F.sum("best").alias("inner"))
+        ready = waiting.join(sums, "id").where("seen = n")
+        take = F.lit(False) if p.leaf else (F.col("stability") >= F.col("inner")) & (F.lit(p.whole) | F.col("parent").isNotNull())
+        ready = scratch.store(ready.select("id", "parent", F.when(take, F.col("stability")).otherwise(F.col("inner")).alias("best"), take.alias("pick")))
+        done = done.union(ready)
+        waiting = scratch.store(waiting.join(ready.select("id"), "id", "left_anti"))
+
+    def descended(first: DataFrame, rest: DataFrame, mine: Column) -> DataFrame:
+        """(id, chosen): the parent's, or what mine says where it has none. first and rest have (id, parent, ...)."""
+        level = scratch.store(first.withColumn("chosen", mine).select("id", "chosen"))
+        found = level
+        while not level.isEmpty():
+            up = level.select(F.col("id").alias("parent"), F.col("chosen").alias("above"), F.lit(False).alias("top"))
+            level = scratch.store(rest.join(up, "parent").withColumn("chosen", F.coalesce("above", mine)).select("id", "chosen"))
+            found = found.union(level)
+        return found
+
+    allowed = F.when(F.col("pick") & (F.lit(p.whole) | F.col("parent").isNotNull()), F.col("id"))
+    flags = scratch.store(state.join(done.select("id", "pick"), "id"))
+    roots, rest = flags.where("parent is null"), flags.where("parent is not null")
+    chosen = scratch.store(descended(roots, rest, allowed))
+    if p.epsilon <= 0:
+        return chosen
+    # Where a cluster that is split too low ends up: the first one above it that was born early enough, or below the root.
+    up = flags.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
+    stop = flags.join(up, "parent", "left").withColumn("stays", (F.col("birth") <= 1 / p.epsilon) | F.col("parent").isNull() | (F.lit(not p.whole) & F.col("grand").isNull()))
+    climbing = chosen.where("chosen is not null").select(F.col("chosen").alias("id")).distinct()
+    tops = None
+    while not climbing.isEmpty():
+        now = scratch.store(climbing.join(stop, "id").select("id", "parent", "stays"))
+        found = now.where("stays").select("id")
+        tops = found if tops is None else tops.union(found)
+        climbing = now.where(~F.col("stays")).select(F.col("parent").alias("id")).distinct()
+    if tops is None:
+        return chosen
+    marks = scratch.store(flags.join(tops.distinct().withColumn("in", F.lit(True)), "id", "left"))
+    mine = F.when(F.col("in"), F.col("id"))
+    return descended(marks.where("parent is null"), marks.where("parent is not null"), mine)
+
+
+def chosen_clusters(clusters: DataFrame, several: dict[int, Params], most: int = MOST_CLUSTERS) -> DataFrame:
+    """(choice, cluster, chosen) for the clusters that are in a chosen one."""
+    sizes = {r["choice"]: r["n"] for r in clusters.groupBy("choice").agg(F.count("*").alias("n")).collect()}  # a row for each choice
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        a, b, w = (part[c].to_numpy() for c in "abw")
-        out = [pd.DataFrame({"choice": [], "id": [], "cluster": []}).astype("int64")]
-        for k, p in enumerate(several):
-            if p.samples == part["samples"].iloc[0]:
-                ids, labels = tree_clusters(a, b, w, p)
-                out.append(pd.DataFrame({"choice": k, "id": ids, "cluster": labels}))
-        return pd.concat(out)
-
-    return forest.groupBy("samples", "tree").applyInPandas(run, "choice int, id long, cluster long")
-
-
-def forest_of(near: DataFrame, samples: int) -> DataFrame:
-    """(samples, tree, a, b, w), stored: the spanning forest of mutual reachability, with the tree that an edge is in."""
-    forest = stored(spanning_forest(reachability(near, samples)))
-    trees = connected_components(forest.select("a", "b"))
-    return stored(forest.join(trees.select(F.col("id").alias("a"), F.col("component").alias("tree")), "a").select(F.lit(samples).alias("samples"), "tree", "a", "b", "w"))
+        c = int(part["choice"].iloc[0])
+        return pd.DataFrame({"choice": c, "cluster": part["id"], "chosen": judged(part, several[c])})
+
+    few = [c for c, n in sizes.items() if n <= most]
+    found = [clusters.where(F.col("choice").isin(few)).groupBy("choice").applyInPandas(run, "choice int, cluster string, chosen string")]
+    for c in sizes.keys() - set(few):
+        got = judged_in_rounds(clusters.where(F.col("choice") == c).drop("choice"), several[c])
+        found.append(got.select(F.lit(c).alias("choice"), F.col("id").alias("cluster"), "chosen"))
+    return reduce(DataFrame.union, found).where("chosen is not null")
+
+
+def cut(tree: Tree, several: dict[int, Params], of: dict[int, int] | None = None, most: int = MOST_CLUSTERS) -> DataFrame:
+    """(choice, id, cluster) for each of several parameters, of the rows that are in a cluster: its least id. of: the tree of each choice, 0 unless told."""
+    scratch = Scratch(tree.edges.sparkSession, "cut")
+    large, clusters = condensed(tree, several, of or {}, scratch)
+    picked = scratch.store(chosen_clusters(clusters, several, most))
+    # A row belongs to the cluster of the first edge above it whose subtree is large enough.
+    first = scratch.store(large.groupBy("choice", "k", "v").agg(F.min("e").alias("first")))
+    edges = tree.edges.select("e", "k", "v", "above", "size")
+    rows, found = by_choice(tree.rows, several, of or {}), None
+    while True:
+        at = rows.join(edges, "e").join(first, ["choice", "k", "v"], "left")
+        e = F.when(F.col("size") >= F.col("smallest"), F.col("e")).otherwise(F.col("first"))
+        at = scratch.store(at.select("choice", "smallest", "id", e.alias("e"), "above"))
+        here = at.where("e is not null").select("choice", "id", "e")
+        found = here if found is None else found.union(here)
+        rows = at.where("e is null and above is not null").select("choice", "smallest", "id", F.col("above").alias("e"))
+        if rows.isEmpty():
+            break
+    labels = found.join(large.select("choice", "e", "cluster"), ["choice", "e"]).join(picked, ["choice", "cluster"]).select("choice", "id", "chosen")
+    labels = scratch.store(labels)
+    names = labels.groupBy("choice", "chosen").agg(F.min("id").alias("cluster"))
+    return labels.join(names, ["choice", "chosen"]).select("choice", "id", "cluster")
+
+
+def tree_of(near: DataFrame, samples: int) -> Tree:
+    return merge_tree(reachability(near, samples))
 
 
 def hdbscan(near: DataFrame, ids: DataFrame, params: Params = Params()) -> DataFrame:
-    """(id, cluster) of all ids (id): the least id of the row's cluster, -1 for noise. near (q, i, d, rank): neighbours and distances."""
-    labels = cut(forest_of(near, params.samples), [params])
+    """(id, cluster) of all ids (id): the least id of the row's cluster, -1 for noise. near (q, i, d, rank): neighbours and distances.
+
+    With all other rows as neighbours this is the hierarchy on the full graph; with k of them, edges of the spanning tree that no k nearest
+    cross are missing, and what they would join stays apart.
+    """
+    labels = cut(tree_of(near, params.samples), {0: params})
     return ids.join(labels, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
@@ -204,7 +332,7 @@ def genetic_search(near: DataFrame, pairs: DataFrame, n_rows: int, size: int = 4
     the share `giant` of the rows. Tournaments of three, two-point crossover, mutation by redraw; the best survives. A generation's new
     parameters are judged in one job, and none twice.
     """
-    rng, forests, known = random.Random(seed), {}, {}
+    rng, trees, known = random.Random(seed), {}, {}
     names = list(GENES)
 
     def drawn(name: str):
@@ -213,12 +341,12 @@ def genetic_search(near: DataFrame, pairs: DataFrame, n_rows: int, size: int = 4
 
     def judge(people: list[tuple]) -> None:
         new = sorted(set(people) - set(known))
-        for samples in sorted({p[1] for p in new} - set(forests)):
-            forests[samples] = forest_of(near, samples)
+        for samples in sorted({p[1] for p in new} - set(trees)):
+            trees[samples] = tree_of(near, samples)
         if not new:
             return
-        every = reduce(DataFrame.union, (forests[k] for k in sorted({p[1] for p in new})))
-        labels = stored(cut(every, [Params(p[0], p[1], p[2], bool(p[3]), bool(p[4])) for p in new]).where("cluster <> -1"))
+        several = {k: Params(p[0], p[1], p[2], bool(p[3]), bool(p[4])) for k, p in enumerate(new)}
+        labels = stored(cut(together({k: trees[k] for k in {p[1] for p in new}}), several, {k: p[1] for k, p in enumerate(new)}))
         a, b = (labels.select("choice", F.col("id").alias(x), F.col("cluster").alias(f"c{x}")) for x in "ab")
         hit = pairs.join(a, "a").join(b, ["choice", "b"]).where("ca = cb").groupBy("choice").agg(F.sum("label").alias("tp"), F.count("*").alias("n"))
         largest = labels.groupBy("choice", "cluster").agg(F.count("*").alias("m")).groupBy("choice").agg(F.max("m").alias("m"))

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.hashing import order_key, u01
-from quernstone.operators.cells import capped, tokens_of
+from quernstone.functions.text import tokenize
+from quernstone.operators.cells import capped
 from quernstone.sources.storage import Scratch, stored
 
 
@@ -26,8 +27,9 @@ def kept_tokens(frequency: DataFrame, n_rows: Column, max_df: float, least: int)
 
 
 def build_edges(cells: DataFrame, n_rows: int, max_df: float = 0.3, least: int = 1, cap: int = 16, seed: int = 42) -> DataFrame:
-    """(id, col, tok): edges after the frequency filter, the degree filter and the cap of a cell."""
-    tokens = tokens_of(cells)
+    """(id, col, tok): edges after the frequency filter, the degree filter and the cap of a cell. Cells are tokenised once."""
+    lists = stored(cells.select("id", "col", F.array_distinct(tokenize(F.col("val"))).alias("toks")))
+    tokens = lists.select("id", "col", F.posexplode("toks").alias("pos", "tok"))
     kept = kept_tokens(token_frequency(tokens), F.lit(n_rows), max_df, least).where("not stop and not rare").select("tok")
     return capped(tokens.join(kept, "tok"), cap, seed).select("id", "col", "tok")
 
@@ -58,14 +60,14 @@ def joined_in_memory(links: DataFrame) -> DataFrame:
     return links.coalesce(1).mapInArrow(run, "id long, component long")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 100, few: int = FEW_LINKS) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 100, few: int = 0) -> DataFrame:
     """(id, component): for each id of edges (a, b) the smallest id that it is connected with.
 
     Large star: every node hands its larger neighbours to its smallest one. Small star: its smaller ones. Both keep what is
     connected and shrink the depth; the stars that are left when nothing changes are the components. Only minima are
     gathered, never a node's list. Each round is stored in the shared folder, so plans and size estimates don't grow with
-    the rounds and a lost executor costs one round at most. A few links need no rounds. Ids are whole numbers, or anything
-    that has an order if few is 0.
+    the rounds and a lost executor costs one round at most. Where `few` links at most are there, they need no rounds; ids are
+    whole numbers then.
     """
     scratch = Scratch(edges.sparkSession, "components")
     alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))

@@ -52,7 +52,7 @@ def semi_hard(d: DataFrame, margin: float) -> DataFrame:
     return d.crossJoin(F.broadcast(n)).where(keep).drop("n_", "semi_", "hard_")  # one row
 
 
-def learning_rate(step: Column, base: float, warm_up: int, total: int) -> Column:
+def learning_rate(step: Column, base: float, warm_up: Column, total: Column) -> Column:
     """Linear warm-up, then a cosine to zero."""
-    done = (step - warm_up) / float(max(1, total - warm_up))
-    return F.when(step < warm_up, base * step / float(max(1, warm_up))).otherwise(base * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * F.least(done, F.lit(1.0)))))
+    done = (step - warm_up) / F.greatest(F.lit(1), total - warm_up).cast("double")
+    return F.when(step < warm_up, base * step / F.greatest(F.lit(1), warm_up).cast("double")).otherwise(base * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * F.least(done, F.lit(1.0)))))

@@ -367,9 +367,8 @@ def block_loss(w: L.Weights, shape: L.ModelShape, config: TrainConfig, data: byt
     wide = lambda x, dims: x if x.shape[1] else np.zeros((0, dims))  # noqa: E731  a block without edges
     g = L.Subgraph(d["rows"], wide(d["tokens"], shape.token_dim), wide(d["columns"], shape.column_dim), d["dst"], d["src"], d["col"])
     y, steps = L.forward(w, shape, g)
-    at, more = [d["a"], d["c"], d["b"]] if config.loss == "triplet" else [d["a"], d["b"]], {}
+    at, more = [d["a"], d["b"], d["c"]] if config.loss == "triplet" else [d["a"], d["b"]], {}
     if config.loss == "triplet":
-        at = [d["a"], d["b"], d["c"]]
         loss, parts = L.triplet_loss([y[i] for i in at], config.margin)
     elif config.loss == "pairs":
         loss, parts, more = L.pair_loss(w, [y[i] for i in at], d["label"])

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernstone.functions.hashing import order_key
+from quernstone.functions.hashing import order_key, u01
+from quernstone.functions.providers import embed
+from quernstone.operators import cells as C
 from quernstone.operators import density as D
 from quernstone.operators import evaluate as E
 from quernstone.operators import graph as G
 from quernstone.operators import losses as L
+from quernstone.operators import training as T
 from quernstone.operators.neighbours import best_of_other_label, log_sum_exp, pair_scores, similar
 from quernstone.plans.aggregate_queries import FREQ, TEXT, text_cells, text_tokens
 from quernstone.plans.join_queries import AB, SELF, knn_sql, self_neighbours, sides
-from quernstone.plans.registry import PAIRS, Tables, order_sql, query
+from quernstone.plans.registry import HISTORY, PAIRS, Tables, order_sql, query
 from quernstone.sources.storage import stored
 
 KEPT = FREQ + ", n AS (SELECT count(*) AS n FROM documents), kept AS (SELECT tok FROM freq, n WHERE df <= floor(0.3 * n) AND df >= 2), edges AS (SELECT id, col, tok FROM (SELECT toks.*, row_number() OVER (PARTITION BY id, col ORDER BY " + order_sql(42, "id", "col", "tok") + ", tok) AS k FROM toks SEMI JOIN kept USING (tok)) WHERE k <= 16)"
@@ -61,7 +64,7 @@ CC = ", reach AS (SELECT a AS id, a AS r FROM u UNION SELECT b, b FROM u UNION S
 
 
 def linked(t: Tables) -> DataFrame:
-    return G.connected_components(t.pairs().where("score >= 0.15").select("a", "b"))
+    return G.connected_components(t.pairs().where("score >= 0.15").select("a", "b"), few=G.FEW_LINKS)
 
 
 @query("q_connected_components", LINKS + CC + " SELECT id, component FROM cc")
@@ -81,15 +84,16 @@ def cc_clusters(t: Tables) -> DataFrame:
     """Components of the links to near neighbours that reach a similarity; the others stay alone."""
     near = self_neighbours(t).where("sim >= 0.38").select(F.col("q").alias("a"), F.col("i").alias("b"))
     ids = t.embeddings.select(F.col("vec_id").alias("id"))
-    return ids.join(G.connected_components(near), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    return ids.join(G.connected_components(near, few=G.FEW_LINKS), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
 NS = f"WITH {PAIRS}, u AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), "
 
 
-@query("q_neighbor_sample", NS + "h1 AS (SELECT 1 AS hop, a AS src, b AS dst FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY " + order_sql(42, "1", "a", "b") + ", b) AS r FROM u WHERE a < 10) WHERE r <= 4), h2 AS (SELECT 2 AS hop, a AS src, b AS dst FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY " + order_sql(42, "2", "a", "b") + ", b) AS r FROM u WHERE a IN (SELECT dst FROM h1)) WHERE r <= 4) SELECT * FROM h1 UNION ALL SELECT * FROM h2")
+@query("q_neighbor_sample", NS + "h1 AS (SELECT 1 AS hop, a AS src, b AS dst FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY " + order_sql(42, "1", "a", "b") + ", b) AS r FROM u WHERE a IN (SELECT vec_id FROM embeddings WHERE label = 0)) WHERE r <= 4), h2 AS (SELECT 2 AS hop, a AS src, b AS dst FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY " + order_sql(42, "2", "a", "b") + ", b) AS r FROM u WHERE a IN (SELECT dst FROM h1)) WHERE r <= 4) SELECT * FROM h1 UNION ALL SELECT * FROM h2")
 def neighbor_sample(t: Tables) -> DataFrame:
-    seeds = t.spark.range(10)
+    """Around the rows of a batch, here those of one label."""
+    seeds = t.embeddings.where("label = 0").select(F.col("vec_id").alias("id"))
     return G.neighbour_sample(t.pairs().select("a", "b"), seeds, 2, 4, 42)
 
 
@@ -342,8 +346,44 @@ def hardest_negative(t: Tables) -> DataFrame:
     return best_of_other_label(t.embeddings, t.embeddings).select(F.col("q").alias("anchor"), F.col("i").alias("negative"))
 
 
-@query("q_lr_schedule", "SELECT i AS step, round(CASE WHEN i < 10 THEN 0.001::DOUBLE * i / 10 ELSE 0.001::DOUBLE * 0.5 * (1 + cos(pi() * least((i - 10) / 90.0::DOUBLE, 1))) END, 12) AS lr FROM range(100) r(i)")
+@query("q_lr_schedule", f"WITH {HISTORY}, h AS (SELECT user, epoch - 1 AS step, count(*) OVER (PARTITION BY user) AS total FROM history), w AS (SELECT *, greatest(1, total // 10) AS warm FROM h) SELECT user, step, round(CASE WHEN step < warm THEN 0.001::DOUBLE * step / warm ELSE 0.001::DOUBLE * 0.5 * (1 + cos(pi() * least((step - warm) / greatest(1, total - warm)::DOUBLE, 1))) END, 12) AS lr FROM w")
 def lr_schedule(t: Tables) -> DataFrame:
-    return t.spark.range(100).select(F.col("id").alias("step"), F.round(L.learning_rate(F.col("id"), 0.001, 10, 100), 12).alias("lr"))
-
-
+    """The rate of each epoch of each training history: up for a tenth of its epochs, then down as a cosine."""
+    h = t.history.select("user", (F.col("epoch") - 1).alias("step"), F.count("*").over(W.partitionBy("user")).alias("total"))
+    rate = L.learning_rate(F.col("step"), 0.001, F.greatest(F.lit(1), F.floor(F.col("total") / 10)), F.col("total"))
+    return h.select("user", "step", F.round(rate, 12).alias("lr"))
+
+
+def part_graph(t: Tables) -> tuple[T.Graph, DataFrame]:
+    """Parts with their words as tokens, and pairs of parts of one type. Rows know nothing of themselves, tokens are hashed words, columns hashed names."""
+    cells = C.to_cells(t.parts.select("id", "name", "brand", "type", "size"))
+    edges = stored(G.build_edges(cells, t.parts.count(), 0.5).select(F.col("id").alias("dst"), F.col("tok").alias("src"), "col"))
+    token = embed(edges.select("src").distinct(), "src", "src", dims=32).select("id", F.col("embedding").alias("v"))
+    columns = embed(edges.select("col").distinct(), "col", "col", dims=8).select("id", F.col("embedding").alias("v"))
+    rows = t.parts.select("id", F.array(*(F.lit(1.0) if i == 0 else u01(7 + i, F.col("id")) - 0.5 for i in range(4))).alias("v"))
+    typed = t.parts.where("type is not null").select("id", "type", F.lead("id").over(W.partitionBy("type").orderBy("id")).alias("b"))
+    return T.Graph(rows, stored(token), stored(columns), edges), typed.where("b is not null").select(F.col("id").alias("a"), "b")
+
+
+@query("q_train_matcher")
+def train_matcher(t: Tables) -> DataFrame:
+    """A row matcher of each kind, trained through its layers on three quarters of the pairs: loss of the other quarter before and after, and average precision of theirs among as many others."""
+    graph, pairs = part_graph(t)
+    pairs = stored(pairs.withColumn("u", u01(3, F.col("a"), F.col("b"))))
+    train, held = pairs.where("u < 0.75").select("a", "b"), stored(pairs.where("u >= 0.75").select("a", "b"))
+    n = graph.rows.count()
+    others = held.select("a", (F.pmod(F.xxhash64("a", "b"), F.lit(n)) + 1).alias("b"), F.lit(0).alias("label"))
+    judged = stored(held.select("a", "b", F.lit(1).alias("label")).union(others))
+    out = []
+    for kind in ("mean", "attention"):
+        shape = graph.shape(kind=kind, hidden=16, edge=8, output=16, heads=2)
+        model = T.RowModel(shape, 5)
+
+        def precision(model: T.RowModel = model) -> float:
+            v = stored(model.embeddings(graph))
+            return E.ranking(pair_scores(judged, v, id_col="id", vec_col="v")).first()["average_precision"] or 0.0
+
+        before = precision()
+        history = model.fit([(graph, train)], T.TrainConfig(epochs=4, batch=256, blocks=2, rate=0.01), [(graph, held)])
+        out.append((kind, len(history), history[0]["valid"], min(h["valid"] for h in history), before, precision()))
+    return t.spark.createDataFrame(out, "kind string, epochs int, first_loss double, best_loss double, precision_before double, precision_after double")

@@ -48,10 +48,11 @@ class Tables:
         return self.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.when(F.col("p_partkey") % 6 != 0, F.col("p_type")).alias("type"), F.col("p_size").alias("size"))
 
     def pairs(self) -> DataFrame:
-        """(a, b, label, score): labelled pairs of vectors; the label says that their labels agree."""
+        """(a, b, label, score): labelled pairs of vectors; the label says that their labels agree. A vector meets some twenty others, however many there are."""
+        keys = max(97, self.embeddings.count() // 20)
         v = self.embeddings.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
-        a = v.select(F.col("vec_id").alias("a"), F.col("v").alias("va"), F.col("label").alias("la"), (F.col("vec_id") * 7 % 97).alias("k"))
-        b = v.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb"), (F.col("vec_id") % 97).alias("k"))
+        a = v.select(F.col("vec_id").alias("a"), F.col("v").alias("va"), F.col("label").alias("la"), (F.col("vec_id") * 7 % keys).alias("k"))
+        b = v.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb"), (F.col("vec_id") % keys).alias("k"))
         met = a.join(b, "k").where("a < b")
         return met.select("a", "b", (F.col("la") == F.col("lb")).cast("int").alias("label"), F.round(dot(F.col("va"), F.col("vb")), 6).alias("score"))
 
@@ -75,8 +76,9 @@ CUST = """cust AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey %
 SUPP = """supp AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal::DECIMAL(12,2) END AS balance FROM supplier)"""
 PARTS = """parts AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, CASE WHEN p_partkey % 6 <> 0 THEN p_type END AS type, p_size AS size FROM part)"""
 PAIRS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+keyed AS MATERIALIZED (SELECT e.*, vec_id * 7 % m AS ka, vec_id % m AS kb FROM e, (SELECT greatest(97, count(*) // 20) AS m FROM e)),
 pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, (x.label = y.label)::INT AS label, round(list_dot_product(x.v, y.v), 6) AS score
-  FROM e x JOIN e y ON x.vec_id * 7 % 97 = y.vec_id % 97 AND x.vec_id < y.vec_id)"""
+  FROM keyed x JOIN keyed y ON x.ka = y.kb AND x.vec_id < y.vec_id)"""
 CANDIDATES = PAIRS + """,
 cand AS (SELECT a AS spec, b AS nom, score AS sim, CASE WHEN (a + b) % 5 = 0 THEN -1 ELSE label END AS label, CASE WHEN b % 4 = 0 THEN 'medium' ELSE 'high' END AS confidence FROM pairs)"""
 HISTORY = """history AS (SELECT user_id AS user, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, round(value, 4) AS loss FROM events)"""

@@ -115,10 +115,13 @@ def schema_injection(t: Tables) -> DataFrame:
     return cells.join(names, "col").select("id", F.col("new").alias("col"), "val")
 
 
-@query("q_schema_ground_truth", f"WITH {SYN_SQL}, c(col) AS (VALUES ('name'), ('segment'), ('nation'), ('balance'), ('sparse')), r AS (SELECT col, coalesce(CASE WHEN len(syns) > 0 THEN syns[1] END, col) AS a, coalesce(CASE WHEN len(syns) > 0 THEN syns[least(2, len(syns))] END, col) AS b FROM c LEFT JOIN syn USING (col)) SELECT a, b FROM r WHERE col <> 'sparse'")
+@query("q_schema_ground_truth", f"WITH {CUST_CELLS}, {SYN_SQL}, c AS (SELECT col, count(*) AS k FROM cells GROUP BY col), r AS (SELECT col, k, coalesce(CASE WHEN len(syns) > 0 THEN syns[1] END, col) AS a, coalesce(CASE WHEN len(syns) > 0 THEN syns[least(2, len(syns))] END, col) AS b FROM c LEFT JOIN syn USING (col)) SELECT a, b FROM r WHERE 20 * k >= (SELECT count(*) FROM cust)")
 def schema_ground_truth(t: Tables) -> DataFrame:
-    cols = t.rows("col string", ("name",), ("segment",), ("nation",), ("balance",), ("sparse",))
-    a, b = renamed(cols, synonyms(t), 0), renamed(cols.where("col <> 'sparse'"), synonyms(t), 1)
+    """Names of one column in two views; the second has no columns that are filled in fewer than a twentieth of the rows."""
+    filled = C.to_cells(t.cust).groupBy("col").agg(F.count("*").alias("k"))
+    n = t.cust.agg(F.count("*").alias("n"))
+    dense = filled.crossJoin(F.broadcast(n)).where("20 * k >= n")  # one row
+    a, b = renamed(filled.select("col"), synonyms(t), 0), renamed(dense.select("col"), synonyms(t), 1)
     return a.withColumnRenamed("new", "a").join(b.withColumnRenamed("new", "b"), "col").select("a", "b")
 
 

@@ -47,23 +47,30 @@ def real_name(df: DataFrame, name: str) -> str | None:
 
 
 def flatten_column(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
-    """A column of JSON or literal objects becomes a column name.key for each of its keys; inner objects name.key.inner. At most `most` keys."""
+    """A column of JSON or literal objects becomes a column name.key for each of its keys; inner objects name.key.inner.
+
+    A table can't have any number of columns: with more than `most` keys, the first by name get columns and name.rest has the whole objects, as JSON.
+    """
     parsed = df.withColumn("parsed_", parse_flex(quoted(name).cast("string")))
     m = F.from_json("parsed_", "map<string,string>")
     inner = F.from_json(F.col("v"), "map<string,string>")
     keys = parsed.select(F.explode(m).alias("k", "v")).select("k", F.when(F.col("v").startswith("{"), F.map_keys(inner)).alias("inner"))
-    found = keys.select("k", F.explode_outer("inner").alias("i")).distinct().orderBy("k", "i").limit(most).collect()  # names of columns
+    found = keys.select("k", F.explode_outer("inner").alias("i")).distinct().orderBy("k", "i").limit(most + 1).collect()  # names of columns
+    rest, found = len(found) > most, found[:most]
     path = lambda r: "$" + "".join(f"['{x}']" for x in (r["k"], r["i"]) if x is not None)
-    return parsed.withColumns({".".join(x for x in (name, r["k"], r["i"]) if x is not None): F.get_json_object("parsed_", path(r)) for r in found}).drop("parsed_", name)
+    columns = {".".join(x for x in (name, r["k"], r["i"]) if x is not None): F.get_json_object("parsed_", path(r)) for r in found}
+    return parsed.withColumns(columns | ({f"{name}.rest": F.col("parsed_")} if rest else {})).drop("parsed_", name)
 
 
 def flag_column(df: DataFrame, name: str, prefix: str, most: int = MOST_FLAGS) -> DataFrame:
-    """A column of JSON or literal lists, or of objects by their keys, becomes a flag prefix_option for each of its commonest options."""
+    """A column of JSON or literal lists, or of objects by their keys, becomes a flag prefix_option for each of its commonest options; if there are more, prefix.rest lists each row's others."""
     parsed = parse_flex(quoted(name).cast("string"))
     options = F.when(parsed.startswith("["), F.from_json(parsed, "array<string>")).otherwise(F.json_object_keys(parsed))
     listed_ = df.withColumn("options_", F.coalesce(options, F.array().cast("array<string>")))
-    common = listed_.select(F.explode(F.array_distinct("options_")).alias("o")).where("o is not null").groupBy("o").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o").limit(most).collect()  # names of columns
-    return listed_.withColumns({f"{prefix}_{r['o']}": F.array_contains("options_", r["o"]) for r in common}).drop("options_", name)
+    common = listed_.select(F.explode(F.array_distinct("options_")).alias("o")).where("o is not null").groupBy("o").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o").limit(most + 1).collect()  # names of columns
+    rest, common = len(common) > most, [r["o"] for r in common[:most]]
+    others = {f"{prefix}.rest": F.array_except("options_", F.array(*map(F.lit, common)))} if rest else {}
+    return listed_.withColumns({f"{prefix}_{o}": F.array_contains("options_", o) for o in common} | others).drop("options_", name)
 
 
 def drop_dead(df: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:

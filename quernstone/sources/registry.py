@@ -37,36 +37,34 @@ class Registry:
 
 # The public entity-resolution sources, their tables and domains, and those that are held out of training
 PUBLIC_URL = "http://pages.cs.wisc.edu/~anhai/data/784_data"
-PUBLIC_TABLES = """
-restaurants1 zomato yelp restaurants
-bikes bikedekho bikewale bikes
-movies1 rotten_tomatoes imdb movies
-movies2 imdb tmd movies
-movies3 imdb rotten_tomatoes movies
-movies4 amazon rotten_tomatoes movies
-movies5 roger_ebert imdb movies
-restaurants2 zomato yelp restaurants
-restaurants3 yelp yellow_pages restaurants
-restaurants4 yellow_pages yelp restaurants
-electronics amazon best_buy electronics
-music itunes amazon_music music
-cosmetics amazon sephora cosmetics
-beer beer_advocate rate_beer beer
-anime my_anime_list anime_planet anime
-books1 amazon barnes_and_noble books
-books2 goodreads barnes_and_noble books
-books3 barnes_and_noble half books
-books4 amazon barnes_and_noble books
-books5 amazon barnes_and_noble books
-ebooks1 itunes ebooks ebooks
-ebooks2 itunes ebooks ebooks
-citations google_scholar dblp bibliography
-baby_products babies_r_us buy_buy_baby baby products
-"""
+PUBLIC_TABLES = [
+    ("restaurants1", "zomato", "yelp", "restaurants"),
+    ("bikes", "bikedekho", "bikewale", "bikes"),
+    ("movies1", "rotten_tomatoes", "imdb", "movies"),
+    ("movies2", "imdb", "tmd", "movies"),
+    ("movies3", "imdb", "rotten_tomatoes", "movies"),
+    ("movies4", "amazon", "rotten_tomatoes", "movies"),
+    ("movies5", "roger_ebert", "imdb", "movies"),
+    ("restaurants2", "zomato", "yelp", "restaurants"),
+    ("restaurants3", "yelp", "yellow_pages", "restaurants"),
+    ("restaurants4", "yellow_pages", "yelp", "restaurants"),
+    ("electronics", "amazon", "best_buy", "electronics"),
+    ("music", "itunes", "amazon_music", "music"),
+    ("cosmetics", "amazon", "sephora", "cosmetics"),
+    ("beer", "beer_advocate", "rate_beer", "beer"),
+    ("anime", "my_anime_list", "anime_planet", "anime"),
+    ("books1", "amazon", "barnes_and_noble", "books"),
+    ("books2", "goodreads", "barnes_and_noble", "books"),
+    ("books3", "barnes_and_noble", "half", "books"),
+    ("books4", "amazon", "barnes_and_noble", "books"),
+    ("books5", "amazon", "barnes_and_noble", "books"),
+    ("ebooks1", "itunes", "ebooks", "ebooks"),
+    ("ebooks2", "itunes", "ebooks", "ebooks"),
+    ("citations", "google_scholar", "dblp", "bibliography"),
+    ("baby_products", "babies_r_us", "buy_buy_baby", "baby products"),
+]
 HELD_OUT = ("electronics", "restaurants3", "books2", "anime", "citations")
 
 
 def public_sources() -> Registry:
-    """The public sources; entries in columns: name, table A, table B, domain."""
-    rows = (line.split(" ", 3) for line in PUBLIC_TABLES.strip().splitlines())
-    return Registry(*(Source(n, f"{PUBLIC_URL}/{n}.tar.gz", a, b, domain, n in HELD_OUT) for n, a, b, domain in rows))
+    return Registry(*(Source(name, f"{PUBLIC_URL}/{name}.tar.gz", a, b, domain, name in HELD_OUT) for name, a, b, domain in PUBLIC_TABLES))

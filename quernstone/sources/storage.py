@@ -46,9 +46,9 @@ class Scratch:
         (df.write.partitionBy(by) if by else df.write).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def keep_last(self) -> None:
-        """Deletes all tables but the last one."""
-        for k in range(self.n - 1):
+    def keep_last(self, last: int = 1) -> None:
+        """Deletes all tables but the last one, or as many."""
+        for k in range(self.n - last):
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{k}"), True)
 
     def close(self) -> None:

@@ -144,3 +144,16 @@ def test_objects_of_replies():
 def test_static_vectors(spark):
     t, v = spark.createDataFrame([("a",), ("z",)], "tok string"), spark.createDataFrame([("a", [1.0])], "tok string, v array<double>")
     assert {r.tok: r.v for r in providers.token_vectors(t, v).collect()} == {"a": [1.0], "z": None}
+
+
+def test_no_key_is_dropped(spark):
+    """More keys or options than columns are allowed: the rest is kept beside."""
+    from quernstone.sources.preparation import flag_column, flatten_column
+
+    df = spark.createDataFrame([(1, '{"a": 1, "b": 2, "c": 3}', '["x", "y"]'), (2, '{"a": 4}', '["x", "z", "w"]')], "id long, o string, l string")
+    got = {r["id"]: r for r in flatten_column(df, "o", 2).collect()}
+    assert set(got[1].asDict()) == {"id", "l", "o.a", "o.b", "o.rest"} and '"c"' in got[1]["o.rest"] and got[2]["o.a"] == "4"
+    assert "o.rest" not in flatten_column(df, "o", 3).columns
+    got = {r["id"]: r for r in flag_column(df, "l", "p", 2).collect()}
+    assert set(got[1].asDict()) == {"id", "o", "p_x", "p_w", "p.rest"} and got[1]["p.rest"] == ["y"] and sorted(got[2]["p.rest"]) == ["z"] and got[2]["p_w"]
+    assert "p.rest" not in flag_column(df, "l", "p", 4).columns

@@ -69,24 +69,24 @@ def test_finite_differences_of_every_weight(kind, loss):
     assert changed > 10  # gradients reach the projections, each layer and the head
 
 
-@pytest.mark.parametrize("kind", KINDS)
-def test_tables_give_the_gradients_of_numpy(spark, kind):
+@pytest.mark.parametrize("kind,loss", [("mean", "triplet"), ("attention", "pairs")])
+def test_tables_give_the_gradients_of_numpy(spark, kind, loss):
     g, shape = small(), shape_of(kind)
     w = L.drawn(shape, 3)
     whole = T.FullPass(graph(spark, g), shape)
-    for loss, df in (("triplet", spark.createDataFrame(TRIPLETS, "a long, p long, n long")), ("pairs", spark.createDataFrame(PAIRS, "a long, b long, label double"))):
-        config = T.TrainConfig(loss=loss)
-        total, n, found = whole.gradient(w, df, config)
-        want, gradients = loss_of(w, shape, g, loss)
-        assert n == 4 and total == pytest.approx(want)
-        for k, v in gradients.items():
-            np.testing.assert_allclose(found[k], v, atol=1e-9, err_msg=k)
-        # blocks of one example each, all edges: the same sums, however the examples are dealt
-        stored = T.blocks(graph(spark, g), df, T.TrainConfig(loss=loss, batch=1, blocks=2, fan_out=None), T.Scratch(spark, "test"))
-        assert stored.count() > 1 and stored.select("step").distinct().count() == 2
-        loss_, n, flat = T.block_gradient(stored, w, shape, config)
-        assert n == 4 and loss_ == pytest.approx(want)
-        np.testing.assert_allclose(flat, L.flat({k: gradients.get(k, np.zeros_like(v)) for k, v in w.items()}), atol=1e-9)
+    df = spark.createDataFrame(TRIPLETS, "a long, p long, n long") if loss == "triplet" else spark.createDataFrame(PAIRS, "a long, b long, label double")
+    config = T.TrainConfig(loss=loss)
+    total, n, found = whole.gradient(w, df, config)
+    want, gradients = loss_of(w, shape, g, loss)
+    assert n == 4 and total == pytest.approx(want)
+    for k, v in gradients.items():
+        np.testing.assert_allclose(found[k], v, atol=1e-9, err_msg=k)
+    # blocks of one example each, all edges: the same sums, however the examples are dealt
+    stored = T.blocks(graph(spark, g), df, T.TrainConfig(loss=loss, batch=1, blocks=2, fan_out=None), T.Scratch(spark, "test"))
+    assert stored.count() > 1 and stored.select("step").distinct().count() == 2
+    loss_, n, flat = T.block_gradient(stored, w, shape, config)
+    assert n == 4 and loss_ == pytest.approx(want)
+    np.testing.assert_allclose(flat, L.flat({k: gradients.get(k, np.zeros_like(v)) for k, v in w.items()}), atol=1e-9)
     vectors = {r.id: r.v for r in T.RowModel(shape, 3).embeddings(graph(spark, g)).collect()}
     np.testing.assert_allclose([vectors[i] for i in range(6)], L.forward(w, shape, g)[0], atol=1e-9)
     with pytest.raises(ValueError, match="blocks"):
@@ -147,7 +147,7 @@ def test_full_training_and_several_sets(spark, tmp_path):
     g, pairs = entities(spark, 1, 12)
     triplets = pairs.selectExpr("a", "b p", "(a + 2) % 24 n")
     model = T.RowModel(g.shape(hidden=4, edge=2, output=4, layers=1), 1)
-    losses = model.fit_full(g, triplets, T.TrainConfig(loss="triplet", rate=0.05), 3)
+    losses = model.fit_full(g, triplets, T.TrainConfig(loss="triplet", rate=0.005), 3)
     assert losses[-1] < losses[0]
     history = model.fit([(g, triplets), (g, triplets)], T.TrainConfig(loss="triplet", epochs=3, batch=6), on_epoch=lambda k, now: k == 2)
     assert [h["epoch"] for h in history] == [1, 2]
@@ -155,7 +155,7 @@ def test_full_training_and_several_sets(spark, tmp_path):
     again = T.RowModel.load(spark, str(tmp_path / "model"))
     assert again.shape == model.shape and all((again.weights[k] == v).all() for k, v in model.weights.items())
     with pytest.raises(ValueError, match="nothing to train"):
-        model.fit([(g, triplets.limit(0))])
+        model.fit([(g, pairs.limit(0))])
 
 
 def test_rate_and_clipping():
