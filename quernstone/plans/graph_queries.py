@@ -349,7 +349,7 @@ def hardest_negative(t: Tables) -> DataFrame:
 @query("q_lr_schedule", f"WITH {HISTORY}, h AS (SELECT user, epoch - 1 AS step, count(*) OVER (PARTITION BY user) AS total FROM history), w AS (SELECT *, greatest(1, total // 10) AS warm FROM h) SELECT user, step, round(CASE WHEN step < warm THEN 0.001::DOUBLE * step / warm ELSE 0.001::DOUBLE * 0.5 * (1 + cos(pi() * least((step - warm) / greatest(1, total - warm)::DOUBLE, 1))) END, 12) AS lr FROM w")
 def lr_schedule(t: Tables) -> DataFrame:
     """The rate of each epoch of each training history: up for a tenth of its epochs, then down as a cosine."""
-    h = t.history.select("user", (F.col("epoch") - 1).alias("step"), F.count("*").over(W.partitionBy("user")).alias("total"))
+    h = t.history.select("user", (F.col("epoch") - 1).cast("long").alias("step"), F.count("*").over(W.partitionBy("user")).alias("total"))
     rate = L.learning_rate(F.col("step"), 0.001, F.greatest(F.lit(1), F.floor(F.col("total") / 10)), F.col("total"))
     return h.select("user", "step", F.round(rate, 12).alias("lr"))
 

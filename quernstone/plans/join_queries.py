@@ -253,7 +253,7 @@ TOK = "list_distinct(list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+')
 @query("q_token_jaccard", f"WITH d AS (SELECT doc_id, lang, {TOK} AS t FROM documents) SELECT (x.lang = y.lang)::INT AS label, count(*) AS n, round(avg(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))::DOUBLE), 9) AS jaccard FROM d x JOIN d y ON y.doc_id = x.doc_id + 1 WHERE len(x.t) + len(y.t) > 0 GROUP BY 1")
 def token_jaccard(t: Tables) -> DataFrame:
     """Texts are tokenised once, and hashes of 64 bits stand for words from there on."""
-    hashes = F.array_distinct(F.transform(T.tokenize(F.col("text"), 1 << 30), F.xxhash64))
+    hashes = F.array_distinct(F.transform(T.tokenize(F.col("text"), 1 << 30), lambda w: F.xxhash64(w)))
     d = stored(t.documents.select("doc_id", "lang", hashes.alias("t")))
     x, y = d.toDF("doc_id", "lx", "tx"), d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("ly"), F.col("t").alias("ty"))
     common = F.size(F.array_intersect("tx", "ty"))

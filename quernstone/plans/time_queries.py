@@ -42,7 +42,7 @@ def stream_session(t: Tables) -> DataFrame:
     return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
-@query("q_stream_append", "WITH e AS (SELECT epoch(date_trunc('second', ts))::BIGINT AS s, epoch_ms(ts) AS ms, event_type, value FROM events) SELECT (s // 3600) * 3600 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL HAVING ((s // 3600) * 3600 + 3600) * 1000 <= (SELECT max(ms) FROM e) - 86400000")
+@query("q_stream_append", "WITH e AS (SELECT (epoch(date_trunc('second', ts))::BIGINT // 3600) * 3600 AS start, epoch_ms(ts) AS ms, event_type, value FROM events), h AS (SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY start, event_type) SELECT * FROM h WHERE (start + 3600) * 1000 <= (SELECT max(ms) FROM e) - 86400000")
 def stream_append(t: Tables) -> DataFrame:
     """Hours that can't change any more, each once: those that ended a day before the latest event."""
     found = S.finished(S.windowed(stream(t), "ts", S.tumbling("ts", "1 hour"), ["event_type"], "1 day", F.count("*").alias("n"), F.sum("value").alias("total")), "append")

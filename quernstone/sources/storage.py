@@ -46,6 +46,11 @@ class Scratch:
         (df.write.partitionBy(by) if by else df.write).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def drop(self, *numbers: int) -> None:
+        """Deletes the tables of these numbers, of those stored so far the first being 0."""
+        for k in numbers:
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{k}"), True)
+
     def keep_last(self, last: int = 1) -> None:
         """Deletes all tables but the last one, or as many."""
         for k in range(self.n - last):
