@@ -300,11 +300,14 @@ def sets_of(texts: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) ->
     return sets if sets.count() == n else scratch.store(sets.dropDuplicates(["node"]))  # rows that repeat an id and its text
 
 
-def node_components(texts: DataFrame, nodes: DataFrame, width: int, percent: int, scratch: Scratch, cold: int = COLD, block: int = BLOCK) -> DataFrame:
-    """(node, component) for the nodes that are linked with others. nodes: (node, id, digest, n, prefix, bits)."""
+def node_components(texts: DataFrame, nodes: DataFrame, width: int, percent: int, scratch: Scratch, cold: int = COLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(node, component) for the nodes that are linked with others, and all nodes (node, id, digest, bits). nodes: (node, id, digest, n, prefix, bits), the table stored last, which goes."""
+    prefixes = scratch.n - 1
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     counts = scratch.store(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
     rows = scratch.store(perhaps_in(entries, F.col("token"), bitmap_of(counts.select("token"), counts.count())).join(counts, "token"))
+    nodes = scratch.store(nodes.select("node", "id", "digest", "bits"))
+    scratch.drop(prefixes)
     bits = nodes.select("node", "bits")
     few, many = rows.where(F.col("c") <= cold), rows.where(F.col("c") > cold)
     crowded = not many.isEmpty()
@@ -319,7 +322,10 @@ def node_components(texts: DataFrame, nodes: DataFrame, width: int, percent: int
         pairs = scratch.store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         inside = scratch.store(nodes.select("node", "id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-        links = scratch.store(verified(pairs, sets_of(texts, inside, width, scratch), percent))
+        start = scratch.n
+        sets = sets_of(texts, inside, width, scratch)
+        links = scratch.store(verified(pairs, sets, percent))
+        scratch.drop(*range(start, scratch.n - 1))
         # Only shingles of which pairs were left have more to give; of the crowded ones, in the first round, all.
         left = found.where("a is null").select("token")
         few = scratch.store(few.join(left, "token", "left_semi"))
@@ -329,7 +335,7 @@ def node_components(texts: DataFrame, nodes: DataFrame, width: int, percent: int
             known = scratch.store(connected_components(links).select(F.col("id").alias("node"), "component"))
         elif not links.isEmpty():
             known = merged(known, links, scratch)
-    return known
+    return known, nodes
 
 
 def merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -348,12 +354,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = texts_of(docs, id_col, text_col)
     marks = scratch.store(marked(texts, width, percent, put_last(texts, width, percent)))
     groups = marks.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    slim = scratch.store(marks.select("doc_id", "digest", "n"))
     nodes = scratch.store(groups.withColumn("node", F.monotonically_increasing_id()))
-    known = node_components(texts, nodes, width, percent, scratch, cold, block)
+    scratch.drop(0)  # the prefixes of all rows
+    known, nodes = node_components(texts, nodes, width, percent, scratch, cold, block)
     named = nodes.select("node", "digest", "id").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = scratch.store(named.join(least, "component").select("digest", "component_id"))
-    # A digest can have a third of all rows; the adaptive plan splits such a partition of marks.
-    joined = marks.select("doc_id", "digest", "n").join(named.hint("merge"), "digest", "left")
+    # A digest can have a third of all rows; the adaptive plan splits such a partition.
+    joined = slim.join(named.hint("merge"), "digest", "left")
     component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
