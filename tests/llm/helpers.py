@@ -32,7 +32,7 @@ def awkward(spark):
 
 def duck(sf=SF):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con
 
