@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.operators.ranking import range_number, ranged
+from quernstone.sources.storage import stored
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], tie: str) -> DataFrame:
@@ -51,15 +52,26 @@ def pieces(start: Column, end: Column) -> Column:
     return F.array_compact(F.array(*every))
 
 
-def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+#: Spans that a key may have for its points to meet them all.
+FEW_SPANS = 64
+
+
+def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, few: int = FEW_SPANS) -> DataFrame:
     """Points with the spans that hold them: same key, start <= at < end. Times as whole seconds since 1970, in long columns.
 
-    A span is listed under the dyadic pieces that it is made of, two for each level at most, whatever its length; a point looks up
-    one piece of each level that is in use. The pieces of a span don't overlap, so each pair comes once, and every row that meets is a result.
+    A point meets all spans of its key if these are `few` at most. A span of a key with more is listed under the dyadic pieces that it is made
+    of, two for each level at most, whatever its length; a point looks up one piece of each level that is in use. The pieces of a span don't
+    overlap, so each pair comes once, and every row that meets is a result. Only merge joins: what a span is listed under is never broadcast.
     """
-    s = spans.where(F.col(end) > F.col(start)).withColumn("piece of", F.explode(pieces(F.col(start).cast("long"), F.col(end).cast("long"))))
+    spans = spans.where(F.col(end) > F.col(start))
+    many = stored(spans.groupBy(key).agg(F.count("*").alias("spans of")).where(F.col("spans of") > few).select(key))
+    holds = (F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))
+    if many.isEmpty():
+        return points.join(spans.hint("merge"), key).where(holds)
+    many = many.hint("merge")
+    cold = points.join(spans.join(many, key, "left_anti").hint("merge"), key).where(holds)
+    s = spans.join(many, key, "left_semi").withColumn("piece of", F.explode(pieces(F.col(start).cast("long"), F.col(end).cast("long"))))
     used = sorted(r[0] for r in s.select("piece of.level").distinct().collect())  # LEVELS rows at most
-    if not used:
-        return points.join(s, key).drop("piece of")
     probes = F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright(F.col(at).cast("long"), n).alias("index")) for n in used))
-    return points.where(F.col(at).isNotNull()).withColumn("piece of", F.explode(probes)).join(s, [key, "piece of"]).drop("piece of")
+    probing = points.where(F.col(at).isNotNull()).join(many, key, "left_semi").withColumn("piece of", F.explode(probes))
+    return cold.unionByName(probing.join(s.hint("merge"), [key, "piece of"]).drop("piece of"))

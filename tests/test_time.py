@@ -122,3 +122,14 @@ def test_spans_have_no_width_to_choose(spark, size):
     s = spark.createDataFrame([("k", 0, size)], "k string, start long, end long")
     p = spark.createDataFrame([("k", i) for i in range(-1, 7)], "k string, at long")
     assert sorted(r.at for r in T.interval_join(p, s, "k", "at", "start", "end").collect()) == list(range(size))
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_intervals_are_never_broadcast(spark, few):
+    """Spans by key and by piece give the same pairs, and neither side is sent to the driver, however small its estimate is."""
+    p = spark.createDataFrame([(k, t) for k in range(6) for t in range(0, 40, 3)] + [(1, None), (None, 5)], "k int, at long")
+    s = spark.createDataFrame([(k, i, i + 1 + i % 7) for k in range(6) for i in range(3 * k)] + [(2, 9, 9), (2, 9, 4), (None, 0, 99), (3, None, 5)], "k int, start long, end long")
+    got = T.interval_join(p, s, "k", "at", "start", "end", few)
+    want = sorted((r.k, r.at, x.start, x.end) for r in p.collect() for x in s.collect() if None not in (r.k, r.at, x.start) and r.k == x.k and x.start <= r.at < x.end)
+    assert sorted(tuple(r) for r in got.select("k", "at", "start", "end").collect()) == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
