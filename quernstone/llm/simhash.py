@@ -11,8 +11,8 @@ group and not with its square.
 
 Components: alternating star contraction, each round stored in the shared folder, until nothing changes.
 
-The pipeline's stage links texts by the Jaccard similarity of their sets of five-word shingles, which no radius with usable
-blocks covers. Candidates come from MinHash bands: a pair at the similarity of 0.8 shares none of the 32 bands of 4 with
+The pipeline's stage takes the pairs that SimHash links, by the same fingerprints and blocks, and keeps those whose sets of five-word
+shingles have the Jaccard similarity in full. No radius with usable blocks covers all such pairs, so more candidates come from MinHash bands: a pair at the similarity of 0.8 shares none of the 32 bands of 4 with
 probability (1 - 0.8 ** 4) ** 32 = 5e-8. Every candidate's sets are compared, so each link is at the similarity or above it. Equal
 sets are one node. In a band key of more than `hot` nodes all meet the node that shares most keys first. Nodes of such a key that are not
 connected then are joined by prefix filter, which is exact: of two sets of sizes n and m at the similarity or above, the n - ceil(0.8 n) + 1
@@ -40,6 +40,8 @@ from quernstone.llm.order_minhash import PAIR, mixed, odd_factors
 from quernstone.operators.graph import connected_components
 
 DISTANCE, BLOCKS, HOT = 2, 5, 24
+#: Words of a shingle of the fingerprints by which the pipeline's stage links first.
+WIDTH = 3
 #: Of the pipeline's stage: shingles of five words, Jaccard similarity in percent, MinHash bands and functions of a band.
 STAGE_WIDTH, STAGE_PERCENT, BANDS = 5, 80, (32, 4)
 #: Bound on the common shingles that are broadcast.
@@ -144,18 +146,20 @@ def band_keys(shingles: np.ndarray, bands: int, functions: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp, n, keys): hash and size of each row's set of shingles, and its band keys."""
+    """(doc_id, fp, n, keys, mark): hash and size of each row's set of shingles, its band keys, and its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", width)) for t in b.column(1)]
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)]
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts]
             fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
             keys = pa.array([band_keys(x, *BANDS) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), keys], ["doc_id", "fp", "n", "keys"])
+            marks = pa.array([fingerprint_of(t, WIDTH) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), keys, marks], ["doc_id", "fp", "n", "keys", "mark"])
 
-    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, n long, keys array<long>")
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, n long, keys array<long>, mark long")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -193,12 +197,21 @@ def prefix_keys(sets: DataFrame, percent: int, most: int = MOST_COMMON) -> DataF
     return shared.select("fp", alone.alias("alone"), F.posexplode(F.slice("k", F.lit(1), taken)).alias("i", "key")).select("fp", "key", (F.col("alone") + F.col("i")).alias("at"))
 
 
+def simhash_pairs(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
+    """(a, b): pairs of nodes (fp, mark) whose SimHash fingerprints (mark) are at most distance bits apart; of those with one fingerprint, all with the least."""
+    marks = checkpointed(nodes.groupBy(F.col("mark").alias("fp")).agg(F.min("fp").alias("id")))
+    same = nodes.join(marks.select(F.col("fp").alias("mark"), F.col("id").alias("a")).hint("merge"), "mark").where("a < fp").select("a", F.col("fp").alias("b"))
+    return links(marks, distance, blocks, hot).union(same).distinct()
+
+
 def jaccard_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot: int) -> DataFrame:
-    """(a, b): links that connect what pairs of sets at the similarity or above connect. docs: (doc_id, text); nodes: (fp, id, n, keys), fp unique."""
+    """(a, b): links that connect what pairs of sets at the similarity or above connect. docs: (doc_id, text); nodes: (fp, id, n, keys, mark), fp unique."""
+    near = checkpointed(simhash_pairs(nodes, hot=hot))
     listed = nodes.select("fp", "n", F.explode("keys").alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     listed = checkpointed(listed.join(sizes, "key"))
-    inner = nodes.join(listed.select("fp").distinct(), "fp", "left_semi").select("id").distinct()
+    some = listed.select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    inner = nodes.join(some, "fp", "left_semi").select("id").distinct()
     texts = docs.join(inner.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = checkpointed(shingle_sets(texts, width).dropDuplicates(["fp"]))
 
@@ -217,7 +230,7 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, h
         return rows.select(F.col("key").alias(f"k{s}"), F.col("fp").alias(s), F.col("n").alias(f"n{s}"), *(F.col(c).alias(c + s) for c in more))
 
     cold, crowd = listed.where(F.col("size") <= hot), listed.where(F.col("size") > hot)
-    found = verified(sized(side(cold, "a"), side(cold, "b"), F.col("a") < F.col("b")))
+    found = verified(sized(side(cold, "a"), side(cold, "b"), F.col("a") < F.col("b")).union(near))
     if crowd.isEmpty():
         return found
     weight = crowd.groupBy("fp").agg(F.sum("size").alias("weight"))
@@ -241,7 +254,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """The rows of docs whose id is the smallest of its component; of rows that repeat such an id, all stay. Rows without an id stay."""
     known = docs.where(quoted(id_col).isNotNull())
     marked = sketches(known, id_col, text_col, width)
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("mark").alias("mark")))
     texts = known.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     found = connected_components(jaccard_links(texts, nodes, width, percent, hot)).withColumnRenamed("id", "fp")
     kept = nodes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("id").alias(KEPT)).select(KEPT).distinct()

@@ -148,3 +148,18 @@ def test_awkward(spark, n):
 
 def test_names():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_near_takes_pairs_from_fingerprints(spark):
+    """The near-duplicate stage proposes what SimHash links: fingerprints within two bits, and equal ones of different sets."""
+    from quernstone.llm import simhash
+
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(4000))
+    docs = [(1, text), (2, text + " more"), (3, " ".join(f"v{rng.randrange(900)}" for _ in range(4000))), (4, None)]
+    rows = simhash.sketches(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 5).collect()
+    assert {r.doc_id: r.mark for r in rows} == {d: simhash.fingerprint_of((t or "").encode(), 3) for d, t in docs}
+    base = rows[0].mark
+    marks = {10: base, 11: base, 12: base ^ 3, 13: base ^ 7, 14: ~base}
+    got = {(r.a, r.b) for r in simhash.simhash_pairs(spark.createDataFrame(list(marks.items()), "fp long, mark long")).collect()}
+    assert got == {(10, 11), (10, 12), (12, 13)}
