@@ -170,3 +170,70 @@ def test_cells_find_the_neighbours(spark):
 def test_classified_columns(spark):
     df = spark.createDataFrame([(i, f"u{i}", ["a", "b", "c"][i % 3], "word " * 30 + str(i % 4), i * 0.5, [i], i % 2 == 0, None) for i in range(40)], "id int, code string, kind string, long string, price double, tags array<int>, flag boolean, empty string")
     assert {r.col: r.kind for r in C.classify_columns(df).collect()} == {"code": "id_like", "kind": "categorical", "long": "text", "price": "numeric", "tags": "list_dict", "flag": "binary", "empty": "constant"}
+
+
+def test_blocks_that_meet_once_and_exclude(spark):
+    """Neighbours over many small blocks, those of an equal label left out, and sums over blocks that meet once: against the whole product."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-3, 4, (90, 4)) / 4.0  # many ties
+    v[7] *= 400  # far over the others: sums by row and by column
+    label = [None if i % 11 == 0 else i % 5 for i in range(90)]
+    df = spark.createDataFrame([(i, v[i].tolist(), label[i]) for i in range(90)], "vec_id long, embedding array<double>, label long")
+    found = N.similar(df, df, k=3, block=8, unequal="label")
+    got = sorted((r.q, r["rank"], r.i, r.sim) for r in found.collect())
+    sims = v @ v.T
+    want = []
+    for q in range(90):
+        free = sorted((-sims[q, i], i) for i in range(90) if label[q] is None or label[q] != label[i])[:3]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(free, 1)]
+    assert got == want
+    totals = {r.q: r.total for r in N.log_sum_exp(df, 0.5, block=8).collect()}
+    z = sims / 0.5
+    np.fill_diagonal(z, -np.inf)
+    top = z.max(axis=1)
+    assert np.allclose([totals[q] for q in range(90)], top + np.log(np.exp(z - top[:, None]).sum(axis=1)), rtol=1e-12)
+
+
+def test_neighbours_leave_less_behind(spark):
+    """A block of queries that has met others lets only products through that can still be among its best."""
+    rng = np.random.default_rng(5)
+    chooser, q, a = N.Chooser(5, None, False), np.arange(200), rng.normal(size=(200, 8))
+    rows = [len(chooser(q, np.arange(200) + 200 * j, a @ rng.normal(size=(200, 8)).T, q, q)) for j in range(20)]
+    assert rows[0] == 1000 and rows[-1] < 200
+
+
+def test_quantiles_of_many_equal_values(spark):
+    """Equal values are ranked as one row, so few values in a large table are few rows in the ranges."""
+    from quernstone.operators import ranking
+
+    df = spark.range(30_000).select((F.col("id") % 7).cast("double").alias("v")).union(spark.createDataFrame([(None,), (9.5,)], "v double"))
+    seen, kept = [], ranking.ranged
+    ranking.ranged = lambda d, *order: seen.append(d.count()) or kept(d, *order)
+    try:
+        got = ranking.quantiles(df, "v", [0.0, 0.25, 0.5, 0.999, 1.0])
+    finally:
+        ranking.ranged = kept
+    assert np.allclose(got, np.quantile([i % 7 for i in range(30_000)] + [9.5], [0.0, 0.25, 0.5, 0.999, 1.0])) and seen == [8]
+    assert ranking.quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_numbers_by_their_binary_value(spark):
+    """0.0005 is over itself in binary; a zero from below keeps its sign."""
+    values = [0.0005, -0.0005, 0.0015, 0.0625, -0.0, -1e-9, 0.1235, 1.0, None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", T.fixed(F.col("v"), 3).alias("s")).collect()
+    assert [r.s for r in sorted(got)] == ["0.001", "-0.001", "0.002", "0.062", "-0.000", "-0.000", "0.123", "1.000", None]
+
+
+def test_cells_are_cut_before_their_tokens_are_rows(spark):
+    """The first tokens of a cell by hash, of repeated ids too; no more than the cap of a cell are exchanged."""
+    cells = spark.createDataFrame([(i % 6, "c", " ".join(f"w{(i * 7 + j) % 40}" for j in range(30))) for i in range(9)] + [(7, "c", None), (8, "c", "")], "id long, col string, val string")
+    got = C.capped_cells(cells, 4, 42)
+    assert sorted(got.collect()) == sorted(C.capped(C.tokens_of(cells), 4, 42).select("id", "col", "tok").collect())
+    assert cells.select(F.explode(C.first_tokens(F.array_distinct(F.split("val", " ")), 4, 42))).count() <= 4 * 10
+
+
+def test_row_frequency_counts_rows(spark):
+    cells = spark.createDataFrame([(1, "a", "x y x"), (1, "b", "y z"), (2, "a", "y"), (2, "a", "q y"), (3, "b", None)], "id long, col string, val string")
+    assert {r.tok: r.df for r in G.row_frequency(G.token_lists(cells)).collect()} == {r.tok: r.df for r in G.token_frequency(C.tokens_of(cells)).collect()}
+    kept = spark.createDataFrame([("y",)], "tok string")
+    assert sorted(G.only_kept(C.tokens_of(cells).select("id", "tok"), kept, 0).collect()) == sorted(G.only_kept(C.tokens_of(cells).select("id", "tok"), kept).collect())
