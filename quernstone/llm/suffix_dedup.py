@@ -6,11 +6,12 @@ have equal anchors at equal places, and a suffix at an anchor whose k-mer stands
 Hashes of anchors are exchanged as packed sorted arrays, and a bit for each comes back: shared or not.
 
 The suffixes at shared anchors are then sorted. Each task sorts its own into a run and sends it, cut by ranges of the
-order, front-coded: how many bytes a suffix has in common with the one before, and the rest. Each range merges its runs
-with a loser tree whose nodes keep the common prefix with the last winner, so bytes known to be equal are not compared
-again. The order of the first k bytes is that of their hash: equal cuts of it are even ranges, whatever the data, with no
-sample. In the merged order the suffixes of an anchor stand together; with the bytes to the left that travel along, how
-far two of them agree to both sides is exact, and where that makes `length` bytes or more, the bytes are marked.
+order, front-coded: how many bytes a suffix has in common with the one before, and the rest. Each range merges its runs, as rows of
+bytes by a sort that finds what is in order already; a range of more than `MOST` suffixes merges them with a loser tree whose nodes keep the
+common prefix with the last winner, so bytes known to be equal are not compared again. The order of the first k bytes is
+that of their hash: equal cuts of it are even ranges, whatever the data, with no sample. In the merged order the suffixes of
+an anchor stand together; with the bytes to the left that travel along, how far two of them agree to both sides is exact, and
+where that makes `length` bytes or more, the bytes are marked.
 
 Suffixes of one run that are equal to both sides travel once. Anchors with many different surroundings are not compared in
 pairs but by the windows around them, in time linear in their number. An anchor that more than `hot` groups have would bring all
@@ -33,6 +34,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,10 @@ from quernstone.llm.packing import by_shard, grouped_documents, pack, pack_sorte
 
 LENGTH, K = 50, 20
 SLAB = 1 << 16
-#: Different surroundings of an anchor up to which they are compared in pairs.
-PAIRS = 12
+#: Different surroundings of an anchor up to which they are compared in pairs; pairs that are compared at once, by occurrences.
+PAIRS, CHUNK = 32, 1 << 18
+#: Suffixes of a range that are merged as arrays, some 300 bytes each.
+MOST = 4_000_000
 #: Groups that may have an anchor before its windows are dealt out, and bytes of text of a group.
 HOT, GROUP_BYTES = 1024, 4 << 20
 LAST = (1 << 63) - 1
@@ -145,15 +149,55 @@ def windows_around(g: Group, anchors_: np.ndarray, starts: np.ndarray, length: i
     return np.flatnonzero(np.cumsum(depth) > 0)
 
 
+def surroundings(buffer: bytes, places: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, heads: np.ndarray, length: int, left: int) -> np.ndarray:
+    """A row of bytes for each place, in whose order they are sorted: head, bytes to the right, their number, bytes to the left from the place on, their number; zeros fill up."""
+    padded = np.frombuffer(bytes(left) + buffer + bytes(length), np.uint8)
+    rows = np.zeros((len(places), 8 + length + 1 + left + 1), np.uint8)
+    rows[:, :8] = np.ascontiguousarray(heads.astype(">u8")).view(np.uint8).reshape(-1, 8)
+    rows[:, 8 : 8 + length] = sliding_window_view(padded, length)[places + left] * (np.arange(length) < n_right[:, None])
+    rows[:, 8 + length] = n_right
+    rows[:, 9 + length : -1] = sliding_window_view(padded, left)[places][:, ::-1] * (np.arange(left) < n_left[:, None])
+    rows[:, -1] = n_left
+    return rows
+
+
+def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, equal ones as they come, and which of them in that order differ from the one before. Sorted runs are merged, not sorted anew."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    ordered = rows[order]
+    return order, np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)][: len(rows)]
+
+
+def agreement(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the rows of two matrices, at most that many bytes."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
+
+
+def coded(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Front coding of sorted strings, which are rows of a matrix of that many bytes each: common bytes with the one before, lengths of the rests, and the rests."""
+    shared = np.r_[0, agreement(rows[1:], rows[:-1], np.minimum(sizes[1:], sizes[:-1]))][: len(rows)]
+    at = np.arange(rows.shape[1])
+    rests = rows[(at >= shared[:, None]) & (at < sizes[:, None])].tobytes()
+    return shared.astype(np.uint8), (sizes - shared).astype(np.uint8), rests
+
+
+def decoded(shared: np.ndarray, rest_n: np.ndarray, rests: np.ndarray, wide: int) -> np.ndarray:
+    """The strings of coded() as a matrix of zeros else. A byte that is not in a row's rest stands in the last rest above it that has its column."""
+    size, at, own = shared.astype(np.int64) + rest_n, np.arange(wide), np.zeros((len(shared), wide), np.uint8)
+    own[(at >= shared[:, None]) & (at < size[:, None])] = rests
+    numbers = np.arange(len(shared))
+    for j, column in enumerate(np.ascontiguousarray(own.T)):
+        last = np.maximum.accumulate(np.where(shared <= j, numbers, 0))
+        own[:, j] = np.where(size > j, column[last], 0)
+    return own
+
+
 def front_coded(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Common bytes with the one before, lengths of the rests, and the rests."""
-    shared, rests, before = [], [], b""
-    for s in suffixes:
-        n = common(before, s, 0)
-        shared.append(n)
-        rests.append(s[n:])
-        before = s
-    return np.array(shared, np.uint8), np.array([len(r) for r in rests], np.uint8), b"".join(rests)
+    """coded() of strings."""
+    wide = max(map(len, suffixes), default=0)
+    rows = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in suffixes), np.uint8).reshape(len(suffixes), wide)
+    return coded(rows, np.array([len(s) for s in suffixes], np.int64))
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -181,41 +225,38 @@ def send(table: pa.Table, marks: pa.Table, shards: int, length: int, k: int) ->
     for s, at in by_shard(g.values, shards):
         for mask, data in zip((shared, crowded), masks[s], strict=True):
             mask[at] = np.unpackbits(unpack(data, np.uint8))[: at.stop - at.start].astype(bool)
-    left, ends, buffer, seen = length - k, g.ends, g.buffer, {}
+    left, ends = length - k, g.ends
     starts = np.r_[0, ends]
     chosen = np.flatnonzero((shared & ~crowded)[g.of])
+    chosen = chosen[np.argsort(g.of[chosen], kind="stable")]
     places, text = g.places[chosen], g.text[chosen]
-    heads = g.hashes[chosen].astype(">u8").tobytes()
     low, high = np.maximum(starts[text], places - left), np.minimum(places + length, ends[text])
-    for n, (place, a, b) in enumerate(zip(places.tolist(), low.tolist(), high.tolist(), strict=True)):
-        key = (heads[8 * n : 8 * n + 8] + buffer[place:b], buffer[a:place][::-1])
-        if key in seen:
-            seen[key].append(n)
-        else:
-            seen[key] = [n]
+    rows = surroundings(g.buffer, places, places - low, high - places, g.hashes[chosen], length, left)
     windows = windows_around(g, np.flatnonzero(crowded[g.of]), starts, length, left)
-    for n, place in enumerate(windows.tolist(), len(places)):
-        window = buffer[place : place + length]
-        seen.setdefault((xxhash.xxh64_digest(window, 42) + window, b""), []).append(n)
-    places = np.r_[places, windows]
-    text = np.searchsorted(ends, places, "right")
-    keys = sorted(seen)
+    if len(windows):
+        heads = [xxhash.xxh64_intdigest(g.buffer[p : p + length], 42) for p in windows.tolist()]
+        whole = np.full(len(windows), length)
+        rows = np.concatenate([rows, surroundings(g.buffer, windows, whole * 0, whole, np.array(heads, np.uint64), length, left)])
+        places = np.r_[places, windows]
+        text = np.searchsorted(ends, places, "right")
     grp, out = table.column("grp")[0].as_py(), []
-    if not keys:
+    if not len(rows):
         return table_of(RUN, [])
-    first = np.frombuffer(b"".join(key[0][:8] for key in keys), dtype=">u8").astype(np.uint64)
-    docs, local = g.ids_by_text[text], places - starts[text]
+    order, new = sorted_rows(rows)
+    keys = rows[order[new]]
+    at_key = np.r_[np.flatnonzero(new), len(rows)]
+    docs, text, local = (x[order] for x in (g.ids_by_text[text], text, places - starts[text]))
+    wide = 8 + length
+    sizes, lefts = 8 + keys[:, wide].astype(np.int64), keys[:, -1]
+    first = np.ascontiguousarray(keys[:, :8]).view(">u8").ravel().astype(np.uint64)
     for s, at in by_shard(first, shards):
-        mine = keys[at]
-        shared_n, rest_n, rests = front_coded([key[0] for key in mine])
-        lefts = [key[1] for key in mine]
-        where = [seen[key] for key in mine]
-        flat = np.array([n for w in where for n in w])
-        head = np.stack([shared_n, rest_n, np.array([len(x) for x in lefts], np.uint8)])
-        body = head.tobytes() + rests + b"".join(lefts)
-        counts = np.array([len(w) for w in where], np.int64)
-        numbers = np.concatenate([counts, docs[flat], text[flat], local[flat]]).astype(np.int64)
-        out.append((s, grp, len(mine), pack(np.frombuffer(body, np.uint8)), pack(numbers.view(np.uint8).reshape(-1, 8).T)))
+        shared_n, rest_n, rests = coded(keys[at, :wide], sizes[at])
+        around = keys[at, wide + 1 : -1]
+        head = np.stack([shared_n, rest_n, lefts[at]])
+        body = head.tobytes() + rests + around[np.arange(left) < lefts[at, None]].tobytes()
+        flat = slice(at_key[at.start], at_key[at.stop])
+        numbers = np.concatenate([np.diff(at_key[at.start : at.stop + 1]), docs[flat], text[flat], local[flat]]).astype(np.int64)
+        out.append((s, grp, at.stop - at.start, pack(np.frombuffer(body, np.uint8)), pack(numbers.view(np.uint8).reshape(-1, 8).T)))
     return table_of(RUN, out)
 
 
@@ -350,8 +391,8 @@ def marked(members: list[tuple[bytes, bytes, int, list]], length: int, left: int
                 yield o, fits[-1], length - fits[0]
 
 
-def compare(table: pa.Table, length: int, k: int) -> pa.Table:
-    """Merges the runs of a range and gives, for each group, the spans that go: text, from, to."""
+def streamed(table: pa.Table, length: int, k: int) -> pa.Table:
+    """compare() of a range that is too large for arrays: its runs go through the loser tree, an anchor at a time."""
     order = sorted(range(table.num_rows), key=table.column("grp").to_pylist().__getitem__)
     columns = [table.column(c).to_pylist() for c in ("grp", "n", "suffixes", "places")]
     runs = [Run(*(c[i] for c in columns)) for i in order]
@@ -378,6 +419,89 @@ def compare(table: pa.Table, length: int, k: int) -> pa.Table:
     return table_of(SPANS, [(grp, pack(np.array(s, np.int32))) for grp, s in spans.items() if s])
 
 
+def expanded(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first, first + 1, ..., n of them for each, and which one each belongs to."""
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (first - np.cumsum(n) + n)[of], of
+
+
+def compare(table: pa.Table, length: int, k: int, most: int = MOST) -> pa.Table:
+    """Merges the runs of a range and gives, for each group, the spans that go: text, from, to."""
+    if not table.num_rows:
+        return table_of(SPANS, [])
+    grps, ns, suffixes, places = (table.column(c).to_pylist() for c in ("grp", "n", "suffixes", "places"))
+    if sum(ns) > most:
+        return streamed(table, length, k)
+    left, wide = length - k, 8 + length
+    parts, numbers, counts = [], [], []
+    for n, body, own in zip(ns, suffixes, places, strict=True):
+        body = unpack(body, np.uint8)
+        ends = 3 * n + int(body[n : 2 * n].sum(dtype=np.int64))
+        parts.append((*body[: 3 * n].reshape(3, n), body[3 * n : ends], body[ends:]))
+        own = np.ascontiguousarray(unpack(own, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+        counts.append(own[:n])
+        numbers.append(own[n:].reshape(3, -1))
+    shared, rest_n, left_n, rests, lefts = (np.concatenate(p) for p in zip(*parts, strict=True))
+    rows = np.zeros((len(shared), wide + 1 + left + 1), np.uint8)
+    rows[:, :wide] = decoded(shared, rest_n, rests, wide)
+    rows[:, wide] = shared + rest_n - 8
+    around = np.zeros((len(shared), left), np.uint8)
+    around[np.arange(left) < left_n[:, None]] = lefts
+    rows[:, wide + 1 : -1], rows[:, -1] = around, left_n
+    del parts, around, rests, lefts
+    order, new = sorted_rows(rows)
+    member = np.empty(len(rows), np.int64)
+    member[order] = np.cumsum(new) - 1
+    rows = rows[order[new]]
+    # Occurrences, by member.
+    grp = np.repeat(grps, [x.shape[1] for x in numbers])
+    docs, text, local = np.concatenate(numbers, axis=1)
+    of = np.repeat(member, np.concatenate(counts))
+    by_member = np.argsort(of, kind="stable")
+    grp, docs, text, local, of = (x[by_member] for x in (grp, docs, text, local, of))
+    edges = np.searchsorted(of, np.arange(len(rows) + 1))
+    least, last = np.minimum.reduceat(docs, edges[:-1]), np.maximum.reduceat(docs, edges[:-1])
+    # Anchors: members in a row that agree in head and k bytes.
+    starts = np.flatnonzero(np.r_[True, (rows[1:, : 8 + k] != rows[:-1, : 8 + k]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    alive = np.minimum.reduceat(least, starts) < np.maximum.reduceat(last, starts)
+    to_left, to_right = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+    n_right, n_left = rows[:, wide].astype(np.int64), rows[:, -1].astype(np.int64)
+    few = np.flatnonzero(alive & (sizes <= PAIRS))
+    members, at = expanded(starts[few], sizes[few])
+    first, n = starts[few][at], sizes[few][at]
+    work = np.cumsum(n * (edges[members + 1] - edges[members]))
+    cuts = np.unique(np.r_[0, np.searchsorted(work, np.arange(CHUNK, work[-1] if len(work) else 0, CHUNK)), len(members)])
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        b, at = expanded(first[low:high], n[low:high])
+        a = members[low:high][at]
+        a, b = (x[least[b] < last[a]] for x in (a, b))
+        r = agreement(rows[a, 8:wide], rows[b, 8:wide], np.minimum(n_right[a], n_right[b]))
+        l_ = agreement(rows[a, wide + 1 : -1], rows[b, wide + 1 : -1], np.minimum(n_left[a], n_left[b]))
+        whole = r + l_ >= length
+        a, b, r, l_ = a[whole], b[whole], r[whole], l_[whole]
+        o, at = expanded(edges[a], edges[a + 1] - edges[a])
+        later = least[b][at] < docs[o]
+        o, at = o[later], at[later]
+        np.maximum.at(to_left, o, l_[at])
+        np.maximum.at(to_right, o, r[at])
+    for g in np.flatnonzero(alive & (sizes > PAIRS)).tolist():
+        crowd = []
+        for m in range(starts[g], starts[g] + sizes[g]):
+            own = rows[m].tobytes()
+            its = range(edges[m], edges[m + 1])
+            crowd.append((own[8 : 8 + n_right[m]], own[wide + 1 : wide + 1 + n_left[m]], int(least[m]), list(zip(docs[its.start : its.stop].tolist(), its, strict=True))))
+        for (_, o), n_l, n_r in marked(crowd, length, left):
+            to_left[o], to_right[o] = n_l, n_r
+    found = np.flatnonzero(to_left + to_right > 0)
+    if not len(found):
+        return table_of(SPANS, [])
+    found = found[np.argsort(grp[found], kind="stable")]
+    spans = np.stack([text[found], local[found] - to_left[found], local[found] + to_right[found]], axis=1).astype(np.int32)
+    values, at = np.unique(grp[found], return_index=True)
+    return table_of(SPANS, [(int(g), pack(x)) for g, x in zip(values, np.split(spans, at[1:]), strict=True)])
+
+
 def cut(table: pa.Table, spans: pa.Table, length: int, finish) -> list[tuple]:
     """(doc_id, kept, n_bytes, n_removed, n_spans) of each text, passed through finish."""
     rows = rows_of(table)

@@ -563,6 +563,32 @@ def test_loser_tree_merges_by_known_prefixes():
     assert got == sorted(every)
 
 
+def test_ranges_as_arrays_give_the_spans_of_the_loser_tree():
+    import numpy as np
+    import pyarrow as pa
+
+    r, length, k = random.Random(8), 12, 4
+    base = [bytes(r.choice(b"ab\0") for _ in range(60)) for _ in range(4)]
+    cut = lambda b: (lambda i: b[i : i + r.randrange(30)])(r.randrange(50))
+    tables, asked = {}, []
+    for g in range(5):
+        rows = [(None if r.random() < 0.05 else r.randrange(60), b"".join(cut(r.choice(base)) for _ in range(r.randrange(6)))) for _ in range(25)]
+        ids, texts = zip(*rows, strict=True)
+        tables[g] = pa.table({"grp": pa.array([g] * 25, pa.int32()), "doc_id": pa.array(ids, pa.int64()), "data": pa.array(texts, pa.binary())})
+        asked.append(suffix_dedup.ask(tables[g], 2, length, k))
+    of = lambda t, c, v: t.filter(pa.array(t.column(c).to_numpy() == v))
+    asked = pa.concat_tables(asked)
+    for hot in (4, 1, 64):
+        answered = pa.concat_tables([suffix_dedup.answer(of(asked, "shard", s), hot) for s in range(2)])
+        runs = pa.concat_tables([suffix_dedup.send(t, of(answered, "grp", g), 2, length, k) for g, t in tables.items()])
+        for s in range(2):
+            found = []
+            for most in (1 << 30, 0):
+                spans = suffix_dedup.compare(of(runs, "shard", s), length, k, most).to_pylist()
+                found.append({x["grp"]: sorted(map(tuple, suffix_dedup.unpack(x["data"], np.int32).reshape(-1, 3).tolist())) for x in spans})
+            assert found[0] == found[1] and any(found[0].values())
+
+
 def test_repeats_awkward(spark):
     got = suffix_dedup.remove_repeats(awkward(spark)).collect()
     want = {(d, n, k, s) for d, n, k, s, _ in repeats(AWKWARD)}
