@@ -16,9 +16,9 @@ shingles have the Jaccard similarity in full. No radius with usable blocks cover
 probability (1 - 0.8 ** 4) ** 32 = 5e-8. Every candidate's sets are compared, so each link is at the similarity or above it. Equal
 sets are one node. In a band key of more than `hot` nodes all meet the node that shares most keys first. Nodes of such a key that are not
 connected then are joined by prefix filter, which is exact: of two sets of sizes n and m at the similarity or above, the n - ceil(0.8 n) + 1
-first shingles of the one and as many by m of the other have one in common, in whatever order all sets are put. The order is by how many of
-these sets have a shingle, rarest first, so what a large group has in common is hardly a key, and a pair meets only in places after which both
-sets have enough shingles left for the similarity. Nothing is left out for the size of its group.
+first shingles of the one and as many by m of the other have one in common, in whatever order all sets are put. The order is by hash, with
+shingles last that many of these sets have, so what a large group has in common is hardly a key, and a pair meets only in places after
+which both sets have enough shingles left for the similarity. Only prefixes become rows. Nothing is left out for the size of its group.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows each get a row; a
 null doc_id takes part in no link but gets its fingerprint and a null component; an empty table gives an empty result;
@@ -44,8 +44,8 @@ DISTANCE, BLOCKS, HOT = 2, 5, 24
 WIDTH = 3
 #: Of the pipeline's stage: shingles of five words, Jaccard similarity in percent, MinHash bands and functions of a band.
 STAGE_WIDTH, STAGE_PERCENT, BANDS = 5, 80, (32, 4)
-#: Bound on the common shingles that are broadcast.
-MOST_COMMON = 10_000
+#: Bound on the common shingles that are broadcast, and shingles that a task counts at once.
+MOST_COMMON, COUNTED = 10_000, 1 << 22
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
@@ -176,25 +176,41 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp long, shingles array<long>")
 
 
+def frequent_shingles(sets: DataFrame, above: int) -> DataFrame:
+    """(key, df): shingles that more than that many of sets (shingles) have. Each task adds up its own sets first and leaves out what it saw once, so
+    a count may be short by one for each task, or for each COUNTED shingles of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], ["key", "n"])
+
+        parts, size = [np.empty(0, np.int64)], 0
+        for b in batches:
+            parts.append(b.column(0).flatten().to_numpy())
+            size += len(parts[-1])
+            if size > COUNTED:
+                yield counted()
+                parts, size = [np.empty(0, np.int64)], 0
+        yield counted()
+
+    return sets.select("shingles").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("df")).where(F.col("df") > above)
+
+
 def prefix_keys(sets: DataFrame, percent: int, most: int = MOST_COMMON) -> DataFrame:
-    """(fp, key, at): the shingles in the prefix of each of sets (fp, shingles) that stand in another one too, and their places, rarest first by their number of sets.
+    """(fp, key, at): the shingles in the prefix of each of sets (fp, shingles), and their places. The order is by hash, with frequent shingles last, rarest first.
 
-    Shingles that more sets have than the most-th part of all entries are fewer than `most`, whatever the data; their list, in order, is
-    broadcast and met with each set as a whole, so what a large group has in common makes no rows.
+    Only prefixes become rows, about a fifth of a set. Shingles that more sets have than the most-th part of all entries are fewer than `most`, whatever the
+    data; their list is broadcast and met with each set as a whole. Which shingles are on it changes how many pairs meet, not which are found.
     """
-    tokens = sets.select("fp", F.explode("shingles").alias("key"))
-    df = checkpointed(tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
-    bound = max(64, sets.agg(F.sum(F.size("shingles"))).first()[0] // most)
-    common = df.where(F.col("df") > bound).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "key"))), lambda x: x["key"]).alias("common"))
-    rare = tokens.join(df.where(F.col("df") <= bound), "key").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
-    none = F.array().cast("array<bigint>")
-    known = sets.crossJoin(F.broadcast(common)).join(rare, "fp", "left")  # one row of fewer than `most` numbers
-    k = F.concat(F.coalesce(F.transform("k", lambda x: x["key"]), none), F.array_intersect("common", "shingles"))
-    shared = known.select("fp", F.size("shingles").alias("n"), k.alias("k")).where(F.size("k") > 0)
-    # Shingles that no other set has come first in the order, and take up places of the prefix.
-    alone = F.col("n") - F.size("k")
-    taken = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone, F.lit(0)).cast("int")
-    return shared.select("fp", alone.alias("alone"), F.posexplode(F.slice("k", F.lit(1), taken)).alias("i", "key")).select("fp", "key", (F.col("alone") + F.col("i")).alias("at"))
+    sets = checkpointed(sets)
+    bound = max(64, (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) // most)
+    found = frequent_shingles(sets, bound)
+    common = checkpointed(found.agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "key"))), lambda x: x["key"]).alias("common")))
+    n, known = F.size("shingles"), sets.crossJoin(F.broadcast(common))  # one row of fewer than `most` numbers
+    k = F.concat(F.array_except("shingles", "common"), F.array_intersect("common", "shingles"))
+    taken = (n - F.ceil(n * percent / 100) + 1).cast("int")
+    return checkpointed(known.select("fp", F.posexplode(F.slice(k, F.lit(1), taken)).alias("at", "key")).select("fp", "key", "at"))
 
 
 def simhash_pairs(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:

@@ -163,3 +163,26 @@ def test_near_takes_pairs_from_fingerprints(spark):
     marks = {10: base, 11: base, 12: base ^ 3, 13: base ^ 7, 14: ~base}
     got = {(r.a, r.b) for r in simhash.simhash_pairs(spark.createDataFrame(list(marks.items()), "fp long, mark long")).collect()}
     assert got == {(10, 11), (10, 12), (12, 13)}
+
+
+def test_only_prefixes_become_rows_and_they_meet_all_alike(spark):
+    from quernstone.llm import simhash
+
+    r = random.Random(9)
+    passage, sets = list(range(-400, 0)), {}  # what all sets have comes first in the order by number
+    for i in range(90):
+        own = [r.randrange(1, 1 << 40) for _ in range(r.randrange(5, 300))]
+        sets[2 * i] = sorted({*passage, *own})
+        sets[2 * i + 1] = sorted({*passage[r.randrange(90) :], *own[r.randrange(len(own)) :]})
+    df = spark.createDataFrame(list(sets.items()), "fp long, shingles array<long>").repartition(8)
+    keys = simhash.prefix_keys(df, 80)
+    assert "shingles" not in keys._jdf.queryExecution().toString()  # sets aren't listed again for the result
+    rows = keys.collect()
+    assert all(n <= len(sets[fp]) - -(-len(sets[fp]) * 4 // 5) + 1 for fp, n in keys.groupBy("fp").agg(F.count("*")).collect())
+    held = {}
+    for x in rows:
+        held.setdefault(x.key, {})[x.fp] = x.at
+    met = {(a, b) for fps in held.values() for a in fps for b in fps if a < b}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert alike and alike <= met and len(met) < len(sets) * (len(sets) - 1) // 2
+    assert {x.key for x in simhash.frequent_shingles(df, 64).collect()} == set(passage)
