@@ -231,3 +231,15 @@ def test_genetic_search(spark):
     precision, recall = sum(same) / len(same), sum(same) / pairs.where("label = 1").count()
     largest = max(list(labels.values()).count(c) for c in set(labels.values()) - {-1})
     assert fitness == pytest.approx(2 * precision * recall / (precision + recall) * (0.5 if largest > 0.5 * 41 else 1))
+
+
+def test_growing_tables_of_the_clusters_are_merged(spark):
+    from pyspark.sql import functions as F
+
+    from quernstone.operators.ranking import running_sums
+    from quernstone.sources.storage import stored
+
+    near = stored(blobs(spark)[2])
+    for made in (lambda: D.reachability(near, 3), lambda: running_sums(near, ["q"], [F.col("rank")], {"n": "rank"}, many=True)):
+        plan = made()._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
