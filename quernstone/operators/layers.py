@@ -70,11 +70,11 @@ def added(total: Weights, more: Weights) -> Weights:
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + np.tanh(CURVE * (x + 0.044715 * x**3)))
+    return 0.5 * x * (1 + np.tanh(CURVE * (x + 0.044715 * x * x * x)))
 
 
 def gelu_slope(x: np.ndarray) -> np.ndarray:
-    t = np.tanh(CURVE * (x + 0.044715 * x**3))
+    t = np.tanh(CURVE * (x + 0.044715 * x * x * x))
     return 0.5 * (1 + t) + 0.5 * x * (1 - t * t) * CURVE * (1 + 3 * 0.044715 * x * x)
 
 
@@ -129,7 +129,8 @@ def row_layer_back(w: Weights, k: int, r: np.ndarray, gathered: np.ndarray, n: n
 
 def edge_scores(w: Weights, k: int, z: np.ndarray, heads: int) -> np.ndarray:
     """A score for each edge and head; z is the sum of what source, target and column give."""
-    return (np.where(z >= 0, z, SLOPE * z) * w[f"{k}.score"]).reshape(len(z), heads, -1).sum(2)
+    cut = np.maximum(z, SLOPE * z).reshape(len(z), heads, -1)
+    return np.einsum("nhd,hd->nh", cut, w[f"{k}.score"].reshape(heads, -1))
 
 
 def edge_back(w: Weights, k: int, z: np.ndarray, p: np.ndarray, alpha: np.ndarray, g: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, Weights]:
@@ -139,10 +140,11 @@ def edge_back(w: Weights, k: int, z: np.ndarray, p: np.ndarray, alpha: np.ndarra
     """
     n, heads = alpha.shape
     cut = lambda x: x.reshape(n, heads, -1)
-    s = alpha * ((cut(g) * cut(p)).sum(2) - (cut(g) * cut(m)).sum(2))
+    s = alpha * np.einsum("nhd,nhd->nh", cut(g), cut(p - m))
     wide = np.repeat(s, z.shape[1] // heads, axis=1)
-    dz = wide * w[f"{k}.score"] * np.where(z >= 0, 1, SLOPE)
-    return np.repeat(alpha, z.shape[1] // heads, axis=1) * g + dz, dz, {f"{k}.score": (wide * np.where(z >= 0, z, SLOPE * z)).sum(0)}
+    slope = np.where(z >= 0, 1, SLOPE)
+    dz = wide * w[f"{k}.score"] * slope
+    return np.repeat(alpha, z.shape[1] // heads, axis=1) * g + dz, dz, {f"{k}.score": np.einsum("nd,nd,nd->d", wide, z, slope)}
 
 
 def headed(w: Weights, r: np.ndarray) -> np.ndarray:
@@ -188,15 +190,16 @@ def contrast_loss(y: np.ndarray, a: np.ndarray, b: np.ndarray, temperature: floa
     """-log softmax of the partner among all other rows of y, both ways round, halved; and its gradient. Work and memory: pairs x rows."""
     total, g = 0.0, np.zeros_like(y)
     for u, v in ((a, b), (b, a)):
-        s = y[u] @ y.T / temperature
+        s = (y[u] / temperature) @ y.T
         s[np.arange(len(u)), u] = -np.inf
-        top = s.max(1, keepdims=True)
-        e = np.exp(s - top)
-        z = e.sum(1, keepdims=True)
-        total += float((np.log(z) + top)[:, 0].sum() - s[np.arange(len(u)), v].sum())
-        q = e / z
+        top, own = s.max(1, keepdims=True), s[np.arange(len(u)), v].sum()
+        s -= top
+        q = np.exp(s, out=s)
+        z = q.sum(1, keepdims=True)
+        total += float((np.log(z) + top)[:, 0].sum() - own)
+        q /= z
         q[np.arange(len(u)), v] -= 1
-        np.add.at(g, u, q @ y / temperature)
+        g += group_sum(q @ y / temperature, u, len(y))
         g += q.T @ y[u] / temperature
     return total / 2, g / 2
 
@@ -216,12 +219,21 @@ class Subgraph:
     col: np.ndarray
 
 
-def group_sum(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, values.shape[1]))
-    np.add.at(out, at, values)
+def grouped(f: np.ufunc, values: np.ndarray, at: np.ndarray, n: int, empty: float) -> np.ndarray:
+    """f over the rows of values with the same place; `empty` at places without any."""
+    out = np.full((n, values.shape[1]), empty)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        places = at[order]
+        first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+        out[places[first]] = f.reduceat(values[order], first, axis=0)
     return out
 
 
+def group_sum(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    return grouped(np.add, values, at, n, 0.0)
+
+
 def forward(w: Weights, shape: ModelShape, g: Subgraph) -> tuple[np.ndarray, list[tuple]]:
     """The rows' vectors, and for each layer (rows before it, what they gathered, edges' values)."""
     r, h, e = projected(w, "row", g.rows), projected(w, "token", g.tokens), projected(w, "column", g.columns)
@@ -236,8 +248,7 @@ def forward(w: Weights, shape: ModelShape, g: Subgraph) -> tuple[np.ndarray, lis
             p = (h @ w[f"{k}.source"])[g.src]
             z = p + (r @ w[f"{k}.target"])[g.dst] + (e @ w[f"{k}.edge"])[g.col]
             s = edge_scores(w, k, z, shape.heads)
-            top = np.full((len(r), shape.heads), -np.inf)
-            np.maximum.at(top, g.dst, s)
+            top = grouped(np.maximum, s, g.dst, len(r), -np.inf)
             x = np.exp(s - top[g.dst])
             alpha = x / group_sum(x, g.dst, len(r))[g.dst]
             gathered, edges = group_sum(np.repeat(alpha, shape.hidden // shape.heads, axis=1) * p, g.dst, len(r)), (p, z, alpha)

@@ -5,9 +5,10 @@ sum over the sources, that of the softmax a product that each edge's target hold
 moves is partial sums. Weight gradients are summed in each partition, then over the square root of their number, and a handful of vectors reach the driver.
 
 Blocks: examples are dealt to blocks of bounded size, and each block fetches once what its rows need: their edges, at most fan_out of each by
-hash, and the tokens and columns at these. The blocks are stored by step; an epoch reads each once and joins nothing. A step sums its blocks' gradients, clips them and
+hash, and the tokens and columns at these. The blocks are stored by runs of steps; an epoch reads each once and joins nothing. A step sums its blocks' gradients, clips them and
 moves the weights by AdamW; the rate rises linearly, then falls as a cosine. Each example is in one block, so with no bound on the edges
-a pass over all blocks sums to the gradient of the full pass.
+a pass over all blocks sums to the gradient of the full pass. A step needs the weights of the one before. Where it has few blocks, a job for each would be
+longer than its work, so a task takes a bounded run of steps and hands the weights and moments to the next; a step of many blocks is a job of its own, in as many tasks.
 
 Tokens and columns send to rows, not back. Rows without edges keep what they are. Vectors, and a graph's ids, must not be null.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Callable, Iterator
+from copy import deepcopy
 from dataclasses import dataclass, replace
 from functools import reduce
 from math import ceil, cos, isqrt, pi
@@ -34,6 +36,8 @@ from quernstone.sources.storage import Scratch
 
 #: Column vectors of at most so many columns are broadcast along the edges.
 BROADCAST_COLUMNS = 10_000
+#: Steps of at most so many blocks follow each other in a task, and so many blocks make a run of them.
+FEW_BLOCKS, RUN_BLOCKS = 8, 512
 
 
 @dataclass(frozen=True)
@@ -337,7 +341,7 @@ def assembled(table: pa.Table) -> pa.Table:
 
 
 def blocks(graph: Graph, examples: DataFrame, config: TrainConfig, scratch: Scratch) -> DataFrame:
-    """(step, block, data), stored by step. Ids may be of any type; in a block they are places."""
+    """(step, block, data, run), stored by run: a step of many blocks, or several steps of few. Ids may be of any type; in a block they are places."""
     names = NAMES[config.loss]
     text = lambda c: F.col(c).cast("string")
     label = F.col("label").cast("double") if "label" in examples.columns else F.lit(1.0)
@@ -356,7 +360,13 @@ def blocks(graph: Graph, examples: DataFrame, config: TrainConfig, scratch: Scra
     union.append(edges.select("block", F.lit(3), text("dst"), text("src"), text("col"), F.lit(None).cast("array<double>"), F.lit(0.0)))
     union.append(x.select("block", F.lit(4), text(names[0]), text(names[1]), text(names[2]) if len(names) == 3 else none, F.lit(None).cast("array<double>"), label))
     every = reduce(DataFrame.union, union).withColumn("step", F.pmod("block", F.lit(steps)).cast("int"))
-    return scratch.store(every.groupBy("step", "block").applyInArrow(assembled, "step int, block long, data binary"), by="step")
+    made = every.groupBy("step", "block").applyInArrow(assembled, "step int, block long, data binary")
+    return scratch.store(made.withColumn("run", F.floor(F.col("step") / run_length(config)).cast("int")), by="run")
+
+
+def run_length(config: TrainConfig) -> int:
+    """Steps of a run."""
+    return max(1, RUN_BLOCKS // config.blocks) if config.blocks <= FEW_BLOCKS else 1
 
 
 def block_loss(w: L.Weights, shape: L.ModelShape, config: TrainConfig, data: bytes, back: bool) -> tuple[float, int, L.Weights]:
@@ -400,6 +410,29 @@ def block_gradient(blocks_: DataFrame, w: L.Weights, shape: L.ModelShape, config
     return float(total[0]), float(total[1]), total[2:]
 
 
+def run_of_steps(blocks_: DataFrame, x: np.ndarray, moves: AdamW, rate: float, like: L.Weights, shape: L.ModelShape, config: TrainConfig) -> tuple[float, float, np.ndarray]:
+    """Summed loss, examples and the weights after the steps of the blocks, which one task takes in order, a block at a time. moves goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w, own, sums = None, x, deepcopy(moves), np.zeros(2)
+        g, n = np.zeros_like(x), 0
+        for b in batches:
+            for step, data in zip(b.column("step").to_pylist(), b.column("data"), strict=True):
+                if step != at:
+                    w = own.moved(w, clipped(g / n, config.clip), rate) if n else w
+                    at, weights, g, n = step, L.shaped(w, like), np.zeros_like(x), 0
+                loss, k, more = block_loss(weights, shape, config, data.as_py(), True)
+                if k:
+                    g, n, sums = g + L.flat({name: more.get(name, np.zeros_like(v)) for name, v in like.items()}), n + k, sums + (loss, k)
+        w = own.moved(w, clipped(g / n, config.clip), rate) if n else w
+        yield pa.RecordBatch.from_arrays([arrays(np.concatenate([sums, [own.t], w, own.first, own.second])[None])], ["v"])
+
+    ordered = blocks_.select("step", "block", "data").coalesce(1).sortWithinPartitions("step", "block")  # a bounded run
+    v = np.array(ordered.mapInArrow(run, "v array<double>").first()["v"])
+    moves.t, (x, moves.first, moves.second) = int(v[2]), np.split(v[3:], 3)
+    return float(v[0]), float(v[1]), x
+
+
 def rate_at(epoch: int, config: TrainConfig) -> float:
     """Linear up to the end of the warm-up, then a cosine down to the least rate. Epochs count from 1."""
     rising = max(1, int(config.epochs * config.warm_up))
@@ -427,37 +460,46 @@ def clipped(g: np.ndarray, most: float) -> np.ndarray:
     return g * (most / n) if n > most else g
 
 
+def made_blocks(sets: list[tuple[Graph, DataFrame]], config: TrainConfig, validation: list[tuple[Graph, DataFrame]] | None, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The blocks of training and of validation, which don't depend on a model."""
+    return [blocks(g, e, config, scratch) for g, e in sets], [blocks(g, e, config, scratch) for g, e in validation or []]
+
+
 class RowModel:
     """Weights of a row model with their training."""
 
     def __init__(self, shape: L.ModelShape, seed: int = 42):
         self.shape, self.weights, self.history = shape, L.drawn(shape, seed), []
 
-    def embeddings(self, graph: Graph) -> DataFrame:
-        """(id, v): unit vectors of the rows, over all their edges."""
-        return FullPass(graph, self.shape).forward(self.weights, Scratch(graph.rows.sparkSession, "embeddings"))
+    def embeddings(self, graph: Graph, scratch: Scratch | None = None) -> DataFrame:
+        """(id, v): unit vectors of the rows, over all their edges. They lie in the scratch folder, if one is given."""
+        return FullPass(graph, self.shape).forward(self.weights, scratch or Scratch(graph.rows.sparkSession, "embeddings"))
 
-    def fit(self, sets: list[tuple[Graph, DataFrame]], config: TrainConfig = TrainConfig(), validation: list[tuple[Graph, DataFrame]] | None = None, on_epoch: Callable[[int, dict], bool | None] | None = None) -> list[dict]:
+    def fit(self, sets: list[tuple[Graph, DataFrame]], config: TrainConfig = TrainConfig(), validation: list[tuple[Graph, DataFrame]] | None = None, on_epoch: Callable[[int, dict], bool | None] | None = None, made: tuple[list[DataFrame], list[DataFrame]] | None = None) -> list[dict]:
         """Mini-batches over one or several data sets, one after the other in each epoch. Keeps the weights of the least validation loss (training loss without any).
 
+        made: what made_blocks() gave for the same sets and config, if several models are trained on them.
+
         on_epoch gets the number and losses of each epoch; True from it ends the training, as do 2 * patience epochs without a better loss.
         """
         scratch = Scratch(sets[0][0].rows.sparkSession, "blocks")
-        train = [blocks(g, e, config, scratch) for g, e in sets]
-        held = [blocks(g, e, config, scratch) for g, e in validation or []]
-        steps = [sorted(r["step"] for r in t.select("step").distinct().collect()) for t in train]
-        if not any(steps):
+        train, held = made or made_blocks(sets, config, validation, scratch)
+        runs = [sorted(r["run"] for r in t.select("run").distinct().collect()) for t in train]
+        if not any(runs):
             raise ValueError("there is nothing to train on")
         x, moves = L.flat(self.weights), AdamW(L.flat(self.weights).size, config.weight_decay)
         best, kept, waited = float("inf"), x, 0
         for epoch in range(1, config.epochs + 1):
             rate, loss, n = rate_at(epoch, config), 0.0, 0.0
-            for t, own in zip(train, steps, strict=True):
-                for s in own:
-                    more, k, g = block_gradient(t.where(F.col("step") == s), L.shaped(x, self.weights), self.shape, config)
-                    if k:
-                        x = moves.moved(x, clipped(g / k, config.clip), rate)
-                        loss, n = loss + more, n + k
+            for t, own in zip(train, runs, strict=True):
+                for r in own:
+                    part = t.where(F.col("run") == r)
+                    if config.blocks <= FEW_BLOCKS:
+                        more, k, x = run_of_steps(part, x, moves, rate, self.weights, self.shape, config)
+                    else:
+                        more, k, g = block_gradient(part, L.shaped(x, self.weights), self.shape, config)
+                        x = moves.moved(x, clipped(g / k, config.clip), rate) if k else x
+                    loss, n = loss + more, n + k
             now = {"epoch": epoch, "rate": rate, "train": loss / max(n, 1.0)}
             sums = [block_gradient(t, L.shaped(x, self.weights), self.shape, config, back=False)[:2] for t in held]
             now["valid"] = sum(v for v, _ in sums) / max(sum(k for _, k in sums), 1.0) if held else now["train"]

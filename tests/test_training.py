@@ -1,5 +1,7 @@
 """Row models trained through their layers: finite differences, tables against numpy, blocks against the full pass, training, search."""
 
+import uuid
+
 import numpy as np
 import pytest
 
@@ -143,6 +145,47 @@ def test_training_through_layers(spark, kind):
     assert min(h["valid"] for h in history) < best
 
 
+def jobs_of(spark, f):
+    """(f(), the Spark jobs it took)."""
+    name = f"counted-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = f()
+    finally:
+        for k in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(k, None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("kind,length", [("mean", 512), ("attention", 5)])
+def test_steps_of_few_blocks_share_jobs(spark, monkeypatch, kind, length):
+    """As many small steps as there are pairs cost no job each, and move the weights as a job for each step does; also over several runs."""
+    monkeypatch.setattr(T, "RUN_BLOCKS", 2 * length)
+    g, pairs = entities(spark, 1, 20)
+    shape = g.shape(kind=kind, hidden=8, edge=4, output=8, heads=2)
+    config = T.TrainConfig(epochs=2, batch=1, blocks=2, rate=0.02, loss="pairs")
+    stored = T.blocks(g, pairs, config, T.Scratch(spark, "test"))
+    steps = sorted(r.step for r in stored.select("step").distinct().collect())
+    assert len(steps) > 7 and stored.select("run").distinct().count() == (1 if length == 512 else 2)
+    model = T.RowModel(shape, 1)
+    history, jobs = jobs_of(spark, lambda: model.fit([(g, pairs)], config, made=([stored], [])))
+    assert len(history) == 2 and 0 < jobs < 2 * len(steps)
+    alone = T.RowModel(shape, 1)
+    x, moves = L.flat(alone.weights), T.AdamW(L.flat(alone.weights).size, config.weight_decay)
+    for epoch in (1, 2):
+        loss, n = 0.0, 0
+        for s in steps:
+            more, k, d = T.block_gradient(stored.where(f"step = {s}"), L.shaped(x, alone.weights), shape, config)
+            x, loss, n = moves.moved(x, T.clipped(d / k, config.clip), T.rate_at(epoch, config)), loss + more, n + k
+        assert n == 20 and history[epoch - 1]["train"] == pytest.approx(loss / n, rel=1e-9)
+    np.testing.assert_allclose(L.flat(model.weights), x, atol=1e-8)
+    many = T.RowModel(shape, 1)  # steps of more blocks: a job each, in as many tasks
+    monkeypatch.setattr(T, "FEW_BLOCKS", 1)
+    _, jobs = jobs_of(spark, lambda: many.fit([(g, pairs)], config))
+    assert jobs >= 2 * len(steps)
+    np.testing.assert_allclose(L.flat(many.weights), x, atol=1e-8)
+
+
 def test_full_training_and_several_sets(spark, tmp_path):
     g, pairs = entities(spark, 1, 12)
     triplets = pairs.selectExpr("a", "b p", "(a + 2) % 24 n")
