@@ -237,3 +237,9 @@ def test_row_frequency_counts_rows(spark):
     assert {r.tok: r.df for r in G.row_frequency(G.token_lists(cells)).collect()} == {r.tok: r.df for r in G.token_frequency(C.tokens_of(cells)).collect()}
     kept = spark.createDataFrame([("y",)], "tok string")
     assert sorted(G.only_kept(C.tokens_of(cells).select("id", "tok"), kept, 0).collect()) == sorted(G.only_kept(C.tokens_of(cells).select("id", "tok"), kept).collect())
+
+
+def test_edges_come_from_whole_texts(spark):
+    words = " ".join(f"w{i}" for i in range(2048))
+    cells = spark.createDataFrame([(1, "text", f"{words} late"), (2, "text", "late"), (3, "text", "other")], "id long, col string, val string")
+    assert {(r.id, r.tok) for r in G.build_edges(cells, 3, 0.9, 2).collect()} == {(1, "late"), (2, "late")}
