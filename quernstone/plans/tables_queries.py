@@ -325,7 +325,7 @@ def token_index(t: Tables) -> DataFrame:
     return globally_numbered(tokens.groupBy("tok").agg(first.alias("first")), F.col("first"), name="tok_idx").select("tok", "tok_idx")
 
 
-@query("q_cell_token_cap", f"WITH d AS (SELECT doc_id AS id, 'text' AS col, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '')[1:2048])) AS tok FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id, col ORDER BY {order_sql(42, 'id', 'col', 'tok')}, tok) AS k FROM d) SELECT id, col, tok FROM r WHERE k <= 5")
+@query("q_cell_token_cap", f"WITH d AS (SELECT doc_id AS id, 'text' AS col, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> ''))) AS tok FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id, col ORDER BY {order_sql(42, 'id', 'col', 'tok')}, tok) AS k FROM d) SELECT id, col, tok FROM r WHERE k <= 5")
 def cell_token_cap(t: Tables) -> DataFrame:
     cells = t.documents.select(F.col("doc_id").alias("id"), F.lit("text").alias("col"), F.col("text").alias("val"))
     return C.capped_cells(cells, 5, 42)

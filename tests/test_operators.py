@@ -243,3 +243,9 @@ def test_edges_come_from_whole_texts(spark):
     words = " ".join(f"w{i}" for i in range(2048))
     cells = spark.createDataFrame([(1, "text", f"{words} late"), (2, "text", "late"), (3, "text", "other")], "id long, col string, val string")
     assert {(r.id, r.tok) for r in G.build_edges(cells, 3, 0.9, 2).collect()} == {(1, "late"), (2, "late")}
+
+
+def test_the_cap_of_a_cell_is_over_its_whole_text(spark):
+    words = [f"w{i}" for i in range(2100)]
+    cells = spark.createDataFrame([(1, "text", " ".join(words))], "id long, col string, val string")
+    assert {r.tok for r in C.capped_cells(cells, 2100, 42).collect()} == set(words)
