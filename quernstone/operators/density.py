@@ -13,15 +13,22 @@ MOST_CLUSTERS at most, and in rounds over a table beyond. Rows that no neighbour
 
 Several parameters are cut from one tree at once: their number is a key of every table. All tables grow with the rows and are met some hundred times, so
 they are sorted and merged: small ones, broadcast each time, would all pass through the driver.
+
+A search judges hundreds of choices, each in some hundred jobs over tables. Where edges and pairs, counted first, are few enough for a task's memory, it takes
+a task for each choice instead, which has the whole tree as arrays and gives three numbers.
 """
 
 from __future__ import annotations
 
+import io
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +39,8 @@ from quernstone.sources.storage import Scratch, stored
 
 #: Clusters of one choice of parameters that are judged in one task, 40 bytes each.
 MOST_CLUSTERS = 100_000
+#: Neighbours and pairs of a search, counted, of which a task has the tree of one choice in memory (some 100 bytes each while it is made).
+MOST_ROWS = 6_000_000
 #: Length of an edge of no length.
 SHORTEST = 1e-12
 
@@ -187,8 +196,13 @@ def judged(part: pd.DataFrame, p: Params) -> list[str | None]:
     """For each cluster the chosen one that it is in, or None: the most stable ones (or the leaves), none inside another."""
     at = {x: i for i, x in enumerate(part["id"])}
     parent = [at[x] if isinstance(x, str) else -1 for x in part["parent"]]
-    birth, stability = part["birth"].tolist(), part["stability"].tolist()
-    below: list[list[int]] = [[] for _ in at]
+    ids = part["id"].tolist()
+    return [ids[c] if c >= 0 else None for c in judged_places(parent, part["birth"].tolist(), part["stability"].tolist(), p)]
+
+
+def judged_places(parent: list[int], birth: list[float], stability: list[float], p: Params) -> list[int]:
+    """judged() of clusters by place; -1 is none."""
+    below: list[list[int]] = [[] for _ in parent]
     for i, u in enumerate(parent):
         if u >= 0:
             below[u].append(i)
@@ -218,8 +232,7 @@ def judged(part: pd.DataFrame, p: Params) -> list[str | None]:
         for i in down:
             u = parent[i]
             chosen[i] = chosen[u] if u >= 0 and chosen[u] >= 0 else i if i in tops else -1
-    ids = part["id"].tolist()
-    return [ids[c] if c >= 0 else None for c in chosen]
+    return chosen
 
 
 def judged_in_rounds(clusters: DataFrame, p: Params) -> DataFrame:
@@ -324,40 +337,147 @@ def hdbscan(near: DataFrame, ids: DataFrame, params: Params = Params()) -> DataF
     return ids.join(labels.hint("merge"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+# Whole trees in tasks
+
+
+def linkage(table: pa.Table) -> pa.Table:
+    """One row (tree, data) of a tree's rows (tree, a, b, w, label): its merges in order of (w, a, b), as places, and pairs (no w) of which both rows are in an edge."""
+    is_edge = table.column("w").is_valid().to_numpy()
+    a, b = (table.column(c).to_numpy() for c in "ab")
+    w, label = (table.column(c).fill_null(0).to_numpy() for c in ("w", "label"))
+    pair_a, pair_b, label = a[~is_edge], b[~is_edge], label[~is_edge]
+    a, b, w = a[is_edge], b[is_edge], w[is_edge]
+    order = np.lexsort((b, a, w))
+    ids = np.unique(np.concatenate([a, b]))
+    n = len(ids)
+    x, y, w = np.searchsorted(ids, a[order]), np.searchsorted(ids, b[order]), w[order]
+    up, node, size = list(range(n)), list(range(n)), [1] * n
+    taken, left, right, sizes = [], [], [], []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        i, j = root(i), root(j)
+        if i != j:
+            if size[i] < size[j]:
+                i, j = j, i
+            taken.append(k)
+            left.append(node[i])
+            right.append(node[j])
+            up[j], size[i], node[i] = i, size[i] + size[j], n + len(sizes)
+            sizes.append(size[i])
+    at, bt = (np.searchsorted(ids, c) for c in (pair_a, pair_b))
+    both = (ids[np.minimum(at, n - 1)] == pair_a) & (ids[np.minimum(bt, n - 1)] == pair_b) if n else np.zeros(len(pair_a), bool)
+    to = io.BytesIO()
+    np.savez(to, ids=ids, w=w[taken], left=np.array(left, np.int32), right=np.array(right, np.int32), size=np.array(sizes, np.int32), a=at[both].astype(np.int32), b=bt[both].astype(np.int32), label=label[both].astype(np.int8))
+    return pa.table({"tree": table.column("tree").slice(0, 1).combine_chunks(), "data": pa.array([to.getvalue()], pa.binary())})
+
+
+def settled(up: np.ndarray) -> np.ndarray:
+    """Where each place ends that goes to up[place]; ends go to themselves."""
+    while True:
+        further = up[up]
+        if np.array_equal(further, up):
+            return up
+        up = further
+
+
+def cut_whole(tree: dict[str, np.ndarray], p: Params) -> np.ndarray:
+    """For each row of a tree as from linkage() the number of its chosen cluster, -1 for none. As cut(): nodes are the rows, then the merges."""
+    n, m = len(tree["ids"]), len(tree["w"])
+    size, lam = np.concatenate([np.ones(n, np.int64), tree["size"]]), np.concatenate([np.zeros(n), 1 / np.maximum(tree["w"], SHORTEST)])
+    parent = np.arange(n + m)
+    parent[tree["left"]] = parent[tree["right"]] = np.arange(n, n + m)
+    sides = np.stack([size[tree["left"]], size[tree["right"]]])
+    big = sides >= p.smallest
+    split, large = np.zeros(n + m, bool), size >= p.smallest
+    split[n:] = big.all(0)
+    mass = np.concatenate([np.zeros(n), np.where(big.all(0), size[n:], np.where(big, 0, sides).sum(0))])
+    # A cluster begins at the top and below a split, and goes down to the next one.
+    heads = large & ((parent == np.arange(n + m)) | split[parent])
+    heads[:n] = False
+    nodes = np.flatnonzero(heads)
+    number = np.full(n + m, -1)
+    number[nodes] = np.arange(len(nodes))
+    of = number[settled(np.where(heads | ~large, np.arange(n + m), parent))]
+    top = parent[nodes] == nodes
+    birth, above = np.where(top, 0.0, lam[parent[nodes]]), np.where(top, -1, of[parent[nodes]])
+    some = np.flatnonzero(large)
+    stability = np.bincount(of[some], mass[some] * (lam[some] - birth[of[some]]), len(nodes))
+    chosen = np.append(np.array(judged_places(above.tolist(), birth.tolist(), stability.tolist(), p), np.int64), -1)  # the last is that of no cluster
+    first = settled(np.where(large, np.arange(n + m), parent))[:n]
+    return chosen[np.where(large[first], of[first], -1)]
+
+
+def packed_trees(near: DataFrame, pairs: DataFrame, samples: list[int]) -> DataFrame:
+    """(tree, data): linkage() for each number of samples, a task each."""
+    none = F.lit(None).cast("double")
+    each = [reachability(near, k).select(F.lit(k).alias("tree"), F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("double"), F.lit(0).alias("label")) for k in samples]
+    each += [pairs.select(F.lit(k).alias("tree"), F.col("a").cast("long"), F.col("b").cast("long"), none.alias("w"), F.col("label").cast("int").alias("label")) for k in samples]
+    return stored(reduce(DataFrame.union, each).repartitionByRange(len(samples), "tree").groupBy("tree").applyInArrow(linkage, "tree int, data binary"))
+
+
+def hits_whole(trees: DataFrame, several: dict[int, Params], of: dict[int, int]) -> dict[int, tuple[int, int, int]]:
+    """For each choice the pairs in one cluster that are positive, all of them, and the rows of the largest cluster. trees as from packed_trees()."""
+    choices = trees.sparkSession.createDataFrame([(c, of[c]) for c in several], "choice int, tree int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, data in zip(batch.column("choice").to_pylist(), batch.column("data"), strict=True):
+                tree = dict(np.load(io.BytesIO(data.as_buffer())))
+                own = cut_whole(tree, several[c])
+                a = own[tree["a"]]
+                hit = (a >= 0) & (a == own[tree["b"]])
+                sizes = np.bincount(own[own >= 0], minlength=1)
+                yield pa.RecordBatch.from_pydict({"choice": pa.array([c], pa.int32()), "tp": pa.array([int(tree["label"][hit].sum(dtype=np.int64))]), "n": pa.array([int(hit.sum())]), "m": pa.array([int(sizes.max())])})
+
+    met = trees.join(F.broadcast(choices), "tree").select("choice", "data").repartition(len(several))  # a row for each choice
+    return {r["choice"]: (r["tp"], r["n"], r["m"]) for r in met.mapInArrow(run, "choice int, tp long, n long, m long").collect()}
+
+
 # The genes: least and most of each number; the last two are switches.
 GENES = {"smallest": (2, 30), "samples": (1, 5), "epsilon": (0.0, 1.0), "leaf": (0, 1), "whole": (0, 1)}
 
 
-def genetic_search(near: DataFrame, pairs: DataFrame, n_rows: int, size: int = 40, generations: int = 25, cross: float = 0.7, mutate: float = 0.2, beta: float = 1.0, giant: float = 0.5, penalty: float = 0.5, seed: int = 42) -> list[tuple]:
+def genetic_search(near: DataFrame, pairs: DataFrame, n_rows: int, size: int = 40, generations: int = 25, cross: float = 0.7, mutate: float = 0.2, beta: float = 1.0, giant: float = 0.5, penalty: float = 0.5, seed: int = 42, most: int = MOST_ROWS) -> list[tuple]:
     """(generation, params, best fitness, mean fitness). Fitness: F-beta of pairs (a, b, label) in one cluster, times the penalty if a cluster has more than
     the share `giant` of the rows. Tournaments of three, two-point crossover, mutation by redraw; the best survives. A generation's new
-    parameters are judged in one job, and none twice.
+    parameters are judged in one job, and none twice; each in a task of its own while neighbours and pairs are `most` at most, and over tables beyond.
     """
     rng, trees, known = random.Random(seed), {}, {}
+    pairs = stored(pairs.select("a", "b", "label"))
+    whole = packed_trees(near, pairs, list(range(GENES["samples"][0], GENES["samples"][1] + 1))) if near.count() + pairs.count() <= most else None
     names = list(GENES)
 
     def drawn(name: str):
         low, high = GENES[name]
         return round(rng.uniform(low, high), 2) if isinstance(low, float) else rng.randint(low, high)
 
-    def judge(people: list[tuple]) -> None:
-        new = sorted(set(people) - set(known))
-        for samples in sorted({p[1] for p in new} - set(trees)):
+    def hits(several: dict[int, Params], of: dict[int, int]) -> dict[int, tuple[int, int, int]]:
+        """hits_whole() over tables."""
+        for samples in sorted(set(of.values()) - set(trees)):
             trees[samples] = tree_of(near, samples)
-        if not new:
-            return
-        several = {k: Params(p[0], p[1], p[2], bool(p[3]), bool(p[4])) for k, p in enumerate(new)}
-        labels = stored(cut(together({k: trees[k] for k in {p[1] for p in new}}), several, {k: p[1] for k, p in enumerate(new)}))
+        labels = stored(cut(together({k: trees[k] for k in set(of.values())}), several, of))
         a, b = (labels.select("choice", F.col("id").alias(x), F.col("cluster").alias(f"c{x}")) for x in "ab")
         hit = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), ["choice", "b"]).where("ca = cb").groupBy("choice").agg(F.sum("label").alias("tp"), F.count("*").alias("n"))
         largest = labels.groupBy("choice", "cluster").agg(F.count("*").alias("m")).groupBy("choice").agg(F.max("m").alias("m"))
-        got = {r["choice"]: r for r in largest.join(hit, "choice", "left").collect()}  # a row for each choice
+        return {r["choice"]: (r["tp"] or 0, r["n"] or 0, r["m"]) for r in largest.join(hit, "choice", "left").collect()}  # a row for each choice
+
+    def judge(people: list[tuple]) -> None:
+        new = sorted(set(people) - set(known))
+        if not new:
+            return
+        several, of = {k: Params(p[0], p[1], p[2], bool(p[3]), bool(p[4])) for k, p in enumerate(new)}, {k: p[1] for k, p in enumerate(new)}
+        got = hits(several, of) if whole is None else hits_whole(whole, several, of)
         for k, p in enumerate(new):
-            r = got.get(k)
-            tp, n = (r["tp"] or 0, r["n"] or 0) if r else (0, 0)
+            tp, n, m = got.get(k, (0, 0, 0))
             precision, recall = tp / n if n else 0.0, tp / positive if positive else 0.0
             f = (1 + beta**2) * precision * recall / (beta**2 * precision + recall) if tp else 0.0
-            known[p] = f * (penalty if r and r["m"] > giant * n_rows else 1.0)
+            known[p] = f * (penalty if m > giant * n_rows else 1.0)
 
     positive = pairs.agg(F.sum("label")).first()[0] or 0
     people = [tuple(drawn(n) for n in names) for _ in range(size)]

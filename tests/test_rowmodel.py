@@ -243,3 +243,40 @@ def test_growing_tables_of_the_clusters_are_merged(spark):
     for made in (lambda: D.reachability(near, 3), lambda: running_sums(near, ["q"], [F.col("rank")], {"n": "rank"}, many=True)):
         plan = made()._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_whole_trees_give_the_clusters_of_tables(spark):
+    """The plain definition and the arrays of a task, with a second tree apart, repeated lengths and pairs of rows that are in no edge."""
+    import io
+
+    rng = np.random.default_rng(1)
+    x = np.r_[rng.normal(0, 0.05, (14, 2)), rng.normal(1, 0.2, (14, 2)), np.c_[np.linspace(2, 3, 10), np.zeros(10)], rng.uniform(-2, 4, (8, 2)), np.full((4, 2), 0.5)]
+    d = np.round(np.linalg.norm(x[:, None] - x[None], axis=2), 9)
+    rows = [(i, int(j), float(d[i, j]), r + 1) for i in range(len(x)) for r, j in enumerate(j for j in np.lexsort((np.arange(len(x)), d[i])) if j != i)]
+    near = spark.createDataFrame(rows + [(100, 101, 0.1, 1), (101, 100, 0.1, 1)], "q long, i long, d double, rank int")
+    pairs = spark.createDataFrame([(i, j, int(j - i == 1)) for i in range(0, 60) for j in (i + 1, i + 2)] + [(100, 101, None)], "a long, b long, label int")
+    params = [D.Params(*c) for c in CHOICES]
+    trees = D.packed_trees(near, pairs, sorted({p.samples for p in params}))
+    data = {r.tree: dict(np.load(io.BytesIO(r.data))) for r in trees.collect()}
+    got = D.hits_whole(trees, dict(enumerate(params)), {k: p.samples for k, p in enumerate(params)})
+    for k, p in enumerate(params):
+        core = np.sort(d, axis=1)[:, p.samples]
+        own, tree = D.cut_whole(data[p.samples], p), data[p.samples]
+        name = {c: min(tree["ids"][own == c]) for c in set(own) - {-1}}
+        label = {int(i): int(name.get(c, -1)) for i, c in zip(tree["ids"], own, strict=True)}
+        assert [label[i] for i in range(len(x))] == plain_hdbscan(np.maximum(d, np.maximum(core[:, None], core[None])), p), p
+        same = [r.label or 0 for r in pairs.collect() if label.get(r.a, -1) == label.get(r.b, -1) >= 0]
+        assert got[k] == (sum(same), len(same), max((list(label.values()).count(c) for c in name.values()), default=0)), p
+
+
+def test_a_generation_is_judged_in_a_few_jobs(spark):
+    """The same search over tables and in tasks, which took some hundred jobs for each generation before."""
+    _, df, near = blobs(spark)
+    pairs = spark.createDataFrame([(i, (i + d) % 40, int(i // 20 == (i + d) % 40 // 20)) for i in range(40) for d in (1, 20)], "a long, b long, label int")
+    spark.sparkContext.setJobGroup("whole", "search")
+    found = D.genetic_search(near, pairs, 41, size=4, generations=2)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole"))
+    spark.sparkContext.setJobGroup("tables", "search")
+    assert jobs <= 60 and found == D.genetic_search(near, pairs, 41, size=4, generations=2, most=0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert D.genetic_search(near.limit(0), pairs, 41, size=3, generations=1)[0][2] == 0
