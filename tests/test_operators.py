@@ -273,3 +273,15 @@ def test_a_task_gives_the_best_of_its_blocks_once(spark):
     for at in range(0, 700, 100):
         best.meet(np.arange(at, at + 100), v[at : at + 100], np.zeros(100, np.int64))
     assert best.out().num_rows == 1000 and N.best_of_blocks(one, one, 5, None, True, "vec_id", "embedding", None, 10_000).count() == 3500
+
+
+def test_links_of_clusters_are_made_once(spark, monkeypatch):
+    """Components read their links more than once, so they get a stored table, not the search."""
+    from quernstone.plans import graph_queries as Q
+    from quernstone.plans.registry import Tables
+
+    seen, real = [], G.connected_components
+    monkeypatch.setattr(G, "connected_components", lambda edges, **more: seen.append(edges) or real(edges, **more))
+    Q.cc_clusters(Tables(spark, "/root/testdata/sf0.001"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "MapIn" not in plan
