@@ -39,7 +39,7 @@ from quernstone.sources.storage import Scratch, stored
 
 #: Clusters of one choice of parameters that are judged in one task, 40 bytes each.
 MOST_CLUSTERS = 100_000
-#: Neighbours and pairs of a search, counted, of which a task has the tree of one choice in memory (some 100 bytes each while it is made).
+#: Neighbours and pairs of a search, counted, of which a task has the tree of one choice in memory (by estimate 100 bytes each while it is made).
 MOST_ROWS = 6_000_000
 #: Length of an edge of no length.
 SHORTEST = 1e-12
